@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import exact_dedup, quality_rules
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,
+    "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
