@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, quality_rules, url_filters, warc
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_url_filters": url_filters.op3_url_filters,
+    "op4_warc": warc.op4_warc,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,
+    "op3_url_filters": url_filters.OP3_SQL,
+    "op4_warc": warc.OP4_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
