@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, quality_rules, url_filters, warc
+from . import bpe, exact_dedup, packing, quality_rules, url_filters, warc
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_url_filters": url_filters.op3_url_filters,
     "op4_warc": warc.op4_warc,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_packing": packing.op8_packing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {
