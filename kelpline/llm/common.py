@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of every word rule here: space and the controls 9 to 13.
@@ -65,3 +65,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """docs (with doc_id and text) without the rows that decided (doc_id, text_hash, kept; a row for each) drops.
+
+    text_hash is xxhash64 of the text. Of rows with equal id and text of which one stays, one does.
+    """
+    decided = settled(decided.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "kept"))
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))
+    fates = decided.join(decided.where("not kept").select(F.col("_id").alias("_i"), F.col("_h").alias("_k")).distinct(), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_k")), "left_semi")
+    fates = settled(fates.groupBy("_id", "_h").agg(F.max("kept").alias("some")))
+    gone, again = fates.where("not some"), fates.where("some")
+    out = keyed.join(gone, match, "left_anti")
+    if not again.isEmpty():
+        one = Window.partitionBy("doc_id", "_hash").orderBy("text")
+        repeated = out.join(again, match, "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+        out = out.join(again, match, "left_anti").unionByName(repeated)
+    return out.drop("_hash")

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, lower_az, pick, settled, table
+from .common import LOWER_BYTES, keep_rows, pick, settled, table
 
 CHUNK = 4096
 #: Primes under 2^31 and a base for each. Sums of CHUNK products of a byte and a power stay under 2^53.
@@ -64,23 +64,23 @@ class Fingerprinter:
 
 
 def fingerprints(docs: DataFrame, keep_text: bool, moduli: tuple[int, ...] = MODULI) -> DataFrame:
-    """doc_id, f1, f2, n_bytes, text_sha256 (lower-case hex) and, if asked, body: the normalised text's bytes."""
+    """doc_id, text_hash, f1, f2, n_bytes, text_sha256 (lower-case hex) and, if asked, body: the normalised text's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = Fingerprinter(moduli)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                bodies = [(x or b"").translate(LOWER_BYTES) for x in part.column(1).to_pylist()]
+                bodies = [(x or b"").translate(LOWER_BYTES) for x in part.column(2).to_pylist()]
                 both = [prints.text(x) for x in bodies]
-                cols = [part.column(0), pa.array([x[0] for x in both], pa.int64()), pa.array([x[1] for x in both], pa.int64()), pa.array([len(x) for x in bodies], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in bodies], pa.string())]
-                names = ["doc_id", "f1", "f2", "n_bytes", "text_sha256"]
+                cols = [part.column(0), part.column(1), pa.array([x[0] for x in both], pa.int64()), pa.array([x[1] for x in both], pa.int64()), pa.array([len(x) for x in bodies], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in bodies], pa.string())]
+                names = ["doc_id", "text_hash", "f1", "f2", "n_bytes", "text_sha256"]
                 if keep_text:
                     cols, names = [*cols, pa.array(bodies, pa.binary())], [*names, "body"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = "doc_id long, f1 long, f2 long, n_bytes long, text_sha256 string" + ", body binary" * keep_text
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, schema)
+    schema = "doc_id long, text_hash long, f1 long, f2 long, n_bytes long, text_sha256 string" + ", body binary" * keep_text
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
 def differing(bodies: DataFrame, groups: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def differing(bodies: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, moduli: tuple[int, ...] = MODULI) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
+    """Per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, text_hash."""
     docs = pick(docs, "doc_id", "text")
     prints = fingerprints(docs, False, moduli).withColumn("row", F.monotonically_increasing_id()).withColumn("split", F.lit(""))
     prints = settled(prints)
@@ -131,30 +131,16 @@ def exact_duplicates(docs: DataFrame, moduli: tuple[int, ...] = MODULI) -> DataF
         if not differing(bodies, groups).isEmpty():
             raise ValueError("texts differ that have one SHA-256")
     out = prints.join(groups, list(KEY))
-    return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256")
+    return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256", "text_hash")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(table(spark, sf_dir, "documents"))
-
-
-def drop_exact(docs: DataFrame) -> DataFrame:
-    """docs (with doc_id and text) without the rows that exact_duplicates() drops."""
-    found = settled(exact_duplicates(docs))
-    keyed = docs.withColumn("_sha", F.sha2(lower_az(F.coalesce("text", F.lit(""))), 256))
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_hash"))
-    match = (F.col("_sha") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    other, again = gone.where(~F.col("_id").eqNullSafe(F.col("_keep"))), gone.where(F.col("_id").eqNullSafe(F.col("_keep"))).distinct()
-    out = keyed.join(other, match, "left_anti")
-    if not again.isEmpty():  # a row that stays is there more than once
-        one = Window.partitionBy("doc_id", "_sha").orderBy("text")
-        repeated = out.join(again, match, "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-        out = out.join(again, match, "left_anti").unionByName(repeated)
-    return out.drop("_sha")
+    return exact_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_exact(pick(docs, "doc_id", "text", "lang", "source", "n_chars"))
+    docs = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
+    return keep_rows(docs, exact_duplicates(docs))
 
 
 OP10_SQL = """
