@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, quality_rules, toxicity, url_filters, warc
+from . import bpe, exact_dedup, near_dedup, packing, quality_rules, toxicity, url_filters, warc
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_url_filters": url_filters.op3_url_filters,
     "op4_warc": warc.op4_warc,
+    "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_packing": packing.op8_packing,
