@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, near_dedup, packing, quality_rules, toxicity, url_filters, warc
+from . import bpe, exact_dedup, lm_scoring, near_dedup, packing, quality_rules, substrings, toxicity, url_filters, warc
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_url_filters": url_filters.op3_url_filters,
     "op4_warc": warc.op4_warc,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_packing": packing.op8_packing,
+    "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {
