@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, pick, settled, table
+from .common import SPACE_CLASS, SPACES, pick, settled, table, written
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -93,10 +93,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that stay, as they came; texts are gone through twice rather than kept beside the counts."""
-    from_docs = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
-    found = with_features(from_docs)
-    return judge(found, host_rates(found)).where("kept").select(*from_docs.columns)
+    """The documents that stay, as they came."""
+    docs = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
+    # Kept with their texts, so that counting is done once: a filter or sum above it would be merged into it and count again for each use.
+    found = written(with_features(docs), "features")
+    return judge(found, host_rates(found)).where("kept").select(*docs.columns)
 
 
 #: The same constants as above stand in for the rules and the prior.
