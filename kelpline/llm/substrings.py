@@ -5,7 +5,7 @@ shared run of SEED + WINDOW - 1 words has one. A seed's home is its first place
 with the smallest id that has it; every other document joins its places to that one, so a seed
 of n places gives n matches at most, and not the pairs of them. Matches of two documents are
 chained: increasing in both, each worth its words less a cost for the gaps, by a Fenwick tree
-over the prefix maxima. Chains are cut at wide gaps and aligned word by word beyond their ends;
+over the prefix maxima. Chains are cut at wide gaps and aligned, gaps allowed, beyond their ends;
 aligned stretches of a document that meet join to passages, of which those of MIN_WORDS or more
 are repeats. What stays is the home's copy.
 
@@ -162,42 +162,26 @@ def rows_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 8, KINDS)], names=NAMES)
 
 
-def _extend(a: np.ndarray, b: np.ndarray) -> int:
-    """Of two runs of words from their beginnings, how many to take at the best score."""
-    n = min(len(a), len(b))
-    if not n:
-        return 0
-    s = np.cumsum(np.where(a[:n] == b[:n], EQUAL, OTHER))
-    low = np.flatnonzero(np.maximum.accumulate(s) - s > DROP)
-    s = s[: low[0]] if len(low) else s
-    k = int(s.argmax()) if len(s) else 0
-    return k + 1 if len(s) and s[k] > 0 else 0
-
+def extended(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words of a, from its beginning, align best with b from its beginning.
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """The stretch [start, stop) of a that aligns best with b (local alignment, linear gaps)."""
-    score, best, end = np.zeros(len(b) + 1), 0.0, 0
-    start = np.zeros(len(b) + 1, dtype=np.int64)
+    Gapped alignment from one end: rows of a's words, ended when the score has dropped by DROP.
+    """
+    if not len(a) or not len(b):
+        return 0
     steps = np.arange(len(b) + 1) * OTHER
+    score, best, taken = steps, 0.0, 0
     for i in range(len(a)):
-        diagonal = np.where(b == a[i], EQUAL, OTHER) + score[:-1]
-        new, begin = np.zeros(len(b) + 1), np.full(len(b) + 1, i + 1)
-        up, from_start = score + OTHER, start
-        new[1:] = np.maximum(diagonal, 0)
-        begin[1:] = np.where(diagonal > 0, np.where(score[:-1] > 0, start[:-1], i), i + 1)
-        better = up > new
-        new, begin = np.where(better, up, new), np.where(better, from_start, begin)
-        # A gap in b carries a score along: the running maximum of the score less the steps so far.
-        run = new - steps
-        top = np.maximum.accumulate(run)
-        source = np.maximum.accumulate(np.where(run >= top, np.arange(len(b) + 1), 0))
-        carried = top + steps
-        begin = np.where(carried > new, begin[source], begin)
-        score, start = np.maximum(new, carried), begin
-        if score.max() > best:
-            j = int(score.argmax())
-            best, end, first = float(score[j]), i + 1, int(start[j])
-    return (first, end) if best > 0 else (0, 0)
+        new = score + OTHER
+        np.maximum(new[1:], score[:-1] + np.where(b == a[i], EQUAL, OTHER), out=new[1:])
+        # A gap in a carries a score along: the running maximum of the score less the steps so far.
+        score = np.maximum.accumulate(new - steps) + steps
+        top = float(score.max())
+        if top > best:
+            best, taken = top, i + 1
+        elif top < best - DROP:
+            break
+    return taken
 
 
 def passages(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -235,12 +219,8 @@ def passages(found: DataFrame, docs: DataFrame) -> DataFrame:
                 for k, (r, first, body) in enumerate(zip(zip(*[part.column(j).to_pylist() for j in range(8)]), part.column(8).to_pylist(), part.column(10).to_pylist())):
                     a, (base, b) = np.asarray(words[k].values).view(np.uint64), of(r, body)
                     s, e, hs, he = r[2] - first, r[3] - first, r[6] - base, r[7] - base
-                    if e - s == he - hs and np.all(a[s:e] == b[hs:he]):
-                        s, e = s - _extend(a[:s][::-1], b[:hs][::-1]), e + _extend(a[e:], b[he:])
-                    else:
-                        s, e = align(a, b)
-                    if e > s:
-                        out.append((r[0], r[1], first + s, first + e, r[4]))
+                    s, e = s - extended(a[:s][::-1], b[:hs][::-1]), e + extended(a[e:], b[he:])
+                    out.append((r[0], r[1], first + s, first + e, r[4]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, [*KINDS[:4], pa.int64()])], names=["doc_id", "text_hash", "start", "stop", "home"])
 
     with_own = found.join(texts, ["doc_id", "text_hash"]).select(*NAMES, "body").mapInArrow(own, REGION + ", first int, words array<long>")
@@ -269,7 +249,7 @@ def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     word = re.compile(SPACE_CLASS.replace("[", "[^") + "+")
 
     @F.udf("string")
-    def without(text: str, cuts: list) -> str:
+    def without(text, cuts):
         """The text less the stretches from a repeat's first word to its last; what is between stays as it is."""
         at = [m.span() for m in word.finditer(text or "")]
         out, done = [], 0
