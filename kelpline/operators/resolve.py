@@ -20,7 +20,8 @@ def find_nodes(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def by_alias(wanted: DataFrame, aliases: DataFrame) -> DataFrame:
     """wanted (key, spec) with path: of the aliases (alias, target, ord; a handful, from one file) the first that the specifier starts with is replaced."""
-    hits = wanted.join(F.broadcast(aliases), F.col("spec").startswith(F.col("alias"))).groupBy("key").agg(F.min(F.struct("ord", "alias", "target")).alias("a"))
+    few = F.broadcast(aliases.select(F.col("ord").alias("_ord"), "alias", "target"))
+    hits = wanted.select("key", "spec").join(few, F.col("spec").startswith(F.col("alias"))).groupBy("key").agg(F.min(F.struct("_ord", "alias", "target")).alias("a"))
     return wanted.join(hits, "key", "left").withColumn("path", F.when(F.col("a").isNotNull(), F.concat("a.target", F.expr("substring(spec, length(a.alias) + 1)")))).drop("a")
 
 
