@@ -15,6 +15,8 @@ Defined results: texts with equal words, as those without any, are in one class;
 five words the whole text is one shingle; a null text is empty; a class's id is its smallest
 doc_id (null if all are), of which one row is kept; an empty table gives an empty table; other
 columns are dropped.
+
+Joins are all sort-merge: the rounds' many small tables would each leave a broadcast on the driver.
 """
 
 from __future__ import annotations
@@ -138,28 +140,32 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> Dat
                 good = [similarity((value(s[0], k).view(np.uint64), value(s[1], k)), (value(s[2], k).view(np.uint64), value(s[3], k))) >= similar - 1e-12 for k in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    of = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"), F.col("counts").alias(f"c{x}"))
+    of = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"), F.col("counts").alias(f"c{x}")).hint("merge")
     both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sa", "ca", "sb", "cb")
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """node, comp for all nodes of links (a, b); comp is the smallest node that links lead to.
 
+    start: such a table of some of the links, from which the rest goes on.
+
     Each round joins every class to its smallest neighbour; ids are hashes, so classes at least
     halve in expectation.
     """
-    links = settled(links)
     nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    comps = settled(nodes.withColumn("comp", F.col("node")))
+    comps = nodes.withColumn("comp", F.col("node"))
+    if start is not None:
+        comps = nodes.join(start.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    comps = settled(comps)
     open_links = links
     while True:
-        named = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+        named = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")).hint("merge")
         cross = settled(open_links.join(named("a"), "a").join(named("b"), "b").where("ca <> cb").select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct())
         if cross.isEmpty():
             return comps
         hook = cross.groupBy(F.col("a").alias("comp")).agg(F.min("b").alias("to"))
-        comps = settled(comps.join(hook, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+        comps = settled(comps.join(hook.hint("merge"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
         open_links = cross
 
 
@@ -174,37 +180,37 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     one = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "bands")).alias("r"))
     spread = one.select("node", F.explode("r.bands").alias("band"))
     sizes = spread.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = written(spread.join(sizes, "band"), "buckets")
+    met = written(spread.join(sizes.hint("merge"), "band"), "buckets")
     company = met.groupBy("node").agg(F.sum("size").alias("company"))
     company = settled(company)
-    wanted = one.join(company, "node", "left_semi").select("r.doc_id", "r.text_hash")
+    wanted = one.join(company.hint("merge"), "node", "left_semi").select("r.doc_id", "r.text_hash")
     sets = written(shingle_sets(docs, wanted), "shingles")
 
-    hub = met.join(company, "node").groupBy("band").agg(F.max(F.struct("company", "node")).alias("hub"))
-    pairs = met.join(hub, "band").where("node <> hub.node").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    hub = met.join(company.hint("merge"), "node").groupBy("band").agg(F.max(F.struct("company", "node")).alias("hub"))
+    pairs = met.join(hub.hint("merge"), "band").where("node <> hub.node").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
     links = settled(verified(pairs, sets, similar))
-    done, reach = 0, STEP
+    done, reach, comps = 0, STEP, None
     while True:
-        comps = components(links) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-        left = met.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        comps = components(links, comps) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+        left = met.join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("size").alias("most")).where("lo <> hi").where(F.col("most") > done)
-        left = settled(left.join(mixed.select("band"), "band", "left_semi"))
+        left = settled(left.join(mixed.select("band").hint("merge"), "band", "left_semi"))
         if left.isEmpty():
             break
         # A text leads when its hash is under reach / size; those of earlier rounds have been.
         chance = F.pmod(F.xxhash64("node", "band"), F.lit(1 << 40)) * F.col("size") / float(1 << 40)
         leads = left.where((chance >= done) & (chance < reach)).select("band", F.col("node").alias("lead"), F.col("comp").alias("lead_comp"))
-        pairs = left.join(leads, "band").where("comp <> lead_comp").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+        pairs = left.join(leads.hint("merge"), "band").where("comp <> lead_comp").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
         links = settled(links.union(verified(pairs, sets, similar)).distinct())
         done, reach = reach, reach * STEP
 
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     marked = rows.select("doc_id", "text_hash", "node").withColumn("row", F.monotonically_increasing_id())
-    marked = marked.join(comps.join(degree, "node", "left"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    marked = marked.join(comps.join(degree.hint("merge"), "node", "left").hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     marked = settled(marked.select("doc_id", "text_hash", "comp", "row", F.coalesce("n_links", F.lit(0)).alias("n_links")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row"))
     classes = marked.groupBy("comp").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size"))
-    return marked.join(classes, "comp").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("first.row")).alias("kept"), "text_hash")
+    return marked.join(classes.hint("merge"), "comp").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("first.row")).alias("kept"), "text_hash")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
