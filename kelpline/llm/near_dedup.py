@@ -8,8 +8,11 @@ meet in a bucket and are verified: similar are those whose probability Jaccard s
 whole shingle multisets is 0.8 or more.
 
 In a bucket, the text with most company is compared with all others. Where that leaves a bucket
-in several classes, more and more texts are, drawn by hash, until it is one class or all pairs of
-its classes have been compared: no bucket is cut short, and copies of one text count once.
+in several classes, all its texts of different classes are, in blocks of texts: those whose
+sketches (one bit for each of SKETCH further registers) differ by no more than a pair at the
+threshold does, with four standard deviations to spare, are verified in the first bucket they
+share. Blocks of one class aren't compared with each other. No bucket is cut short, and copies of
+one text count once.
 
 Defined results: texts with equal words, as those without any, are in one class; of fewer than
 five words the whole text is one shingle; a null text is empty; a class's id is its smallest
@@ -35,8 +38,8 @@ from .shingles import PLACES, mix, windows, word_hashes
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
-#: By this factor the texts grow that are compared with a bucket's others, round by round.
-STEP = 16
+#: Bits of a sketch, and texts in a block.
+SKETCH, BLOCK = 2048, 128
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,18 +47,18 @@ def weighted(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(windows(words, WORDS), return_counts=True)
 
 
-def signature(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """REGISTERS shingles, each the first to arrive at its register."""
-    times = np.full(REGISTERS, np.inf)
-    out = np.zeros(REGISTERS, dtype=np.uint64)
+def signature(shingles: np.ndarray, counts: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
+    """For each register the shingle that is the first to arrive there."""
+    times = np.full(registers, np.inf)
+    out = np.zeros(registers, dtype=np.uint64)
     live, rate, last, drawn = shingles, counts.astype(float), np.zeros(len(shingles)), 0
     while len(live):
-        n = max(1, REGISTERS // len(live))
+        n = max(1, registers // len(live))
         number = np.arange(drawn + 1, drawn + n + 1, dtype=np.uint64) * GOLDEN
         bits = mix(live[:, None] + number[None, :])
         gaps = -np.log(((bits >> np.uint64(24)).astype(float) + 0.5) * 2.0**-40) / rate[:, None]
         at = last[:, None] + np.cumsum(gaps, axis=1)
-        register = (bits & np.uint64(0xFFFFFF)).astype(np.int64) % REGISTERS
+        register = (bits & np.uint64(0xFFFFFF)).astype(np.int64) % registers
         flat, reg = at.ravel(), register.ravel()
         np.minimum.at(times, reg, flat)
         first = flat == times[reg]
@@ -74,6 +77,20 @@ def bands_of(registers: np.ndarray) -> np.ndarray:
     return mix(h).view(np.int64)
 
 
+def sketch(shingles: np.ndarray, counts: np.ndarray) -> bytes:
+    """A bit of the shingle in each of SKETCH registers: two texts of similarity s differ in a share (1 - s) / 2 of them."""
+    if not len(shingles):
+        return bytes(SKETCH // 8)
+    held = signature(shingles, counts, SKETCH) + np.arange(SKETCH, dtype=np.uint64) * GOLDEN
+    return np.packbits((mix(held) & np.uint64(1)).astype(np.uint8)).tobytes()
+
+
+def may_differ(similar: float) -> float:
+    """Bits in which sketches of texts that are just similar differ at most, but for one pair in 30,000."""
+    share = (1 - similar) / 2
+    return SKETCH * share + 4 * (SKETCH * share * (1 - share)) ** 0.5
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Probability Jaccard of two weighted sets: over common i, the sum of 1 / sum_j max(x_j / x_i, y_j / y_i)."""
     if not len(a[0]) or not len(b[0]):
@@ -113,19 +130,19 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, shingles, counts of the texts whose rows wanted names (doc_id, text_hash)."""
+    """node, shingles, counts, sketch of the texts whose rows wanted names (doc_id, text_hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 words = word_hashes([x or b"" for x in batch.column(0).slice(i, 256).to_pylist()])
                 sets = [weighted(w) for w in words]
-                yield pa.RecordBatch.from_arrays([pa.array(map(_node, words), pa.binary()), pa.array([s.view(np.int64) for s, _ in sets], pa.list_(pa.int64())), pa.array([c.astype(np.int32) for _, c in sets], pa.list_(pa.int32()))], names=["node", "shingles", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(map(_node, words), pa.binary()), pa.array([s.view(np.int64) for s, _ in sets], pa.list_(pa.int64())), pa.array([c.astype(np.int32) for _, c in sets], pa.list_(pa.int32())), pa.array([sketch(*x) for x in sets], pa.binary())], names=["node", "shingles", "counts", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.xxhash64("text").alias("text_hash"))
     named = wanted.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    return rows.join(named, same, "left_semi").select(F.col("text").cast("binary")).mapInArrow(run, "node binary, shingles array<long>, counts array<int>").dropDuplicates(["node"])
+    return rows.join(named, same, "left_semi").select(F.col("text").cast("binary")).mapInArrow(run, "node binary, shingles array<long>, counts array<int>, sketch binary").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -145,6 +162,47 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> Dat
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def blocks(members: DataFrame) -> DataFrame:
+    """band, own, id, texts (a list of about BLOCK of the structs `text`) of members (band, node, comp, text).
+
+    own: the class of all texts of the block where that class fills one; else null.
+    """
+    n = members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n")).withColumn("own", F.when(F.col("n") >= BLOCK, F.col("comp")))
+    rest = n.where("own is null").groupBy("band").agg(F.sum("n").alias("n"))
+    n = n.where("own is not null").select("band", "comp", "own", "n")
+    dealt = members.join(n.hint("merge"), ["band", "comp"], "left").join(rest.withColumnRenamed("n", "n_rest").hint("merge"), "band", "left")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("n", "n_rest") / BLOCK))
+    dealt = dealt.withColumn("id", F.xxhash64("own", part))
+    return dealt.groupBy("band", "own", "id").agg(F.collect_list("text").alias("texts"))
+
+
+def alike(blocked: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Pairs (a, b: nodes) of blocks' texts that are of different classes, whose sketches allow for a link, each in the first of the buckets that both are in."""
+    most = may_differ(similar)
+
+    def opened(texts: pa.ListScalar) -> tuple[list, list, np.ndarray, list]:
+        node, comp, bits, bands = (texts.values.field(i) for i in range(4))
+        return node.to_pylist(), comp.to_pylist(), np.frombuffer(b"".join(bits.to_pylist()), dtype=np.uint64).reshape(len(bits), -1), bands.to_pylist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for band, one, other in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                node, comp, bits, bands = opened(one)
+                node_b, comp_b, bits_b, bands_b = opened(other) if other.is_valid else (node, comp, bits, bands)
+                near = np.bitwise_count(bits[:, None, :] ^ bits_b[None, :, :]).sum(axis=2, dtype=np.int32) <= most
+                if not other.is_valid:
+                    near = np.triu(near, 1)
+                for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+                    if comp[i] != comp_b[j] and min(set(bands[i]) & set(bands_b[j])) == band:
+                        out.append((min(node[i], node_b[j]), max(node[i], node_b[j])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    x, y = (blocked.select("band", F.col("own").alias(f"own_{k}"), F.col("id").alias(f"id_{k}"), F.col("texts").alias(k)) for k in "xy")
+    met = x.join(y.hint("merge"), "band").where("id_x <= id_y and (own_x is null or own_y is null or own_x <> own_y)")
+    return met.select("band", "x", F.when(F.col("id_x") < F.col("id_y"), F.col("y")).alias("y")).mapInArrow(run, "a binary, b binary")
+
+
 def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """node, comp for all nodes of links (a, b); comp is the smallest node that links lead to.
 
@@ -181,28 +239,23 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     spread = one.select("node", F.explode("r.bands").alias("band"))
     sizes = spread.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = written(spread.join(sizes.hint("merge"), "band"), "buckets")
-    company = met.groupBy("node").agg(F.sum("size").alias("company"))
-    company = settled(company)
+    company = settled(met.groupBy("node").agg(F.sum("size").alias("company"), F.collect_list("band").alias("bands")))
     wanted = one.join(company.hint("merge"), "node", "left_semi").select("r.doc_id", "r.text_hash")
     sets = written(shingle_sets(docs, wanted), "shingles")
 
-    hub = met.join(company.hint("merge"), "node").groupBy("band").agg(F.max(F.struct("company", "node")).alias("hub"))
+    hub = met.join(company.select("node", "company").hint("merge"), "node").groupBy("band").agg(F.max(F.struct("company", "node")).alias("hub"))
     pairs = met.join(hub.hint("merge"), "band").where("node <> hub.node").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
     links = settled(verified(pairs, sets, similar))
-    done, reach, comps = 0, STEP, None
-    while True:
-        comps = components(links, comps) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-        left = met.join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("size").alias("most")).where("lo <> hi").where(F.col("most") > done)
-        left = settled(left.join(mixed.select("band").hint("merge"), "band", "left_semi"))
-        if left.isEmpty():
-            break
-        # A text leads when its hash is under reach / size; those of earlier rounds have been.
-        chance = F.pmod(F.xxhash64("node", "band"), F.lit(1 << 40)) * F.col("size") / float(1 << 40)
-        leads = left.where((chance >= done) & (chance < reach)).select("band", F.col("node").alias("lead"), F.col("comp").alias("lead_comp"))
-        pairs = left.join(leads.hint("merge"), "band").where("comp <> lead_comp").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-        links = settled(links.union(verified(pairs, sets, similar)).distinct())
-        done, reach = reach, reach * STEP
+    comps = components(links)
+    left = met.select("band", "node").join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    left = left.join(mixed.select("band").hint("merge"), "band", "left_semi")
+    text = F.struct("node", "comp", "sketch", "bands").alias("text")
+    left = left.join(sets.select("node", "sketch").hint("merge"), "node").join(company.select("node", "bands").hint("merge"), "node").select("band", "node", "comp", text)
+    more = settled(verified(settled(alike(blocks(settled(left)), similar)), sets, similar))
+    if not more.isEmpty():
+        links = settled(links.union(more))
+        comps = components(links, comps)
 
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     marked = rows.select("doc_id", "text_hash", "node").withColumn("row", F.monotonically_increasing_id())
