@@ -5,9 +5,8 @@ shared run of SEED + WINDOW - 1 words has one. A seed's home is its first place
 with the smallest id that has it; every other document joins its places to that one, so a seed
 of n places gives n matches at most, and not the pairs of them. Matches of two documents are
 chained: increasing in both, each worth its words less a cost for the gaps, by a Fenwick tree
-over the prefix maxima. Chains are cut at wide gaps and aligned, gaps allowed, beyond their ends;
-aligned stretches of a document that meet join to passages, of which those of MIN_WORDS or more
-are repeats. What stays is the home's copy.
+over the prefix maxima. Chains are cut at wide gaps and aligned, gaps allowed, between their
+matches and beyond their ends; they are split where the score drops by DROP. Aligned stretches of a document that meet join to passages, of which those of MIN_WORDS or more are repeats. What stays is the home's copy.
 
 Defined results: documents are known by doc_id and text (rows with equal ones are one document,
 and all of them lose its repeats; texts differ under one id without harm); a null doc_id comes
@@ -32,12 +31,14 @@ SEED, WINDOW, MIN_WORDS = 6, 10, 50
 GAP_COST = 0.1
 #: Chains are cut where matches are further apart than this, and those that span less are no start of a passage.
 MAX_GAP, MIN_SPAN = 60, 12
-#: Words looked at beyond a chain's ends; scores of a word that is equal and of one that isn't or is missing; the drop that ends an extension.
+#: Words looked at beyond a chain's ends; scores of a word that is equal and of one that isn't or is missing; the drop that ends an extension and splits a chain.
 BEYOND, EQUAL, OTHER, DROP = 40, 1.0, -1.5, 8.0
 LAST = (1 << 63) - 1
-REGION = "doc_id long, text_hash long, start int, stop int, home long, home_hash long, home_start int, home_stop int"
+REGION = "doc_id long, text_hash long, start int, stop int, home long, home_hash long, home_start int, home_stop int, runs array<int>"
 NAMES = [x.split()[0] for x in REGION.split(", ")]
-KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32()] * 2
+KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32()] * 2 + [pa.list_(pa.int32())]
+#: Steps of an alignment (equal words, different words, a word missing in b or in a): their scores and the words of a and b that they take.
+STEPS = np.array([[EQUAL, 1, 1], [OTHER, 1, 1], [OTHER, 1, 0], [OTHER, 0, 1]])
 
 
 def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,19 +121,39 @@ def chain(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
     return out
 
 
+def straight(x: np.ndarray) -> list[range]:
+    """chain() of increasing matches on one diagonal, where the best predecessor is always the one before."""
+    out, s = [], 0
+    while s < len(x):
+        # Best score + GAP_COST * (x + y), as if no gap from s on cost more than all before it is worth.
+        place = 2 * GAP_COST * (x[s:] - x[s])
+        total = SEED + np.concatenate([[0], np.cumsum(np.minimum(SEED, np.diff(x[s:])))])
+        ends = np.flatnonzero(total[:-1] - place[1:] <= 0)
+        n = int(ends[0]) + 1 if len(ends) else len(total)
+        score = (total - place)[:n]
+        after = np.append(np.maximum.accumulate(score[::-1])[::-1][1:], -np.inf)
+        cuts = [0, *(np.flatnonzero(score >= after) + 1).tolist()]
+        out += [range(s + i, s + j) for i, j in zip(cuts, cuts[1:])]
+        s += n
+    return out
+
+
 def regions(found: DataFrame) -> DataFrame:
-    """Chains of matches() cut at wide gaps: REGION, in words."""
+    """Chains of matches() cut at wide gaps: REGION, in words; runs has start, stop and home's start of each run of matches on a diagonal."""
     keys = ["doc_id", "text_hash", "home", "home_hash"]
     dealt = found.repartition(*keys).sortWithinPartitions(*keys, "at").select(*keys, "at", "home_at")
 
     def cut(key: tuple, x: np.ndarray, y: np.ndarray) -> Iterator[tuple]:
         one = np.all(np.diff(y - x) == 0) and np.all(np.diff(x) > 0)
-        for c in [list(range(len(x)))] if one else chain(x, y):
-            a, b = x[c], y[c]
+        for c in straight(x) if one else chain(x, y):
+            a, b = (x[c.start : c.stop], y[c.start : c.stop]) if one else (x[c], y[c])
             ends = np.flatnonzero((np.diff(a) > MAX_GAP) | (np.diff(b) > MAX_GAP)) + 1
             for s, e in zip([0, *ends], [*ends, len(c)]):
                 if a[e - 1] + SEED - a[s] >= MIN_SPAN:
-                    yield (key[0], key[1], int(a[s]), int(a[e - 1]) + SEED, key[2], key[3], int(b[s]), int(b[e - 1]) + SEED)
+                    turns = np.flatnonzero(np.diff((b - a)[s:e])) + 1 + s
+                    firsts, lasts = np.array([s, *turns]), np.array([*turns, e]) - 1
+                    runs = np.column_stack([a[firsts], a[lasts] + SEED, b[firsts]]).ravel()
+                    yield (key[0], key[1], int(a[s]), int(a[e - 1]) + SEED, key[2], key[3], int(b[s]), int(b[e - 1]) + SEED, runs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A group is two documents: it has no more matches than one of them has seeds.
@@ -159,7 +180,7 @@ def regions(found: DataFrame) -> DataFrame:
 
 
 def rows_of(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 8, KINDS)], names=NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * len(KINDS), KINDS)], names=NAMES)
 
 
 def extended(a: np.ndarray, b: np.ndarray) -> int:
@@ -184,12 +205,85 @@ def extended(a: np.ndarray, b: np.ndarray) -> int:
     return taken
 
 
+def between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The best alignment of all of a with all of b, as STEPS."""
+    n = min(len(a), len(b))
+    same = np.flatnonzero(a[:n] != b[:n])
+    front = int(same[0]) if len(same) else n
+    same = np.flatnonzero(a[len(a) - n + front :][::-1] != b[len(b) - n + front :][::-1])
+    back = int(same[0]) if len(same) else n - front
+    a, b = a[front : len(a) - back], b[front : len(b) - back]
+    n = min(len(a), len(b))
+    if not np.isin(a, b).any():
+        path = [1] * n + [2] * (len(a) - n) + [3] * (len(b) - n)
+    else:
+        steps = np.arange(len(b) + 1) * OTHER
+        score = np.empty((len(a) + 1, len(b) + 1))
+        score[0] = steps
+        for i in range(len(a)):
+            new = score[i] + OTHER
+            np.maximum(new[1:], score[i, :-1] + np.where(b == a[i], EQUAL, OTHER), out=new[1:])
+            score[i + 1] = np.maximum.accumulate(new - steps) + steps
+        of, path, i, j = score.tolist(), [], len(a), len(b)
+        while i or j:
+            equal = bool(i and j and a[i - 1] == b[j - 1])
+            if i and j and of[i][j] == of[i - 1][j - 1] + (EQUAL if equal else OTHER):
+                i, j = i - 1, j - 1
+                path.append(0 if equal else 1)
+            elif i and of[i][j] == of[i - 1][j] + OTHER:
+                i -= 1
+                path.append(2)
+            else:
+                j -= 1
+                path.append(3)
+        path.reverse()
+    return np.concatenate([np.zeros(front, np.int8), np.array(path, np.int8), np.zeros(back, np.int8)])
+
+
+def parts(a: np.ndarray, b: np.ndarray, runs: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """A region's runs of matches and what is between, aligned and split where the score drops by DROP: stretches of a and of b."""
+    blocks = []
+    for x, stop, y in runs.tolist():
+        same = a[x:stop] == b[y : y + stop - x]
+        edges = np.flatnonzero(np.diff(same.astype(np.int8), prepend=0, append=0))
+        blocks += [(x + s, x + e, y + s) for s, e in edges.reshape(-1, 2).tolist() if e - s >= SEED]
+    if not blocks:
+        return []
+    x0, y0 = i, j = blocks[0][0], blocks[0][2]
+    path = []
+    for x, stop, y in blocks:
+        over = max(i - x, j - y, 0)  # of matches that overlap on different diagonals the first is kept
+        x, y = x + over, y + over
+        if x < stop:
+            if x > i or y > j:
+                path.append(between(a[i:x], b[j:y]))
+            path.append(np.zeros(stop - x, np.int8))
+            i, j = stop, y + stop - x
+    score, xs, ys = np.concatenate([np.zeros((1, 3)), np.cumsum(STEPS[np.concatenate(path)], axis=0)]).T
+    bounds = []
+    if (np.maximum.accumulate(score) - score).max() <= DROP:
+        bounds.append((0, len(score) - 1))
+    else:
+        start, top, risen, of = 0, 0, True, score.tolist()
+        for k in range(1, len(of)):
+            if not risen and of[k] <= of[start]:
+                start = top = k
+            elif of[k] > of[top]:
+                top = k
+                risen = risen or of[k] - of[start] >= SEED * EQUAL
+            elif of[top] - of[k] > DROP:
+                bounds.append((start, top))
+                start, top, risen = k, k, False
+        bounds.append((start, len(of) - 1))
+    return [(x0 + int(xs[s]), x0 + int(xs[e]), y0 + int(ys[s]), y0 + int(ys[e])) for s, e in bounds]
+
+
 def passages(found: DataFrame, docs: DataFrame) -> DataFrame:
     """regions() aligned: doc_id, text_hash, start, stop (words of the document), home."""
     texts = numbered(docs)
     home = texts.withColumnsRenamed({"doc_id": "home", "text_hash": "home_hash", "body": "home_body"})
 
-    def slices(side: int, last: int):
+    def slices(side: int):
         """Words of the row's text around its region, and which word comes first."""
         memo: dict = {}
 
@@ -203,24 +297,25 @@ def passages(found: DataFrame, docs: DataFrame) -> DataFrame:
         return of
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = slices(0, 8)
+        of = slices(0)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                got = [of(r, b) for r, b in zip(zip(*[part.column(j).to_pylist() for j in range(8)]), part.column(8).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*[part.column(j) for j in range(8)], pa.array([a for a, _ in got], pa.int32()), pa.array([w.view(np.int64) for _, w in got], pa.list_(pa.int64()))], names=[*NAMES, "first", "words"])
+                got = [of(r, b) for r, b in zip(zip(*[part.column(j).to_pylist() for j in range(8)]), part.column(9).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*[part.column(j) for j in range(9)], pa.array([a for a, _ in got], pa.int32()), pa.array([w.view(np.int64) for _, w in got], pa.list_(pa.int64()))], names=[*NAMES, "first", "words"])
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = slices(4, 10)
+        of = slices(4)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part, out = batch.slice(i, 256), []
-                words = part.column(9)
-                for k, (r, first, body) in enumerate(zip(zip(*[part.column(j).to_pylist() for j in range(8)]), part.column(8).to_pylist(), part.column(10).to_pylist())):
+                words = part.column(10)
+                for k, (r, first, body) in enumerate(zip(zip(*[part.column(j).to_pylist() for j in range(9)]), part.column(9).to_pylist(), part.column(11).to_pylist())):
                     a, (base, b) = np.asarray(words[k].values).view(np.uint64), of(r, body)
-                    s, e, hs, he = r[2] - first, r[3] - first, r[6] - base, r[7] - base
-                    s, e = s - extended(a[:s][::-1], b[:hs][::-1]), e + extended(a[e:], b[he:])
-                    out.append((r[0], r[1], first + s, first + e, r[4]))
+                    for s, e, hs, he in parts(a, b, np.reshape(r[8], (-1, 3)) - [first, first, base]):
+                        s, e = s - extended(a[max(0, s - BEYOND) : s][::-1], b[max(0, hs - BEYOND) : hs][::-1]), e + extended(a[e : e + BEYOND], b[he : he + BEYOND])
+                        if e - s >= MIN_SPAN:
+                            out.append((r[0], r[1], first + s, first + e, r[4]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, [*KINDS[:4], pa.int64()])], names=["doc_id", "text_hash", "start", "stop", "home"])
 
     with_own = found.join(texts, ["doc_id", "text_hash"]).select(*NAMES, "body").mapInArrow(own, REGION + ", first int, words array<long>")

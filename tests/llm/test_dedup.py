@@ -114,3 +114,44 @@ def test_chain_is_increasing():
     x, y = rng.integers(0, 300, 200), rng.integers(0, 300, 200)
     best = S.chain(x, y)[0]
     assert (np.diff(x[best]) > 0).all() and (np.diff(y[best]) > 0).all()
+
+
+def test_templates_share_no_passage(spark):
+    rng = random.Random(11)
+    head, foot = words(rng, 15), words(rng, 15)
+    filled = lambda: head + [f"x{rng.random()}" for _ in range(30)] + foot + [f"x{rng.random()}" for _ in range(20)]
+    # Two lines in common 30 different words apart; then a passage of 60 with one word changed, which stays.
+    shared = words(rng, 60)
+    changed = shared[:30] + ["other"] + shared[31:]
+    docs = [(1, " ".join(filled())), (2, " ".join(filled())), (3, " ".join(filled() + shared)), (4, " ".join(filled() + changed))]
+    texts = [np.arange(6).tolist() + [100 + d * 100 + i for i in range(49)] + np.arange(6, 12).tolist() for d in range(2)]
+    a, b = (np.array(x) for x in texts)
+    assert S.parts(a, b, np.array([[0, 61, 0]])) == [(0, 6, 0, 6), (55, 61, 55, 61)]
+    got = {r.doc_id: (r.start, r.stop) for r in S.repeats(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {4: (80, 140)}
+
+
+def best_score(a, b):
+    row = [S.OTHER * j for j in range(len(b) + 1)]
+    for i, x in enumerate(a):
+        new = [S.OTHER * (i + 1)]
+        for j, y in enumerate(b):
+            new.append(max(row[j] + (S.EQUAL if x == y else S.OTHER), row[j + 1] + S.OTHER, new[j] + S.OTHER))
+        row = new
+    return row[-1]
+
+
+def test_between_is_the_best_alignment():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = (rng.integers(0, 9, rng.integers(0, 14)) for _ in range(2))
+        steps = S.STEPS[S.between(a, b)]
+        assert steps[:, 0].sum() == best_score(a.tolist(), b.tolist())
+        assert (steps[:, 1].sum(), steps[:, 2].sum()) == (len(a), len(b))
+
+
+def test_straight_is_chain():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        x = np.cumsum(rng.choice([1, 5, 9, 25, 40, 58, 90], rng.integers(1, 30)))
+        assert sorted(list(c) for c in S.straight(x)) == sorted(S.chain(x, x + 7))
