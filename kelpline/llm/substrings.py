@@ -3,7 +3,9 @@
 Seeds are runs of SEED words whose hash is the smallest of WINDOW neighbouring runs, so every
 shared run of SEED + WINDOW - 1 words has one. A seed's home is its first place in the document
 with the smallest id that has it; every other document joins its places to that one, so a seed
-of n places gives n matches at most, and not the pairs of them. Matches of two documents are
+of n places gives n matches at most, and not the pairs of them. As the home of a frequent seed
+need not have what is around it, every GROUP neighbouring seeds at their distances have a home
+too: each MIN_WORDS shared words have such a group. Matches of two documents are
 chained: increasing in both, each worth its words less a cost for the gaps, by a Fenwick tree
 over the prefix maxima. Chains are cut at wide gaps and aligned, gaps allowed, between their
 matches and beyond their ends; they are split where the score drops by DROP. Aligned stretches of a document that meet join to passages, of which those of MIN_WORDS or more are repeats. What stays is the home's copy.
@@ -28,6 +30,8 @@ from .common import SPACE_CLASS, pick, settled, table, written
 from .shingles import windows, word_hashes
 
 SEED, WINDOW, MIN_WORDS = 6, 10, 50
+#: Of MIN_WORDS equal words the MIN_WORDS - SEED - WINDOW + 2 windows have so many different seeds at least.
+GROUP = -(-(MIN_WORDS - SEED - WINDOW + 2) // WINDOW)
 GAP_COST = 0.1
 #: Chains are cut where matches are further apart than this, and those that span less are no start of a passage.
 MAX_GAP, MIN_SPAN = 60, 12
@@ -52,31 +56,47 @@ def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[at].view(np.int64), at.astype(np.int32)
 
 
+def groups_of(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and places of GROUP neighbouring seeds, and the distances of the others from the first, a byte each."""
+    n = max(0, len(h) - GROUP + 1)
+    hashes, more = np.zeros(n, np.uint64), np.zeros(n, np.int32)
+    for i in range(GROUP):
+        hashes = (hashes ^ h[i : i + n].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> np.uint64(29)
+        if i:
+            more |= (at[i : i + n] - at[:n]) << (8 * i - 8)
+    hashes = (hashes ^ more.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (hashes ^ (hashes >> np.uint64(32))).view(np.int64), at[:n], more
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     return pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("body"))
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    """seed, doc_id, text_hash, at."""
+    """seed, doc_id, text_hash, at, more: seeds (more is 0) and groups of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                found = [seeds_of(w) for w in word_hashes([x or b"" for x in part.column(2).to_pylist()])]
-                n = [len(h) for h, _ in found]
+                found = []
+                for w in word_hashes([x or b"" for x in part.column(2).to_pylist()]):
+                    h, at = seeds_of(w)
+                    found.append([np.concatenate(c) for c in zip((h, at, np.zeros(len(h), np.int32)), groups_of(h, at))])
+                n = [len(h) for h, _, _ in found]
                 ids = [np.repeat(part.column(j).to_numpy(), n) for j in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in found])), *map(pa.array, ids), pa.array(np.concatenate([a for _, a in found]))], names=["seed", "doc_id", "text_hash", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found])), *map(pa.array, ids), *[pa.array(np.concatenate([f[j] for f in found])) for j in (1, 2)]], names=["seed", "doc_id", "text_hash", "at", "more"])
 
-    return numbered(docs).mapInArrow(run, "seed long, doc_id long, text_hash long, at int")
+    return numbered(docs).mapInArrow(run, "seed long, doc_id long, text_hash long, at int, more int")
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """doc_id, text_hash, at, home, home_hash, home_at: every place of a seed that several documents have, but its home's."""
+    """doc_id, text_hash, at, home, home_hash, home_at, more: every place of a seed or group that several documents have, but its home's."""
     shared = found.groupBy("seed").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("last"), F.min("text_hash").alias("h0"), F.max("text_hash").alias("h1")).where("home < last or h0 <> h1").select("seed", "home")
     placed = written(found.join(shared, "seed"), "seeds")
     first = placed.where("doc_id = home").groupBy("seed").agg(F.min(F.struct("text_hash", "at")).alias("f")).select("seed", F.col("f.text_hash").alias("home_hash"), F.col("f.at").alias("home_at"))
-    return placed.join(first, "seed").where("doc_id <> home or text_hash <> home_hash").select("doc_id", "text_hash", "at", "home", "home_hash", "home_at")
+    return placed.join(first, "seed").where("doc_id <> home or text_hash <> home_hash").select("doc_id", "text_hash", "at", "home", "home_hash", "home_at", "more")
 
 
 def chain(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
@@ -141,9 +161,13 @@ def straight(x: np.ndarray) -> list[range]:
 def regions(found: DataFrame) -> DataFrame:
     """Chains of matches() cut at wide gaps: REGION, in words; runs has start, stop and home's start of each run of matches on a diagonal."""
     keys = ["doc_id", "text_hash", "home", "home_hash"]
-    dealt = found.repartition(*keys).sortWithinPartitions(*keys, "at").select(*keys, "at", "home_at")
+    dealt = found.repartition(*keys).sortWithinPartitions(*keys, "at").select(*keys, "at", "home_at", "more")
 
-    def cut(key: tuple, x: np.ndarray, y: np.ndarray) -> Iterator[tuple]:
+    def cut(key: tuple, x: np.ndarray, y: np.ndarray, more: np.ndarray) -> Iterator[tuple]:
+        whole = more > 0
+        steps = [0 * more[whole], *[more[whole] >> 8 * i & 255 for i in range(GROUP - 1)]]
+        x, y = (np.concatenate([v[~whole], *[v[whole] + s for s in steps]]).astype(np.int64) for v in (x, y))
+        x, y = np.divmod(np.unique(x << 32 | y), 1 << 32)
         one = np.all(np.diff(y - x) == 0) and np.all(np.diff(x) > 0)
         for c in straight(x) if one else chain(x, y):
             a, b = (x[c.start : c.stop], y[c.start : c.stop]) if one else (x[c], y[c])
@@ -156,10 +180,10 @@ def regions(found: DataFrame) -> DataFrame:
                     yield (key[0], key[1], int(a[s]), int(a[e - 1]) + SEED, key[2], key[3], int(b[s]), int(b[e - 1]) + SEED, runs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A group is two documents: it has no more matches than one of them has seeds.
-        key, xs, ys = None, [], []
+        # Rows of a key are of two documents: no more than one of them has seeds and groups.
+        key, mine_at = None, []
         for batch in batches:
-            cols = [batch.column(j).to_numpy() for j in range(6)]
+            cols = [batch.column(j).to_numpy() for j in range(7)]
             change = np.flatnonzero(np.any([np.diff(c) != 0 for c in cols[:4]], axis=0)) + 1
             out = []
             for s, e in zip([0, *change], [*change, batch.num_rows]):
@@ -168,13 +192,12 @@ def regions(found: DataFrame) -> DataFrame:
                 mine = tuple(int(c[s]) for c in cols[:4])
                 if mine != key:
                     if key:
-                        out += cut(key, np.concatenate(xs), np.concatenate(ys))
-                    key, xs, ys = mine, [], []
-                xs.append(cols[4][s:e])
-                ys.append(cols[5][s:e])
+                        out += cut(key, *map(np.concatenate, zip(*mine_at)))
+                    key, mine_at = mine, []
+                mine_at.append([c[s:e] for c in cols[4:]])
             yield rows_of(out)
         if key:
-            yield rows_of(list(cut(key, np.concatenate(xs), np.concatenate(ys))))
+            yield rows_of(list(cut(key, *map(np.concatenate, zip(*mine_at)))))
 
     return dealt.mapInArrow(run, REGION)
 

@@ -155,3 +155,21 @@ def test_straight_is_chain():
     for _ in range(200):
         x = np.cumsum(rng.choice([1, 5, 9, 25, 40, 58, 90], rng.integers(1, 30)))
         assert sorted(list(c) for c in S.straight(x)) == sorted(S.chain(x, x + 7))
+
+
+def test_passage_of_seeds_that_others_have(spark):
+    rng = random.Random(13)
+    shared = words(rng, 90)
+    # Every 6 words of the passage are in documents with smaller ids too, 11 words together at most.
+    small = [" ".join(words(rng, 20, 10**9) + shared[i : i + 11] + words(rng, 20, 10**9)) for _ in range(25) for i in range(0, 84, 6)]
+    docs = [*enumerate(small), (5000, " ".join(words(rng, 60, 10**9) + shared + words(rng, 60, 10**9))), (5001, " ".join(words(rng, 40, 10**9) + shared + words(rng, 70, 10**9)))]
+    got = {r.doc_id: r for r in S.repeats(spark.createDataFrame(docs, DOCS)).collect()}
+    # By brute force no other two documents share 12 words.
+    grams = {}
+    for d, t in docs:
+        w = t.split()
+        for i in range(len(w) - 11):
+            grams.setdefault(tuple(w[i : i + 12]), set()).add(d)
+    assert {frozenset(v) for v in grams.values() if len(v) > 1} == {frozenset((5000, 5001))}
+    assert set(got) == {5001} and got[5001].home_id == 5000
+    assert abs(got[5001].start - 40) <= 1 and abs(got[5001].stop - 130) <= 1
