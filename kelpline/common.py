@@ -12,9 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Cuts lineage: runs df once and keeps its rows in the cluster's shared folder (spark.checkpoint.dir), or where that is unset, as in tests, in a new local one."""
+    """Cuts lineage: runs df once and keeps its rows in the cluster's shared folder (spark.checkpoint.dir), or where that is unset and Spark runs in one process, as in tests, in a new local one."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kelpline-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="kelpline-"))
     return df.checkpoint(eager=True)
