@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,11 +42,14 @@ def lower_az(col):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; where that is unset, as in tests, a new local one."""
+    """The cluster's shared folder, spark.checkpoint.dir; where that is unset and Spark runs in one process, as in tests, a new local one."""
     sc = spark.sparkContext
     has = sc._jsc.sc().getCheckpointDir()
     if has.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kelpline-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="kelpline-"))
         has = sc._jsc.sc().getCheckpointDir()
     return has.get()
 
@@ -60,11 +65,37 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Shuffle files go at the end of a write: its table is all that is read later.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """As settled(), as a Parquet table: columns can be read apart, and it takes less room."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path, compression="zstd")
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{folder}/{name}" if folder else new_folder(spark, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression="zstd")
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives written() into a folder that goes at the end of the block; nothing lazy may read it then."""
+    folder = new_folder(spark, "scratch")
+    try:
+        yield lambda df, name: written(df, name, folder)
+    finally:
+        remove(spark, folder)
 
 
 def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:

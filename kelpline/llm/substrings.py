@@ -3,12 +3,22 @@
 Seeds are runs of SEED words whose hash is the smallest of WINDOW neighbouring runs, so every
 shared run of SEED + WINDOW - 1 words has one. A seed's home is its first place in the document
 with the smallest id that has it; every other document joins its places to that one, so a seed
-of n places gives n matches at most, and not the pairs of them. As the home of a frequent seed
-need not have what is around it, every GROUP neighbouring seeds at their distances have a home
-too: each MIN_WORDS shared words have such a group. Matches of two documents are
+of n places gives n matches at most, and not the pairs of them. Matches of two documents are
 chained: increasing in both, each worth its words less a cost for the gaps, by a Fenwick tree
-over the prefix maxima. Chains are cut at wide gaps and aligned, gaps allowed, between their
-matches and beyond their ends; they are split where the score drops by DROP. Aligned stretches of a document that meet join to passages, of which those of MIN_WORDS or more are repeats. What stays is the home's copy.
+over the prefix maxima. Chains are cut at wide gaps.
+
+The home of a frequent seed need not have what is around it. So where a document's shared seeds
+are in no chain that spans half of MIN_WORDS, every GROUP neighbouring ones at their distances
+get a home of their own and are matched and chained in a second turn; each MIN_WORDS shared
+words have such a group.
+
+Chains are aligned, gaps allowed, between their matches and beyond their ends, and split where
+the score drops by DROP. Texts meet the ranges of words that chains ask for, each range once, and
+ranges meet in pairs; no whole text goes to a chain. Aligned stretches of a document that meet
+join to passages, of which those of MIN_WORDS or more are repeats. What stays is the home's copy.
+
+A frequent seed's places are joined to its one home by a plain join of two tables, which adaptive
+execution splits where it is skewed; so are the chains that ask for one range of a home.
 
 Defined results: documents are known by doc_id and text (rows with equal ones are one document,
 and all of them lose its repeats; texts differ under one id without harm); a null doc_id comes
@@ -19,15 +29,16 @@ tables give empty results; other columns are dropped.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, pick, settled, table, written
-from .shingles import windows, word_hashes
+from .common import SPACE_CLASS, pick, scratch, table, written
+from .shingles import mix, windows, word_hashes
 
 SEED, WINDOW, MIN_WORDS = 6, 10, 50
 #: Of MIN_WORDS equal words the MIN_WORDS - SEED - WINDOW + 2 windows have so many different seeds at least.
@@ -38,9 +49,12 @@ MAX_GAP, MIN_SPAN = 60, 12
 #: Words looked at beyond a chain's ends; scores of a word that is equal and of one that isn't or is missing; the drop that ends an extension and splits a chain.
 BEYOND, EQUAL, OTHER, DROP = 40, 1.0, -1.5, 8.0
 LAST = (1 << 63) - 1
+#: Ranges of words begin and end at multiples of this, so that chains of one passage ask for one range.
+RANGE = 64
 REGION = "doc_id long, text_hash long, start int, stop int, home long, home_hash long, home_start int, home_stop int, runs array<int>"
 NAMES = [x.split()[0] for x in REGION.split(", ")]
 KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32()] * 2 + [pa.list_(pa.int32())]
+FOUND = "seed long, doc_id long, tail long, more int, again boolean"
 #: Steps of an alignment (equal words, different words, a word missing in b or in a): their scores and the words of a and b that they take.
 STEPS = np.array([[EQUAL, 1, 1], [OTHER, 1, 1], [OTHER, 1, 0], [OTHER, 0, 1]])
 
@@ -56,47 +70,49 @@ def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[at].view(np.int64), at.astype(np.int32)
 
 
-def groups_of(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and places of GROUP neighbouring seeds, and the distances of the others from the first, a byte each."""
-    n = max(0, len(h) - GROUP + 1)
-    hashes, more = np.zeros(n, np.uint64), np.zeros(n, np.int32)
-    for i in range(GROUP):
-        hashes = (hashes ^ h[i : i + n].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        hashes ^= hashes >> np.uint64(29)
-        if i:
-            more |= (at[i : i + n] - at[:n]) << (8 * i - 8)
-    hashes = (hashes ^ more.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (hashes ^ (hashes >> np.uint64(32))).view(np.int64), at[:n], more
+def mixed(h: np.ndarray, more: np.ndarray) -> np.ndarray:
+    return mix(h * np.uint64(0x9E3779B97F4A7C15) ^ more.astype(np.uint64))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    return pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("body"))
+    """doc_id, text_hash (31 bits, which tell texts under one id apart), body; a row for each document."""
+    docs = pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
+    out = docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 33).alias("text_hash"), F.col("text").cast("binary").alias("body"))
+    # A look at the ids alone tells whether rows can repeat.
+    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return out.dropDuplicates(["doc_id", "text_hash"]) if repeated else out
 
 
-def seeds(docs: DataFrame) -> DataFrame:
-    """seed, doc_id, text_hash, at, more: seeds (more is 0) and groups of them."""
+def first_places(seed: np.ndarray) -> np.ndarray:
+    """Whether a value is there before, by place."""
+    again = np.ones(len(seed), bool)
+    again[np.unique(seed, return_index=True)[1]] = False
+    return again
+
+
+def seeds(texts: DataFrame) -> DataFrame:
+    """FOUND of numbered() rows: tail is text_hash << 32 | place, again says that the document has the seed before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                found = []
-                for w in word_hashes([x or b"" for x in part.column(2).to_pylist()]):
-                    h, at = seeds_of(w)
-                    found.append([np.concatenate(c) for c in zip((h, at, np.zeros(len(h), np.int32)), groups_of(h, at))])
-                n = [len(h) for h, _, _ in found]
-                ids = [np.repeat(part.column(j).to_numpy(), n) for j in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found])), *map(pa.array, ids), *[pa.array(np.concatenate([f[j] for f in found])) for j in (1, 2)]], names=["seed", "doc_id", "text_hash", "at", "more"])
+                found = [seeds_of(w) for w in word_hashes([x or b"" for x in part.column(2).to_pylist()])]
+                n = [len(h) for h, _ in found]
+                doc, text = (np.repeat(part.column(j).to_numpy(), n) for j in (0, 1))
+                cols = [np.concatenate([h for h, _ in found]), doc, text << 32 | np.concatenate([at for _, at in found]), np.zeros(sum(n), np.int32), np.concatenate([first_places(h) for h, _ in found])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["seed", "doc_id", "tail", "more", "again"])
 
-    return numbered(docs).mapInArrow(run, "seed long, doc_id long, text_hash long, at int, more int")
+    return texts.mapInArrow(run, FOUND)
 
 
-def matches(found: DataFrame) -> DataFrame:
-    """doc_id, text_hash, at, home, home_hash, home_at, more: every place of a seed or group that several documents have, but its home's."""
-    shared = found.groupBy("seed").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("last"), F.min("text_hash").alias("h0"), F.max("text_hash").alias("h1")).where("home < last or h0 <> h1").select("seed", "home")
-    placed = written(found.join(shared, "seed"), "seeds")
-    first = placed.where("doc_id = home").groupBy("seed").agg(F.min(F.struct("text_hash", "at")).alias("f")).select("seed", F.col("f.text_hash").alias("home_hash"), F.col("f.at").alias("home_at"))
-    return placed.join(first, "seed").where("doc_id <> home or text_hash <> home_hash").select("doc_id", "text_hash", "at", "home", "home_hash", "home_at", "more")
+def placed(found: DataFrame, name: str, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """doc_id, text_hash, at, home, home_hash, home_at, more: every place of a seed that several documents have, its home's too."""
+    of = lambda x: F.shiftright(x, 32)
+    at = lambda x: F.col(x).bitwiseAND(0xFFFFFFFF).cast("int")
+    first = found.where("not again").groupBy("seed").agg(F.min_by("tail", "doc_id").alias("home_tail"), F.min("doc_id").alias("home"), F.max("doc_id").alias("last"), F.min("tail").alias("t0"), F.max("tail").alias("t1"))
+    shared = keep(first.where((F.col("home") < F.col("last")) | (of("t0") != of("t1"))).select("seed", "home", "home_tail"), name)
+    return found.join(shared, "seed").select("doc_id", of("tail").alias("text_hash"), at("tail").alias("at"), "home", of("home_tail").alias("home_hash"), at("home_tail").alias("home_at"), "more")
 
 
 def chain(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
@@ -158,48 +174,116 @@ def straight(x: np.ndarray) -> list[range]:
     return out
 
 
-def regions(found: DataFrame) -> DataFrame:
-    """Chains of matches() cut at wide gaps: REGION, in words; runs has start, stop and home's start of each run of matches on a diagonal."""
-    keys = ["doc_id", "text_hash", "home", "home_hash"]
-    dealt = found.repartition(*keys).sortWithinPartitions(*keys, "at").select(*keys, "at", "home_at", "more")
-
-    def cut(key: tuple, x: np.ndarray, y: np.ndarray, more: np.ndarray) -> Iterator[tuple]:
-        whole = more > 0
-        steps = [0 * more[whole], *[more[whole] >> 8 * i & 255 for i in range(GROUP - 1)]]
-        x, y = (np.concatenate([v[~whole], *[v[whole] + s for s in steps]]).astype(np.int64) for v in (x, y))
-        x, y = np.divmod(np.unique(x << 32 | y), 1 << 32)
-        one = np.all(np.diff(y - x) == 0) and np.all(np.diff(x) > 0)
-        for c in straight(x) if one else chain(x, y):
-            a, b = (x[c.start : c.stop], y[c.start : c.stop]) if one else (x[c], y[c])
-            ends = np.flatnonzero((np.diff(a) > MAX_GAP) | (np.diff(b) > MAX_GAP)) + 1
-            for s, e in zip([0, *ends], [*ends, len(c)]):
-                if a[e - 1] + SEED - a[s] >= MIN_SPAN:
-                    turns = np.flatnonzero(np.diff((b - a)[s:e])) + 1 + s
-                    firsts, lasts = np.array([s, *turns]), np.array([*turns, e]) - 1
-                    runs = np.column_stack([a[firsts], a[lasts] + SEED, b[firsts]]).ravel()
-                    yield (key[0], key[1], int(a[s]), int(a[e - 1]) + SEED, key[2], key[3], int(b[s]), int(b[e - 1]) + SEED, runs)
+def cut(key: tuple, x: np.ndarray, y: np.ndarray, more: np.ndarray) -> Iterator[tuple]:
+    """The chains of two documents' matches, cut at wide gaps, as rows of REGION."""
+    whole = more > 0
+    steps = [0 * more[whole], *[more[whole] >> 8 * i & 255 for i in range(GROUP - 1)]]
+    x, y = (np.concatenate([v[~whole], *[v[whole] + s for s in steps]]).astype(np.int64) for v in (x, y))
+    x, y = np.divmod(np.unique(x << 32 | y), 1 << 32)
+    one = np.all(np.diff(y - x) == 0) and np.all(np.diff(x) > 0)
+    for c in straight(x) if one else chain(x, y):
+        a, b = (x[c.start : c.stop], y[c.start : c.stop]) if one else (x[c], y[c])
+        ends = np.flatnonzero((np.diff(a) > MAX_GAP) | (np.diff(b) > MAX_GAP)) + 1
+        for s, e in zip([0, *ends], [*ends, len(c)]):
+            if a[e - 1] + SEED - a[s] >= MIN_SPAN:
+                turns = np.flatnonzero(np.diff((b - a)[s:e])) + 1 + s
+                firsts, lasts = np.array([s, *turns]), np.array([*turns, e]) - 1
+                runs = np.column_stack([a[firsts], a[lasts] + SEED, b[firsts]]).ravel()
+                yield (key[0], key[1], int(a[s]), int(a[e - 1]) + SEED, key[2], key[3], int(b[s]), int(b[e - 1]) + SEED, runs)
+
+
+def chained(cols: list[np.ndarray]) -> list[tuple]:
+    """REGION rows of whole documents' rows of placed(), in order of document, home and place."""
+    doc, text, home, home_text, at, home_at, more = cols
+    new = np.any([np.diff(c) != 0 for c in cols[:4]], axis=0)
+    starts = np.append(0, np.flatnonzero(new) + 1)
+    stops = np.append(starts[1:], len(doc))
+    reach = SEED + (more >> 8 * (GROUP - 2) & 255)
+    spans = [np.maximum.reduceat(c + reach, starts) - np.minimum.reduceat(c, starts) for c in (at, home_at)]
+    apart = (doc[starts] != home[starts]) | (text[starts] != home_text[starts])
+    out: list[tuple] = []
+    # Others make no region: their matches span too little.
+    for k in np.flatnonzero(apart & (spans[0] >= MIN_SPAN) & (spans[1] >= MIN_SPAN)).tolist():
+        s, e = starts[k], stops[k]
+        out += cut(tuple(int(c[s]) for c in cols[:4]), at[s:e], home_at[s:e], more[s:e])
+    return out
+
+
+def unchained(cols: list[np.ndarray], found: list[tuple]) -> list[np.ndarray]:
+    """FOUND columns of the groups of GROUP neighbouring shared seeds of which one at least is in no region of found that spans half of MIN_WORDS."""
+    doc, text, home, home_text, at, home_at, _ = cols
+    number = np.cumsum(np.append(False, (np.diff(doc) != 0) | (np.diff(text) != 0)))
+    key = number << 32 | at
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    wide = [r for r in found if r[3] - r[2] >= MIN_WORDS // 2]
+    inside = np.zeros(len(key) + 1, np.int64)
+    if wide:
+        of = {(d, t): n for d, t, n in zip(doc[order].tolist(), text[order].tolist(), number[order].tolist())}
+        base = np.array([of[r[0], r[1]] for r in wide], dtype=np.int64) << 32
+        np.add.at(inside, np.searchsorted(key, base + np.array([r[2] for r in wide])), 1)
+        np.add.at(inside, np.searchsorted(key, base + np.array([r[3] for r in wide]) - SEED, side="right"), -1)
+    free = np.cumsum(inside)[:-1] <= 0
+    n = max(0, len(key) - GROUP + 1)
+    # A shared seed is known by its home's place.
+    name = mixed(home[order].view(np.uint64), home_text[order] << 32 | home_at[order])
+    hashes, more = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    fits, any_free = np.ones(n, bool), np.zeros(n, bool)
+    for i in range(GROUP):
+        step = key[i : i + n] - key[:n]
+        hashes = mixed(hashes ^ name[i : i + n], np.where(step < 256, step, 0))
+        fits &= step < 256
+        any_free |= free[i : i + n]
+        if i:
+            more |= np.where(step < 256, step, 0) << (8 * i - 8)
+    own = np.flatnonzero(fits & any_free)
+    rows = order[own]
+    seed = hashes[own].view(np.int64)
+    return [seed, doc[rows], text[rows] << 32 | at[rows], more[own].astype(np.int32), first_places(mixed(seed.view(np.uint64), number[rows]))]
+
+
+def regions(shared: DataFrame, grouped: bool) -> DataFrame:
+    """Chains of placed(), as REGION in words; runs has start, stop and home's start of each run of matches on a diagonal.
+
+    grouped: with rows of FOUND too, those of unchained(); the columns of the other kind are null.
+    """
+    order = ["doc_id", "text_hash", "home", "home_hash", "at"]
+    dealt = shared.repartition("doc_id", "text_hash").sortWithinPartitions(*order).select(*order, "home_at", "more")
+    n_region, kinds = len(NAMES), [*KINDS, pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+    schema = f"{REGION}, seed long, tail long, more int, again boolean"
+
+    def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        found = chained(cols)
+        names = [*NAMES, "seed", "tail", "more", "again"]
+        empty = lambda n, at: [pa.nulls(n, kinds[j]) for j in at]
+        yield pa.RecordBatch.from_arrays([*rows_of(found).columns, *empty(len(found), range(n_region, len(kinds)))], names=names)
+        if grouped:
+            seed, doc, tail, more, again = unchained(cols, found)
+            for i in range(0, len(seed), 10_000):
+                part = [x[i : i + 10_000] for x in (seed, tail, more, again)]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[i : i + 10_000]), *empty(len(part[0]), range(1, n_region)), *map(pa.array, part)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows of a key are of two documents: no more than one of them has seeds and groups.
-        key, mine_at = None, []
+        held: list[list[np.ndarray]] = []
         for batch in batches:
+            if not batch.num_rows:
+                continue
             cols = [batch.column(j).to_numpy() for j in range(7)]
-            change = np.flatnonzero(np.any([np.diff(c) != 0 for c in cols[:4]], axis=0)) + 1
-            out = []
-            for s, e in zip([0, *change], [*change, batch.num_rows]):
-                if s == e:
-                    continue
-                mine = tuple(int(c[s]) for c in cols[:4])
-                if mine != key:
-                    if key:
-                        out += cut(key, *map(np.concatenate, zip(*mine_at)))
-                    key, mine_at = mine, []
-                mine_at.append([c[s:e] for c in cols[4:]])
-            yield rows_of(out)
-        if key:
-            yield rows_of(list(cut(key, *map(np.concatenate, zip(*mine_at)))))
-
-    return dealt.mapInArrow(run, REGION)
+            # The rows of the batch's last document wait for more of them.
+            ends = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0))
+            at = int(ends[-1]) + 1 if len(ends) else 0
+            if at:
+                yield from out([np.concatenate(c) for c in zip(*held, [c[:at] for c in cols])])
+                held = [[c[at:] for c in cols]]
+            elif held and (cols[0][0], cols[1][0]) != (held[-1][0][-1], held[-1][1][-1]):
+                yield from out([np.concatenate(c) for c in zip(*held)])
+                held = [cols]
+            else:
+                held.append(cols)
+        if held:
+            yield from out([np.concatenate(c) for c in zip(*held)])
+
+    return dealt.mapInArrow(run, schema)
 
 
 def rows_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -301,88 +385,121 @@ def parts(a: np.ndarray, b: np.ndarray, runs: np.ndarray) -> list[tuple[int, int
     return [(x0 + int(xs[s]), x0 + int(xs[e]), y0 + int(ys[s]), y0 + int(ys[e])) for s, e in bounds]
 
 
-def passages(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """regions() aligned: doc_id, text_hash, start, stop (words of the document), home."""
-    texts = numbered(docs)
-    home = texts.withColumnsRenamed({"doc_id": "home", "text_hash": "home_hash", "body": "home_body"})
+def ranged(start: str, stop: str) -> list:
+    """lo, hi: the range of words that a region's side asks for."""
+    lo = F.floor(F.greatest(F.col(start) - BEYOND, F.lit(0)) / RANGE) * RANGE
+    return [lo.cast("int").alias("lo"), (F.ceil((F.col(stop) + BEYOND) / RANGE) * RANGE).cast("int").alias("hi")]
 
-    def slices(side: int):
-        """Words of the row's text around its region, and which word comes first."""
-        memo: dict = {}
 
-        def of(row: list, body: bytes) -> tuple[int, np.ndarray]:
-            key = (row[side], row[side + 1])
-            if memo.get("key") != key:
-                memo.update(key=key, words=word_hashes([body or b""])[0])
-            a = max(0, row[side + 2] - BEYOND)
-            return a, memo["words"][a : row[side + 3] + BEYOND]
+def slices(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, text_hash, lo, hi, words (32 bits of their hashes) of the ranges wanted (doc_id, text_hash, ranges); ends beyond the text are left out."""
 
-        return of
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = slices(0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "text_hash", "lo", "hi", "words"]
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                got = [of(r, b) for r, b in zip(zip(*[part.column(j).to_pylist() for j in range(8)]), part.column(9).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*[part.column(j) for j in range(9)], pa.array([a for a, _ in got], pa.int32()), pa.array([w.view(np.int64) for _, w in got], pa.list_(pa.int64()))], names=[*NAMES, "first", "words"])
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                words = [w.astype(np.uint32).view(np.int32) for w in word_hashes([x or b"" for x in part.column(2).to_pylist()])]
+                rows = []
+                for doc, text, w, ranges in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), words, part.column(3).to_pylist()):
+                    rows += [(doc, text, r["lo"], r["hi"], w[r["lo"] : r["hi"]]) for r in ranges]
+                for j in range(0, len(rows), 1000):
+                    cols = list(zip(*rows[j : j + 1000]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [*KINDS[:4], pa.list_(pa.int32())])], names=names)
+
+    both = texts.join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "body", "ranges")
+    return both.mapInArrow(run, "doc_id long, text_hash long, lo int, hi int, words array<int>")
 
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = slices(4)
+
+def passages(found: DataFrame, texts: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """regions() aligned: doc_id, text_hash, start, stop (words of the document), home."""
+    homes = found.select(F.col("home").alias("doc_id"), F.col("home_hash").alias("text_hash"), *ranged("home_start", "home_stop"))
+    wanted = found.select("doc_id", "text_hash", *ranged("start", "stop")).union(homes).distinct()
+    wanted = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    cut_out = keep(slices(texts, wanted), "slices")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part, out = batch.slice(i, 256), []
-                words = part.column(10)
-                for k, (r, first, body) in enumerate(zip(zip(*[part.column(j).to_pylist() for j in range(9)]), part.column(9).to_pylist(), part.column(11).to_pylist())):
-                    a, (base, b) = np.asarray(words[k].values).view(np.uint64), of(r, body)
-                    for s, e, hs, he in parts(a, b, np.reshape(r[8], (-1, 3)) - [first, first, base]):
+                doc, text, home, runs, lo, words, home_lo, home_words = (part.column(j) for j in range(8))
+                for k, (d, t, h, first, base) in enumerate(zip(doc.to_pylist(), text.to_pylist(), home.to_pylist(), lo.to_pylist(), home_lo.to_pylist())):
+                    a, b, of = (np.asarray(c[k].values) for c in (words, home_words, runs))
+                    for s, e, hs, he in parts(a, b, of.reshape(-1, 3) - [first, first, base]):
                         s, e = s - extended(a[max(0, s - BEYOND) : s][::-1], b[max(0, hs - BEYOND) : hs][::-1]), e + extended(a[e : e + BEYOND], b[he : he + BEYOND])
                         if e - s >= MIN_SPAN:
-                            out.append((r[0], r[1], first + s, first + e, r[4]))
+                            out.append((d, t, first + s, first + e, h))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, [*KINDS[:4], pa.int64()])], names=["doc_id", "text_hash", "start", "stop", "home"])
 
-    with_own = found.join(texts, ["doc_id", "text_hash"]).select(*NAMES, "body").mapInArrow(own, REGION + ", first int, words array<long>")
-    return with_own.join(home, ["home", "home_hash"]).select(*NAMES, "first", "words", "home_body").mapInArrow(both, "doc_id long, text_hash long, start int, stop int, home long").distinct()
+    own = found.select("doc_id", "text_hash", *ranged("start", "stop"), "home", "home_hash", *[x.alias(f"home_{n}") for x, n in zip(ranged("home_start", "home_stop"), ("lo", "hi"))], "runs")
+    own = own.join(cut_out, ["doc_id", "text_hash", "lo", "hi"])
+    theirs = cut_out.toDF("home", "home_hash", "home_lo", "home_hi", "home_words")
+    both = own.join(theirs, ["home", "home_hash", "home_lo", "home_hi"])
+    return both.select("doc_id", "text_hash", "home", "runs", "lo", "words", "home_lo", "home_words").mapInArrow(run, "doc_id long, text_hash long, start int, stop int, home long").distinct()
 
 
 def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """Repeated passages: doc_id, text_hash, start, stop (words), n_words, home_id (a document that keeps a copy of some of it)."""
-    spans = passages(written(regions(matches(seeds(docs))), "regions"), docs)
-    per = Window.partitionBy("doc_id", "text_hash").orderBy("start", F.desc("stop"), "home")
-    reach = F.max("stop").over(per.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("fresh", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int"))
-    marked = marked.withColumn("island", F.sum("fresh").over(per.rowsBetween(Window.unboundedPreceding, 0)))
-    out = marked.groupBy("doc_id", "text_hash", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("home").alias("home_id")).where(F.col("stop") - F.col("start") >= least)
-    return out.select(F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), "text_hash", "start", "stop", (F.col("stop") - F.col("start")).cast("long").alias("n_words"), F.nullif("home_id", F.lit(LAST)).alias("home_id"))
+    """Repeated passages: doc_id, text_hash (31 bits), start, stop (words), n_words, home_id (a document that keeps a copy of some of it)."""
+    texts = numbered(docs)
+    with scratch(docs.sparkSession) as keep:
+        one = keep(regions(placed(keep(seeds(texts), "seeds"), "shared", keep), True), "regions")
+        groups = one.where("seed is not null").select(*[x.split()[0] for x in FOUND.split(", ")])
+        two = regions(placed(groups, "shared_groups", keep), False)
+        found = keep(one.where("seed is null").select(*NAMES).union(two.select(*NAMES)), "chains")
+        spans = passages(found, texts, keep)
+        per = Window.partitionBy("doc_id", "text_hash").orderBy("start", F.desc("stop"), "home")
+        reach = F.max("stop").over(per.rowsBetween(Window.unboundedPreceding, -1))
+        marked = spans.withColumn("fresh", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int"))
+        marked = marked.withColumn("island", F.sum("fresh").over(per.rowsBetween(Window.unboundedPreceding, 0)))
+        out = marked.groupBy("doc_id", "text_hash", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("home").alias("home_id")).where(F.col("stop") - F.col("start") >= least)
+        return written(out.select(F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), "text_hash", "start", "stop", (F.col("stop") - F.col("start")).cast("long").alias("n_words"), F.nullif("home_id", F.lit(LAST)).alias("home_id")), "repeats")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+_WORD = re.compile((SPACE_CLASS.replace("[", "[^") + "+").encode())
+
+
+def without(text: bytes, cuts: list[dict]) -> bytes:
+    """The text less the stretches from a repeat's first word to its last; what is between stays as it is."""
+    at = [m.span() for m in _WORD.finditer(text)]
+    out, done = [], 0
+    for cut_ in cuts:
+        out.append(text[done : at[cut_["start"]][0]])
+        done = at[cut_["stop"] - 1][1]
+    return b"".join([*out, text[done:]])
+
+
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang, source, n_chars) without the words of repeats(); n_chars follows a changed text, and a document with no words left goes."""
-    found = found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "cuts")
-    word = re.compile(SPACE_CLASS.replace("[", "[^") + "+")
-
-    @F.udf("string")
-    def without(text, cuts):
-        """The text less the stretches from a repeat's first word to its last; what is between stays as it is."""
-        at = [m.span() for m in word.finditer(text or "")]
-        out, done = [], 0
-        for start, stop in cuts:
-            out.append(text[done : at[start][0]])
-            done = at[stop - 1][1]
-        return "".join([*out, text[done:]])
-
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    """docs (doc_id, text, lang, source, n_chars) without the words of repeats(); n_chars follows a changed text, and a document with no words left goes.
+
+    Documents meet their cuts once; those without any go through Arrow as they are.
+    """
+    found = found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cuts"))
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "_cuts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            changed = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False))
+            texts = batch.column(1)
+            if len(changed):
+                made = [without(t.encode(), c).decode() for t, c in zip(texts.take(pa.array(changed)).to_pylist(), batch.column(2).take(pa.array(changed)).to_pylist())]
+                mask = np.zeros(batch.num_rows, bool)
+                mask[changed] = True
+                texts = pc.replace_with_mask(texts, pa.array(mask), pa.array(made, texts.type))
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, batch.column(2).is_valid(), *batch.columns[3:]], names=["doc_id", "text", "_cut", "lang", "source", "n_chars"])
+
+    keyed = docs.withColumn("_hash", F.shiftrightunsigned(F.xxhash64("text"), 33))
     both = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left")
-    kept = both.where("cuts is null").select(*docs.columns)
-    cut = both.where("cuts is not null").withColumn("text", without("text", "cuts")).where(F.col("text").rlike(SPACE_CLASS.replace("[", "[^")))
-    return kept.unionByName(cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns))
+    types = dict(docs.dtypes)
+    out = both.select("doc_id", "text", "_cuts", "lang", "source", "n_chars").mapInArrow(run, f"doc_id {types['doc_id']}, text string, _cut boolean, lang {types['lang']}, source {types['source']}, n_chars {types['n_chars']}")
+    left = ~F.col("_cut") | F.col("text").rlike(SPACE_CLASS.replace("[", "[^"))
+    n_chars = F.when(F.col("_cut"), F.length("text").cast(types["n_chars"])).otherwise(F.col("n_chars"))
+    return out.where(left).withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
-    return without_repeats(docs, settled(repeats(docs)))
+    return without_repeats(docs, repeats(docs))
