@@ -3,7 +3,8 @@
 Seeds are runs of SEED words whose hash is the smallest of WINDOW neighbouring runs, so every
 shared run of SEED + WINDOW - 1 words has one. A seed's home is its first place in the document
 with the smallest id that has it; every other document joins its places to that one, so a seed
-of n places gives n matches at most, and not the pairs of them. Matches of two documents are
+of n places gives n matches at most, and not the pairs of them. In words that repeat over and over
+a seed is another one each time, so such stretches match in order. Matches of two documents are
 chained: increasing in both, each worth its words less a cost for the gaps, by a Fenwick tree
 over the prefix maxima. Chains are cut at wide gaps.
 
@@ -90,6 +91,26 @@ def first_places(seed: np.ndarray) -> np.ndarray:
     return again
 
 
+def told_apart(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's seeds, where those that come again within SEED + WINDOW words are told apart by how often they have, and which are there before.
+
+    So in words that repeat over and over, as in two texts that have such a stretch, seeds are matched in order and not all to the first.
+    """
+    order = np.lexsort((at, h))
+    again = np.append(False, h[order][1:] == h[order][:-1])[: len(h)]
+    near = again & (np.diff(at[order], prepend=0) <= SEED + WINDOW)
+    if near.any():
+        step = np.arange(len(h))
+        turn = step - np.maximum.accumulate(np.where(near, 0, step))
+        h, turns = h.copy(), np.empty(len(h), np.int64)
+        turns[order] = turn
+        h[turns > 0] = mixed(h[turns > 0].view(np.uint64), turns[turns > 0]).view(np.int64)
+        return h, first_places(h)
+    out = np.empty(len(h), bool)
+    out[order] = again
+    return h, out
+
+
 def seeds(texts: DataFrame) -> DataFrame:
     """FOUND of numbered() rows: tail is text_hash << 32 | place, again says that the document has the seed before."""
 
@@ -100,7 +121,8 @@ def seeds(texts: DataFrame) -> DataFrame:
                 found = [seeds_of(w) for w in word_hashes([x or b"" for x in part.column(2).to_pylist()])]
                 n = [len(h) for h, _ in found]
                 doc, text = (np.repeat(part.column(j).to_numpy(), n) for j in (0, 1))
-                cols = [np.concatenate([h for h, _ in found]), doc, text << 32 | np.concatenate([at for _, at in found]), np.zeros(sum(n), np.int32), np.concatenate([first_places(h) for h, _ in found])]
+                named = [told_apart(h, at) for h, at in found]
+                cols = [np.concatenate([h for h, _ in named]), doc, text << 32 | np.concatenate([at for _, at in found]), np.zeros(sum(n), np.int32), np.concatenate([again for _, again in named])]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["seed", "doc_id", "tail", "more", "again"])
 
     return texts.mapInArrow(run, FOUND)

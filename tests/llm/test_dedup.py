@@ -173,3 +173,64 @@ def test_passage_of_seeds_that_others_have(spark):
     assert {frozenset(v) for v in grams.values() if len(v) > 1} == {frozenset((5000, 5001))}
     assert set(got) == {5001} and got[5001].home_id == 5000
     assert abs(got[5001].start - 40) <= 1 and abs(got[5001].stop - 130) <= 1
+
+
+def test_words_over_and_over(spark):
+    rng = random.Random(17)
+    again = ["is", "so."] * 60
+    docs = [(i, " ".join(words(rng, 30 + 7 * i, 10**9) + again + words(rng, 40, 10**9))) for i in range(8)]
+    found = S.repeats(spark.createDataFrame(docs, DOCS)).collect()
+    assert {r.doc_id: (r.start, r.stop) for r in found} == {i: (30 + 7 * i, 150 + 7 * i) for i in range(1, 8)}
+    # A chain for each document, and not for each place.
+    with S.scratch(spark) as keep:
+        texts = S.numbered(spark.createDataFrame(docs, DOCS))
+        assert S.regions(S.placed(S.seeds(texts), "shared", keep), False).count() == 7
+
+
+def test_repeats_of_odd_rows(spark):
+    rng = random.Random(18)
+    shared, same = words(rng, 70), " ".join(words(rng, 60, 10**9))
+    long = " ".join(words(rng, 30_000, 10**9) + shared + words(rng, 30_000, 10**9))
+    rows = [(1, " ".join(shared)), (1, " ".join(shared)), (2, long), (None, " ".join(words(rng, 9) + shared)), (None, None), (3, ""), (4, same), (4, same), (4, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, DOC_ID string")
+    got = {(r.doc_id, r.start, r.stop, r.home_id) for r in S.repeats(docs).collect()}
+    assert got == {(2, 30_000, 30_070, 1), (None, 9, 79, 1)}
+    full = spark.createDataFrame([(i, t, "en", None, len(t or ""), 5) for i, t in rows], FULL + ", Lang long")
+    out = S.substring_stage(spark, full, "").collect()
+    left = {r.doc_id: r for r in out if r.text}
+    assert len(left[2].text.split()) == 60_000 and len(left[None].text.split()) == 9 and left[None].n_chars == len(left[None].text)
+    # Texts that were empty before stay; repeated rows stay alike.
+    assert len(out) == len(rows) and sum(r.doc_id == 1 for r in out) == 2 and sum(not r.text for r in out) == 3
+
+
+def test_a_stray_match_changes_nothing(spark):
+    """Three runs of 15 words with others between, which are no passage; with and without one more match elsewhere."""
+    rng = random.Random(19)
+    runs = [words(rng, 15) for _ in range(3)]
+    stray = words(rng, 9)
+    for extra in ([], stray):
+        docs = [(i, " ".join([w for r in runs for w in r + words(rng, 46, 10**9)] + extra + words(rng, 20, 10**9))) for i in range(12)]
+        assert S.repeats(spark.createDataFrame(docs, DOCS)).count() == 0
+
+
+def test_chain_is_the_best():
+    """Against all chains, by the definition of their score."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n = int(rng.integers(1, 9))
+        x, y = rng.integers(0, 120, n), rng.integers(0, 120, n)
+
+        def value(c):
+            total = float(S.SEED)
+            for i, j in zip(c, c[1:]):
+                dx, dy = x[j] - x[i], y[j] - y[i]
+                total += min(S.SEED, dx, dy) - S.GAP_COST * (dx + dy)
+            return total
+
+        best = 0.0
+        for mask in range(1, 1 << n):
+            c = sorted((i for i in range(n) if mask >> i & 1), key=lambda i: x[i])
+            if all(x[a] < x[b] and y[a] < y[b] for a, b in zip(c, c[1:])):
+                best = max(best, value(c))
+        # The tree weighs a predecessor by its score before the new match's own words are known to overlap.
+        assert best - S.SEED < value(S.chain(x, y)[0]) <= best + 1e-9
