@@ -97,28 +97,53 @@ def test_quality(spark):
     assert quality_rules.judge(found.limit(0), quality_rules.host_rates(found.limit(0))).count() == 0
 
 
-def test_lm_gradient_and_scoring():
+def small_model():
     rng = np.random.default_rng(0)
     ids = rng.integers(0, 40, 300)
     begins = np.zeros(61, bool)
     begins[:30] = True
     first, inner = np.bincount(ids[ids < 30], minlength=61), np.bincount(ids[ids >= 30], minlength=61)
-    c = L.Counts(begins, first, inner, first + inner, np.array([[1, 31, 5], [2, 32, 7]]), 4)
-    vectors = L.vectors_of(L.company(iter([ids[:100], ids[100:]]), c.bucket), np.bincount(c.bucket, c.count, minlength=L.BUCKETS))
+    c = L.Counts(begins, first, inner, first + inner, 4)
+    vectors = L.vectors_of(L.company(iter([[ids[:100], ids[100:]]]), c.bucket), np.bincount(c.bucket, c.count, minlength=L.BUCKETS))
     c.classify(vectors)
+    inside = np.zeros((L.BUCKETS, L.CLASSES))
+    inside[c.bucket[1], c.cls[31]] += 5
+    inside[c.bucket[2], c.cls[32]] += 7
+    c.follow(inside)
     flat = L.start_weights(vectors)
     flat += rng.normal(size=flat.shape).astype(np.float32) * 0.05
+    return ids, c, flat
+
+
+def test_company_against_brute_force():
+    rng = np.random.default_rng(3)
+    bucket = np.arange(50, dtype=np.int32)
+    texts = [rng.integers(0, 50, n) for n in (0, 5, 32, 33, 200)]
+    random = np.random.default_rng(11).integers(-8, 9, size=(L.BUCKETS, L.SKETCH)).astype(float)
+    want = np.zeros((L.BUCKETS, L.SKETCH))
+    for t in texts:
+        for i in range(0, len(t), L.SPAN):
+            w = t[i : i + L.SPAN]
+            for k, x in enumerate(w):
+                want[x] += sum(random[y] for m, y in enumerate(w) if m != k)
+    assert (L.company(iter([texts[:2], texts[2:]]), bucket) == want).all()
+
+
+def test_lm_gradient_and_scoring():
+    ids, c, flat = small_model()
     buckets, before, target, real = L.windows_of([ids[:50], ids[50:57], np.zeros(0, int)], c.bucket, 60)
     assert real.sum() == 57 and (target[real] == ids[:57]).all()
-    cls = c.cls[np.maximum(target, 0)].astype(np.int64)
-    g, loss = L.gradient(L.named(flat), c.prior, buckets, cls, real)
-    for name, at in (("U", (3, 2)), ("V", (1, 4)), ("Q", (2, 2)), ("far", (3,)), ("E", (int(buckets[0, -1]), 5))):
+    row, place = np.nonzero(real)
+    cls = c.cls[target[row, place]]
+    of = lambda: L.gradient(L.named(flat), c.prior, buckets[row], place, cls)
+    g, loss = of()
+    for name, at in (("U", (3, 2)), ("V", (1, 4)), ("Q", (2, 2)), ("K", (1, 3)), ("O", (5, 2)), ("c", (4,)), ("far", (3,)), ("E", (int(buckets[0, -1]), 5))):
         v = L.named(flat)[name]
         old, e = v[at], 2e-2
         v[at] = old + e
-        up = L.gradient(L.named(flat), c.prior, buckets, cls, real)[1]
+        up = of()[1]
         v[at] = old - e
-        down = L.gradient(L.named(flat), c.prior, buckets, cls, real)[1]
+        down = of()[1]
         v[at] = old
         assert (up - down) / (2 * e) == pytest.approx(g[name][at], rel=0.1, abs=2e-5)
     model = L.Scorer(flat, c)
@@ -128,9 +153,38 @@ def test_lm_gradient_and_scoring():
     # The classes' chances, and those of subwords in a class, sum to one.
     each = np.array([np.exp(model.logs(buckets[:1], np.full((1, L.STRIDE), j))[0, 3]) for j in [np.flatnonzero(c.cls == k)[0] for k in np.unique(c.cls[:60])]])
     assert each.sum() <= 1 + 1e-5
+    known = L.Pairs(np.array([[1, 31, 5], [2, 32, 7]]), c.cls, c.within)
     for k in np.unique(c.cls[:60]):
         members = np.flatnonzero(c.cls[:60] == k)
-        assert np.exp(c.inside(np.full(len(members), 1), members)).sum() == pytest.approx(1, abs=1e-6)
+        assert np.exp(known.logs(np.full(len(members), 1), members)).sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_lm_equals_plain_attention():
+    """Place by place over whole texts, without windows, batches and tables."""
+    ids, c, flat = small_model()
+    w = {k: v.astype(float) for k, v in L.named(flat).items()}
+    text = ids[:75]
+    seen = np.append(60, text[:-1])  # what comes before each place; the end's id opens a text
+    want = 0.0
+    for i, x in enumerate(text):
+        first = max(0, i // L.STRIDE * L.STRIDE - L.CONTEXT)
+        e = w["E"][c.bucket[seen[first : i + 1]]]
+        s = (e @ w["K"]) @ (e[-1] @ w["Q"]) * L.DIM**-0.5 + w["far"][np.arange(i - first, -1, -1)]
+        p = np.exp(s - s.max())
+        h = e[-1] + p / p.sum() @ e @ w["V"] @ w["O"]
+        z = h @ w["U"] + w["c"] + c.prior[c.bucket[seen[i]]]
+        want += z[c.cls[x]] - z.max() - np.log(np.exp(z - z.max()).sum())
+    assert L.Scorer(flat, c).scores([text], 60)[0] == pytest.approx(want, rel=1e-4)
+
+
+def test_lm_is_the_same_however_rows_lie(spark):
+    rng = random.Random(16)
+    texts = [" ".join(rng.choice(["the", "cattle", "sat", "xyzzyx", "unreadable"]) + rng.choice(["", "s", "ness"]) for _ in range(rng.randrange(60))) for _ in range(120)]
+    texts += [f"rare{i}word " * 3 for i in range(20)] + ["once more"] * 5 + ["long " * 9000]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    path = public_tokenizers.path(L.RANKS)
+    runs = [{r.doc_id: r.score for r in L.lm_scores(d, path, most).collect()} for d, most in ((docs.repartition(1), L.PAIRS), (docs.repartition(5), 0))]
+    assert all(runs[1][i] == pytest.approx(x, rel=1e-6) for i, x in runs[0].items())
 
 
 def test_lm_base_and_shape(spark):
