@@ -4,20 +4,44 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Cuts lineage: runs df once and keeps its rows in the cluster's shared folder (spark.checkpoint.dir), or where that is unset and Spark runs in one process, as in tests, in a new local one."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir), or where that is unset and Spark runs in one process, as in tests, a new local one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="kelpline-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Cuts lineage: runs df once and keeps its rows in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def row_numbers(df: DataFrame, group: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """df with each row's number in its group, from 1, by columns order.
+
+    No task numbers a group alone: rows are dealt by ranges of group and order, and each range
+    starts where those before it end. Of them there are as many as shuffle partitions.
+    """
+    dealt = settled(df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("_before", before).drop("_n").withColumnsRenamed({g: f"_{i}" for i, g in enumerate(group)})
+    own = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order))
+    same = dealt["_range"] == sizes["_range"]
+    for i, g in enumerate(group):
+        same = same & dealt[g].eqNullSafe(sizes[f"_{i}"])
+    rows = dealt.join(sizes, same, "left").drop(sizes["_range"])
+    return rows.withColumn(name, (own + F.col("_before")).cast("long")).drop("_range", "_before", *[f"_{i}" for i in range(len(group))])

@@ -102,10 +102,6 @@ def token_estimate(text: Column) -> Column:
     return F.floor(F.length(text) / 4 + 0.5)
 
 
-def complexity_bar(x: Column, width: int = 10) -> Column:
-    return F.concat(F.repeat(F.lit("█"), F.floor(x * width + 0.5).cast("int")), F.repeat(F.lit("░"), (width - F.floor(x * width + 0.5)).cast("int")))
-
-
 def joined_path(base: Column, relative: Column) -> Column:
     """base/relative with . and .. taken out; a .. with nothing before it stays; a slash at the end stays."""
     parts = F.filter(F.split(F.concat_ws("/", base, relative), "/", -1), lambda p: (p != "") & (p != "."))

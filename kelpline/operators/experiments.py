@@ -1,4 +1,7 @@
-"""Statistics of evaluation experiments: trials are rows (condition, question, assertion, trial, verdict, latency, tools)."""
+"""Statistics of evaluation experiments: trials are rows (condition, question, assertion, trial, verdict, latency, tools, tokens_in, tokens_out).
+
+Trials rise in the order they came. Where conditions have an order, it is that in which they are first seen.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import row_numbers
 from ..functions.columns import round2
 
 
@@ -15,21 +19,23 @@ def score():
 
 
 def question_scores(trials: DataFrame) -> DataFrame:
-    return trials.groupBy("condition", "question").agg(F.avg(score()).alias("score"))
+    """condition, question, score, ord (the first trial)."""
+    return trials.groupBy("condition", "question").agg(F.avg(score()).alias("score"), F.min("trial").alias("ord"))
 
 
 def condition_stats(trials: DataFrame) -> DataFrame:
-    """Of the questions' scores: mean, population deviation, least and most; of the verdicts: shares; mean latency."""
+    """Of the questions' scores: mean, population deviation, least and most; of the verdicts: shares; mean latency and tokens."""
     per = question_scores(trials).groupBy("condition").agg(F.avg("score").alias("mean"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("deviation"), F.min("score").alias("least"), F.max("score").alias("most"))
     share = lambda v: F.avg((F.col("verdict") == v).cast("double"))
-    all_ = trials.groupBy("condition").agg(share("PASS").alias("passed"), share("PARTIAL").alias("partial"), share("FAIL").alias("failed"), F.avg("latency").alias("latency"))
+    all_ = trials.groupBy("condition").agg(share("PASS").alias("passed"), share("PARTIAL").alias("partial"), share("FAIL").alias("failed"), F.avg("latency").alias("latency"), F.avg(F.col("tokens_in") + F.col("tokens_out")).alias("tokens"))
     return per.join(all_, "condition")
 
 
 def _pairs(scores: DataFrame) -> DataFrame:
-    """Pairs of conditions (few: one for each arm of an experiment), by name."""
-    names = scores.select("condition").distinct()
-    return names.select(F.col("condition").alias("a")).join(F.broadcast(names.select(F.col("condition").alias("b"))), F.col("a") < F.col("b"))
+    """Pairs of conditions (few: one for each arm of an experiment), the one that is first seen first."""
+    names = scores.groupBy("condition").agg(F.min("ord").alias("_k"))
+    of = lambda n: names.select(F.col("condition").alias(n), F.struct("_k", "condition").alias(f"_{n}"))
+    return of("a").join(of("b"), F.col("_a") < F.col("_b")).select("a", "b")
 
 
 def cliffs_delta(scores: DataFrame) -> DataFrame:
@@ -48,18 +54,20 @@ def cliffs_delta(scores: DataFrame) -> DataFrame:
 
 
 def win_rates(scores: DataFrame, tie: float = 0.01) -> DataFrame:
-    """a, b, wins, losses, ties, total by the conditions' questions, matched by question."""
-    left = scores.select(F.col("condition").alias("a"), "question", F.col("score").alias("x"))
-    right = scores.select(F.col("condition").alias("b"), "question", F.col("score").alias("y"))
+    """a, b, wins, losses, ties, total: the conditions' questions are matched in the order they came, up to the end of the shorter list."""
+    placed = row_numbers(scores.select("condition", "score", "ord", "question"), ["condition"], ["ord", "question"]).select("condition", "score", "place")
+    left = placed.select(F.col("condition").alias("a"), "place", F.col("score").alias("x"))
+    right = placed.select(F.col("condition").alias("b"), "place", F.col("score").alias("y"))
     gap = F.col("x") - F.col("y")
-    rows = left.join(right, "question").where("a < b")
-    return rows.groupBy("a", "b").agg(F.count_if(gap > tie).alias("wins"), F.count_if(gap < -tie).alias("losses"), F.count_if(F.abs(gap) <= tie).alias("ties"), F.count(F.lit(1)).alias("total"))
+    rows = left.join(_pairs(scores), "a").join(right, ["b", "place"])
+    even = F.abs(gap) < tie
+    return rows.groupBy("a", "b").agg(F.count_if(~even & (gap > 0)).alias("wins"), F.count_if(~even & (gap < 0)).alias("losses"), F.count_if(even).alias("ties"), F.count(F.lit(1)).alias("total"))
 
 
 def bootstrap(scores: DataFrame, times: int = 1000, seed: int = 1) -> DataFrame:
     """a, b, lo, hi: Cliff's delta of resampled values, the 2.5 % and 97.5 % order statistics; the generator is seeded by the pair.
 
-    Scores (0 to 1) are counted to four decimals first, so a pair's group has 20,002 rows at most; drawing n values is drawing their counts.
+    Equal scores are counted first: a pair's group has a row for each distinct mean of verdicts, and drawing n values is drawing their counts.
     """
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -79,14 +87,14 @@ def bootstrap(scores: DataFrame, times: int = 1000, seed: int = 1) -> DataFrame:
         cut = lambda v: np.floor(v * 100 + 0.5) / 100
         return pd.DataFrame([(*key, cut(out[int(times * 0.025)]), cut(out[int(times * 0.975)]))])
 
-    counted = scores.groupBy("condition", F.round("score", 4).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    counted = scores.groupBy("condition", "score").agg(F.count(F.lit(1)).alias("n"))
     rows = _pairs(scores).join(counted, F.col("condition").isin(F.col("a"), F.col("b")))
     return rows.groupBy("a", "b").applyInPandas(one, "a string, b string, lo double, hi double")
 
 
 def assertion_rates(trials: DataFrame) -> DataFrame:
-    """question, assertion, condition, rate, n, cv (deviation over mean, 0 for a mean of 0)."""
-    per = trials.groupBy("question", "assertion", "condition").agg(F.avg(score()).alias("rate"), F.stddev_pop(score()).alias("_d"), F.count(F.lit(1)).alias("n"))
+    """question, assertion, condition, rate, n, cv (deviation over mean, 0 for a mean of 0), ord (the first trial)."""
+    per = trials.groupBy("question", "assertion", "condition").agg(F.avg(score()).alias("rate"), F.stddev_pop(score()).alias("_d"), F.count(F.lit(1)).alias("n"), F.min("trial").alias("ord"))
     return per.withColumn("cv", F.when(F.col("rate") == 0, 0.0).otherwise(F.col("_d") / F.col("rate"))).drop("_d")
 
 
@@ -96,9 +104,9 @@ def non_discriminating(rates: DataFrame, least: float = 0.05) -> DataFrame:
 
 
 def flaky(rates: DataFrame, above: float = 0.3) -> DataFrame:
-    """Assertions whose first condition (by name) with 3 verdicts or more and such a variation."""
+    """Assertions whose verdicts vary so in a condition that has 3 or more; the condition that is seen first is told."""
     bad = rates.where((F.col("n") >= 3) & (F.col("cv") > above))
-    return bad.groupBy("question", "assertion").agg(F.min(F.struct("condition", "cv")).alias("f")).select("question", "assertion", "f.condition", "f.cv")
+    return bad.groupBy("question", "assertion").agg(F.min(F.struct("ord", "condition", "cv")).alias("f")).select("question", "assertion", "f.condition", "f.cv")
 
 
 def negative(rates: DataFrame, full: str, by: float = 0.05) -> DataFrame:
@@ -125,16 +133,22 @@ def correlations(rates: DataFrame) -> DataFrame:
 
 def redundant(found: DataFrame, above: float = 0.9) -> DataFrame:
     """question, assertion, like: assertions that repeat an earlier one that isn't flagged itself (greedy, in order; a question has few assertions)."""
+    kind = "array<struct<assertion: bigint, like: bigint>>"
+    pairs = found.where(F.abs("rho") > above).groupBy("question").agg(F.array_sort(F.collect_list(F.struct(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")))).alias("p"))
+    flagged = lambda acc, x: F.exists(acc, lambda f: f["assertion"] == x)
+    one = lambda p: F.struct(p["y"].alias("assertion"), p["x"].alias("like"))
+    greedy = F.aggregate("p", F.array().cast(kind), lambda acc, p: F.when(flagged(acc, p["x"]) | flagged(acc, p["y"]), acc).otherwise(F.concat(acc, F.array(one(p)))))
+    return pairs.select("question", F.explode(greedy).alias("f")).select("question", "f.assertion", "f.like")
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        out: dict = {}
-        for x, y in sorted(zip(rows["x"], rows["y"])):
-            if x not in out and y not in out:
-                out[y] = x
-        q = rows["question"].iloc[0]
-        return pd.DataFrame([(q, y, x) for y, x in out.items()], columns=["question", "assertion", "like"])
 
-    return found.where(F.abs("rho") > above).groupBy("question").applyInPandas(one, "question long, assertion long, like long")
+def diagnostics(rates: DataFrame, full: str) -> DataFrame:
+    """question, assertion, kind of all that is wrong with assertions; kinds: non-discriminating, flaky, redundant, negative-signal."""
+    found = {"non-discriminating": non_discriminating(rates), "flaky": flaky(rates), "redundant": redundant(correlations(rates)), "negative-signal": negative(rates, full)}
+    parts = [df.select("question", "assertion", F.lit(k).alias("kind")) for k, df in found.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
 
 
 def tool_usage(trials: DataFrame) -> DataFrame:
@@ -142,18 +156,51 @@ def tool_usage(trials: DataFrame) -> DataFrame:
 
 
 def early_stop(trials: DataFrame, least: int = 3) -> DataFrame:
-    """condition, question, assertion with least trials or more and one verdict."""
-    per = trials.groupBy("condition", "question", "assertion").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("verdict").alias("kinds"))
-    return per.where((F.col("n") >= least) & (F.col("kinds") == 1)).drop("kinds")
+    """condition, question, n of those with least trials or more that all have one list of verdicts, by assertion."""
+    each = trials.groupBy("condition", "question", "trial").agg(F.array_sort(F.collect_list(F.struct("assertion", "verdict"))).alias("v")).withColumn("v", F.array_join(F.transform("v", lambda x: x["verdict"]), ","))
+    per = each.groupBy("condition", "question").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return per.where((F.col("n") >= least) & (F.col("lo") == F.col("hi"))).select("condition", "question", "n")
+
+
+def summary(trials: DataFrame, per_million_in: float = 3.0, per_million_out: float = 15.0) -> DataFrame:
+    """One row: calls, tokens_in, tokens_out, cost."""
+    each = trials.groupBy("condition", "question", "trial").agg(F.max("tokens_in").alias("i"), F.max("tokens_out").alias("o"))
+    s = each.agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum("i"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("o"), F.lit(0)).alias("tokens_out"))
+    return s.withColumn("cost", F.col("tokens_in") / 1e6 * per_million_in + F.col("tokens_out") / 1e6 * per_million_out)
+
+
+def task_types(questions: DataFrame) -> DataFrame:
+    return questions.select("task_type").distinct().orderBy("task_type")
+
+
+def by_task(trials: DataFrame, conditions: list[str], task: str = "task_type") -> DataFrame:
+    """Per task: each condition's mean score in a column of its name."""
+    return trials.groupBy(task).pivot("condition", conditions).agg(F.avg(score()))
+
+
+def remaining(wanted: DataFrame, done: DataFrame) -> DataFrame:
+    """What a resumed run has still to do: wanted (question, codebase, condition) without the keys of done that are marked as done, early stops too."""
+    return wanted.join(done.where("done").select("question", "codebase", "condition").distinct(), ["question", "codebase", "condition"], "left_anti")
+
+
+def with_questions(results: DataFrame, questions: DataFrame) -> DataFrame:
+    """Results of questions that the configuration has, with the question's text and task type."""
+    return results.join(questions.select("question", "text", "task_type"), "question")
 
 
 def compare(before: DataFrame, after: DataFrame, by: float = 0.1) -> DataFrame:
     """condition, question, before, after, delta, change of two runs' scores, where both have the question."""
-    rows = before.withColumnRenamed("score", "before").join(after.withColumnRenamed("score", "after"), ["condition", "question"])
-    rows = rows.withColumn("delta", F.col("after") - F.col("before"))
+    of = lambda df, name: df.select("condition", "question", F.col("score").alias(name))
+    rows = of(before, "before").join(of(after, "after"), ["condition", "question"]).withColumn("delta", F.col("after") - F.col("before"))
     return rows.withColumn("change", F.when(F.col("delta") < -by, "regression").when(F.col("delta") > by, "improvement").otherwise("same"))
 
 
+def condition_deltas(compared: DataFrame) -> DataFrame:
+    """Per condition of compare(): mean before, after and delta over its questions, and how many went down or up."""
+    count = lambda x: F.count_if(F.col("change") == x)
+    return compared.groupBy("condition").agg(F.avg("before").alias("before"), F.avg("after").alias("after"), F.avg("delta").alias("delta"), count("regression").alias("regressions"), count("improvement").alias("improvements"), F.count(F.lit(1)).alias("questions"))
+
+
 def consistency(trials: DataFrame) -> DataFrame:
     """Per condition: the share of (question, assertion) with one verdict, and the share of PARTIAL verdicts."""
     per = trials.groupBy("condition", "question", "assertion").agg(F.countDistinct("verdict").alias("k"))

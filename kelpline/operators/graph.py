@@ -23,44 +23,58 @@ def reverse_links(edges: DataFrame, tests: DataFrame | None = None, with_tests:
     return kept.groupBy(F.col("dst").alias("node"), F.col("src").alias("next")).agg(F.min("ord").alias("ord"))
 
 
+def forward_links(edges: DataFrame, with_tests: bool = False) -> DataFrame:
+    """node, next, ord: what a node imports."""
+    kept = edges if with_tests else edges.where("type <> 'tests'")
+    return kept.groupBy(F.col("src").alias("node"), F.col("dst").alias("next")).agg(F.min("ord").alias("ord"))
+
+
 def reach(links: DataFrame, roots: DataFrame, parents: bool = False) -> DataFrame:
     """root, node, depth of all nodes reached from roots (id); a root isn't reached from itself.
 
-    With parents also parent, rank and path (the nodes on the way): the first way that a queue
-    would find, by the parent's rank and the link's ord.
+    With parents also parent and rank: the first way that a queue would find, by the parent's
+    rank and the link's ord. Each level is written once and stays as it is.
     """
     links = settled(links)
     level = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth"))
     if parents:
-        level = level.withColumns({"parent": F.lit(None).cast("string"), "rank": F.lit(0).cast("long"), "path": F.array().cast("array<string>")})
-    level = settled(level)
-    seen, depth = level, 0
+        level = level.withColumns({"parent": F.lit(None).cast("string"), "rank": F.lit(0).cast("long")})
+    levels, depth = [settled(level)], 0
     while True:
         depth += 1
-        found = level.join(links, "node").where("next <> root")
+        found = levels[-1].join(links, "node").where("next <> root")
         if parents:
-            found = found.groupBy("root", "next").agg(F.min(F.struct("rank", "ord", F.col("node").alias("parent"), F.concat("path", F.array("next")).alias("path"))).alias("way"))
+            found = found.groupBy("root", "next").agg(F.min(F.struct("rank", "ord", F.col("node").alias("parent"))).alias("way"))
         else:
             found = found.select("root", "next").distinct()
-        found = found.withColumnRenamed("next", "node").join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        found = found.withColumnRenamed("next", "node").join(_all(levels).select("root", "node"), ["root", "node"], "left_anti")
         if parents:
             order = Window.partitionBy("root").orderBy("way.rank", "way.ord", "node")
-            found = found.select("root", "node", F.lit(depth).alias("depth"), "way.parent", F.row_number().over(order).cast("long").alias("rank"), "way.path")
+            found = found.select("root", "node", F.lit(depth).alias("depth"), "way.parent", F.row_number().over(order).cast("long").alias("rank"))
         else:
             found = found.withColumn("depth", F.lit(depth))
         level = settled(found)
         if level.isEmpty():
-            return seen.where("depth > 0")
-        seen = settled(seen.unionByName(level))
+            return _all(levels).where("depth > 0")
+        levels.append(level)
+
 
+def _all(levels: list[DataFrame]) -> DataFrame:
+    out = levels[0]
+    for x in levels[1:]:
+        out = out.unionByName(x)
+    return out
 
-def blast_radius(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per node that others import: node, direct, affected, weighted, modules, module_names, max_depth, amplification.
+
+def blast_radius(nodes: DataFrame, edges: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Per node that others import (of only's ids, where given): node, direct, affected, weighted, modules, module_names, max_depth, amplification.
 
     Weights are summed to nine decimals before they are cut to two, so that the order of adding doesn't show.
     """
     links = settled(reverse_links(edges, nodes.where("type = 'test'")))
     direct = links.groupBy("node").agg(F.countDistinct("next").alias("direct"))
+    if only is not None:
+        direct = direct.join(only.select(F.col("id").alias("node")), "node", "left_semi")
     got = reach(links, direct.select(F.col("node").alias("id")))
     # Sums by depth and module first, so that a root with everything below it is no large group.
     part = got.groupBy("root", "depth", module_id(F.col("node")).alias("module")).agg(F.count(F.lit(1)).alias("n"))
@@ -77,10 +91,19 @@ def blast_radius(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cascade_paths(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Per root: max_depth and path, the way to the first node found at the greatest depth."""
+    """Per root: max_depth and path, the way to the first node found at the greatest depth.
+
+    The way is walked back from that node, a level at a time, for all roots at once.
+    """
     got = reach(reverse_links(edges, nodes.where("type = 'test'")), roots, parents=True)
-    best = got.groupBy("root").agg(F.max(F.struct("depth", (-F.col("rank")).alias("r"), "path")).alias("b"))
-    return best.select("root", F.col("b.depth").cast("long").alias("max_depth"), F.col("b.path").alias("path"))
+    best = got.groupBy("root").agg(F.max(F.struct("depth", (-F.col("rank")).alias("r"), "node")).alias("b"))
+    ways = settled(best.select("root", F.col("b.depth").cast("long").alias("max_depth"), F.array("b.node").alias("path"), F.col("b.node").alias("at")))
+    deepest = ways.agg(F.max("max_depth")).first()[0] or 0
+    back = got.select("root", F.col("node").alias("at"), "parent").where("parent <> root")
+    for i in range(deepest - 1):
+        step = (ways if i % 5 else settled(ways)).join(back, ["root", "at"], "left")
+        ways = step.select("root", "max_depth", F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat(F.array("parent"), "path")).alias("path"), "parent").withColumnRenamed("parent", "at")
+    return ways.select("root", "max_depth", "path")
 
 
 def test_map(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:

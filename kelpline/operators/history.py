@@ -30,11 +30,13 @@ def log_files(log: DataFrame) -> DataFrame:
 
 
 def churn(commits: DataFrame, days: int = 30) -> DataFrame:
-    """commits (commit, date, path, added, removed) of the last days before the newest: path, commits, added, removed, last_commit."""
+    """commits (commit, date, message, path, added, removed) of the last days before the newest: path, commits, added, removed and the last commit's last_commit, last_date, last_message."""
     newest = commits.agg(F.max("date")).scalar()
     recent = commits.where(F.col("date") >= newest - F.make_dt_interval(F.lit(days)))
-    per = recent.groupBy("path", "commit").agg(F.max("date").alias("date"), F.sum("added").alias("added"), F.sum("removed").alias("removed"))
-    return per.groupBy("path").agg(F.count(F.lit(1)).alias("commits"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.max_by("commit", F.struct("date", "commit")).alias("last_commit"))
+    per = recent.groupBy("path", "commit").agg(F.max("date").alias("date"), F.max("message").alias("message"), F.sum("added").alias("added"), F.sum("removed").alias("removed"))
+    last = F.max(F.struct("date", "commit", "message")).alias("last")
+    out = per.groupBy("path").agg(F.count(F.lit(1)).alias("commits"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), last)
+    return out.select("path", "commits", "added", "removed", F.col("last.commit").alias("last_commit"), F.col("last.date").alias("last_date"), F.col("last.message").alias("last_message"))
 
 
 def cochange(commits: DataFrame, links: DataFrame | None = None, most_files: int = 20, least: int = 3) -> DataFrame:

@@ -12,13 +12,21 @@ def inbound(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("importers"), F.count_if(F.col("type") == "tests").alias("tests"))
 
 
-def most_imported(edges: DataFrame, nodes: DataFrame, top: int = 8) -> DataFrame:
-    """By import edges between files that are no tests."""
+def most_imported(edges: DataFrame, nodes: DataFrame, top: int = 8, with_tests: bool = False) -> DataFrame:
+    """By import edges between files that are no tests; with_tests: by all edges."""
     tests = nodes.where("type = 'test'").select("id")
-    kept = edges.where("type <> 'tests'").join(tests.withColumnRenamed("id", "dst"), "dst", "left_anti").join(tests.withColumnRenamed("id", "src"), "src", "left_anti")
+    kept = edges
+    if not with_tests:
+        kept = edges.where("type <> 'tests'").join(tests.withColumnRenamed("id", "dst"), "dst", "left_anti").join(tests.withColumnRenamed("id", "src"), "src", "left_anti")
     return kept.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("importers")).orderBy(F.desc("importers"), "node").limit(top)
 
 
+def often_imported(edges: DataFrame, nodes: DataFrame, above: int = 3) -> DataFrame:
+    """node, importers of files that are no tests or configuration and have more edges to them than that."""
+    kept = nodes.where("type not in ('test', 'config')").select(F.col("id").alias("node"))
+    return edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("importers")).where(F.col("importers") > above).join(kept, "node", "left_semi")
+
+
 def weighted(edges: DataFrame) -> DataFrame:
     """edges with weight: the more importers a target has, the less each counts."""
     counts = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("_n"))
@@ -33,12 +41,20 @@ def complexity(nodes: DataFrame) -> DataFrame:
     return both.withColumn("complexity", round2(0.6 * share("lines", "_l") + 0.4 * share("n_imports", "_i"))).drop("_l", "_i")
 
 
+def entry_points(edges: DataFrame) -> DataFrame:
+    """id of the files that another module imports."""
+    return edges.where(module_id(F.col("src")) != module_id(F.col("dst"))).select(F.col("dst").alias("id")).distinct()
+
+
 def modules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """module, files, lines, entries: entries are files that another module imports."""
-    m = lambda c: module_id(F.col(c))
-    entry = edges.where(m("src") != m("dst")).select(F.col("dst").alias("id")).distinct().withColumn("_entry", F.lit(1))
-    rows = nodes.join(entry, "id", "left")
-    return rows.groupBy(m("id").alias("module")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.col("lines").cast("long")).alias("lines"), F.count("_entry").alias("entries"))
+    """module, files, lines, entries: entries are files that another module imports; entry_points() lists them."""
+    rows = nodes.join(entry_points(edges).withColumn("_entry", F.lit(1)), "id", "left")
+    return rows.groupBy(module_id(F.col("id")).alias("module")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.col("lines").cast("long")).alias("lines"), F.count("_entry").alias("entries"))
+
+
+def mean_complexity(nodes: DataFrame) -> DataFrame:
+    """module, complexity: the mean of its files'."""
+    return nodes.groupBy(module_id(F.col("id")).alias("module")).agg(F.avg("complexity").alias("complexity"))
 
 
 def coupling(edges: DataFrame) -> DataFrame:
@@ -85,7 +101,7 @@ def conventions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     links = edges.where("type <> 'tests'").select(F.col("src").alias("id"), F.col("dst").alias("anchor")).distinct()
     counts = of.join(links, "id").groupBy("type", "anchor").agg(F.count(F.lit(1)).alias("adoption"))
     kinds = nodes.select(F.col("id").alias("anchor"), F.col("type").alias("anchor_type"))
-    rows = counts.join(F.broadcast(totals), "type").withColumn("coverage", F.col("adoption") / F.col("total")).where("coverage >= 0.6")  # totals: a row per type
+    rows = counts.join(totals, "type").withColumn("coverage", F.col("adoption") / F.col("total")).where("coverage >= 0.6")
     return rows.join(kinds, "anchor", "left").where("anchor_type is null or anchor_type <> type").select("anchor", F.col("type").alias("consumer"), "adoption", "total", "coverage")
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import settled
 from ..functions.columns import folder, joined_path
+from ..functions.render import complexity_colour, type_colour
 
 # What is tried after a path, in order.
 ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js")
@@ -20,7 +22,7 @@ def find_nodes(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def by_alias(wanted: DataFrame, aliases: DataFrame) -> DataFrame:
     """wanted (key, spec) with path: of the aliases (alias, target, ord; a handful, from one file) the first that the specifier starts with is replaced."""
-    few = F.broadcast(aliases.select(F.col("ord").alias("_ord"), "alias", "target"))
+    few = aliases.select(F.col("ord").alias("_ord"), "alias", "target")
     hits = wanted.select("key", "spec").join(few, F.col("spec").startswith(F.col("alias"))).groupBy("key").agg(F.min(F.struct("_ord", "alias", "target")).alias("a"))
     return wanted.join(hits, "key", "left").withColumn("path", F.when(F.col("a").isNotNull(), F.concat("a.target", F.expr("substring(spec, length(a.alias) + 1)")))).drop("a")
 
@@ -38,12 +40,12 @@ def by_package(wanted: DataFrame, packages: DataFrame) -> DataFrame:
 
 
 def imports_to_edges(nodes: DataFrame, aliases: DataFrame, packages: DataFrame) -> DataFrame:
-    """nodes (ord, id, type, imports) to edges src, dst, type, ord; an import that is there twice gives two edges.
+    """nodes (ord, id, type, imports) to edges src, dst, type, ord (a struct: the file's, then the import's place); an import that is there twice gives two edges.
 
     Relative specifiers are joined to their file's folder; others go through aliases, those that begin with @/ or ~/ stand as they are without one; the rest is looked for among packages.
     """
-    rows = nodes.select("ord", F.col("id").alias("src"), F.col("type").alias("_t"), F.posexplode("imports").alias("pos", "spec")).withColumn("key", F.col("ord") * 1_000_000 + F.col("pos"))
-    rows = by_alias(rows, aliases)
+    rows = nodes.select("ord", F.col("id").alias("src"), F.col("type").alias("_t"), F.posexplode("imports").alias("pos", "spec")).withColumn("key", F.struct("ord", "pos"))
+    rows = by_alias(settled(rows), aliases)
     path = F.when(F.col("spec").startswith("."), joined_path(folder(F.col("src")), F.col("spec"))).otherwise(F.coalesce("path", F.when(F.col("spec").rlike("^[@~]/"), F.col("spec"))))
     rows = rows.withColumn("path", path)
     known = find_nodes(rows.where("path is not null").select("key", "path"), nodes).select("key", F.col("node").alias("dst"))
@@ -72,14 +74,21 @@ def by_suffix(wanted: DataFrame, ids: DataFrame) -> DataFrame:
     return hits.select("input", F.coalesce("exact", F.when(F.col("n") == 1, F.col("one"))).alias("id"), status.alias("status"), F.col("n").alias("matches"))
 
 
+# Sizes and turns of the layout.
+NODE_RADIUS = (4, 18)
+GOLDEN, MARGIN, TITLE_SHIFT = 1.618, 25, 10
+CELL, LEAST_WIDTH, LEAST_HEIGHT, TITLE_HEIGHT = 30, 120, 80, 20
+TOP, ROW_GAP, COLUMN_GAP, WRAP_AT = 60.0, 20, 15, 1200
+
+
 def spiral(nodes: DataFrame, boxes: DataFrame) -> DataFrame:
-    """nodes (id, module, entry, complexity, ord) with x, y in their module's box (module, x, y, width, height): a spiral, entries first, then by complexity."""
+    """nodes (id, type, module, entry, complexity, ord) with x, y, radius and colour in their module's box (module, x, y, width, height): a spiral, entries first, then by complexity."""
     w = Window.partitionBy("module")
     rows = nodes.withColumns({"_i": F.row_number().over(w.orderBy(F.desc("entry"), F.desc("complexity"), "ord")) - 1, "_n": F.count(F.lit(1)).over(w)})
     rows = rows.join(boxes.select("module", F.col("x").alias("_x"), F.col("y").alias("_y"), "width", "height"), "module")
-    angle = F.col("_i") * (2 * F.pi() / F.col("_n")) * 1.618
-    r = F.when(F.col("_n") == 1, 0.0).otherwise((F.least("width", "height") / 2 - 25) * F.sqrt(F.col("_i") + 1) / F.sqrt("_n"))
-    return rows.select("id", "module", (F.col("_x") + F.col("width") / 2 + r * F.cos(angle)).alias("x"), (F.col("_y") + F.col("height") / 2 + 10 + r * F.sin(angle)).alias("y"))
+    angle = F.col("_i") * (2 * F.pi() / F.col("_n")) * GOLDEN
+    r = F.when(F.col("_n") == 1, 0.0).otherwise((F.least("width", "height") / 2 - MARGIN) * F.sqrt(F.col("_i") + 1) / F.sqrt("_n"))
+    return rows.select("id", "module", (F.col("_x") + F.col("width") / 2 + r * F.cos(angle)).alias("x"), (F.col("_y") + F.col("height") / 2 + TITLE_SHIFT + r * F.sin(angle)).alias("y"), (NODE_RADIUS[0] + (NODE_RADIUS[1] - NODE_RADIUS[0]) * F.least("complexity", F.lit(1.0))).alias("radius"), type_colour(F.col("type")).alias("colour"), complexity_colour(F.col("complexity")).alias("heat"))
 
 
 def grid(modules: DataFrame, padding: int = 40, inner: int = 20) -> DataFrame:
@@ -88,15 +97,29 @@ def grid(modules: DataFrame, padding: int = 40, inner: int = 20) -> DataFrame:
     The running place is a fold over one sorted array: a project's modules, and not its files.
     """
     rows = F.ceil(F.sqrt("files"))
-    sized = modules.where("files > 0").select("module", (-F.col("lines")).alias("_o"), F.greatest(rows * 30 + inner * 2, F.lit(120)).cast("double").alias("width"), F.greatest(F.ceil(F.col("files") / rows) * 30 + inner * 2 + 20, F.lit(80)).cast("double").alias("height"))
+    sized = modules.where("files > 0").select("module", (-F.col("lines")).alias("_o"), F.greatest(rows * CELL + inner * 2, F.lit(LEAST_WIDTH)).cast("double").alias("width"), F.greatest(F.ceil(F.col("files") / rows) * CELL + inner * 2 + TITLE_HEIGHT, F.lit(LEAST_HEIGHT)).cast("double").alias("height"))
     whole = sized.agg(F.array_sort(F.collect_list(F.struct("_o", "module", "width", "height"))).alias("m"))
     box = "struct<module: string, x: double, y: double, width: double, height: double>"
-    start = F.struct(F.lit(float(padding)).alias("x"), F.lit(60.0).alias("y"), F.lit(0.0).alias("row"), F.lit(0).alias("col"), F.array().cast(f"array<{box}>").alias("out"))
+    start = F.struct(F.lit(float(padding)).alias("x"), F.lit(TOP).alias("y"), F.lit(0.0).alias("row"), F.lit(0).alias("col"), F.array().cast(f"array<{box}>").alias("out"))
 
     def place(a, m):
-        wrap = (a["col"] >= F.ceil(F.sqrt(F.size("m")))) & (a["x"] + m["width"] > 1200)
-        x, y = F.when(wrap, float(padding)).otherwise(a["x"]), F.when(wrap, a["y"] + a["row"] + 20).otherwise(a["y"])
+        wrap = (a["col"] >= F.ceil(F.sqrt(F.size("m")))) & (a["x"] + m["width"] > WRAP_AT)
+        x, y = F.when(wrap, float(padding)).otherwise(a["x"]), F.when(wrap, a["y"] + a["row"] + ROW_GAP).otherwise(a["y"])
         one = F.struct(m["module"].alias("module"), x.alias("x"), y.alias("y"), m["width"].alias("width"), m["height"].alias("height")).cast(box)
-        return F.struct((x + m["width"] + 15).alias("x"), y.alias("y"), F.greatest(F.when(wrap, 0.0).otherwise(a["row"]), m["height"]).alias("row"), (F.when(wrap, 0).otherwise(a["col"]) + 1).alias("col"), F.array_append(a["out"], one).alias("out"))
+        return F.struct((x + m["width"] + COLUMN_GAP).alias("x"), y.alias("y"), F.greatest(F.when(wrap, 0.0).otherwise(a["row"]), m["height"]).alias("row"), (F.when(wrap, 0).otherwise(a["col"]) + 1).alias("col"), F.array_append(a["out"], one).alias("out"))
 
     return whole.select(F.explode(F.aggregate("m", start, place, lambda a: a["out"])).alias("b")).select("b.*")
+
+
+def drawn_links(edges: DataFrame, placed: DataFrame, least: float = 20.0) -> DataFrame:
+    """src, dst, x1, y1, x2, y2 of the edges between placed files (id, x, y) that are not nearer than that."""
+    of = lambda c, n: placed.select(F.col("id").alias(c), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+    both = edges.select("src", "dst").join(of("src", 1), "src").join(of("dst", 2), "dst")
+    return both.where(F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2)) >= least)
+
+
+def module_links(coupling: DataFrame, boxes: DataFrame) -> DataFrame:
+    """coupling's rows (from_module, to_module) between placed boxes, with the middles of both, rounded."""
+    mid = lambda a, b: F.floor(F.col(a) + F.col(b) / 2 + 0.5).cast("long")
+    of = lambda c, n: boxes.select(F.col("module").alias(c), mid("x", "width").alias(f"x{n}"), mid("y", "height").alias(f"y{n}"))
+    return coupling.join(of("from_module", 1), "from_module").join(of("to_module", 2), "to_module")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import settled, table
 from .functions import columns as C
 from .functions import extract as X
+from .functions import render
 from .operators import experiments as E
 from .operators import graph as G
 from .operators import history as H
@@ -38,7 +39,9 @@ _FOLDER = "case p_type " + " ".join(f"when '{k}' then '{v[1]}'" for k, v in star
 NODES = f"""
 nodes as (
   select p_partkey as ord, lower(replace(p_brand, '#', '')) || '/' || {_FOLDER} || '/' || replace(p_name, ' ', '-') || '-' || p_partkey || '.ts' as id,
-         {_TYPE} as type, floor(p_retailprice)::int as lines, p_name from part)"""
+         {_TYPE} as type, floor(p_retailprice)::int as lines, p_name, string_split(p_name, ' ') as exports,
+         case when p_partkey % 2 = 0 then ['GET', 'POST'] else ['DELETE'] end as methods, '/' || {_FOLDER} || '/' || p_partkey as route, p_partkey % 3 = 0 as client
+  from part)"""
 EDGES = f"""{NODES},
 o1 as (select l_orderkey, min(l_partkey) as m1 from lineitem group by 1),
 o2 as (select l_orderkey, m1, min(case when l_partkey > m1 then l_partkey end) as m2 from lineitem join o1 using (l_orderkey) group by 1, 2),
@@ -66,11 +69,13 @@ trials as (
   select event_type as condition, user_id as question, (props->>'$.k')::bigint % 3 as assertion, event_id as trial,
          case when value < 30 then 'PASS' when value < 60 then 'PARTIAL' else 'FAIL' end as verdict,
          case when value < 30 then 1.0 when value < 60 then 0.5 else 0.0 end::double as s, value as latency,
-         case when (props->>'$.k')::bigint % 4 > 0 then (props->>'$.k')::bigint % 7 end as tools, ts
+         case when (props->>'$.k')::bigint % 4 > 0 then (props->>'$.k')::bigint % 7 end as tools, user_id + 100 as tokens_in, length(props)::bigint as tokens_out, ts
   from events),
-scores as (select condition, question, avg(s) as score from trials group by 1, 2),
+scores as (select condition, question, avg(s) as score, min(trial) as ord from trials group by 1, 2),
+arms as (select condition, min(ord) as first from scores group by 1),
+pairs as (select x.condition as a, y.condition as b from arms x join arms y on (x.first, x.condition) < (y.first, y.condition)),
 rates as (
-  select question, assertion, condition, avg(s) as rate, count(*) as n, case when avg(s) = 0 then 0 else stddev_pop(s) / avg(s) end as cv
+  select question, assertion, condition, avg(s) as rate, count(*) as n, min(trial) as ord, case when avg(s) = 0 then 0 else stddev_pop(s) / avg(s) end as cv
   from trials group by 1, 2, 3)"""
 
 
@@ -253,9 +258,9 @@ files as (select l_orderkey as c, o_orderdate as d, 'src/' || l_partkey || '.ts'
 
 @query(f"""with {_COMMITS},
 per as (select path, c, max(d) as d, sum(added) as added, sum(removed) as removed from files where d >= (select max(d) from files) - interval 30 days group by 1, 2)
-select path, count(*) as commits, sum(added)::bigint as added, sum(removed)::bigint as removed, arg_max(c, (d, c)) as last_commit from per group by 1""")
+select path, count(*) as commits, sum(added)::bigint as added, sum(removed)::bigint as removed, arg_max(c, (d, c)) as last_commit, max(d) as last_date, 'order ' || arg_max(c, (d, c)) as last_message from per group by 1""")
 def churn_30d(spark, sf_dir):
-    return H.churn(star.commits(spark, sf_dir))
+    return H.churn(star.commits(spark, sf_dir)).withColumn("last_message", F.regexp_extract("last_message", r"^order \d+", 0))
 
 
 @query(f"""with {_COMMITS},
@@ -312,10 +317,10 @@ def git_log_forward_fill(spark, sf_dir):
 # --- paths and texts
 
 
-@query(r"""select page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host, list_aggregate(list_transform(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: x), 'string_agg', ' ') as links from pages where html is not null""")
+@query(r"""select page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host, list_aggregate(list_transform(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: x), 'string_agg', ' ') as links from pages""")
 def extract_links(spark, sf_dir):
     found = F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))
-    return table(spark, sf_dir, "pages").where("html is not null").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("host"), F.when(F.size(found) > 0, F.array_join(found, " ")).alias("links"))
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("host"), F.when(F.size(found) > 0, F.array_join(found, " ")).alias("links"))
 
 
 _URL = "regexp_replace(coalesce(url, ''), '^[a-z]+://', '')"
@@ -340,14 +345,14 @@ def path_classify(spark, sf_dir):
 
 
 @query(f"""with {NODES}
-select ord, id as node from nodes where ord % 3 <> 2""")
+select ord, case when ord % 3 <> 2 then id end as node from nodes""")
 def resolve_relative(spark, sf_dir):
     """Specifiers that go up and down again; for each third one, to a file that isn't there."""
     n = star.parts(spark, sf_dir)
     base = F.regexp_replace("id", r"\.ts\z", "")
     spec = F.concat(F.lit("../../x/./../"), F.when(F.col("ord") % 3 == 2, F.lit("no/")).otherwise(""), base)
     wanted = n.select(F.col("ord").alias("key"), C.joined_path(C.folder(F.col("id")), spec).alias("path"))
-    return R.find_nodes(wanted, n).where("node is not null").select(F.col("key").alias("ord"), "node")
+    return R.find_nodes(wanted, n).select(F.col("key").alias("ord"), "node")
 
 
 @query(f"""with {NODES} select ord, string_split(id, '/')[1] || '/' || string_split(id, '/')[2] as package, string_split(id, '/')[3] as rest from nodes""")
@@ -400,7 +405,7 @@ def _trials(spark, sf_dir):
 
 @query(f"""with {TRIALS},
 a as (select condition, avg(score) as mean, coalesce(stddev_pop(score), 0) as deviation, min(score) as least, max(score) as most from scores group by 1),
-b as (select condition, avg((verdict = 'PASS')::int) as passed, avg((verdict = 'PARTIAL')::int) as partial, avg((verdict = 'FAIL')::int) as failed, avg(latency) as latency from trials group by 1)
+b as (select condition, avg((verdict = 'PASS')::int) as passed, avg((verdict = 'PARTIAL')::int) as partial, avg((verdict = 'FAIL')::int) as failed, avg(latency) as latency, avg(tokens_in + tokens_out) as tokens from trials group by 1)
 select * from a join b using (condition)""")
 def condition_stats(spark, sf_dir):
     return E.condition_stats(_trials(spark, sf_dir))
@@ -413,16 +418,17 @@ def task_pivot(spark, sf_dir):
 
 
 @query(f"""with {TRIALS},
-d as (select x.condition as a, y.condition as b, avg(sign(x.score - y.score)) as delta from scores x join scores y on x.condition < y.condition group by 1, 2)
+d as (select a, b, avg(sign(x.score - y.score)) as delta from pairs join scores x on x.condition = a join scores y on y.condition = b group by 1, 2)
 select *, case when abs(delta) < 0.147 then 'negligible' when abs(delta) < 0.33 then 'small' when abs(delta) < 0.474 then 'medium' else 'large' end as magnitude from d""")
 def cliffs_delta(spark, sf_dir):
     return E.cliffs_delta(E.question_scores(_trials(spark, sf_dir)))
 
 
-@query(f"""with {TRIALS}
-select x.condition as a, y.condition as b, count(*) filter (x.score - y.score > 0.01) as wins, count(*) filter (x.score - y.score < -0.01) as losses,
-       count(*) filter (abs(x.score - y.score) <= 0.01) as ties, count(*) as total
-from scores x join scores y on x.question = y.question and x.condition < y.condition group by 1, 2""")
+@query(f"""with {TRIALS},
+placed as (select *, row_number() over (partition by condition order by ord, question) as place from scores),
+gaps as (select a, b, x.score - y.score as g from pairs join placed x on x.condition = a join placed y on y.condition = b and y.place = x.place)
+select a, b, count(*) filter (abs(g) >= 0.01 and g > 0) as wins, count(*) filter (abs(g) >= 0.01 and g < 0) as losses, count(*) filter (abs(g) < 0.01) as ties, count(*) as total
+from gaps group by 1, 2""")
 def win_rate(spark, sf_dir):
     return E.win_rates(E.question_scores(_trials(spark, sf_dir)))
 
@@ -436,14 +442,12 @@ def _rates(spark, sf_dir):
     return E.assertion_rates(_trials(spark, sf_dir))
 
 
-@query(f"""with {TRIALS}, whole as (select assertion, condition, avg(s) as rate from trials group by 1, 2)
-select 0::bigint as question, assertion, count(*) as conditions, max(rate) - min(rate) as spread from whole group by 2 having count(*) >= 2 and max(rate) - min(rate) < 0.05""")
+@query(f"""with {TRIALS} select question, assertion, count(*) as conditions, max(rate) - min(rate) as spread from rates group by 1, 2 having count(*) >= 2 and max(rate) - min(rate) < 0.05""")
 def diag_non_discriminating(spark, sf_dir):
-    """All questions as one."""
-    return E.non_discriminating(E.assertion_rates(_trials(spark, sf_dir).withColumn("question", F.lit(0).cast("long"))))
+    return E.non_discriminating(_rates(spark, sf_dir))
 
 
-@query(f"""with {TRIALS} select question, assertion, min(condition) as condition, arg_min(cv, condition) as cv from rates where n >= 3 and cv > 0.3 group by 1, 2""")
+@query(f"""with {TRIALS} select question, assertion, arg_min(condition, ord) as condition, arg_min(cv, ord) as cv from rates where n >= 3 and cv > 0.3 group by 1, 2""")
 def diag_flaky(spark, sf_dir):
     return E.flaky(_rates(spark, sf_dir))
 
@@ -467,7 +471,15 @@ def diag_correlation(spark, sf_dir):
     return E.correlations(_rates(spark, sf_dir))
 
 
-@query()
+#: Assertions are 0, 1 and 2, so the greedy walk is three steps.
+_REDUNDANT = f"""{_RHO},
+hi as (select question, coalesce(bool_or(x = 0 and y = 1), false) as a, coalesce(bool_or(x = 0 and y = 2), false) as b, coalesce(bool_or(x = 1 and y = 2), false) as c from rho where abs(rho) > 0.9 group by 1),
+redundant as (
+  select question, 1::bigint as assertion, 0::bigint as like_ from hi where a
+  union all select question, 2, case when b then 0 else 1 end from hi where b or (c and not a))"""
+
+
+@query(f"with {_REDUNDANT} select question, assertion, like_ as like from redundant")
 def diag_redundant(spark, sf_dir):
     return E.redundant(E.correlations(_rates(spark, sf_dir)))
 
@@ -491,7 +503,7 @@ def judge_consistency(spark, sf_dir):
     return E.consistency(_trials(spark, sf_dir))
 
 
-@query(f"with {TRIALS} select condition, question, assertion, count(*) as n from trials group by 1, 2, 3 having count(*) >= 3 and count(distinct verdict) = 1")
+@query(f"with {TRIALS} select condition, question, count(*) as n from trials group by 1, 2 having count(*) >= 3 and count(distinct verdict) = 1")
 def early_stop(spark, sf_dir):
     return E.early_stop(_trials(spark, sf_dir))
 
@@ -518,18 +530,62 @@ def score_responses(spark, sf_dir):
 
 # --- layout
 
-
-@query()
+_BOXES = f"""{COMPLEX},
+entry as (select distinct dst from edges where {MOD.format("src")} <> {MOD.format("dst")}),
+sized as (select {MOD.format("id")} as module, count(*) as files, sum(lines)::bigint as lines from nodes group by 1),
+m as (
+  select module, row_number() over (order by lines desc, module) as i, count(*) over () as n,
+         greatest(ceil(sqrt(files)) * {R.CELL} + 40, {R.LEAST_WIDTH})::double as width, greatest(ceil(files / ceil(sqrt(files))) * {R.CELL} + 60, {R.LEAST_HEIGHT})::double as height from sized),
+fold(i, module, x, y, width, height, row, col) as (
+  select i, module, 40.0::double, {R.TOP}::double, width, height, height, 1 from m where i = 1
+  union all
+  select m.i, m.module, case when w then 40.0 else nx end, case when w then f.y + f.row + {R.ROW_GAP} else f.y end, m.width, m.height,
+         greatest(case when w then 0 else f.row end, m.height), case when w then 0 else f.col end + 1
+  from fold f join m on m.i = f.i + 1, lateral (select f.x + f.width + {R.COLUMN_GAP} as nx), lateral (select f.col >= ceil(sqrt(m.n)) and nx + m.width > {R.WRAP_AT} as w)),
+boxes as (select module, x, y, width, height from fold)"""
+
+
+@query(f"with recursive {_BOXES} select * from boxes")
 def layout_grid(spark, sf_dir):
     return R.grid(M.modules(*_graph(spark, sf_dir)))
 
 
-@query()
+def _placed(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    rows = _complex(nodes, edges).join(M.entry_points(edges).withColumn("entry", F.lit(True)), "id", "left").withColumn("entry", F.coalesce("entry", F.lit(False))).withColumn("module", C.module_id(F.col("id")))
+    return R.spiral(rows, R.grid(M.modules(nodes, edges))), edges
+
+
+_COLOUR = "case type " + " ".join(f"when '{k}' then '{v}'" for k, v in render.TYPE_COLOURS.items()) + f" else '{render.TYPE_COLOURS['utility']}' end"
+_SPIRAL = f"""{_BOXES},
+turn as (
+  select cx.id, cx.type, {MOD.format("id")} as module, complexity, row_number() over (partition by {MOD.format("id")} order by (entry.dst is not null) desc, complexity desc, ord) - 1 as i,
+         count(*) over (partition by {MOD.format("id")}) as n from cx left join entry on entry.dst = id),
+spiral as (
+  select id, module, x + width / 2 + r * cos(a) as x, y + height / 2 + {R.TITLE_SHIFT} + r * sin(a) as y, 4 + 14 * least(complexity, 1) as radius, {_COLOUR} as colour
+  from (select t.*, b.x, b.y, b.width, b.height, i * (2 * pi() / n) * {R.GOLDEN} as a, case when n = 1 then 0 else (least(width, height) / 2 - {R.MARGIN}) * sqrt(i + 1) / sqrt(n) end as r from turn t join boxes b using (module)))"""
+
+
+@query(f"with recursive {_SPIRAL} select id, module, round(x, 6) as x, round(y, 6) as y, round(radius, 6) as radius, colour from spiral")
 def layout_spiral(spark, sf_dir):
+    """Places to six decimals: cosines differ in the last bit."""
+    six = lambda c: F.round(c, 6).alias(c)
+    return _placed(spark, sf_dir)[0].select("id", "module", six("x"), six("y"), six("radius"), "colour")
+
+
+@query(f"with recursive {_SPIRAL} select src, dst, count(*) as n from edges e join spiral s on s.id = src join spiral d on d.id = dst where round(sqrt((d.x - s.x) ** 2 + (d.y - s.y) ** 2), 6) >= 20 group by 1, 2")
+def layout_links(spark, sf_dir):
+    placed, edges = _placed(spark, sf_dir)
+    return R.drawn_links(edges, placed, 20 - 5e-7).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with recursive {_BOXES}
+select {MOD.format("src")} as from_module, {MOD.format("dst")} as to_module, count(*) as n, floor(a.x + a.width / 2 + 0.5)::bigint as x1, floor(a.y + a.height / 2 + 0.5)::bigint as y1, floor(b.x + b.width / 2 + 0.5)::bigint as x2, floor(b.y + b.height / 2 + 0.5)::bigint as y2
+from edges join boxes a on a.module = {MOD.format("src")} join boxes b on b.module = {MOD.format("dst")} where a.module <> b.module group by 1, 2, 4, 5, 6, 7""")
+def layout_roads(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    entry = edges.where(C.module_id(F.col("src")) != C.module_id(F.col("dst"))).select(F.col("dst").alias("id")).distinct().withColumn("entry", F.lit(True))
-    rows = _complex(nodes, edges).join(entry, "id", "left").withColumn("entry", F.coalesce("entry", F.lit(False))).withColumn("module", C.module_id(F.col("id")))
-    return R.spiral(rows, R.grid(M.modules(nodes, edges)))
+    pairs = M.coupling(edges).groupBy("from_module", "to_module").agg(F.sum("n").alias("n"))
+    return R.module_links(pairs, R.grid(M.modules(nodes, edges)))
 
 
 @query()

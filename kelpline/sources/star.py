@@ -21,10 +21,10 @@ def _by_type(i: int):
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ord, id, type, lines, name."""
+    """ord, id, type, lines, p_name, exports, methods, route, client."""
     name = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey").cast("string"))
     path = F.concat_ws("/", F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), _by_type(1), F.concat(name, F.lit(".ts")))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), path.alias("id"), _by_type(0).alias("type"), F.col("p_retailprice").cast("int").alias("lines"), "p_name")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), path.alias("id"), _by_type(0).alias("type"), F.col("p_retailprice").cast("int").alias("lines"), "p_name", F.split("p_name", " ").alias("exports"), F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("GET"), F.lit("POST"))).otherwise(F.array(F.lit("DELETE"))).alias("methods"), F.concat(F.lit("/"), _by_type(1), F.lit("/"), F.col("p_partkey").cast("string")).alias("route"), (F.col("p_partkey") % 3 == 0).alias("client"))
 
 
 def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,16 +45,22 @@ def edges(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None) -> D
     return out.select("src", "dst", F.when(F.col("_type") == "test", "tests").otherwise("imports").alias("type"), (F.col("k") * 10_000_000_000 + F.col("t")).alias("ord"))
 
 
+def own_commits(spark: SparkSession, sf_dir: str, nodes: DataFrame) -> DataFrame:
+    """As commits(), with the parts' ids as paths."""
+    ids = nodes.select(F.concat(F.lit("src/"), F.col("ord").cast("string"), F.lit(".ts")).alias("path"), "id")
+    return commits(spark, sf_dir).join(ids, "path").drop("path").withColumnRenamed("id", "path")
+
+
 def commits(spark: SparkSession, sf_dir: str, file: str = "l_partkey") -> DataFrame:
-    """commit, date, path, added, removed: the lines of all orders."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("date"))
+    """commit, date, message, path, added, removed: the lines of all orders."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("date"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" "), F.col("o_orderpriority")).alias("message"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit"), F.concat(F.lit("src/"), F.col(file).cast("string"), F.lit(".ts")).alias("path"), F.col("l_quantity").cast("long").alias("added"), F.col("l_linenumber").cast("long").alias("removed"))
     return lines.join(orders, "commit")
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """condition, question, assertion, trial, verdict, latency, tools: the rows of events."""
+    """condition, question, assertion, trial, verdict, latency, tools, tokens_in, tokens_out, ts: the rows of events."""
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     verdict = F.when(F.col("value") < 30, "PASS").when(F.col("value") < 60, "PARTIAL").otherwise("FAIL")
-    return e.select(F.col("event_type").alias("condition"), F.col("user_id").alias("question"), F.pmod(k, F.lit(3)).alias("assertion"), F.col("event_id").alias("trial"), verdict.alias("verdict"), F.col("value").alias("latency"), F.when(k % 4 > 0, k % 7).alias("tools"), F.col("ts"))
+    return e.select(F.col("event_type").alias("condition"), F.col("user_id").alias("question"), F.pmod(k, F.lit(3)).alias("assertion"), F.col("event_id").alias("trial"), verdict.alias("verdict"), F.col("value").alias("latency"), F.when(k % 4 > 0, k % 7).alias("tools"), (F.col("user_id") + 100).alias("tokens_in"), F.length("props").cast("long").alias("tokens_out"), F.col("ts"))

@@ -2,27 +2,61 @@ import pytest
 from pyspark.sql import functions as F
 
 from kelpline.operators import experiments as E
+from kelpline.sources import experiment_files as J
 
-TRIALS = "condition string, question long, assertion long, trial long, verdict string, latency double, tools long"
+TRIALS = "condition string, question long, assertion long, trial long, verdict string, latency double, tools long, tokens_in long, tokens_out long"
 
 
 def trials(spark, rows):
-    return spark.createDataFrame([(c, q, a, i, v, 1.0, t) for i, (c, q, a, v, t) in enumerate(rows)], TRIALS)
+    return spark.createDataFrame([(c, q, a, i, v, 1.0, t, 10, 2) for i, (c, q, a, v, t) in enumerate(rows)], TRIALS)
 
 
 def scores(spark, **by):
-    return spark.createDataFrame([(c, i, float(x)) for c, xs in by.items() for i, x in enumerate(xs)], "condition string, question long, score double")
+    return spark.createDataFrame([(c, i, float(x), 100 * k + i) for k, (c, xs) in enumerate(by.items()) for i, x in enumerate(xs)], "condition string, question long, score double, ord long")
 
 
 def test_deltas_and_wins(spark):
-    s = scores(spark, a=[0.8, 0.5, 1.0], b=[0.5, 0.5, 0.7])
+    # The order is that in which conditions are seen, and not by name; the longer list's end has no match.
+    s = scores(spark, z=[0.9, 0.25, 0.6, 0.31, 1.0], a=[0.4, 0.25, 0.75, 0.3])
     w = E.win_rates(s).first()
-    assert (w.wins, w.losses, w.ties, w.total) == (2, 0, 1, 3)
-    assert E.cliffs_delta(s).first().delta == pytest.approx(5 / 9)
+    assert (w.a, w.b, w.wins, w.losses, w.ties, w.total) == ("z", "a", 2, 1, 1, 4)
+    above = sum((x > y) - (x < y) for x in [0.9, 0.25, 0.6, 0.31, 1.0] for y in [0.4, 0.25, 0.75, 0.3])
+    assert E.cliffs_delta(s).first().delta == pytest.approx(above / 20)
     low = E.cliffs_delta(scores(spark, a=[0, 0], b=[1, 1])).first()
     assert (low.delta, low.magnitude) == (-1.0, "large")
     ci = E.bootstrap(s).first()
-    assert -1 <= ci.lo <= 5 / 9 <= ci.hi <= 1
+    assert -1 <= ci.lo <= above / 20 <= ci.hi <= 1
+
+
+def test_resume_summary_and_diagnostics(spark):
+    t = trials(spark, [("x", 1, 0, v, 0) for v in ("PASS", "FAIL", "PASS")] + [("y", 1, 0, "PASS", 1)] * 3 + [("x", 2, 0, "PASS", 0), ("y", 2, 0, "PASS", 0)])
+    s = E.summary(t).first()
+    assert (s.calls, s.tokens_in, s.tokens_out) == (8, 80, 16) and s.cost == pytest.approx(80 / 1e6 * 3 + 16 / 1e6 * 15)
+    kinds = {(r.question, r.kind) for r in E.diagnostics(E.assertion_rates(t), "x").collect()}
+    assert kinds == {(1, "flaky"), (1, "negative-signal"), (2, "non-discriminating")}
+    keys = "question string, codebase string, condition string"
+    wanted = spark.createDataFrame([(q, "c", k) for q in "pq" for k in "xy"], keys)
+    done = spark.createDataFrame([("p", "c", "x", True), ("p", "c", "y", False)], keys + ", done boolean")
+    assert {(r.question, r.condition) for r in E.remaining(wanted, done).collect()} == {("p", "y"), ("q", "x"), ("q", "y")}
+    by = E.by_task(t.withColumn("task_type", F.lit("t")), ["x", "y"]).first()
+    assert by.y == 1.0 and E.condition_deltas(E.compare(scores(spark, a=[0.5, 0.1]), scores(spark, a=[0.9, 0.1]))).first().improvements == 1
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"name": "n", "codebases": [{"id": "c"}],\n"conditions": [{"id": "k"}], "questions": [{"id": "q", "text": "?", "taskType": "t"}], "trials": 5}')
+    config = J.read_config(spark, str(tmp_path / "c.json"))
+    r = config.first()
+    assert (r.trials, r.maxTokens, r.delayMs) == (5, 1024, 600) and J.wanted(config).collect() == [("q", "c", "k")]
+    assert E.with_questions(spark.createDataFrame([("q", 1), ("gone", 2)], "question string, x long"), J.questions(config)).count() == 1
+    (tmp_path / "bad.json").write_text('{"name": "n"}')
+    with pytest.raises(Exception, match="a configuration needs"):
+        J.read_config(spark, str(tmp_path / "bad.json")).collect()
+    rows = spark.createDataFrame([("r", "q", "t", "c", "k", "K", 1, 7, 3, 1.5, None, "a", "PASS", "so"), ("r", "q", "t", "c", "k", "K", 1, 7, 3, 1.5, None, "b", "FAIL", None)], "run string, question string, task_type string, codebase string, condition string, condition_name string, trial int, tokens_in long, tokens_out long, latency double, tools int, assertion string, verdict string, reasoning string")
+    J.write_results(rows, str(tmp_path / "out"))
+    assert sorted(map(str, J.read_results(spark, str(tmp_path / "out")).collect())) == sorted(map(str, rows.collect()))
+    said = 'REWRITE: [q1] "old"\nPROBLEM: vague\nNEW: "new"\nWHY: clear\nQUESTION: more\nSAVINGS: some '
+    a = spark.range(1).select(J.advice(F.lit(said)).alias("a")).first().a
+    assert (a.rewrites[0].question, a.rewrites[0].why, a.questions, a.conditions, a.savings) == ("q1", "clear", ["more"], [], "some")
 
 
 def test_stats_and_flags(spark):
@@ -35,6 +69,8 @@ def test_stats_and_flags(spark):
     assert E.non_discriminating(rates).count() == 0
     assert {x.condition: (x.none, x.trials) for x in E.tool_usage(t).collect()} == {"x": (1.0, 4), "y": (0.0, 4)}
     assert {(x.condition, x.question) for x in E.early_stop(t).collect()} == {("y", 1), ("x", 2)}
+    two = trials(spark, [("x", 1, a, v, 0) for _ in range(3) for a, v in ((0, "PASS"), (1, "FAIL"))]).withColumn("trial", F.floor(F.col("trial") / 2))
+    assert E.early_stop(two).first().n == 3
 
 
 def test_redundant(spark):

@@ -1,13 +1,17 @@
+from pyspark.sql import functions as F
+
 from kelpline.operators import graph as G
 from kelpline.operators import modules as M
+from kelpline.operators import profile as V
 
 NODES = "id string, type string, lines int, ord long"
 
 
 def fixture(spark):
-    names = ["src/lib/utils.ts", "src/services/service.ts", "src/controllers/controller.ts", "src/controllers/app.ts", "src/lib/utils.test.ts", "src/controllers/controller.test.ts"]
-    nodes = spark.createDataFrame([(n, "test" if ".test." in n else "utility", 10 * (i + 1), i) for i, n in enumerate(names)], NODES)
-    links = [(1, 0, "imports"), (2, 1, "imports"), (3, 2, "imports"), (4, 0, "tests"), (5, 2, "tests")]
+    """app and job stand on mail and pdf, which stand on core; mail and pdf import each other; one test tests app, another tests that test, a third core."""
+    names = ["base/core.ts", "send/mail.ts", "send/pdf.ts", "main/web/app.ts", "main/job.ts", "main/web/app.spec.ts", "checks/app.spec.spec.ts", "base/core.spec.ts"]
+    nodes = spark.createDataFrame([(n, "test" if ".spec." in n else "utility", 7 * i + 3, i) for i, n in enumerate(names)], NODES)
+    links = [(1, 0, "imports"), (2, 0, "imports"), (2, 1, "imports"), (1, 2, "imports"), (3, 1, "imports"), (4, 2, "imports"), (4, 1, "imports"), (5, 3, "tests"), (6, 5, "tests"), (7, 0, "tests")]
     edges = spark.createDataFrame([(names[a], names[b], t, i) for i, (a, b, t) in enumerate(links)], "src string, dst string, type string, ord long")
     return nodes, edges, names
 
@@ -18,18 +22,46 @@ def links(spark, pairs):
 
 def test_blast_radius(spark):
     nodes, edges, n = fixture(spark)
-    r = {x.node: x for x in G.blast_radius(nodes, edges).collect()}[n[0]]
-    assert (r.direct, r.affected, r.weighted, r.modules, r.max_depth, r.amplification) == (1, 3, 1.53, 2, 3, 3.0)
-    assert r.module_names == ["src/controllers", "src/services"]
+    got = {x.node: x for x in G.blast_radius(nodes, edges).collect()}
+    r = got[n[0]]
+    # mail and pdf at depth 1, app and job at 2: 2 * 0.7 + 2 * 0.49.
+    assert (r.direct, r.affected, r.weighted, r.modules, r.max_depth, r.amplification) == (2, 4, 2.38, 3, 2, 2.0)
+    assert r.module_names == ["main", "main/web", "send"]
+    # In a cycle a file isn't below itself.
+    assert (got[n[1]].direct, got[n[1]].affected) == (3, 3) and (got[n[2]].direct, got[n[2]].affected) == (2, 3)
+    one = V.blast_radius_of(spark.createDataFrame([(n[0],), (n[4],)], "id string"), nodes, edges)
+    assert {(x.node, x.affected, tuple(x.path)) for x in one.collect()} == {(n[0], 4, (n[1], n[3])), (n[4], 0, ())}
 
 
 def test_cascade_and_test_map(spark):
     nodes, edges, n = fixture(spark)
     roots = spark.createDataFrame([(n[0],), (n[3],)], "id string")
     got = {r.root: r for r in G.cascade_paths(edges, nodes, roots).collect()}
-    assert got[n[0]].path == [n[1], n[2], n[3]] and n[3] not in got
+    assert got[n[0]].path == [n[1], n[3]] and n[3] not in got
     rows = {(r.root, r.test, r.kind, r.via) for r in G.test_map(edges, nodes, roots).collect()}
-    assert rows == {(n[0], n[4], "direct", None), (n[0], n[5], "transitive", n[2])}
+    assert rows == {(n[0], n[7], "direct", None), (n[0], n[5], "transitive", n[3]), (n[0], n[6], "transitive", n[5]), (n[3], n[5], "direct", None), (n[3], n[6], "transitive", n[5])}
+    deps = {(r.node, r.next) for r in G.forward_links(edges).collect()}
+    assert (n[4], n[2]) in deps and not any(a == n[5] for a, _ in deps)
+
+
+def test_profile(spark):
+    nodes, edges, n = fixture(spark)
+    nodes = nodes.withColumn("exports", F.array(F.lit("run")))
+    risk = G.blast_radius(nodes, edges)
+    churn = spark.createDataFrame([(n[0], 4, 9, 2, "tidy")], "path string, commits long, added long, removed long, last_message string")
+    pairs = spark.createDataFrame([(n[0], n[4], 3, 0.5, False)], "a string, b string, together long, confidence double, linked boolean")
+    found = spark.createDataFrame([(n[0], "utility", 3, 4, 0.75)], "anchor string, consumer string, adoption long, total long, coverage double")
+    broken = spark.createDataFrame([(n[0], "utility", n[4])], "anchor string, consumer string, id string")
+    tests = G.test_map(edges, nodes, nodes)
+    rows = V.risk_profile(nodes, risk, churn, pairs, tests, broken, found, nodes)
+    got = {r.node: r for r in rows.collect()}
+    assert len(got) == 8 and (got[n[0]].affected, got[n[0]].commits, got[n[0]].n_tests) == (4, 4, 3)
+    assert got[n[4]].direct is None and got[n[4]].commits is None and got[n[4]].partners[0].file == n[0]
+    assert got[n[4]].violations == ["base/core.ts:run — utility (75% adoption)"]
+    text = {r.node: r.text for r in V.as_text(rows).collect()}
+    assert text[n[0]].split("\n")[1:3] == ["risk: ×2→4  d2  amp2.0  3mod", 'churn: 4 commits/30d  +9 -2  last: "tidy"']
+    assert "co-change: base/core.ts (3×, 50% confidence)" in text[n[4]] and "risk: (none)" in text[n[4]]
+    assert '"commits":null' in [r.json for r in V.as_json(rows).collect() if f'"node":"{n[4]}"' in r.json][0]
 
 
 def test_reach_cycle_diamond_and_empty(spark):
@@ -44,11 +76,12 @@ def test_reach_cycle_diamond_and_empty(spark):
 def test_tiers_weights_modules(spark):
     nodes, edges, n = fixture(spark)
     tiers = G.risk_tiers(G.blast_radius(nodes, edges), nodes).collect()
-    assert [(r.place, r.node, r.similar) for r in tiers] == [(1, n[0], 0), (2, n[1], 0)]
+    assert [(r.place, r.node, r.similar) for r in tiers] == [(1, n[0], 0), (2, n[2], 1)]
     w = {(r.src, r.dst): r.weight for r in M.weighted(edges).collect()}
-    assert w[(n[2], n[1])] == 1.44 and w[(n[1], n[0])] == 0.91
+    assert w[(n[5], n[3])] == 1.44 and w[(n[1], n[0])] == 0.72  # one edge and three: 1 / ln 2 and 1 / ln 4
     m = {r.module: r for r in M.modules(nodes, edges).collect()}
-    assert m["src/controllers"].files == 3 and m["src/lib"].entries == 1 and m["src/controllers"].entries == 0
+    assert m["send"].files == 2 and m["send"].entries == 2 and m["base"].entries == 1 and m["main"].entries == 0
+    assert [r.node for r in M.often_imported(edges, nodes, 2).orderBy("node").collect()] == [n[0], n[1]]
 
 
 def test_complexity_outlier(spark):

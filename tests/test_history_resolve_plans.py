@@ -4,7 +4,10 @@ import subprocess
 from pyspark.sql import functions as F
 
 from kelpline.functions import columns as C
+from kelpline.common import row_numbers
 from kelpline.functions import extract as X
+from kelpline.functions import render as Z
+from kelpline.operators import graph as G
 from kelpline.operators import history as H
 from kelpline.operators import modules as M
 from kelpline.operators import resolve as R
@@ -23,9 +26,9 @@ def one(spark, column):
 
 
 def test_numstat_log(spark):
-    log = lines(spark, "abc1234|2024-01-02|second\n15\t20\tsrc/a.ts\n-\t-\timg.png\n\ndef5678|2024-01-01|first\n100\t200\tsrc/a.ts\n1\t1\tb.ts")
+    log = lines(spark, "9f3e21c|2024-05-06|mend\n7\t3\tlib/q.ts\n-\t-\tlogo.gif\n\n77aa015|2024-05-04|start\n41\t0\tlib/q.ts\n6\t2\tr.ts")
     rows = H.log_rows(log).collect()
-    assert {(r.hash, r.path, r.added) for r in rows} == {("abc1234", "src/a.ts", 15), ("def5678", "src/a.ts", 100), ("def5678", "b.ts", 1)}
+    assert {(r.hash, r.path, r.added) for r in rows} == {("9f3e21c", "lib/q.ts", 7), ("77aa015", "lib/q.ts", 41), ("77aa015", "r.ts", 6)}
 
 
 def test_names_log(spark):
@@ -48,9 +51,76 @@ def test_cochange(spark):
 
 
 def test_churn_window(spark):
-    rows = [(1, dt.datetime(2024, 3, 1), "a", 1, 2), (2, dt.datetime(2024, 2, 20), "a", 3, 4), (3, dt.datetime(2024, 1, 1), "a", 9, 9)]
-    got = H.churn(spark.createDataFrame(rows, "commit long, date timestamp, path string, added long, removed long")).collect()
-    assert [(r.commits, r.added, r.removed, r.last_commit) for r in got] == [(2, 4, 6, 1)]
+    rows = [(1, dt.datetime(2024, 3, 1), "last", "a", 1, 2), (2, dt.datetime(2024, 2, 20), "before", "a", 3, 4), (3, dt.datetime(2024, 1, 1), "old", "a", 9, 9)]
+    got = H.churn(spark.createDataFrame(rows, "commit long, date timestamp, message string, path string, added long, removed long")).collect()
+    assert [(r.commits, r.added, r.removed, r.last_commit, r.last_message) for r in got] == [(2, 4, 6, 1, "last")]
+
+
+def test_row_numbers(spark):
+    rows = [(g, i * 37 % 101) for g in "xy" for i in range(90)] + [(None, 5), ("x", 37)]
+    got = row_numbers(spark.createDataFrame(rows, "g string, v long").repartition(5), ["g"], ["v"]).collect()
+    for g in ("x", "y", None):
+        mine = sorted((r.place, r.v) for r in got if r.g == g)
+        assert [p for p, _ in mine] == list(range(1, len(mine) + 1)) and [v for _, v in mine] == sorted(v for _, v in mine)
+
+
+def test_rendering(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    xs = [i / 1000 for i in range(0, 3000, 7)] + [0.25, 1.15, 2.5, 1.005, 0.125, 9.995, 1e6 + 0.05]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", *[Z.fixed(F.col("x"), d).alias(f"d{d}") for d in (0, 1, 2)]).collect()
+    for r in rows:
+        for d in (0, 1, 2):
+            assert r[f"d{d}"] == str(Decimal(r.x).quantize(Decimal(1).scaleb(-d), ROUND_HALF_UP))
+    assert one(spark, Z.complexity_bar(F.lit(0.6))) == "███▓░░····"
+    assert one(spark, Z.blended(F.lit("#000000"), F.lit("#FF0080"), F.lit(0.5))) == "rgb(128,0,64)"
+    assert one(spark, Z.complexity_colour(F.lit(1.0))) == "rgb(230,57,70)" and one(spark, Z.glyph(F.lit("test"))) == "▲"
+    assert one(spark, Z.xml_escaped(F.lit('<a b="&">'))) == "&lt;a b=&quot;&amp;&quot;&gt;"
+    assert one(spark, Z.some(F.array(*map(F.lit, "abcd")), 2)) == "a, b, +2 more" and one(spark, Z.described(F.lit("x/lib"))) == "auth, payment, POS, email"
+    assert one(spark, report.prompt(F.lit(""), F.lit("q?"), F.lit("Be brief."))) == "Be brief.\n\nq?"
+
+
+def test_whole_reports(spark):
+    nodes = spark.createDataFrame([(0, "lib/core.ts", "utility", 90, 0.5, 0, ["run", "default"], None, None, False), (1, "app/a.ts", "api-route", 30, 0.9, 1, [], ["GET"], "/api/a", False), (2, "app/b.ts", "api-route", 40, 0.9, 1, [], None, None, False), (3, "app/p.tsx", "route", 5, 0.1, 1, [], None, "/", True), (4, "ui/c.tsx", "component", 12, 0.35, 0, [], None, None, False)], "ord long, id string, type string, lines int, complexity double, n_imports long, exports array<string>, methods array<string>, route string, client boolean")
+    edges = spark.createDataFrame([("app/a.ts", "lib/core.ts", "imports", 0), ("app/b.ts", "lib/core.ts", "imports", 1), ("app/p.tsx", "app/b.ts", "imports", 2)], "src string, dst string, type string, ord long")
+    risk = G.blast_radius(nodes, edges)
+    sections = [report.header(spark, "demo", "nextjs", report.totals(nodes), "2024-01-01T00:00:00"), report.risk_section(G.risk_tiers(risk, nodes), risk, nodes, M.inbound(edges)), report.flows_section(M.flows(nodes, edges), risk, nodes, edges), report.routes_section(nodes), report.pages_section(nodes)]
+    whole = report.combined(sections)
+    assert report.text(whole).splitlines() == [
+        "KELPLINE v3 | demo | Nextjs | 5 files | 177 lines | generated 2024-01-01T00:00:00",
+        report.LEGEND,
+        report.USAGE,
+        "",
+        report.TITLES["risk"],
+        "      amp1.5  ×2→3      d2   1mod  T0   lib/core.ts",
+        "  cascades to: app",
+        "  exports: run",
+        "",
+        report.TITLES["flows"],
+        "Entry points and their cross-module dependencies",
+        "",
+        "data:       app/b -> lib/core",
+        "            app/a -> lib/core",
+        "",
+        "─── API ROUTES (2) ─────────────────────────────────",
+        f"{'?':<7}{'app/b.ts':<50}   40L 0.90",
+        f"{'GET':<7}{'/api/a':<50}   30L 0.90",
+        "",
+        "─── PAGES (1) ──────────────────────────────────────────",
+        f"{'/ [client]':<44}    5L 0.10",
+        "",
+    ]
+    mods, cover = M.modules(nodes, edges), M.coverage(nodes, edges)
+    first = report.text(report.first_format("demo", "nextjs", nodes, edges, mods, M.coupling(edges), M.most_imported(edges, nodes, with_tests=True), cover))
+    assert "████▓▓▓··  " not in first and "GET                /api/a" in first and " ← payment+POS hub" in first and first.endswith("0 test files | 0/5 testable files with direct test edges (0.0%)\n")
+    plain = report.plain_text("demo", "nextjs", nodes, mods, M.most_imported(edges, nodes, 10, with_tests=True), cover, risk)
+    bare = report.plain_text("demo", "nextjs", nodes, mods, M.most_imported(edges, nodes, 10, with_tests=True), cover, risk, bare=True)
+    text = report.text(plain)
+    assert "- lib/core.ts: 3 affected, depth 2, 1 modules, amp 1.5\n" in text and "\n\n## Components (1)\n- c.tsx (12 lines, complexity: 0.35)\n" in text
+    assert "Risk" not in report.text(bare) and "- c.tsx (12 lines)\n" in report.text(bare)
+    assert not report.variant(whole, plain, bare, "v2").where("line like 'USAGE%'").count() and report.variant(whole, plain, bare, "none").count() == 0
+    hubs = nodes.where("type <> 'api-route'")
+    assert "FLOWS" not in report.text(report.combined([report.flows_section(M.flows(hubs, edges), risk, hubs, edges)]))
 
 
 def test_extract(spark):
@@ -114,8 +184,8 @@ def test_tree_snapshot_report(spark, tmp_path):
     snapshot.write(spark, str(tmp_path / "snap"), {"nodes": nodes, "edges": edges}, "h")
     back = snapshot.read(spark, str(tmp_path / "snap"))
     assert back["edges"].count() == 2 and snapshot.is_stale(spark, str(tmp_path / "snap"), "other")
-    text = report.report("demo", (3, 4), [report.infrastructure_section(M.coupling(back["edges"])), report.churn_section(spark.createDataFrame([], "path string, commits long, added long, removed long"), nodes)])
-    assert "src/app → src/lib  1 (data:1)" in text and "CHURN" not in text
+    rows = report.combined([report.infrastructure_section(M.coupling(back["edges"])), report.churn_section(spark.createDataFrame([], "path string, commits long, added long, removed long, last_message string"), nodes)])
+    assert report.text(rows).splitlines()[3:] == ["app          ·······╢ lib            × 1  data:1", ""] and "CHURN" not in report.text(rows)
 
 
 def test_git_log(spark, tmp_path):
