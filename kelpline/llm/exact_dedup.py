@@ -2,8 +2,13 @@
 
 A text's fingerprint is its bytes' polynomial in LANES bases modulo LANES primes. Chunks are
 hashed apart, and hashes join by arithmetic: of left || right, left * base^len(right) + right.
-Texts whose fingerprints and lengths are equal are then compared, chunk by chunk, with the
-text that stays; where texts differ after all, their group is split by SHA-256 and compared again.
+Texts of more than PIECE bytes are cut into pieces that tasks hash in parallel, each shifted by
+the bytes after it, so that a text's fingerprint is the pieces' sum.
+
+Texts whose fingerprints and lengths are equal are then compared, chunk by chunk, with one of
+them; where texts differ after all, their group is split by SHA-256 and compared again. A group
+of more than 2^-14 of all rows is dealt to several tasks before anything of it is shuffled; each
+compares its share with one text, and these texts are then compared with each other.
 
 Defined results: texts are equal when they are after lower-casing A-Z; null counts as empty;
 of equal texts the row with the largest id stays, null ids being smallest; of rows that repeat
@@ -13,21 +18,21 @@ with that id, one stays; an empty table gives an empty table; other columns are
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, keep_rows, pick, settled, table
+from .common import LOWER_BYTES, keep_rows, pick, scratch, table, written
 
 CHUNK = 4096
 #: Primes under 2^31 and a base for each. Sums of CHUNK products of a byte and a power stay under 2^53.
 MODULI = (2147483647, 2147483629, 2147483587, 2147483579)
 BASES = (1000003, 754974721, 1234567891, 998244353)
-#: Rows compared with one copy of the text that stays; larger groups get more copies.
-PER_COPY = 2048
+#: Bytes of a piece, and the share of all rows (and number) above which a group is dealt to several tasks; there are 1 / HOT of these groups at most.
+PIECE, HOT, PER_TASK = 1 << 20, 2.0**-14, 2048
 KEY = ("f1", "f2", "n_bytes", "split")
 
 
@@ -59,79 +64,131 @@ class Fingerprinter:
             for i in range(0, len(whole), 256):  # a bounded piece of a huge text at a time
                 for h in (whole[i : i + 256].astype(np.float64) @ self.powers).astype(np.uint64) % self.moduli:
                     out = (out * step % self.moduli + h) % self.moduli
-        a, b, c, d = (int(x) for x in out)
+        return self.joined(out)
+
+    @staticmethod
+    def joined(lanes: np.ndarray) -> tuple[int, int]:
+        a, b, c, d = (int(x) for x in lanes)
         return a << 31 | b, c << 31 | d
 
+    def lanes(self, data: bytes) -> np.ndarray:
+        a, b = self.text(data)
+        return np.array([a >> 31, a & 0x7FFFFFFF, b >> 31, b & 0x7FFFFFFF], dtype=np.uint64)
 
-def fingerprints(docs: DataFrame, keep_text: bool, moduli: tuple[int, ...] = MODULI) -> DataFrame:
-    """doc_id, text_hash, f1, f2, n_bytes, text_sha256 (lower-case hex) and, if asked, body: the normalised text's bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints = Fingerprinter(moduli)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                bodies = [(x or b"").translate(LOWER_BYTES) for x in part.column(2).to_pylist()]
-                both = [prints.text(x) for x in bodies]
-                cols = [part.column(0), part.column(1), pa.array([x[0] for x in both], pa.int64()), pa.array([x[1] for x in both], pa.int64()), pa.array([len(x) for x in bodies], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in bodies], pa.string())]
-                names = ["doc_id", "text_hash", "f1", "f2", "n_bytes", "text_sha256"]
-                if keep_text:
-                    cols, names = [*cols, pa.array(bodies, pa.binary())], [*names, "body"]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+PRINT = "doc_id long, text_hash long, row long, f1 long, f2 long, n_bytes long, text_sha256 string"
 
-    schema = "doc_id long, text_hash long, f1 long, f2 long, n_bytes long, text_sha256 string" + ", body binary" * keep_text
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary")).mapInArrow(run, schema)
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
 
-def differing(bodies: DataFrame, groups: DataFrame) -> DataFrame:
-    """The keys (KEY) of groups in which a text differs from the one that stays.
 
-    Each group's text that stays goes to every copy's share of the members; a share streams past it.
-    """
-    copies = F.ceil(F.col("group_size") / PER_COPY).cast("int")
-    both = bodies.join(groups.where("group_size > 1").select(*KEY, F.col("keep.doc_id").alias("keep_id"), "group_size"), list(KEY))
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    spread = F.when(stays, F.sequence(F.lit(0), copies - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), copies).cast("int")))
-    dealt = both.select(*KEY, (~stays).alias("member"), "body", F.explode(spread).alias("share"))
-    dealt = dealt.repartition(*KEY, "share").sortWithinPartitions(*KEY, "share", "member")
+def fingerprints(docs: DataFrame, keep: Callable[[DataFrame, str], DataFrame], moduli: tuple[int, ...] = MODULI, piece: int = PIECE) -> DataFrame:
+    """PRINT of all rows, text_sha256 in lower-case hex."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, stay, told = None, b"", set()
+        prints = Fingerprinter(moduli)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                rows = []
+                for doc_id, text_hash, text, row in zip(*(c.to_pylist() for c in batch.slice(i, 512).columns)):
+                    body = (text or b"").translate(LOWER_BYTES)
+                    head = (doc_id, text_hash, row, len(body), hashlib.sha256(body).hexdigest())
+                    if len(body) <= piece:
+                        rows.append((*head, *prints.text(body), None, None))
+                    else:
+                        rows += [(*head, None, None, j, body[j : j + piece]) for j in range(0, len(body), piece)]
+                kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 3 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "text_hash", "row", "n_bytes", "text_sha256", "f1", "f2", "at", "body"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints = Fingerprinter(moduli)
+        for batch in batches:
+            rest = batch.drop_columns(["at", "body"])
+            after = [n - at - len(b) for n, at, b in zip(batch.column("n_bytes").to_pylist(), batch.column("at").to_pylist(), batch.column("body").to_pylist())]
+            lanes = [prints.lanes(b) * prints.shift(k) % prints.moduli for b, k in zip(batch.column("body").to_pylist(), after)]
+            cols = np.array(lanes, dtype=np.uint64).reshape(-1, len(moduli)).astype(np.int64).T
+            yield pa.RecordBatch.from_arrays([*rest.columns, *map(pa.array, cols)], names=[*rest.schema.names, *"abcd"])
+
+    head = ["doc_id", "text_hash", "row", "n_bytes", "text_sha256"]
+    kinds = "doc_id long, text_hash long, row long, n_bytes long, text_sha256 string"
+    found = keep(_rows(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, kinds + ", f1 long, f2 long, at long, body binary"), "hashed")
+    pieces = found.where("at is not null").select(*head, "at", "body").repartition("row", "at").mapInArrow(hashed, kinds + ", a long, b long, c long, d long")
+    lane = lambda c, m: F.pmod(F.sum(c), F.lit(m))
+    whole = pieces.groupBy(*head).agg(*[lane(c, m).alias(c) for c, m in zip("abcd", moduli)])
+    both = lambda x, y: F.shiftleft(x, 31).bitwiseOR(F.col(y))
+    whole = whole.withColumns({"f1": both("a", "b"), "f2": both("c", "d")})
+    names = [x.split()[0] for x in PRINT.split(", ")]
+    return found.where("at is null").select(*names).union(whole.select(*names))
+
+
+def differing(docs: DataFrame, hot: dict[tuple, int], by_sha: set[tuple] | None = None, moduli: tuple[int, ...] = MODULI) -> DataFrame:
+    """The keys (KEY) of groups that hold different texts.
+
+    hot: in how many shares a key is dealt. by_sha: keys (f1, f2, n_bytes) whose groups are split by SHA-256, if known to be some; others aren't looked at then.
+    """
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints = Fingerprinter(moduli)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                rows = []
+                for doc_id, text_hash, text in zip(*(c.to_pylist() for c in batch.slice(i, 512).columns)):
+                    body = (text or b"").translate(LOWER_BYTES)
+                    key = (*prints.text(body), len(body))
+                    if by_sha is not None and key not in by_sha:
+                        continue
+                    key = (*key, hashlib.sha256(body).hexdigest() if by_sha else "")
+                    rows.append((*key, ((doc_id or 0) * 31 + text_hash) % hot.get(key, 1), body))
+                kinds = [pa.int64()] * 3 + [pa.string(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, kinds)], names=[*KEY, "share", "body"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each key that differs, without body, and for each share of a hot key one with its text."""
+        at, first, told = None, b"", False
         for batch in batches:
             out = []
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(5).to_pylist()))
-            body = batch.column(4)
+            keys, body = list(zip(*(batch.column(i).to_pylist() for i in range(5)))), batch.column(5)
             for i, key in enumerate(keys):
                 text = memoryview(body[i].as_buffer()).cast("B")
                 if key != at:
-                    at, stay, told = key, bytes(text), set()
-                elif key not in told and any(text[j : j + CHUNK] != stay[j : j + CHUNK] for j in range(0, len(stay), CHUNK)):
-                    told.add(key)
-                    out.append(key[:4])
-            cols = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[j], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=list(KEY))
+                    at, first, told = key, bytes(text), False
+                    if hot.get(key[:4], 1) > 1:
+                        out.append((*key[:4], first))
+                elif not told and any(text[j : j + CHUNK] != first[j : j + CHUNK] for j in range(0, len(first), CHUNK)):
+                    told = True
+                    out.append((*key[:4], None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, [pa.int64()] * 3 + [pa.string(), pa.binary()])], names=[*KEY, "body"])
 
-    return dealt.select(*KEY, "body", "share").mapInArrow(run, "f1 long, f2 long, n_bytes long, split string").distinct()
+    dealt = _rows(docs).mapInArrow(bodies, "f1 long, f2 long, n_bytes long, split string, share int, body binary").repartition(*KEY, "share").sortWithinPartitions(*KEY, "share")
+    found = dealt.mapInArrow(compared, "f1 long, f2 long, n_bytes long, split string, body binary")
+    # Of each hot key a text for each share is left: they are equal if they have one value.
+    return found.groupBy(*KEY).agg(F.bool_or(F.col("body").isNull()).alias("differ"), F.min("body").alias("lo"), F.max("body").alias("hi")).where("differ or lo <> hi").select(*KEY)
 
 
-def exact_duplicates(docs: DataFrame, moduli: tuple[int, ...] = MODULI) -> DataFrame:
+def exact_duplicates(docs: DataFrame, moduli: tuple[int, ...] = MODULI, piece: int = PIECE, per_task: int = PER_TASK) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, text_hash."""
     docs = pick(docs, "doc_id", "text")
-    prints = fingerprints(docs, False, moduli).withColumn("row", F.monotonically_increasing_id()).withColumn("split", F.lit(""))
-    prints = settled(prints)
-    bodies = fingerprints(docs, True, moduli).withColumn("split", F.lit(""))
-    grouped = lambda p: p.groupBy(*KEY).agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    groups = grouped(prints)
-    bad = settled(differing(bodies, groups))
-    if not bad.isEmpty():
-        plain = bad.drop("split").withColumn("bad", F.lit(True))
-        by_sha = lambda df: df.join(plain, ["f1", "f2", "n_bytes"], "left").withColumn("split", F.when(F.col("bad"), F.col("text_sha256")).otherwise("")).drop("bad")
-        prints, bodies = by_sha(prints), by_sha(bodies).where("split <> ''")
-        groups = grouped(prints)
-        if not differing(bodies, groups).isEmpty():
-            raise ValueError("texts differ that have one SHA-256")
-    out = prints.join(groups, list(KEY))
-    return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256", "text_hash")
+    with scratch(docs.sparkSession) as keep:
+        prints = keep(fingerprints(docs, keep, moduli, piece).withColumn("split", F.lit("")), "prints")
+        grouped = lambda p, name: keep(p.groupBy(*KEY).agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")), name)
+        n = prints.count()
+
+        def hot(groups: DataFrame) -> dict[tuple, int]:
+            most = max(per_task, int(n * HOT))
+            return {(r.f1, r.f2, r.n_bytes, r.split): -(-r.group_size // most) for r in groups.where(F.col("group_size") > most).collect()}
+
+        groups = grouped(prints, "groups")
+        bad = keep(differing(docs, hot(groups), None, moduli), "bad")
+        if not bad.isEmpty():
+            plain = bad.drop("split").withColumn("bad", F.lit(True))
+            prints = keep(prints.join(plain, ["f1", "f2", "n_bytes"], "left").withColumn("split", F.when(F.col("bad"), F.col("text_sha256")).otherwise("")).drop("bad"), "split_prints")
+            groups = grouped(prints, "split_groups")
+            # Keys that meet for different texts: of 124 bits there are none, so they are few.
+            if not differing(docs, hot(groups), {tuple(r) for r in plain.drop("bad").collect()}, moduli).isEmpty():
+                raise ValueError("texts differ that have one SHA-256")
+        out = prints.join(groups, list(KEY))
+        return written(out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256", "text_hash"), "exact")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
