@@ -9,6 +9,11 @@ Pieces then take the slots of their length by rank. Windows that stay short of c
 filled up with pieces of the shortest windows, which are cut for that and dissolved, so that
 one window at most is padded.
 
+To the driver go the numbers of pieces by length alone, capacity of them at most. Ranks are
+counted in shares of about PER_SHARE pieces, however many there are, and the shares' first ranks
+are a table that pieces are joined to. Which pieces share a window depends on how rows lie; how
+many windows there are doesn't.
+
 Defined results: a null text is empty and has the end id alone; rows that repeat are packed
 each; an empty table gives an empty table; other columns are dropped. A null id ranks first.
 """
@@ -31,8 +36,8 @@ from .common import pick, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 1024
-#: Ranks within a length are counted apart in so many shares, so that a length that many documents have is no hot spot.
-SHARES = 256
+#: Pieces of a share in which ranks within a length are counted, so that neither a length nor a document's repeated rows are a hot spot.
+PER_SHARE = 100_000
 
 
 class IdEncoder:
@@ -180,28 +185,25 @@ def slots_of(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tup
     return slots, gaps
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces, as pieces_of() returns them, with sequence_id and offset; some of the tails are cut.
-
-    To the driver go the counts by length and share alone: at most capacity * SHARES numbers.
-    """
+def pack(pieces: DataFrame, capacity: int = CAPACITY, per_share: int = PER_SHARE) -> DataFrame:
+    """pieces (a written table), as pieces_of() returns them with their row, with sequence_id and offset; some of the tails are cut."""
     spark = pieces.sparkSession
-    dealt = pieces.withColumn("_share", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SHARES)).cast("int"))
-    total, base = {}, []
-    for length, share, n in sorted(tuple(r) for r in dealt.groupBy("length", "_share").count().collect()):
-        base.append((length, share, total.get(length, 0)))
-        total[length] = total.get(length, 0) + n
+    shares = max(1, -(-pieces.count() // per_share)) * 4
+    dealt = pieces.withColumn("_share", F.pmod(F.xxhash64("doc_id", "start", "row"), F.lit(shares)).cast("int"))
+    counts = written(dealt.groupBy("length", "_share").count(), "counts")
+    total = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     slots, gaps = slots_of(total, capacity)
-    # Both tables are within the bound above, so they are broadcast.
-    base = spark.createDataFrame(base, "length long, _share int, _base long")
+    before = Window.partitionBy("length").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("length", "_share", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
     per: dict[int, list] = {}
     for length, *run in slots:
         per.setdefault(length, []).append(tuple(run))
     gaps = [(a, s, w, b) for (a, s, w), b in zip(gaps, [*(g[0] for g in gaps[1:]), 1 << 62])]
     runs = spark.createDataFrame([(k, v, gaps if any(r[4] for r in v) else []) for k, v in per.items()], "length long, _runs array<struct<first: long, each: long, window: long, at: long, gone: boolean, stream: long, total: long>>, _gaps array<struct<from: long, size: long, window: long, to: long>>")
-    order = Window.partitionBy("length", "_share").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
+    order = Window.partitionBy("length", "_share").orderBy("doc_id", "start", "row")
     rank = F.col("_base") + F.row_number().over(order) - 1
-    ranked = dealt.join(F.broadcast(base), ["length", "_share"]).withColumn("_rank", rank)
+    ranked = dealt.join(base.hint("merge"), ["length", "_share"]).withColumn("_rank", rank)
+    # A row for each length, capacity at most, so it is broadcast.
     placed = ranked.join(F.broadcast(runs), "length").withColumn("_run", F.element_at(F.filter("_runs", lambda r: r["first"] <= F.col("_rank")), -1))
     nth = F.floor((F.col("_rank") - F.col("_run.first")) / F.col("_run.each")).cast("long")
     at = F.col("_run.at") + F.col("length") * ((F.col("_rank") - F.col("_run.first")) % F.col("_run.each"))
@@ -226,4 +228,4 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Written once: pieces are counted first and placed after.
-    return pack(written(pieces_of(docs, public_tokenizers.path(TOKENIZER)), "pieces"))
+    return pack(written(pieces_of(docs, public_tokenizers.path(TOKENIZER)).withColumn("row", F.monotonically_increasing_id()), "pieces"))

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from tokenizers import Tokenizer
 
 from kelpline.llm import bpe, packing, quality_rules, toxicity
 from kelpline.llm import lm_scoring as L
@@ -50,13 +51,13 @@ def test_packing_is_whole(spark):
     texts = ODD + [" ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.randrange(1, 900))) for _ in range(120)] + ["same text"] * 40
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "null id")], DOCS)
     rows = packing.packing_stage(spark, docs, "").collect()
-    real = packing.IdEncoder(public_tokenizers.path(packing.TOKENIZER))
+    real = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
         by_seq.setdefault(r.sequence_id, []).append(r)
     for i, t in [*enumerate(texts), (None, "null id")]:
-        ids = np.frombuffer(real.encode(t or "") + bytes(4), dtype="<u4")
+        ids = np.array([*real.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
         at = 0
         for r in sorted(by_doc[i], key=lambda r: r.start):
             assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
@@ -74,6 +75,22 @@ def test_packing_is_whole(spark):
     assert packing.packing_stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_packing_in_many_shares(spark):
+    """Repeated rows, null ids and a text of many windows; ranks of a length go on through the shares."""
+    rows = [(None, "same words here")] * 50 + [(7, "same words here")] * 50 + [(8, "word " * 20_000), (8, "word " * 20_000)]
+    docs = spark.createDataFrame([(i, t, i, t) for i, t in rows], "doc_id long, text string, row long, TEXT string")
+    path = public_tokenizers.path(packing.TOKENIZER)
+    pieces = packing.written(packing.pieces_of(docs, path).withColumn("row", packing.F.monotonically_increasing_id()), "pieces")
+    got = packing.pack(pieces, per_share=9).collect()
+    spans = {}
+    for r in got:
+        spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s in spans.values():
+        assert [o for o, _ in sorted(s)] == [sum(n for _, n in sorted(s)[:i]) for i in range(len(s))] and sum(n for _, n in s) <= 1024
+    total = sum(r.length for r in got)
+    assert total == sum(r.length for r in pieces.collect()) and len(spans) == -(-total // 1024)
+
+
 def features(text):
     text = text or ""
     ws = [w for w in text.translate({9: 32, 10: 32, 11: 32, 12: 32, 13: 32}).split(" ") if w]
