@@ -66,13 +66,15 @@ def host_rates(features: DataFrame, host: str = "source") -> DataFrame:
     """Per host: host, host_docs, host_fails (long), host_rate (double, shrunk), host_kept (boolean).
 
     The prior's mean m is the failure rate over all hosts, its weight m(1 - m) / v - 1 with v
-    the variance of the hosts' own rates, held within PRIOR_LEAST and PRIOR_MOST.
+    the variance of the hosts' own rates less what chance alone gives them, m(1 - m) times the
+    mean of 1 / host_docs, held within PRIOR_LEAST and PRIOR_MOST.
     """
     per = features.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("host_docs"), F.sum(rule_failed().cast("long")).alias("host_fails"))
     per = settled(per)
     m = F.sum("host_fails") / F.sum("host_docs")
-    prior = per.agg(m.alias("m"), F.var_pop(F.col("host_fails") / F.col("host_docs")).alias("v"))
-    weight = F.greatest(F.lit(PRIOR_LEAST), F.least(F.lit(PRIOR_MOST), F.coalesce(F.expr("try_divide(m * (1 - m), v)") - 1, F.lit(PRIOR_MOST))))
+    prior = per.agg(m.alias("m"), F.var_pop(F.col("host_fails") / F.col("host_docs")).alias("all"), F.avg(1 / F.col("host_docs")).alias("chance"))
+    prior = prior.withColumn("v", F.col("all") - F.col("m") * (1 - F.col("m")) * F.col("chance"))
+    weight = F.greatest(F.lit(PRIOR_LEAST), F.least(F.lit(PRIOR_MOST), F.when(F.col("v") > 0, F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(PRIOR_MOST)))
     prior = prior.select("m", weight.alias("w"))
     m, w = prior.select("m").scalar(), prior.select("w").scalar()
     rate = (F.col("host_fails") + m * w) / (F.col("host_docs") + w)
@@ -89,7 +91,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
     # Counts alone are kept, so that texts are gone through once for hosts and documents.
     found = settled(with_features(docs).drop("text"))
-    return judge(found, host_rates(found)).select("doc_id", *FEATURES, "base_failed", "kept", "host_docs", "host_fails")
+    return judge(found, host_rates(found)).select("doc_id", *FEATURES, "base_failed", "kept", "host", "host_docs", "host_fails", F.round("host_rate", 9).alias("host_rate"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -126,10 +128,9 @@ h as (
   select host, count(*)::bigint as host_docs,
          sum((base_failed or mean < 2 or mean > 15 or 2 * n_symbols > n_words or 10 * n_dup_lines > n_words)::bigint)::bigint as host_fails
   from g group by host),
-p as (
-  select m, greatest({PRIOR_LEAST}, least({PRIOR_MOST}, coalesce(case when v > 0 then m * (1 - m) / v end - 1, {PRIOR_MOST}))) as pw
-  from (select sum(host_fails) / sum(host_docs) as m, var_pop(host_fails / host_docs) as v from h))
+q as (select sum(host_fails) / sum(host_docs) as m, var_pop(host_fails / host_docs) as a, avg(1 / host_docs) as c from h),
+p as (select m, greatest({PRIOR_LEAST}, least({PRIOR_MOST}, case when a - m * (1 - m) * c > 0 then m * (1 - m) / (a - m * (1 - m) * c) - 1 else {PRIOR_MOST} end)) as pw from q)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and (host_fails + m * pw) / (host_docs + pw) <= {HOST_LIMIT} as kept, host_docs, host_fails
+       not base_failed and (host_fails + m * pw) / (host_docs + pw) <= {HOST_LIMIT} as kept, host, host_docs, host_fails, round((host_fails + m * pw) / (host_docs + pw), 9) as host_rate
 from g join h using (host), p
 """
