@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import lower_az, pick, table
 
-#: Keys looked at to place the bounds of ranges; they decide on balance alone, not on results.
+#: About so many keys place the bounds of ranges; they decide on balance alone, not on results.
 BOUND_SAMPLE = 20_000
 DEFAULT = "allow"
 #: Verdict, host, path.
@@ -48,10 +48,18 @@ def key_of(host):
     return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit(".")))
 
 
-def bounds_of(points: DataFrame, parts: int) -> list[str]:
-    """Up to parts - 1 keys that cut the points into ranges of like size, from the rows with the smallest hashes."""
-    keys = sorted(r[0] for r in points.select("key", F.xxhash64("page_id", "path").alias("h")).orderBy("h").limit(BOUND_SAMPLE).select("key").collect())
-    return [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
+def bounds_of(points: DataFrame, parts: int, sample: int = BOUND_SAMPLE) -> list[str]:
+    """Up to parts - 1 keys that cut the points into ranges of like size, from the rows whose hash is under a threshold."""
+    share = min(1.0, sample / max(points.count(), 1))
+    drawn = points.where(F.pmod(F.xxhash64("page_id", "path", "host"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # Equal rows have one hash, so keys come with their numbers and are never more than the sample's distinct ones.
+    counted = sorted((r.key, r.n) for r in drawn.groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect())
+    total, at, out = sum(n for _, n in counted), 0, []
+    for key, n in counted:
+        at += n
+        while len(out) < parts - 1 and at > total * (len(out) + 1) // parts:
+            out.append(key)
+    return out
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
@@ -79,31 +87,31 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
 
     points = points.select(part_of("key", F.xxhash64("page_id", "path", "host")).alias("part"), "key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"))
     rules = rules.select(F.explode(parts_of("key")).alias("part"), "key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict")
-    swept = points.unionByName(rules).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "key", "kind")
+    swept = points.unionByName(rules).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "key", "kind").select("part", "key", "kind", "page_id", "host", "path", "verdict")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, stack = None, []  # of key, host, {path: verdict}, its paths' lengths from the longest
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                if r["part"] != part:
-                    part, stack = r["part"], []
-                while stack and not r["key"].startswith(stack[-1][0]):
+            for own, key, kind, page_id, host, path, verdict in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != part:
+                    part, stack = own, []
+                while stack and not key.startswith(stack[-1][0]):
                     stack.pop()
-                if r["kind"] == 0:
-                    if not stack or stack[-1][0] != r["key"]:
-                        stack.append((r["key"], r["host"], {}, []))
+                if kind == 0:
+                    if not stack or stack[-1][0] != key:
+                        stack.append((key, host, {}, []))
                     _, _, paths, lengths = stack[-1]
-                    paths[r["path"]] = "block" if "block" in (paths.get(r["path"]), r["verdict"]) else r["verdict"]
+                    paths[path] = "block" if "block" in (paths.get(path), verdict) else verdict
                     lengths[:] = sorted({len(p) for p in paths}, reverse=True)
                     continue
                 best = (-1, 0, None, default)
-                for _, host, paths, lengths in stack:
+                for _, of, paths, lengths in stack:
                     for n in lengths:
-                        if (verdict := paths.get(r["path"][:n])) and n <= len(r["path"]):
-                            best = max(best, (len(host) + n, len(host), host + r["path"][:n], verdict), key=lambda x: x[:2])
+                        if (found := paths.get(path[:n])) and n <= len(path):
+                            best = max(best, (len(of) + n, len(of), of + path[:n], found), key=lambda x: x[:2])
                             break
-                out.append((r["page_id"], r["host"], r["path"], best[2], best[3]))
+                out.append((page_id, host, path, best[2], best[3]))
             cols = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.string()) for i, c in enumerate(cols)], names=["page_id", "host", "path", "rule", "verdict"])
 
