@@ -50,7 +50,8 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = 0) -> None:
 
     entries = settled(rows.select("page_id", "url", "sha256", "n", base32_sha1(F.col("payload")).alias("digest")).withColumn("row", F.monotonically_increasing_id()))
     order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row")
-    firsts = entries.groupBy("sha256").agg(F.min(order).alias("first"))
+    # Kept apart, so that a payload with very many records is split in the join.
+    firsts = settled(entries.groupBy("sha256").agg(F.min(order).alias("first")))
     is_response = (F.col("n") < min_revisit) | (F.col("row") == F.col("first.row"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), F.coalesce(value.cast("string"), F.lit("")), F.lit(CRLF))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF * 2))
@@ -103,18 +104,32 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
-    return read_archive(spark, path).drop("record", "payload")
+    rows = read_archive(spark, path)
+    # Of the rebuilt record: its size, and the digest of what follows its header (nothing, for a revisit).
+    start = F.octet_length("record") - 4 - F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0)
+    body = F.substring("record", (start + 1).cast("int"), (F.octet_length("record") - 4 - start).cast("int"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.octet_length("record").cast("long").alias("record_bytes"), F.sha2(body, 256).alias("body_sha256"))
 
 
 _LETTERS = " || ".join(f"substr('{BASE32}', 1 + ((w{i} >> {35 - 5 * j}) & 31)::int, 1)" for i in range(4) for j in range(8))
 _WORDS = ", ".join(f"('0x' || substr(h, {1 + 10 * i}, 10))::bigint as w{i}" for i in range(4))
+_URN = "<urn:uuid:00000000-0000-0000-0000-000000000000>"
+#: A record's header with an id of the same length.
+_HEADER = f"""'WARC/1.0~WARC-Type: ' || record_type || '~WARC-Record-ID: {_URN}~WARC-Date: {DATE}~WARC-Target-URI: ' || regexp_replace(coalesce(url, ''), '[\r\n]', '%0A', 'g') || '~WARC-Payload-Digest: sha1:' || payload_digest || '~'
+  || case when page_id is not null then 'X-Page-Id: ' || page_id || '~' else '' end
+  || case when k > 1 then 'WARC-Refers-To: {_URN}~WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest~' else '' end
+  || case when k > 1 and first is not null then 'X-Refers-To-Page-Id: ' || first || '~' else '' end
+  || 'Content-Type: application/http;msgtype=response~Content-Length: ' || (octet_length(encode(http)) + case when k = 1 then payload_bytes else 0 end) || '~~'"""
 OP4_SQL = f"""
-with p as (select row_number() over () as n, page_id, coalesce(html, '') as t from pages),
+with p as (select row_number() over () as n, page_id, url, coalesce(html, '') as t from pages),
 h as (select *, sha1(t) as h, octet_length(encode(t))::bigint as payload_bytes from p),
 w as (select *, {_WORDS} from h),
-f as (select *, row_number() over (partition by t order by page_id nulls last, n) as k, min(page_id) over (partition by t) as first from w)
-select page_id, payload_bytes, {_LETTERS} as payload_digest,
-       case when k = 1 then 'response' else 'revisit' end as record_type,
-       case when k > 1 then first end as refers_to
-from f
+f as (
+  select *, row_number() over (partition by t order by page_id nulls last, n) as k, min(page_id) over (partition by t) as first, {_LETTERS} as payload_digest,
+         'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || payload_bytes || chr(13) || chr(10) || chr(13) || chr(10) as http from w),
+g as (select *, case when k = 1 then 'response' else 'revisit' end as record_type from f)
+select page_id, payload_bytes, payload_digest, record_type, case when k > 1 then first end as refers_to,
+       octet_length(encode(replace({_HEADER}, '~', chr(13) || chr(10)) || http))::bigint + case when k = 1 then payload_bytes else 0 end + 4 as record_bytes,
+       sha256(case when k = 1 then t else '' end) as body_sha256
+from g
 """
