@@ -25,14 +25,14 @@ Joins are all sort-merge: the rounds' many small tables would each leave a broad
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_rows, pick, settled, table, written
+from .common import keep_rows, pick, scratch, settled, table
 from .shingles import PLACES, mix, windows, word_hashes
 
 WORDS, SIMILAR = 5, 0.8
@@ -176,9 +176,12 @@ def blocks(members: DataFrame) -> DataFrame:
     return dealt.groupBy("band", "own", "id").agg(F.collect_list("text").alias("texts"))
 
 
-def alike(blocked: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Pairs (a, b: nodes) of blocks' texts that are of different classes, whose sketches allow for a link, each in the first of the buckets that both are in."""
-    most = may_differ(similar)
+def alike(blocked: DataFrame, similar: float = SIMILAR, sketches: bool = True) -> DataFrame:
+    """Pairs (a, b: nodes) of blocks' texts that are of different classes, whose sketches allow for a link, each in the first of the buckets that both are in.
+
+    Without sketches all such pairs are. Blocks are paired by their ids; a block's texts then go to each pair, wherever it is.
+    """
+    most = may_differ(similar) if sketches else SKETCH
 
     def opened(texts: pa.ListScalar) -> tuple[list, list, np.ndarray, list]:
         node, comp, bits, bands = (texts.values.field(i) for i in range(4))
@@ -198,9 +201,11 @@ def alike(blocked: DataFrame, similar: float = SIMILAR) -> DataFrame:
                         out.append((min(node[i], node_b[j]), max(node[i], node_b[j])))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    x, y = (blocked.select("band", F.col("own").alias(f"own_{k}"), F.col("id").alias(f"id_{k}"), F.col("texts").alias(k)) for k in "xy")
-    met = x.join(y.hint("merge"), "band").where("id_x <= id_y and (own_x is null or own_y is null or own_x <> own_y)")
-    return met.select("band", "x", F.when(F.col("id_x") < F.col("id_y"), F.col("y")).alias("y")).mapInArrow(run, "a binary, b binary")
+    ids = lambda k: blocked.select("band", F.col("own").alias(f"own_{k}"), F.col("id").alias(f"id_{k}"))
+    met = ids("x").join(ids("y").hint("merge"), "band").where("id_x <= id_y and (own_x is null or own_y is null or own_x <> own_y)").select("band", "id_x", "id_y")
+    texts = lambda k: blocked.select("band", F.col("id").alias(f"id_{k}"), F.col("texts").alias(k)).hint("merge")
+    both = met.join(texts("x"), ["band", "id_x"]).join(texts("y"), ["band", "id_y"])
+    return both.select("band", "x", F.when(F.col("id_x") < F.col("id_y"), F.col("y")).alias("y")).mapInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -227,23 +232,29 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
         open_links = cross
 
 
-def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, class_id, class_size, n_links, kept, text_hash.
+def near_classes(docs: DataFrame, similar: float = SIMILAR, sketches: bool = True) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, class_id, class_size, n_verified, kept, text_hash.
 
-    n_links counts the verified links of the row's text with others.
+    n_verified counts the links of the row's text with other texts that were verified, which join
+    the class but aren't all of its similar pairs. Without sketches no pair that meets in a
+    bucket of several classes is left out.
     """
-    docs = pick(docs, "doc_id", "text")
-    rows = written(signatures(docs), "signatures")
+    with scratch(docs.sparkSession) as keep:
+        return _classes(pick(docs, "doc_id", "text"), similar, sketches, keep)
+
+
+def _classes(docs: DataFrame, similar: float, sketches: bool, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    rows = keep(signatures(docs), "signatures")
     # One row stands for the texts with its words.
     one = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "bands")).alias("r"))
     spread = one.select("node", F.explode("r.bands").alias("band"))
     sizes = spread.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = written(spread.join(sizes.hint("merge"), "band"), "buckets")
-    company = settled(met.groupBy("node").agg(F.sum("size").alias("company"), F.collect_list("band").alias("bands")))
+    met = keep(spread.join(sizes.hint("merge"), "band"), "buckets")
+    company = keep(met.groupBy("node").agg(F.sum("size").alias("company"), F.collect_list("band").alias("bands")), "company")
     wanted = one.join(company.hint("merge"), "node", "left_semi").select("r.doc_id", "r.text_hash")
-    sets = written(shingle_sets(docs, wanted), "shingles")
+    sets = keep(shingle_sets(docs, wanted), "shingles")
 
-    hub = met.join(company.select("node", "company").hint("merge"), "node").groupBy("band").agg(F.max(F.struct("company", "node")).alias("hub"))
+    hub = keep(met.join(company.select("node", "company").hint("merge"), "node").groupBy("band").agg(F.max(F.struct("company", "node")).alias("hub")), "hubs")
     pairs = met.join(hub.hint("merge"), "band").where("node <> hub.node").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
     links = settled(verified(pairs, sets, similar))
     comps = components(links)
@@ -252,18 +263,19 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     left = left.join(mixed.select("band").hint("merge"), "band", "left_semi")
     text = F.struct("node", "comp", "sketch", "bands").alias("text")
     left = left.join(sets.select("node", "sketch").hint("merge"), "node").join(company.select("node", "bands").hint("merge"), "node").select("band", "node", "comp", text)
-    more = settled(verified(settled(alike(blocks(settled(left)), similar)), sets, similar))
+    more = settled(verified(keep(alike(keep(blocks(keep(left, "mixed")), "blocks"), similar, sketches), "alike"), sets, similar))
     if not more.isEmpty():
         links = settled(links.union(more))
         comps = components(links, comps)
 
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_verified"))
     marked = rows.select("doc_id", "text_hash", "node").withColumn("row", F.monotonically_increasing_id())
     marked = marked.join(comps.join(degree.hint("merge"), "node", "left").hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    marked = settled(marked.select("doc_id", "text_hash", "comp", "row", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    marked = settled(marked.select("doc_id", "text_hash", "comp", "row", F.coalesce("n_verified", F.lit(0)).alias("n_verified")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row"))
-    classes = marked.groupBy("comp").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size"))
-    return marked.join(classes.hint("merge"), "comp").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("first.row")).alias("kept"), "text_hash")
+    # Kept apart, so that a class of very many rows is split in the join.
+    classes = settled(marked.groupBy("comp").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size")))
+    return marked.join(classes.hint("merge"), "comp").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_verified", (F.col("row") == F.col("first.row")).alias("kept"), "text_hash")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
