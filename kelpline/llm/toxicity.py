@@ -19,14 +19,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from os.path import commonprefix
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import pick, scratch, table
 
 LABELLED = 20_000
 #: Of their features, those that speak for toxic the most are weighed.
@@ -44,7 +45,12 @@ Z = 2.5
 L2 = 5e-5
 _CLASS = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b > 127 else 0 for b in range(256)], dtype=np.int32)
 _DISGUISED = re.compile(r"[a-z].*[0-9@$!|+._*~-]|[0-9@$!|+].*[a-z]|([a-z])\1")
-_SPACED = re.compile(r"(?<!\S)[a-z0-9@$!|+](?: [a-z0-9@$!|+]){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)[a-z0-9@$!|+](?:\s+[a-z0-9@$!|+]){2,}(?!\S)")
+_JOINS = re.compile(r"[\s._*~-]+")
+#: Signs at a word's end, which may stand for letters too.
+_FINAL = "!$|+@"
+#: After so many characters, what all readings have in common is settled.
+SETTLED = 256
 _EDGES = "\"#%&'()*,-./:;<=>?[\\]^_`{}~"
 
 
@@ -84,10 +90,14 @@ class Decoder:
         self.model = model
 
     def span(self, raw: str) -> str:
-        """The likeliest reading of a stretch in lower case. A state is the last three classes and the last character."""
-        model, kk = self.model, K**3
+        """The likeliest reading of a stretch in lower case, of any length. A state is the last three classes and the last character."""
+        model, kk, done = self.model, K**3, []
         states: dict[tuple[int, str], tuple[float, str]] = {(0, ""): (0.0, "")}
-        for char in raw:
+        for i, char in enumerate(raw):
+            if i % SETTLED == SETTLED - 1:
+                same = commonprefix([text for _, text in states.values()])
+                done.append(same)
+                states = {k: (score, text[len(same) :]) for k, (score, text) in states.items()}
             code = ord(char)
             own = code - 96 if 97 <= code <= 122 else 27 if code > 127 else 0
             ways = [(own, char, 0.0)] + [(ord(x) - 96, x, SWAPPED) for x in LEET.get(char, "")]
@@ -111,17 +121,23 @@ class Decoder:
                         after[key] = (score + PARTED, text)
             states = after
         ends = ((score + (float(model[context * K]) if context % K else 0.0), text) for (context, _), (score, text) in states.items())
-        return max(ends)[1]
+        return "".join([*done, max(ends)[1]])
 
     def word(self, token: str) -> str:
         """A token between white space, in lower case, without the signs around it and restored."""
-        bare = token.strip(_EDGES).rstrip("!$|+@")
-        if len(bare) > 2 and len(bare) <= 64 and _DISGUISED.search(bare):
-            return self.span(bare)
-        return bare
+        bare = token.strip(_EDGES).rstrip(_FINAL)
+        return self.span(bare) if len(bare) > 2 and _DISGUISED.search(bare) else bare
+
+    def readings(self, token: str) -> list[str]:
+        """The words of word(), where signs may join several, and what they are if the signs at its end are letters."""
+        whole = token.strip(_EDGES)
+        out = [self.word(token)]
+        if len(whole) > 2 and whole[-1] in _FINAL and any("a" <= c <= "z" for c in whole):
+            out.append(self.span(whole).rstrip(_FINAL))
+        return list(dict.fromkeys(x for r in out for x in _JOINS.split(r) if x))
 
     def restore(self, text: str) -> str:
-        lower = _SPACED.sub(lambda m: self.span(m[0]), text.lower())
+        lower = _SPACED.sub(lambda m: self.span(" ".join(m[0].split())), text.lower())
         return re.sub(r"\S+", lambda m: self.word(m[0]), lower)
 
 
@@ -130,7 +146,7 @@ def word_features(word: str) -> list[str]:
 
 
 def tokens_of(decoder: Decoder, text: str | None) -> set[str]:
-    return set(_SPACED.sub(lambda m: decoder.span(m[0]), (text or "").lower()).split())
+    return set(_SPACED.sub(lambda m: decoder.span(" ".join(m[0].split())), (text or "").lower()).split())
 
 
 def regression(rows: list[tuple[list[int], int]], n: int) -> tuple[np.ndarray, float]:
@@ -149,21 +165,28 @@ def regression(rows: list[tuple[list[int], int]], n: int) -> tuple[np.ndarray, f
 
 
 def learned(docs: DataFrame, labels: DataFrame, grams: np.ndarray, limit: int = LABELLED) -> tuple[dict[str, float], float]:
-    """Features with their weights, and the constant."""
+    """Features with their weights, and the constant. Of rows with one id, one text is learned from."""
+    with scratch(docs.sparkSession) as keep:
+        return _learned(docs, labels, grams, limit, keep)
+
+
+def _learned(docs: DataFrame, labels: DataFrame, grams: np.ndarray, limit: int, keep: Callable[[DataFrame, str], DataFrame]) -> tuple[dict[str, float], float]:
     spark = docs.sparkSession
     known = pick(labels, "doc_id", "toxic").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
+    known = keep(known, "known")
     share = min(1.0, limit / max(known.count(), 1))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     # About limit rows at most, so they are broadcast.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = keep(rows.select("text", "toxic"), "labelled")
     model = spark.sparkContext.broadcast(grams)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, toxic, clean = Decoder(model.value), Counter(), Counter()
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = {x for t in tokens_of(decoder, text) for x in decoder.word(t).split()}
+                words = {x for t in tokens_of(decoder, text) for x in decoder.readings(t)}
                 (toxic if label else clean).update({"", *(f for x in words for f in word_features(x))})
         both = list({**toxic, **clean})
         yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([toxic[x] for x in both], pa.int64()), pa.array([toxic[x] + clean[x] for x in both], pa.int64())], names=["feature", "toxic", "n"])
@@ -181,7 +204,7 @@ def learned(docs: DataFrame, labels: DataFrame, grams: np.ndarray, limit: int =
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, at = Decoder(model.value), index.value
         for batch in batches:
-            sets = [sorted({at[f] for t in tokens_of(decoder, text) for x in decoder.word(t).split() for f in word_features(x) if f in at}) for text in batch.column(0).to_pylist()]
+            sets = [sorted({at[f] for t in tokens_of(decoder, text) for x in decoder.readings(t) for f in word_features(x) if f in at}) for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int32())), batch.column(1).cast(pa.int32())], names=["found", "toxic"])
 
     weights, base = regression([(r[0], r[1]) for r in rows.mapInArrow(found, "found array<int>, toxic int").collect()], len(telling))
@@ -201,7 +224,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         decoder, known = Decoder(grams), {}
 
         def telling(token: str) -> tuple[str, ...]:
-            return tuple(f for x in decoder.word(token).split() for f in word_features(x) if f in weights)
+            return tuple(f for x in decoder.readings(token) for f in word_features(x) if f in weights)
 
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
