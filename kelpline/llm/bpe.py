@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import pick, table
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Stretches that a worker remembers; when there are more, it starts afresh.
-REMEMBERED = 300_000
+#: Stretches that a worker remembers, of up to so many characters; when there are more, it starts afresh.
+REMEMBERED, LONGEST = 300_000, 64
 NONE = 1 << 62
 
 
@@ -102,7 +102,7 @@ class Encoder:
             out = b" ".join([b"%d" % i for i in merge(piece.encode(), self.ranks)])
             if len(self.pieces) >= REMEMBERED:
                 self.pieces.clear()
-            if len(piece) < 64:
+            if len(piece) <= LONGEST:
                 self.pieces[piece] = out
         return out
 
@@ -115,7 +115,8 @@ class Encoder:
             return self.plain(text)
         first, *rest = text.split(" ")
         known = self.known
-        for s in set(rest).difference(known):
+        new = set(rest).difference(known)
+        for s in new:
             if len(known) >= REMEMBERED:
                 known.clear()
             known[s] = self.plain(" " + s)
@@ -123,6 +124,9 @@ class Encoder:
             out = [known[s] for s in rest]
         except KeyError:  # forgotten meanwhile
             out = [self.plain(" " + s) for s in rest]
+        for s in new:
+            if len(s) > LONGEST:
+                known.pop(s, None)
         return b" ".join([self.plain(first), *out] if first else out)
 
     def decode(self, ids: bytes) -> bytes:
