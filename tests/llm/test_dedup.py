@@ -78,7 +78,7 @@ def test_near_against_brute_force(spark):
                 other[rng.randrange(len(other))] = "changed"
             texts.append(" ".join(other))
     texts += ["", None, "two words", "Two  WORDS", *[texts[0]] * 30]
-    got = {r.doc_id: r for r in N.near_classes(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    got = {r.doc_id: r for r in N.near_classes(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOCS + ", Doc_Id2 string"), sketches=False).collect()}
     parent = list(range(len(texts)))
 
     def find(i):

@@ -54,3 +54,16 @@ def test_warc_finds_damage(spark, tmp_path):
     spark.createDataFrame(bad, "sha256 string, payload binary").write.mode("overwrite").parquet(str(tmp_path / "w/payloads"))
     with pytest.raises(Exception, match="damaged"):
         W.read_archive(spark, str(tmp_path / "w")).collect()
+
+
+def test_urls_and_records_of_odd_rows(spark, tmp_path):
+    long = "http://example.net/en/" + "p" * 100_000
+    rows = [(1, long, "same"), (1, long, "same"), (None, long, "same"), (None, None, None), (2, "http://x.example.com/de/1", "same")]
+    pages = spark.createDataFrame([(i, u, h, "x") for i, u, h in rows], "page_id long, url string, html string, Html2 string")
+    got = U.judge_urls(pages, spark.createDataFrame(U.RULES, RULES)).collect()
+    assert len(got) == 5 and sorted((str(r.rule), r.verdict) for r in got) == [("None", "allow"), ("example.com/de/", "block"), ("example.net/en/", "allow"), ("example.net/en/", "allow"), ("example.net/en/", "allow")]
+    assert U.bounds_of(spark.createDataFrame([(i, "k" if i % 2 else f"a{i:03}", "/", "h") for i in range(200)], "page_id long, key string, path string, host string"), 4) == ["a100", "k", "k"]
+    W.write_archive(pages, str(tmp_path / "w"))
+    kinds = [(r.page_id, r.record_type, r.refers_to) for r in W.read_archive(spark, str(tmp_path / "w")).collect()]
+    # Of the rows that repeat with the smallest id, one is the response.
+    assert sorted(map(str, kinds)) == sorted(map(str, [(1, "response", None), (1, "revisit", 1), (None, "revisit", 1), (2, "revisit", 1), (None, "response", None)]))

@@ -114,6 +114,25 @@ def test_quality(spark):
     assert quality_rules.judge(found.limit(0), quality_rules.host_rates(found.limit(0))).count() == 0
 
 
+def test_hosts_take_passing_documents_along(spark):
+    """A host of 20 bad and 3 good documents goes whole; a good host's one bad document goes alone; a small host is held near the mean."""
+    good, bad = " ".join(f"word{i}" for i in range(60)), "too short"
+    rows = [("bad", bad)] * 20 + [("bad", good)] * 3 + [("fine", good)] * 40 + [("fine", bad)] + [("small", bad), ("small", good)] + [(f"h{i}", good) for i in range(30) for _ in range(9)] + [(None, good)] * 9
+    docs = spark.createDataFrame([(i, t, h, "x") for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string, Source2 string")
+    found = quality_rules.with_features(docs).cache()
+    hosts = {r.host: r for r in quality_rules.host_rates(found).collect()}
+    judged = quality_rules.judge(found, quality_rules.host_rates(found)).collect()
+    assert not hosts["bad"].host_kept and hosts["fine"].host_kept and hosts["small"].host_kept and hosts[""].host_docs == 9
+    assert hosts["bad"].host_fails == 20 and hosts["small"].host_rate < 0.5 < 0.6 < hosts["bad"].host_rate
+    dropped = [r for r in judged if not r.kept and not r.base_failed]
+    assert len(dropped) == 3 and {r.host for r in dropped} == {"bad"}
+    # Where hosts differ by no more than chance, all are near the common rate.
+    rng = random.Random(15)
+    even = spark.createDataFrame([(i, bad if rng.random() < 0.3 else good, f"h{i % 20}") for i in range(600)], "doc_id long, text string, source string")
+    rates = [r.host_rate for r in quality_rules.host_rates(quality_rules.with_features(even)).collect()]
+    assert max(rates) - min(rates) < 0.05
+
+
 def small_model():
     rng = np.random.default_rng(0)
     ids = rng.integers(0, 40, 300)
@@ -240,3 +259,53 @@ def test_toxicity(spark):
     assert np.mean(right) > 0.97 and all(0 <= s <= 1 for s in got.values()) and got[1000] < 0.5
     none = toxicity.scores(docs, spark.createDataFrame([], "doc_id long, toxic int")).select("score").distinct().collect()
     assert [r.score for r in none] == [pytest.approx(0.1)]
+
+
+def test_viterbi_is_the_best_reading():
+    """Against all readings of short stretches, by the channel's definition."""
+    rng = np.random.default_rng(12)
+    counts = rng.integers(0, 9, (toxicity.K,) * 4).astype(float)
+    model = toxicity.language_model(counts)
+    decoder = toxicity.Decoder(model)
+
+    def every(raw, context=0, last="", score=0.0, text=""):
+        if not raw:
+            yield score + (float(model[context * toxicity.K]) if context % toxicity.K else 0.0), text
+            return
+        char, rest = raw[0], raw[1:]
+        own = ord(char) - 96 if "a" <= char <= "z" else 0
+        for cls, out, cost in [(own, char, 0.0)] + [(ord(x) - 96, x, toxicity.SWAPPED) for x in toxicity.LEET.get(char, "")]:
+            step = 0.0 if not cls and not context % toxicity.K else cost + float(model[context * toxicity.K + cls])
+            yield from every(rest, (context * toxicity.K + cls) % toxicity.K**3, out, score + step, text + out)
+            if cls and out == last:
+                yield from every(rest, context, last, score + toxicity.REPEATED + cost, text)
+        if (char in toxicity.SIGNS or char == " ") and context % toxicity.K:
+            yield from every(rest, context, last, score + toxicity.PARTED, text)
+
+    for raw in ("a", "l33t", "a.b", "b00k", "s t", "aa1!", "h-e-y", "1|1", "$$a"):
+        assert decoder.span(raw) == max(every(raw))[1]
+    # What is settled on the way doesn't change the reading.
+    long = "w0rd.b00k-l33t" * 60
+    toxicity.SETTLED, whole = 10**9, toxicity.SETTLED
+    want = decoder.span(long)
+    toxicity.SETTLED = whole
+    assert decoder.span(long) == want and len(long) > 2 * whole
+
+
+def test_disguises(spark):
+    text = " ".join(["worthless people said pathetic things about the class and the glass"] * 40)
+    docs = spark.createDataFrame([(1, text)], DOCS)
+    decoder = toxicity.Decoder(toxicity.language_model(toxicity.gram_counts(docs)))
+    assert decoder.word("w0rthl3ss") == decoder.word("w.o.r.t.h.l.e.s.s") == "worthless"
+    assert "glass" in decoder.readings("gla$$") and "said" in decoder.readings("said!")
+    assert "pathetic" in toxicity.tokens_of(decoder, "so p a\tt h\ne t i c")
+    joined = "-".join(["w0rthless"] * 12)
+    assert len(joined) > 64 and decoder.readings(joined) == ["worthless"]
+
+
+def test_toxicity_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None, 0), (1, "", 0), (1, "same", 0), (1, "same", 0), (None, "x" * 70_000, 0), (2, "a\u00e9 \u0661 ! $$ |", 0)], "doc_id long, text string, Toxic long")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    got = toxicity.scores(docs, labels).collect()
+    assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.scores(docs.limit(0), labels).count() == 0 and toxicity.restored(docs).count() == 6
