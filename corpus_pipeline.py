@@ -1,4 +1,10 @@
-"""The pipeline over documents: each stage works on all that the one before it kept."""
+"""The pipeline over documents: each stage works on all that the one before it kept.
+
+Defined results: a null text is empty and fails the quality rules; a null doc_id is an id like
+others, smallest for exact duplicates and last elsewhere; of rows that repeat one stays; a
+document whose words are all repeats goes; an empty table gives an empty table; columns beyond
+those of documents are dropped by the first stage, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +25,7 @@ STAGES = [
     ("substring_dedup", substring_stage),
     ("packing", packing_stage),
 ]
-#: Near duplicates, chains and packing have no SQL; tests hold the stages against brute force.
+#: Near duplicates, chains and packing have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
