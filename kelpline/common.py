@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,23 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Shuffle files go at the end of a write: its table is all that is read later.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def kept(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """As settled(), as a Parquet table in the shared folder, whose size the optimizer knows: it broadcasts what is small, and shuffles what isn't."""
+    spark = df.sparkSession
+    path = folder or f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression="zstd")
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def row_numbers(df: DataFrame, group: list[str], order: list[str], name: str = "place") -> DataFrame:
     """df with each row's number in its group, from 1, by columns order.
 

@@ -6,10 +6,12 @@ the edges, one row per (root, node), less those seen. Each level is kept in the
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import settled
+from ..common import kept, shared_dir
 from ..functions.columns import module_id, round2
 
 WEAKENING = 0.7
@@ -30,40 +32,38 @@ def forward_links(edges: DataFrame, with_tests: bool = False) -> DataFrame:
 
 
 def reach(links: DataFrame, roots: DataFrame, parents: bool = False) -> DataFrame:
-    """root, node, depth of all nodes reached from roots (id); a root isn't reached from itself.
+    """root, node, depth of all nodes reached from roots (id, distinct); a root isn't reached from itself.
 
     With parents also parent and rank: the first way that a queue would find, by the parent's
     rank and the link's ord. Each level is written once and stays as it is.
     """
-    links = settled(links)
+    links = kept(links)
     level = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth"))
     if parents:
         level = level.withColumns({"parent": F.lit(None).cast("string"), "rank": F.lit(0).cast("long")})
-    levels, depth = [settled(level)], 0
+    # Levels are folders of one table: what is seen so far is read at once.
+    spark = links.sparkSession
+    folder = f"{shared_dir(spark)}/reach-{uuid.uuid4().hex}"
+    level, depth = kept(level, f"{folder}/0"), 0
+    schema, paths = level.schema, [f"{folder}/0"]
     while True:
         depth += 1
-        found = levels[-1].join(links, "node").where("next <> root")
+        found = level.join(links, "node").where("next <> root")
         if parents:
             found = found.groupBy("root", "next").agg(F.min(F.struct("rank", "ord", F.col("node").alias("parent"))).alias("way"))
         else:
             found = found.select("root", "next").distinct()
-        found = found.withColumnRenamed("next", "node").join(_all(levels).select("root", "node"), ["root", "node"], "left_anti")
+        seen = spark.read.schema(schema).parquet(*paths)
+        found = found.withColumnRenamed("next", "node").join(seen.select("root", "node"), ["root", "node"], "left_anti")
         if parents:
             order = Window.partitionBy("root").orderBy("way.rank", "way.ord", "node")
             found = found.select("root", "node", F.lit(depth).alias("depth"), "way.parent", F.row_number().over(order).cast("long").alias("rank"))
         else:
-            found = found.withColumn("depth", F.lit(depth))
-        level = settled(found)
+            found = found.select("root", "node", F.lit(depth).alias("depth"))
+        paths.append(f"{folder}/{depth}")
+        level = kept(found, paths[-1])
         if level.isEmpty():
-            return _all(levels).where("depth > 0")
-        levels.append(level)
-
-
-def _all(levels: list[DataFrame]) -> DataFrame:
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out
+            return spark.read.schema(schema).parquet(*paths).where("depth > 0")
 
 
 def blast_radius(nodes: DataFrame, edges: DataFrame, only: DataFrame | None = None) -> DataFrame:
@@ -71,7 +71,7 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, only: DataFrame | None = No
 
     Weights are summed to nine decimals before they are cut to two, so that the order of adding doesn't show.
     """
-    links = settled(reverse_links(edges, nodes.where("type = 'test'")))
+    links = kept(reverse_links(edges, nodes.where("type = 'test'")))
     direct = links.groupBy("node").agg(F.countDistinct("next").alias("direct"))
     if only is not None:
         direct = direct.join(only.select(F.col("id").alias("node")), "node", "left_semi")
@@ -97,11 +97,11 @@ def cascade_paths(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataF
     """
     got = reach(reverse_links(edges, nodes.where("type = 'test'")), roots, parents=True)
     best = got.groupBy("root").agg(F.max(F.struct("depth", (-F.col("rank")).alias("r"), "node")).alias("b"))
-    ways = settled(best.select("root", F.col("b.depth").cast("long").alias("max_depth"), F.array("b.node").alias("path"), F.col("b.node").alias("at")))
+    ways = kept(best.select("root", F.col("b.depth").cast("long").alias("max_depth"), F.array("b.node").alias("path"), F.col("b.node").alias("at")))
     deepest = ways.agg(F.max("max_depth")).first()[0] or 0
     back = got.select("root", F.col("node").alias("at"), "parent").where("parent <> root")
     for i in range(deepest - 1):
-        step = (ways if i % 5 else settled(ways)).join(back, ["root", "at"], "left")
+        step = (ways if i % 5 else kept(ways)).join(back, ["root", "at"], "left")
         ways = step.select("root", "max_depth", F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat(F.array("parent"), "path")).alias("path"), "parent").withColumnRenamed("parent", "at")
     return ways.select("root", "max_depth", "path")
 

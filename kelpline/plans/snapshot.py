@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,5 +26,18 @@ def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in meta["tables"]}
 
 
+def find(start: str, name: str = ".kelpline") -> str | None:
+    """The snapshot's folder in start or the nearest folder above it."""
+    here = Path(start).resolve()
+    return next((str(f / name) for f in [here, *here.parents] if (f / name / "_meta.parquet").exists()), None)
+
+
+def write_text(text: str, path: str) -> None:
+    """At once: a reader sees the text before or after, never half of it."""
+    part = f"{path}.tmp"
+    Path(part).write_text(text)
+    os.replace(part, path)
+
+
 def is_stale(spark: SparkSession, path: str, head: str | None) -> bool:
     return spark.read.parquet(f"{path}/_meta.parquet").first()["head"] != head

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settled, table
+from .common import kept, table
 from .functions import columns as C
 from .functions import extract as X
 from .functions import render
@@ -80,8 +80,8 @@ rates as (
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    nodes = settled(star.parts(spark, sf_dir))
-    return nodes, settled(star.edges(spark, sf_dir, nodes))
+    nodes = kept(star.parts(spark, sf_dir))
+    return nodes, kept(star.edges(spark, sf_dir, nodes))
 
 
 def _complex(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 import subprocess
 from fnmatch import fnmatchcase
 from pathlib import Path
@@ -52,11 +54,22 @@ def aliases(spark: SparkSession, tsconfig: str | None) -> DataFrame:
     return spark.createDataFrame(rows, "alias string, target string, ord int")
 
 
+def _manifest(text: str | None) -> dict:
+    """A package.json; one that can't be read, or is no object, is empty."""
+    try:
+        found = json.loads(text or "{}")
+    except ValueError:
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
 def workspace_globs(package_json: str | None, pnpm: str | None) -> list[str]:
-    found = (json.loads(package_json).get("workspaces") or []) if package_json else []
+    """Of package.json's workspaces and pnpm-workspace.yaml's packages, without comments."""
+    found = _manifest(package_json).get("workspaces") or []
     found = found.get("packages", []) if isinstance(found, dict) else list(found)
     inside = False
     for line in (pnpm or "").splitlines():
+        line = re.sub(r"(^|\s)#.*", "", line)
         if line.strip().startswith("packages:"):
             inside = True
         elif inside and line.strip().startswith("-"):
@@ -76,19 +89,67 @@ def entry_point(manifest: dict) -> str | None:
     return value if isinstance(value, str) else manifest.get("main")
 
 
+def _text(path: Path) -> str | None:
+    return path.read_text() if path.exists() else None
+
+
+def _manifests(top: Path) -> list[Path]:
+    """All package.json below top; ignored folders aren't entered."""
+    out = []
+    for folder, folders, files in os.walk(top):
+        folders[:] = [f for f in folders if f not in IGNORED_FOLDERS]
+        if "package.json" in files:
+            out.append(Path(folder) / "package.json")
+    return out
+
+
+def workspace_root(start: str, levels: int = 6) -> tuple[str, str]:
+    """The folder above start, or start, that has workspaces, and the way from it to start (the offset of a scan's paths).
+
+    The search ends at a repository's top and after so many levels; without a find it is start itself.
+    """
+    here = Path(start).resolve()
+    for folder in [here, *here.parents][: levels + 1]:
+        if workspace_globs(_text(folder / "package.json"), _text(folder / "pnpm-workspace.yaml")):
+            offset = here.relative_to(folder).as_posix()
+            return str(folder), "" if offset == "." else offset
+        if (folder / ".git").exists():
+            break
+    return str(here), ""
+
+
+def below_offset(packages: DataFrame, offset: str) -> DataFrame:
+    """packages with folders as a scan of the folder at the offset names its paths; those outside of it go."""
+    if not offset:
+        return packages
+    return packages.where(F.col("dir").startswith(offset + "/")).withColumn("dir", F.expr(f"substring(dir, {len(offset) + 2})"))
+
+
+def head_of(root: str, timeout: int = 15) -> str | None:
+    """The short hash of the tree's commit; None where there is none."""
+    try:
+        return subprocess.run(["git", "-C", root, "rev-parse", "--short", "HEAD"], capture_output=True, text=True, timeout=timeout, check=True).stdout.strip() or None
+    except (OSError, subprocess.SubprocessError):
+        return None
+
+
+def newest(files: DataFrame) -> DataFrame:
+    """One row: when the newest file below src/ that is a script was modified."""
+    return files.where(F.col("path").rlike(r"^src/.*\.(ts|tsx|js|jsx)\z")).agg(F.max("modified").alias("modified"))
+
+
 def packages(spark: SparkSession, root: str) -> DataFrame:
     """name, dir, entry of a monorepo's packages; of equal names the first. A listing of manifests on the driver."""
     top = Path(root)
-    read = lambda p: p.read_text() if p.exists() else None
-    globs = workspace_globs(read(top / "package.json"), read(top / "pnpm-workspace.yaml"))
+    globs = workspace_globs(_text(top / "package.json"), _text(top / "pnpm-workspace.yaml"))
     rows: dict[str, tuple[str, str, str | None]] = {}
-    for p in sorted(top.rglob("package.json")) if globs else []:
+    for p in sorted(_manifests(top)) if globs else []:
         folder = p.parent.relative_to(top).as_posix()
-        if folder == "." or set(p.parts) & set(IGNORED_FOLDERS):
+        if folder == ".":
             continue
         fits = lambda g: fnmatchcase(folder, g.replace("**", "*").rstrip("/")) and ("**" in g or folder.count("/") == g.rstrip("/").count("/"))
         if any(fits(g) for g in globs if g[0] != "!") and not any(fits(g[1:]) for g in globs if g[0] == "!"):
-            m = json.loads(p.read_text())
+            m = _manifest(p.read_text())
             if m.get("name"):
                 entry = entry_point(m)
                 rows.setdefault(m["name"], (m["name"], folder, entry and entry.removeprefix("./")))

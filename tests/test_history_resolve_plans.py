@@ -209,3 +209,32 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {tuple(r) for r in S.churn_windows(rows, length="30 days", slide="10 days").collect()}
     assert got == want
+
+
+def test_workspaces(spark, tmp_path):
+    def put(path, text):
+        p = tmp_path / path
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+
+    put("mono/package.json", "{broken")
+    put("mono/pnpm-workspace.yaml", "# all\npackages:  # these\n  - 'libs/*'  # each\n  - \"!libs/old\"\nother:\n  - x/*\n")
+    put("mono/libs/a/package.json", '{"name": "@m/a", "exports": {".": {"import": "./src/main.ts"}}}')
+    put("mono/libs/old/package.json", '{"name": "@m/old"}')
+    put("mono/libs/bad/package.json", "[1]")
+    put("mono/libs/node_modules/z/package.json", '{"name": "z"}')
+    put("mono/libs/a/src/main.ts", "export const a = 1")
+    assert code_tree.workspace_globs("{broken", "packages:\n - 'x/*' # y") == ["x/*"]
+    root, offset = code_tree.workspace_root(str(tmp_path / "mono/libs/a"))
+    assert (root, offset) == (str(tmp_path / "mono"), "libs/a")
+    found = code_tree.packages(spark, root)
+    assert [tuple(r) for r in found.collect()] == [("@m/a", "libs/a", "src/main.ts")]
+    assert [r.dir for r in code_tree.below_offset(found, "libs").collect()] == ["a"] and code_tree.below_offset(found, "apps").count() == 0
+    (tmp_path / "alone/.git").mkdir(parents=True)
+    assert code_tree.workspace_root(str(tmp_path / "alone")) == (str(tmp_path / "alone"), "") and code_tree.head_of(str(tmp_path / "alone")) is None
+    files = code_tree.read_files(spark, str(tmp_path / "mono/libs/a"))
+    assert code_tree.newest(files).first().modified == files.first().modified
+    snapshot.write(spark, str(tmp_path / "mono/.kelpline"), {"packages": found})
+    assert snapshot.find(root + "/libs/a") == root + "/.kelpline" and snapshot.find(str(tmp_path / "alone")) is None
+    snapshot.write_text("x", str(tmp_path / "report"))
+    assert (tmp_path / "report").read_text() == "x" and not (tmp_path / "report.tmp").exists()
