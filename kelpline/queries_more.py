@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .common import settled, shared_dir
+from .common import settled, shared_dir, table
 from .functions import columns as C
 from .functions import extract as X
 from .functions import render
@@ -451,8 +451,6 @@ def resume_remaining(spark, sf_dir):
 
 @query("""select event_id, 'q' || user_id as question, 'says ' || event_type as rewrite, 'more ' || event_type as condition_, case when event_id % 2 = 0 then 'half' else '' end as savings from events""")
 def advice_parse(spark, sf_dir):
-    from .common import table
-
     e = table(spark, sf_dir, "events")
     reply = F.concat(F.lit("Some words\nREWRITE: [q"), F.col("user_id").cast("string"), F.lit('] "old"\nPROBLEM: too vague \nNEW: "says '), "event_type", F.lit('"\nWHY: clear\nCONDITION: more '), "event_type", F.lit("\n"), F.when(F.col("event_id") % 2 == 0, "SAVINGS: half").otherwise(""))
     a = J.advice(reply)
@@ -463,7 +461,7 @@ def advice_parse(spark, sf_dir):
 
 
 @query(f"""with {NODES}
-select ord, './' || ord || ' lib' || ord % 3 as imports, 'f' || ord || ' Main' as exports, 'api/' as kind_of, case when ord % 2 = 0 then 'api-route' else 'component' end as kind, case when ord % 2 = 0 then 'GET,DELETE' end as methods, case when ord % 2 = 0 then '/api/p' || ord end as route from nodes""")
+select ord, './' || ord || ' lib' || ord % 3 as imports, 'f' || ord || ' Main DELETE' as exports, case when ord % 2 = 0 then 'api-route' else 'component' end as kind, case when ord % 2 = 0 then 'GET,DELETE' end as methods, case when ord % 2 = 0 then '/api/p' || ord end as route from nodes""")
 def extract_sources(spark, sf_dir):
     """A source text for each file: what it imports and exports, its type, and a route's methods and path."""
     n = star.parts(spark, sf_dir)
@@ -472,8 +470,7 @@ def extract_sources(spark, sf_dir):
     text = F.concat(F.lit("import { a,\n b } from './"), o, F.lit("';\nconst z = require(\"lib"), (F.col("ord") % 3).cast("string"), F.lit("\");\nconst m = require('node_modules/x');\nexport const f"), o, F.lit(" = 1;\nexport default function Main() {}\nexport async function hidden() {}\nexport async function GET(r) {}\nexport function DELETE() {}\n"))
     rows = n.select("ord", path.alias("path"), text.alias("text"))
     meta = X.metadata(F.col("path"), F.col("text"), F.lit("nextjs"))
-    no_methods = F.filter(X.exports(F.col("text")), lambda x: x != "DELETE")
-    return rows.select("ord", F.array_join(X.imports(F.col("text")), " ").alias("imports"), F.array_join(no_methods, " ").alias("exports"), F.lit("api/").alias("kind_of"), C.file_type(F.col("path"), F.col("text")).alias("kind"), F.array_join(meta["methods"], ",").alias("methods"), meta["routePath"].alias("route"))
+    return rows.select("ord", F.array_join(X.imports(F.col("text")), " ").alias("imports"), F.array_join(X.exports(F.col("text")), " ").alias("exports"), C.file_type(F.col("path"), F.col("text")).alias("kind"), F.array_join(meta["methods"], ",").alias("methods"), meta["routePath"].alias("route"))
 
 
 @query(f"with {EDGES} select 'src/' || src as src, 'src/' || dst as dst, type, count(*) as n from edges group by 1, 2, 3")
@@ -495,8 +492,6 @@ def resolve_imports(spark, sf_dir):
 select distinct o_custkey as repo, commit_seq, coalesce('src/' || l_partkey || '.ts', 'src/after.ts') as path from o left join lineitem on l_orderkey = o_orderkey""")
 def git_log_names(spark, sf_dir):
     """A name-only log for each customer: an order is a commit, its lines are the files; what follows a blank line after them is no file (and is one where there are none before it)."""
-    from .common import table
-
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     at = lambda n: (F.col("o_orderkey") * 1000 + n).alias("pos")
     line = lambda n, text: o.select(F.col("o_custkey").alias("repo"), at(n), text.alias("line"))
@@ -508,8 +503,6 @@ def git_log_names(spark, sf_dir):
 
 @query("""select page_id, replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as safe, floor(length(coalesce(html, '')) / 4 + 0.5)::bigint as tokens from pages""")
 def escape_and_estimate(spark, sf_dir):
-    from .common import table
-
     html = F.coalesce("html", F.lit(""))
     return table(spark, sf_dir, "pages").select("page_id", render.xml_escaped(html).alias("safe"), C.token_estimate(html).alias("tokens"))
 
@@ -518,8 +511,6 @@ def escape_and_estimate(spark, sf_dir):
   || case when event_id % 2 = 0 then 'Be brief.' || chr(10) || chr(10) else '' end || 'Answer ' || event_type end as prompt from events where event_id % 6 <> 0
 union all select event_id, 'Be brief.' || chr(10) || chr(10) || 'Answer ' || event_type from events where event_id % 6 = 0""")
 def prompts(spark, sf_dir):
-    from .common import table
-
     e = table(spark, sf_dir, "events")
     encoding = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("props"))
     before = F.when(F.col("event_id") % 2 == 0, "Be brief.").otherwise("")
