@@ -308,3 +308,15 @@ def test_toxicity_of_odd_rows(spark):
     got = toxicity.scores(docs, labels).collect()
     assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
     assert toxicity.scores(docs.limit(0), labels).count() == 0 and toxicity.restored(docs).count() == 6
+
+
+def test_lm_and_bpe_of_odd_rows(spark):
+    rows = [(None, "the cat sat"), (3, "the cat sat"), (3, "the cat sat"), (4, None), (4, ""), (5, "long " * 40_000), (6, "é\x0b\x0c ☃ \x1f")]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, Held_out long, row long")
+    path = public_tokenizers.path(L.RANKS)
+    got = L.lm_scores(docs, path).collect()
+    same = [r for r in got if r.n_tokens == 4 and r.doc_id in (None, 3)]
+    assert len(got) == 7 and len(same) == 3 and max(r.score for r in same) == pytest.approx(min(r.score for r in same), rel=1e-6)
+    assert not next(r for r in got if r.doc_id is None).held_out and {r.n_tokens for r in got if r.doc_id == 4} == {1}
+    ids = bpe.digests(docs, path).collect()
+    assert len(ids) == 7 and {r.n_tokens for r in ids if r.doc_id == 4} == {0} and len({r.ids_sha256 for r in ids if r.doc_id in (None, 3)}) == 1
