@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lm_scoring, near_dedup, packing, quality_rules, substrings, toxicity, url_filters, warc
+from . import alignment, bpe, exact_dedup, lm_scoring, near_dedup, packing, quality_rules, substrings, suffix_dedup, toxicity, url_filters, warc, whitening
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
 }
 SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,
