@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -88,14 +88,28 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Gives written() into a folder of its own; drop() removes tables that nothing lazy reads any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, new_folder(spark, "scratch")
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, name, self.folder)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove(self.spark, f"{self.folder}/{name}")
+
+
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """Gives written() into a folder that goes at the end of the block; nothing lazy may read it then."""
-    folder = new_folder(spark, "scratch")
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """A Scratch whose folder goes at the end of the block; nothing lazy may read it then."""
+    keep = Scratch(spark)
     try:
-        yield lambda df, name: written(df, name, folder)
+        yield keep
     finally:
-        remove(spark, folder)
+        remove(spark, keep.folder)
 
 
 def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ the threshold, both without a sort of their positions; what is left are the stre
 of what repeats, and one of each lot of equal ones that shares its gram with others. The position's
 second rank at an offset isn't always a row then, so the bytes there stand for it by their digest.
 
-Digests have 128 bits. Hot strings are counted in the tasks that read them before anything is
+Digests have 96 bits. Hot strings are counted in the tasks that read them before anything is
 shuffled, and joined as plain written tables, which adaptive execution splits. Rows are known by a
 number in a written table and not by their ids or texts.
 
@@ -27,18 +27,20 @@ empty table gives an empty table; other columns are dropped.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, scratch, table, written
+from .common import Scratch, pick, scratch, table, written
 
-LENGTH, SHARED = 400, 300
+LENGTH, SHARED = 400, 340
 #: First h of the doubling; LENGTH / FIRST is a power of two.
 FIRST = 100
+#: Bytes of a digest: two of a million million strings agree by chance once in 10^5 corpora.
+DIGEST = 12
 #: Positions of a text that are hashed at once; places in it take as many bits of a key.
 PART, PLACE_BITS = 1 << 22, np.uint64(24)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -92,7 +94,7 @@ def stretches(text: bytes, length: int = LENGTH, shared: int = SHARED) -> tuple[
 
 
 def digest(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
+    return hashlib.blake2b(data, digest_size=DIGEST).digest()
 
 
 def _table(batch_rows: Iterator[tuple], kinds: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -169,20 +171,23 @@ def positions(bodies: DataFrame, wanted: DataFrame, length: int, first: int) ->
     return both.mapInArrow(run, "row long, at long, places long, " + ", ".join(f"d{i} binary" for i in range(len(steps))))
 
 
-def doubled(rows: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def doubled(rows: DataFrame, keep: Scratch) -> DataFrame:
     """row and at of the positions() that are not unique at the last offset and whose own stretch is.
 
     Each turn sorts the distinct pairs that several places have, numbers them and joins the numbers
-    back: the ranks of the next turn, whose strings are twice as long.
+    back: the ranks of the next turn, whose strings are twice as long. A turn's tables go when the
+    next one's are written.
     """
     digests = [c for c in rows.columns if c[0] == "d"]
-    ranked = rows.withColumn("rank", F.lit(0).cast("long"))
+    ranked, done = keep(rows, "positions").withColumn("rank", F.lit(0).cast("long")), ["positions"]
     for i, d in enumerate(digests):
         pairs = ranked.groupBy("rank", d).agg(F.sum("places").alias("n")).where("n > 1").drop("n")
         pairs = keep(pairs.repartitionByRange("rank", d).sortWithinPartitions("rank", d).withColumn("next", F.monotonically_increasing_id()), f"ranks_{i}")
         left = ["row", "at", "places", *digests[i + 1 :]]
         ranked = ranked.join(pairs, ["rank", d]).select(*left, F.col("next").alias("rank"))
         ranked = keep(ranked, f"ranked_{i}")
+        keep.drop(*done)
+        done = [f"ranks_{i}", f"ranked_{i}"]
     return ranked.where("places = 1").select("row", "at")
 
 
@@ -227,25 +232,29 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, shared: int = SHARED,
     with scratch(docs.sparkSession) as keep:
         texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
         texts = keep(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
+        heads = keep(texts.select("row", "doc_id", F.length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("sha")), "heads")
         found = keep(all_stretches(texts, length, shared), "stretches")
         twice = keep(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
         parts = found.join(twice, "gram").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "gram"))).alias("parts"))
-        bodies = keep(texts.join(keep(parts, "parts"), "row").select("row", "doc_id", "body", "parts"), "bodies")
+        parts = keep(parts, "parts")
+        keep.drop("stretches", "grams")
+        bodies = keep(texts.join(parts, "row").select("row", "doc_id", "body", "parts"), "bodies")
+        keep.drop("texts", "parts")
 
         places = keep(digested(bodies, length), "places")
         kinds = keep(places.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("places"), F.min(F.struct("row", "start", "stop")).alias("one")), "kinds")
+        whole = keep(places.join(kinds.where("places > 1").select("gram", "whole"), ["gram", "whole"]).select("row", "start", "stop"), "whole")
+        keep.drop("places")
         # Of a gram whose stretches are all equal no position needs a rank.
         several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
         wanted = kinds.join(several, "gram").groupBy("one.row").agg(F.collect_list(F.struct("one.start", "one.stop", "places")).alias("parts"))
-        alike = doubled(keep(positions(bodies, keep(wanted, "wanted"), length, first), "positions"), keep)
+        alike = doubled(positions(bodies, keep(wanted, "wanted"), length, first), keep)
 
-        whole = places.join(kinds.where("places > 1").select("gram", "whole"), ["gram", "whole"]).select("row", "start", "stop")
         cuts = whole.union(alike.select("row", "at", F.col("at") + 1)).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
         cuts = keep(cuts, "cuts")
         changed = shortened(bodies.join(cuts, "row"), length)
-        same = texts.select("row", "doc_id", F.length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("sha")).join(cuts.select("row"), "row", "left_anti")
         none = F.lit(0).cast("long")
-        same = same.select("doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("sha").alias("kept_sha256"), F.array().cast("array<struct<start: long, stop: long>>").alias("spans"))
+        same = heads.join(cuts.select("row"), "row", "left_anti").select("doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("sha").alias("kept_sha256"), F.array().cast("array<struct<start: long, stop: long>>").alias("spans"))
         return written(changed.union(same), "suffix_dedup")
 
 
