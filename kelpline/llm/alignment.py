@@ -4,8 +4,8 @@ Each task encodes blocks of texts with both tokenizers and hands DuckDB two inte
 block's tokens in order with the byte at which each ends, texts one after another. An as-of join
 finds for each A token the B token that holds its last byte; a range join of the few A tokens
 that reach over several B tokens with the B tokens that end inside them gives the other overlaps.
-A running sum of common ends over each table numbers the groups. Links are counted by document and
-id pair there too.
+A running sum of common ends numbers the groups. Links are counted by document and id pair there
+too.
 
 A block writes one row with its documents (numbers, and their pairs as places in the block's list
 of pairs) and a row for each of its pairs with the number of documents that hold it. Spark adds
@@ -47,23 +47,20 @@ BLOCK = 1 << 20
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 _CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
-#: tokens A and B: i (place), id, stop (the byte after its last one, of all texts of a block in a row)
+#: Tables a and b: i (place), id, stop (the byte after a token's last one, of all texts of a block in a row); a has doc too.
+#: Of each A token the B token that holds its last byte, the first B token that it overlaps, and the groups before it.
 SPANS = """
 create or replace temp table spans as
-select a.i, a.id, a.doc, a.stop, coalesce(lag(a.stop) over (order by a.i), 0) as start, b.i as last_i, b.id as last_id, (b.stop = a.stop)::int as common
-from a asof join b on b.stop >= a.stop"""
-#: Of B tokens those that end inside an A token; all others are some A token's last.
+select *, coalesce(lag(last_i + common) over (order by i), 0) as first_i, (sum(common) over (order by i rows unbounded preceding) - common)::bigint as g
+from (select a.i, a.id, a.doc, b.i as last_i, b.id as last_id, (b.stop = a.stop)::int as common from a asof join b on b.stop >= a.stop)"""
+#: Few A tokens overlap B tokens before that one; those B tokens have no common end. A link's key is a number of document, A and B.
 LINKS = """
-with inner_b as (select b.id, b.stop from b anti join a on a.stop = b.stop)
-select doc, a, b, count(*) as n from (
-  select doc, id as a, last_id as b from spans
+with inner_b as (select b.i, b.id from b anti join (select last_i from spans where common = 1) c on b.i = c.last_i)
+select key, count(*) as n from (
+  select (doc * $n_a + id) * $n_b + last_id as key from spans
   union all
-  select s.doc, s.id, x.id from (select * from spans where start < stop - 1) s join inner_b x on x.stop > s.start and x.stop < s.stop)
-group by doc, a, b order by doc, a, b"""
-GROUPS_A = "select coalesce(sum(common) over (order by i rows between unbounded preceding and 1 preceding), 0)::bigint as g from spans order by i"
-GROUPS_B = """
-select coalesce(sum((s.i is not null)::int) over (order by b.i rows between unbounded preceding and 1 preceding), 0)::bigint as g
-from b left join (select i, stop from spans where common = 1) s on s.stop = b.stop order by b.i"""
+  select (s.doc * $n_a + s.id) * $n_b + x.id from (select * from spans where first_i < last_i) s join inner_b x on x.i >= s.first_i and x.i < s.last_i)
+group by key order by key"""
 
 
 class Pair:
@@ -158,8 +155,10 @@ def align(pair: Pair, con: duckdb.DuckDBPyConnection, texts: list[str]) -> Align
     con.register("a", pa.table({"i": np.arange(len(ids_a)), "id": ids_a, "stop": _bytes_of(pair.a_bytes, ids_a)[1], "doc": np.repeat(np.arange(len(of)), size_a)}))
     con.register("b", pa.table({"i": np.arange(len(ids_b)), "id": ids_b, "stop": _bytes_of(pair.b_bytes, ids_b)[1]}))
     con.execute(SPANS)
-    links = con.execute(LINKS).fetchnumpy()
-    group_a, group_b = (np.asarray(con.execute(q).fetchnumpy()["g"]) for q in (GROUPS_A, GROUPS_B))
+    links = con.execute(LINKS, {"n_a": pair.n_a, "n_b": pair.n_b}).fetchnumpy()
+    spans = con.execute("select g, last_i, common from spans order by i").fetchnumpy()
+    group_a = spans["g"]
+    group_b = np.repeat(np.arange(group_a[-1] + 1), np.diff(spans["last_i"][spans["common"] == 1], prepend=-1))
     # Groups in order, A's tokens before B's: a token's place is its own number and that of the other side's tokens before it.
     place_a = np.arange(len(ids_a)) + np.searchsorted(group_b, group_a, "left")
     place_b = np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, "right")
@@ -172,8 +171,10 @@ def align(pair: Pair, con: duckdb.DuckDBPyConnection, texts: list[str]) -> Align
     bounds = stops[np.append(0, ends_a + ends_b)].tolist()
     firsts = np.append(0, group_a[ends_a[:-1]]).tolist()
     lasts = (group_a[ends_a - 1] + 1).tolist()
-    at = np.searchsorted(links["doc"], np.arange(len(of) + 1)).tolist()
-    keys = links["a"].astype(np.int64) << 32 | links["b"].astype(np.int64)
+    rest, id_b = np.divmod(links["key"], pair.n_b)
+    doc, id_a = np.divmod(rest, pair.n_a)
+    at = np.searchsorted(doc, np.arange(len(of) + 1)).tolist()
+    keys = id_a << 32 | id_b
     for j, k in enumerate(of):
         out.n_a[k], out.n_b[k], out.n_groups[k] = size_a[j], size_b[j], lasts[j] - firsts[j]
         out.groups[k] = data[bounds[j] : bounds[j + 1]]
