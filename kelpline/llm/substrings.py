@@ -21,9 +21,9 @@ join to passages, of which those of MIN_WORDS or more are repeats. What stays is
 A frequent seed's places are joined to its one home by a plain join of two tables, which adaptive
 execution splits where it is skewed; so are the chains that ask for one range of a home.
 
-Defined results: documents are known by doc_id and text (rows with equal ones are one document,
-and all of them lose its repeats; texts differ under one id without harm); a null doc_id comes
-last, as the largest; a null text is empty; repeats within a document alone are left; empty
+Defined results: documents are known by doc_id and, where an id repeats, by the number of the text
+among the id's (rows with equal ones are one document, and all of them lose its repeats; texts
+differ under one id, or null, without harm); a null doc_id comes last, as the largest; a null text is empty; repeats within a document alone are left; empty
 tables give empty results; other columns are dropped.
 """
 
@@ -38,7 +38,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, pick, scratch, table, written
+from ..common import row_numbers
+from .common import SPACE_CLASS, pick, scratch, settled, table, written
 from .shingles import mix, windows, word_hashes
 
 SEED, WINDOW, MIN_WORDS = 6, 10, 50
@@ -52,7 +53,7 @@ BEYOND, EQUAL, OTHER, DROP = 40, 1.0, -1.5, 8.0
 LAST = (1 << 63) - 1
 #: Ranges of words begin and end at multiples of this, so that chains of one passage ask for one range.
 RANGE = 64
-REGION = "doc_id long, text_hash long, start int, stop int, home long, home_hash long, home_start int, home_stop int, runs array<int>"
+REGION = "doc_id long, text_number long, start int, stop int, home long, home_number long, home_start int, home_stop int, runs array<int>"
 NAMES = [x.split()[0] for x in REGION.split(", ")]
 KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32()] * 2 + [pa.list_(pa.int32())]
 FOUND = "seed long, doc_id long, tail long, more int, again boolean"
@@ -75,13 +76,29 @@ def mixed(h: np.ndarray, more: np.ndarray) -> np.ndarray:
     return mix(h * np.uint64(0x9E3779B97F4A7C15) ^ more.astype(np.uint64))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash (31 bits, which tell texts under one id apart), body; a row for each document."""
+def told_by_number(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs (doc_id, text, more) with text_number: 0 where no other row has the id, else the number, from 1, of its text among the id's, by their SHA-256; and whether any id repeats.
+
+    The number depends on ids and texts alone, so it is the same whenever it is taken. Numbers are
+    counted in ranges, as an id (null above all) may be that of any share of the rows.
+    """
+    again = settled(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return docs.withColumn("text_number", F.lit(0).cast("long")), False
+    named = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    own = named.select("doc_id", "_sha").join(again.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").distinct()
+    numbers = settled(row_numbers(own, ["doc_id"], ["_sha"], "_number")).withColumnsRenamed({"doc_id": "_id", "_sha": "_s"})
+    both = named.join(numbers, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_s")), "left")
+    return both.withColumn("text_number", F.coalesce(F.col("_number").cast("long"), F.lit(0).cast("long"))).drop("_id", "_s", "_sha", "_number"), True
+
+
+def numbered(docs: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """doc_id, text_number (the number that tells texts under one id apart), body; a row for each document."""
     docs = pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
-    out = docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 33).alias("text_hash"), F.col("text").cast("binary").alias("body"))
-    # A look at the ids alone tells whether rows can repeat.
-    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return out.dropDuplicates(["doc_id", "text_hash"]) if repeated else out
+    known, repeated = told_by_number(docs)
+    out = known.select("doc_id", "text_number", F.col("text").cast("binary").alias("body"))
+    # Where no id repeats nothing is joined: rows are read from docs again and not written.
+    return keep(out.dropDuplicates(["doc_id", "text_number"]), "texts") if repeated else out
 
 
 def first_places(seed: np.ndarray) -> np.ndarray:
@@ -112,7 +129,7 @@ def told_apart(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def seeds(texts: DataFrame) -> DataFrame:
-    """FOUND of numbered() rows: tail is text_hash << 32 | place, again says that the document has the seed before."""
+    """FOUND of numbered() rows: tail is text_number << 32 | place, again says that the document has the seed before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,12 +146,12 @@ def seeds(texts: DataFrame) -> DataFrame:
 
 
 def placed(found: DataFrame, name: str, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """doc_id, text_hash, at, home, home_hash, home_at, more: every place of a seed that several documents have, its home's too."""
+    """doc_id, text_number, at, home, home_number, home_at, more: every place of a seed that several documents have, its home's too."""
     of = lambda x: F.shiftright(x, 32)
     at = lambda x: F.col(x).bitwiseAND(0xFFFFFFFF).cast("int")
     first = found.where("not again").groupBy("seed").agg(F.min_by("tail", "doc_id").alias("home_tail"), F.min("doc_id").alias("home"), F.max("doc_id").alias("last"), F.min("tail").alias("t0"), F.max("tail").alias("t1"))
     shared = keep(first.where((F.col("home") < F.col("last")) | (of("t0") != of("t1"))).select("seed", "home", "home_tail"), name)
-    return found.join(shared, "seed").select("doc_id", of("tail").alias("text_hash"), at("tail").alias("at"), "home", of("home_tail").alias("home_hash"), at("home_tail").alias("home_at"), "more")
+    return found.join(shared, "seed").select("doc_id", of("tail").alias("text_number"), at("tail").alias("at"), "home", of("home_tail").alias("home_number"), at("home_tail").alias("home_at"), "more")
 
 
 def chain(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
@@ -269,8 +286,8 @@ def regions(shared: DataFrame, grouped: bool) -> DataFrame:
 
     grouped: with rows of FOUND too, those of unchained(); the columns of the other kind are null.
     """
-    order = ["doc_id", "text_hash", "home", "home_hash", "at"]
-    dealt = shared.repartition("doc_id", "text_hash").sortWithinPartitions(*order).select(*order, "home_at", "more")
+    order = ["doc_id", "text_number", "home", "home_number", "at"]
+    dealt = shared.repartition("doc_id", "text_number").sortWithinPartitions(*order).select(*order, "home_at", "more")
     n_region, kinds = len(NAMES), [*KINDS, pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
     schema = f"{REGION}, seed long, tail long, more int, again boolean"
 
@@ -414,10 +431,10 @@ def ranged(start: str, stop: str) -> list:
 
 
 def slices(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, text_hash, lo, hi, words (32 bits of their hashes) of the ranges wanted (doc_id, text_hash, ranges); ends beyond the text are left out."""
+    """doc_id, text_number, lo, hi, words (32 bits of their hashes) of the ranges wanted (doc_id, text_number, ranges); ends beyond the text are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "text_hash", "lo", "hi", "words"]
+        names = ["doc_id", "text_number", "lo", "hi", "words"]
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
@@ -429,15 +446,15 @@ def slices(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                     cols = list(zip(*rows[j : j + 1000]))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [*KINDS[:4], pa.list_(pa.int32())])], names=names)
 
-    both = texts.join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "body", "ranges")
-    return both.mapInArrow(run, "doc_id long, text_hash long, lo int, hi int, words array<int>")
+    both = texts.join(wanted, ["doc_id", "text_number"]).select("doc_id", "text_number", "body", "ranges")
+    return both.mapInArrow(run, "doc_id long, text_number long, lo int, hi int, words array<int>")
 
 
 def passages(found: DataFrame, texts: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """regions() aligned: doc_id, text_hash, start, stop (words of the document), home."""
-    homes = found.select(F.col("home").alias("doc_id"), F.col("home_hash").alias("text_hash"), *ranged("home_start", "home_stop"))
-    wanted = found.select("doc_id", "text_hash", *ranged("start", "stop")).union(homes).distinct()
-    wanted = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    """regions() aligned: doc_id, text_number, start, stop (words of the document), home."""
+    homes = found.select(F.col("home").alias("doc_id"), F.col("home_number").alias("text_number"), *ranged("home_start", "home_stop"))
+    wanted = found.select("doc_id", "text_number", *ranged("start", "stop")).union(homes).distinct()
+    wanted = wanted.groupBy("doc_id", "text_number").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     cut_out = keep(slices(texts, wanted), "slices")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,34 +468,34 @@ def passages(found: DataFrame, texts: DataFrame, keep: Callable[[DataFrame, str]
                         s, e = s - extended(a[max(0, s - BEYOND) : s][::-1], b[max(0, hs - BEYOND) : hs][::-1]), e + extended(a[e : e + BEYOND], b[he : he + BEYOND])
                         if e - s >= MIN_SPAN:
                             out.append((d, t, first + s, first + e, h))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, [*KINDS[:4], pa.int64()])], names=["doc_id", "text_hash", "start", "stop", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, [*KINDS[:4], pa.int64()])], names=["doc_id", "text_number", "start", "stop", "home"])
 
-    own = found.select("doc_id", "text_hash", *ranged("start", "stop"), "home", "home_hash", *[x.alias(f"home_{n}") for x, n in zip(ranged("home_start", "home_stop"), ("lo", "hi"))], "runs")
-    own = own.join(cut_out, ["doc_id", "text_hash", "lo", "hi"])
-    theirs = cut_out.toDF("home", "home_hash", "home_lo", "home_hi", "home_words")
-    both = own.join(theirs, ["home", "home_hash", "home_lo", "home_hi"])
-    return both.select("doc_id", "text_hash", "home", "runs", "lo", "words", "home_lo", "home_words").mapInArrow(run, "doc_id long, text_hash long, start int, stop int, home long").distinct()
+    own = found.select("doc_id", "text_number", *ranged("start", "stop"), "home", "home_number", *[x.alias(f"home_{n}") for x, n in zip(ranged("home_start", "home_stop"), ("lo", "hi"))], "runs")
+    own = own.join(cut_out, ["doc_id", "text_number", "lo", "hi"])
+    theirs = cut_out.toDF("home", "home_number", "home_lo", "home_hi", "home_words")
+    both = own.join(theirs, ["home", "home_number", "home_lo", "home_hi"])
+    return both.select("doc_id", "text_number", "home", "runs", "lo", "words", "home_lo", "home_words").mapInArrow(run, "doc_id long, text_number long, start int, stop int, home long").distinct()
 
 
 def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """Repeated passages: doc_id, text_hash (31 bits), start, stop (words), n_words, home_id (a document that keeps a copy of some of it)."""
-    texts = numbered(docs)
+    """Repeated passages: doc_id, text_number (as told_by_number() gives), start, stop (words), n_words, home_id (a document that keeps a copy of some of it)."""
     with scratch(docs.sparkSession) as keep:
+        texts = numbered(docs, keep)
         one = keep(regions(placed(keep(seeds(texts), "seeds"), "shared", keep), True), "regions")
         groups = one.where("seed is not null").select(*[x.split()[0] for x in FOUND.split(", ")])
         two = regions(placed(groups, "shared_groups", keep), False)
         found = keep(one.where("seed is null").select(*NAMES).union(two.select(*NAMES)), "chains")
         spans = passages(found, texts, keep)
-        per = Window.partitionBy("doc_id", "text_hash").orderBy("start", F.desc("stop"), "home")
+        per = Window.partitionBy("doc_id", "text_number").orderBy("start", F.desc("stop"), "home")
         reach = F.max("stop").over(per.rowsBetween(Window.unboundedPreceding, -1))
         marked = spans.withColumn("fresh", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int"))
         marked = marked.withColumn("island", F.sum("fresh").over(per.rowsBetween(Window.unboundedPreceding, 0)))
-        out = marked.groupBy("doc_id", "text_hash", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("home").alias("home_id")).where(F.col("stop") - F.col("start") >= least)
-        return written(out.select(F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), "text_hash", "start", "stop", (F.col("stop") - F.col("start")).cast("long").alias("n_words"), F.nullif("home_id", F.lit(LAST)).alias("home_id")), "repeats")
+        out = marked.groupBy("doc_id", "text_number", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("home").alias("home_id")).where(F.col("stop") - F.col("start") >= least)
+        return written(out.select(F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), "text_number", "start", "stop", (F.col("stop") - F.col("start")).cast("long").alias("n_words"), F.nullif("home_id", F.lit(LAST)).alias("home_id")), "repeats")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(table(spark, sf_dir, "documents")).drop("text_hash")
+    return repeats(table(spark, sf_dir, "documents")).drop("text_number")
 
 
 _WORD = re.compile((SPACE_CLASS.replace("[", "[^") + "+").encode())
@@ -499,8 +516,8 @@ def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     Documents meet their cuts once; those without any go through Arrow as they are.
     """
-    found = found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cuts"))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "_cuts")
+    found = found.groupBy("doc_id", "text_number").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cuts"))
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_number").alias("_h"), "_cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -513,8 +530,8 @@ def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
                 texts = pc.replace_with_mask(texts, pa.array(mask), pa.array(made, texts.type))
             yield pa.RecordBatch.from_arrays([batch.column(0), texts, batch.column(2).is_valid(), *batch.columns[3:]], names=["doc_id", "text", "_cut", "lang", "source", "n_chars"])
 
-    keyed = docs.withColumn("_hash", F.shiftrightunsigned(F.xxhash64("text"), 33))
-    both = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left")
+    keyed, _ = told_by_number(docs)
+    both = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("text_number") == F.col("_h")), "left")
     types = dict(docs.dtypes)
     out = both.select("doc_id", "text", "_cuts", "lang", "source", "n_chars").mapInArrow(run, f"doc_id {types['doc_id']}, text string, _cut boolean, lang {types['lang']}, source {types['source']}, n_chars {types['n_chars']}")
     left = ~F.col("_cut") | F.col("text").rlike(SPACE_CLASS.replace("[", "[^"))

@@ -3,8 +3,9 @@
 A character language model (four-grams of letter classes, counted over all texts) decodes what
 may be disguised: leetspeak, letters set apart by spaces or signs, and repeated letters span a
 lattice of readings, and Viterbi's algorithm takes the likeliest. Words and word beginnings of
-the restored text then score it: each counts by the lower confidence bound of the share of
-labelled texts with it that are toxic, and the strongest join as independent causes.
+the restored text are its features. The FEATURES of them whose share of toxic labelled texts has
+the highest lower confidence bound are weighed by a logistic regression, whose probability is the
+score.
 
 Labels are learned from a sample of about LABELLED rows at most, spread by hash; the language
 model and the scores cover every row and whole texts.
@@ -40,11 +41,12 @@ SIGNS = set("._-*~'")
 #: Log10 probabilities of the channel: a letter written as a sign, a sign put between letters, a letter repeated.
 SWAPPED, PARTED, REPEATED = -0.7, -0.7, -0.2
 PREFIXES = range(3, 8)
-REMEMBERED = 300_000
+#: Tokens whose features are remembered: so many, of so many characters at most.
+REMEMBERED, LONG = 300_000, 64
 Z = 2.5
 L2 = 5e-5
 _CLASS = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b > 127 else 0 for b in range(256)], dtype=np.int32)
-_DISGUISED = re.compile(r"[a-z].*[0-9@$!|+._*~-]|[0-9@$!|+].*[a-z]|([a-z])\1")
+_LETTER, _SIGN, _STANDS, _TWICE = (re.compile(x) for x in (r"[a-z]", r"[0-9@$!|+._*~-]", r"[0-9@$!|+]", r"([a-z])\1"))
 _SPACED = re.compile(r"(?<!\S)[a-z0-9@$!|+](?:\s+[a-z0-9@$!|+]){2,}(?!\S)")
 _JOINS = re.compile(r"[\s._*~-]+")
 #: Signs at a word's end, which may stand for letters too.
@@ -85,6 +87,12 @@ def language_model(counts: np.ndarray, prior: float = 5.0) -> np.ndarray:
     return np.log10(p).astype(np.float32).ravel()
 
 
+def disguised(token: str) -> bool:
+    """Whether a token may be more than it shows: a letter before a sign, what may stand for a letter before one, or a letter twice. Each is one look from left to right."""
+    follows = lambda first, then: (at := first.search(token)) is not None and then.search(token, at.end()) is not None
+    return follows(_LETTER, _SIGN) or follows(_STANDS, _LETTER) or _TWICE.search(token) is not None
+
+
 class Decoder:
     def __init__(self, model: np.ndarray) -> None:
         self.model = model
@@ -126,7 +134,7 @@ class Decoder:
     def word(self, token: str) -> str:
         """A token between white space, in lower case, without the signs around it and restored."""
         bare = token.strip(_EDGES).rstrip(_FINAL)
-        return self.span(bare) if len(bare) > 2 and _DISGUISED.search(bare) else bare
+        return self.span(bare) if len(bare) > 2 and disguised(bare) else bare
 
     def readings(self, token: str) -> list[str]:
         """The words of word(), where signs may join several, and what they are if the signs at its end are letters."""
@@ -233,9 +241,15 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                     tokens = tokens_of(decoder, text)
                     if len(known) > REMEMBERED:
                         known.clear()
-                    for t in tokens.difference(known):
-                        known[t] = telling(t)
-                    x = base + sum(weights[f] for f in sorted({f for t in tokens for f in known[t]}))
+                    found = set()
+                    for t in tokens:
+                        if len(t) > LONG:
+                            found.update(telling(t))
+                            continue
+                        if t not in known:
+                            known[t] = telling(t)
+                        found.update(known[t])
+                    x = base + sum(weights[f] for f in sorted(found))
                     out.append(1 / (1 + math.exp(-max(-500, min(500, x)))))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 

@@ -192,7 +192,7 @@ def test_words_over_and_over(spark):
     assert {r.doc_id: (r.start, r.stop) for r in found} == {i: (30 + 7 * i, 150 + 7 * i) for i in range(1, 8)}
     # A chain for each document, and not for each place.
     with S.scratch(spark) as keep:
-        texts = S.numbered(spark.createDataFrame(docs, DOCS))
+        texts = S.numbered(spark.createDataFrame(docs, DOCS), keep)
         assert S.regions(S.placed(S.seeds(texts), "shared", keep), False).count() == 7
 
 
@@ -243,3 +243,58 @@ def test_chain_is_the_best():
                 best = max(best, value(c))
         # The tree weighs a predecessor by its score before the new match's own words are known to overlap.
         assert best - S.SEED < value(S.chain(x, y)[0]) <= best + 1e-9
+
+
+def test_texts_under_one_id_are_told_apart(spark):
+    rng = random.Random(31)
+    shared = [words(rng, 60, 10**6) for _ in range(3)]
+    rows = [(1, " ".join(words(rng, 30, 10**6) + shared[k] + words(rng, 30, 10**6))) for k in range(3)]
+    rows += [(i, " ".join(words(rng, 20 + k, 10**6) + shared[k % 3] + words(rng, 25, 10**6))) for i in (None, 5) for k in range(30)]
+    rows += [(None, t) for _, t in rows[3:6]] + [(None, " ".join(words(rng, 70, 10**6)))] * 2
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], FULL).repartition(5)
+    known, repeated = S.told_by_number(docs)
+    numbers = {(r.doc_id, r.text): r.text_number for r in known.collect()}
+    assert repeated and len(set(zip([i for i, _ in numbers], numbers.values()))) == len(numbers)
+    found = S.repeats(docs)
+    cut = {(r.doc_id, r.text_number): (r.start, r.stop) for r in found.collect()}
+    for (i, t), n in numbers.items():
+        at = next((t.split().index(s[0]) for s in shared if s[0] in t.split()), None)
+        assert cut.get((i, n)) == (None if i == 1 or at is None else (at, at + 60)), (i, t)
+    left = S.without_repeats(docs, found).collect()
+    assert len(left) == len(rows) and sum(" ".join(s) in r.text for s in shared for r in left) == 3
+
+
+def brute_shared(texts, least):
+    """Of each text (in order of ids) the words in runs of least words or more that an earlier text has."""
+    seen, out = set(), []
+    for text in texts:
+        w = text.lower().split()
+        runs = [tuple(w[i : i + least]) for i in range(len(w) - least + 1)]
+        out.append({j for i, r in enumerate(runs) if r in seen for j in range(i, i + least)})
+        seen.update(runs)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_substrings_recall_against_brute_force(spark, seed):
+    """Every shared word of every run of 50 equal words or more is looked for; what is found besides must be near such a run."""
+    rng = random.Random(seed)
+    passages = [words(rng, rng.randrange(50, 120), 3000) for _ in range(25)]
+    texts = []
+    for _ in range(300):
+        out = words(rng, rng.randrange(0, 150), 3000)
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            p = rng.choice(passages)
+            a = rng.randrange(0, len(p) // 3)
+            out += p[a : a + rng.randrange(45, 120)] + words(rng, rng.randrange(0, 60), 3000)
+        texts.append(" ".join(out))
+    want = brute_shared(texts, S.MIN_WORDS)
+    got = [set() for _ in texts]
+    for r in S.repeats(spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(4)).collect():
+        got[r.doc_id] |= set(range(r.start, r.stop))
+    total, hit = sum(map(len, want)), sum(len(w & g) for w, g in zip(want, got))
+    assert total > 2000 and hit >= 0.97 * total, (hit, total)
+    # Passages are joined from neighbouring stretches of 12 words or more that an earlier text has.
+    shorter = brute_shared(texts, 12)
+    over = sum(len(g - s) for g, s in zip(got, shorter))
+    assert over <= 0.02 * sum(map(len, got)), over

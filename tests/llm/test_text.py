@@ -2,6 +2,8 @@ import base64
 import hashlib
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -291,6 +293,18 @@ def test_viterbi_is_the_best_reading():
     assert decoder.span(long) == want and len(long) > 2 * whole
 
 
+def test_disguise_is_found_in_linear_time(spark):
+    rng = random.Random(3)
+    pattern = re.compile(r"[a-z].*[0-9@$!|+._*~-]|[0-9@$!|+].*[a-z]|([a-z])\1")
+    for _ in range(20_000):
+        token = "".join(rng.choice("ab1@.-é'x_") for _ in range(rng.randrange(0, 7)))
+        assert bool(pattern.search(token)) == toxicity.disguised(token)
+    docs = spark.createDataFrame([(1, "ab" * 500_000), (2, "a1" + "bc" * 50_000), (3, "word " * 1000)], DOCS)
+    began = time.time()
+    assert not toxicity.disguised("ab" * 500_000) and time.time() - began < 1
+    assert toxicity.scores(docs, spark.createDataFrame([], "doc_id long, toxic int")).count() == 3 and time.time() - began < 60
+
+
 def test_disguises(spark):
     text = " ".join(["worthless people said pathetic things about the class and the glass"] * 40)
     docs = spark.createDataFrame([(1, text)], DOCS)
