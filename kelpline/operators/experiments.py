@@ -1,6 +1,7 @@
-"""Statistics of evaluation experiments: trials are rows (condition, question, assertion, trial, verdict, latency, tools, tokens_in, tokens_out).
+"""Statistics of evaluation experiments: trials are rows (condition, question, assertion, trial, verdict, latency, tools, tokens_in, tokens_out; codebase and condition_name if there are several).
 
 Trials rise in the order they came. Where conditions have an order, it is that in which they are first seen.
+A result is that of a question on a codebase; diagnostics look at each result apart.
 """
 
 from __future__ import annotations
@@ -12,15 +13,20 @@ from pyspark.sql import functions as F
 
 from ..common import row_numbers
 from ..functions.columns import round2
+from ..functions.render import fixed
 
 
 def score():
     return F.when(F.col("verdict") == "PASS", 1.0).when(F.col("verdict") == "PARTIAL", 0.5).otherwise(0.0)
 
 
+def result_keys(trials: DataFrame) -> list[str]:
+    return [c for c in ("codebase", "question") if c in trials.columns]
+
+
 def question_scores(trials: DataFrame) -> DataFrame:
-    """condition, question, score, ord (the first trial)."""
-    return trials.groupBy("condition", "question").agg(F.avg(score()).alias("score"), F.min("trial").alias("ord"))
+    """condition, question, codebase if there is one, score, ord (the first trial); a row for each result and condition."""
+    return trials.groupBy("condition", *reversed(result_keys(trials))).agg(F.avg(score()).alias("score"), F.min("trial").alias("ord"))
 
 
 def condition_stats(trials: DataFrame) -> DataFrame:
@@ -38,18 +44,21 @@ def _pairs(scores: DataFrame) -> DataFrame:
     return of("a").join(of("b"), F.col("_a") < F.col("_b")).select("a", "b")
 
 
+def _deltas(values: DataFrame, *by: str) -> DataFrame:
+    """by, delta over all pairs of values of two sides, from counts of distinct values rather than the pairs: values has by, score, na, nb."""
+    both = values.groupBy(*by, "score").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    before = F.coalesce(F.sum("nb").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = both.withColumns({"_below": before, "_all": F.sum("nb").over(Window.partitionBy(*by))})
+    return rows.groupBy(*by).agg((F.sum(F.col("na") * (F.col("_below") - (F.col("_all") - F.col("_below") - F.col("nb")))) / (F.sum("na") * F.max("_all"))).alias("delta"))
+
+
 def cliffs_delta(scores: DataFrame) -> DataFrame:
-    """a, b, delta, magnitude over all pairs of values of two conditions, from counts of distinct values rather than the pairs."""
+    """a, b, delta, magnitude of the scores of two conditions."""
     v = scores.groupBy("condition", "score").agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("nb").over(Window.partitionBy("a", "b"))
-    p = _pairs(scores)
-    one = p.join(v, F.col("a") == F.col("condition")).select("a", "b", "score", F.col("n").alias("na"), F.lit(0).cast("long").alias("nb"))
-    two = p.join(v, F.col("b") == F.col("condition")).select("a", "b", "score", F.lit(0).cast("long").alias("na"), F.col("n").alias("nb"))
-    both = one.unionByName(two).groupBy("a", "b", "score").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-    before = F.coalesce(F.sum("nb").over(Window.partitionBy("a", "b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = both.withColumns({"_below": before, "_all": total})
-    rows = rows.groupBy("a", "b").agg((F.sum(F.col("na") * (F.col("_below") - (F.col("_all") - F.col("_below") - F.col("nb")))) / (F.sum("na") * F.max("_all"))).alias("delta"))
-    size = F.abs("delta")
+    p, none = _pairs(scores), F.lit(0).cast("long")
+    one = p.join(v, F.col("a") == F.col("condition")).select("a", "b", "score", F.col("n").alias("na"), none.alias("nb"))
+    two = p.join(v, F.col("b") == F.col("condition")).select("a", "b", "score", none.alias("na"), F.col("n").alias("nb"))
+    rows, size = _deltas(one.unionByName(two), "a", "b"), F.abs("delta")
     return rows.withColumn("magnitude", F.when(size < 0.147, "negligible").when(size < 0.33, "small").when(size < 0.474, "medium").otherwise("large"))
 
 
@@ -93,62 +102,104 @@ def bootstrap(scores: DataFrame, times: int = 1000, seed: int = 1) -> DataFrame:
 
 
 def assertion_rates(trials: DataFrame) -> DataFrame:
-    """question, assertion, condition, rate, n, cv (deviation over mean, 0 for a mean of 0), ord (the first trial)."""
-    per = trials.groupBy("question", "assertion", "condition").agg(F.avg(score()).alias("rate"), F.stddev_pop(score()).alias("_d"), F.count(F.lit(1)).alias("n"), F.min("trial").alias("ord"))
-    return per.withColumn("cv", F.when(F.col("rate") == 0, 0.0).otherwise(F.col("_d") / F.col("rate"))).drop("_d")
+    """Of each result's assertion in each condition: rate (mean score), passed (share of PASS), n, cv (deviation over mean, 0 for a mean of 0), verdicts (scores in the order of trials), ord (the first trial), seen (the first trial of the condition in the result)."""
+    keys = result_keys(trials)
+    one = F.struct("trial", score().alias("s"))
+    per = trials.groupBy(*keys, "assertion", "condition").agg(
+        F.avg(score()).alias("rate"), F.avg((F.col("verdict") == "PASS").cast("double")).alias("passed"), F.stddev_pop(score()).alias("_d"), F.count(F.lit(1)).alias("n"),
+        F.transform(F.array_sort(F.collect_list(one)), lambda x: x["s"]).alias("verdicts"), F.min("trial").alias("ord"),
+    )
+    per = per.withColumn("cv", F.when(F.col("rate") == 0, 0.0).otherwise(F.col("_d") / F.col("rate"))).drop("_d")
+    return per.withColumn("seen", F.min("ord").over(Window.partitionBy(*keys, "condition")))
 
 
 def non_discriminating(rates: DataFrame, least: float = 0.05) -> DataFrame:
-    per = rates.groupBy("question", "assertion").agg(F.count(F.lit(1)).alias("conditions"), (F.max("rate") - F.min("rate")).alias("spread"))
+    """Assertions whose shares of PASS differ by less than least over the conditions; passed is their mean."""
+    per = rates.groupBy(*result_keys(rates), "assertion").agg(F.count(F.lit(1)).alias("conditions"), (F.max("passed") - F.min("passed")).alias("spread"), F.avg("passed").alias("passed"))
     return per.where((F.col("conditions") >= 2) & (F.col("spread") < least))
 
 
 def flaky(rates: DataFrame, above: float = 0.3) -> DataFrame:
-    """Assertions whose verdicts vary so in a condition that has 3 or more; the condition that is seen first is told."""
-    bad = rates.where((F.col("n") >= 3) & (F.col("cv") > above))
-    return bad.groupBy("question", "assertion").agg(F.min(F.struct("ord", "condition", "cv")).alias("f")).select("question", "assertion", "f.condition", "f.cv")
+    """Assertions whose scores vary so in a condition that has 3 or more; the condition that is seen first is told."""
+    bad, keys = rates.where((F.col("n") >= 3) & (F.col("cv") > above)), result_keys(rates)
+    return bad.groupBy(*keys, "assertion").agg(F.min(F.struct("seen", "condition", "cv")).alias("f")).select(*keys, "assertion", "f.condition", "f.cv")
 
 
-def negative(rates: DataFrame, full: str, by: float = 0.05) -> DataFrame:
-    """Assertions on which the full condition is worse than another."""
-    a = rates.where(F.col("condition") == full).select("question", "assertion", F.col("rate").alias("full_rate"))
-    b = rates.where(F.col("condition") != full).select("question", "assertion", F.col("condition").alias("better"), "rate")
-    return a.join(b, ["question", "assertion"]).where(F.col("full_rate") < F.col("rate") - by)
+def negative(trials: DataFrame, by: float = 0.05) -> DataFrame:
+    """keys, worse, better, worse_score, better_score: conditions with full in their name that score lower, over a result, than one without it."""
+    keys = result_keys(trials)
+    name = "condition_name" if "condition_name" in trials.columns else "condition"
+    per = trials.groupBy(*keys, "condition", F.col(name).alias("name")).agg(F.avg(score()).alias("score"))
+    full = F.lower("name").contains("full")
+    worse = per.where(full).select(*keys, F.col("name").alias("worse"), F.col("score").alias("worse_score"))
+    better = per.where(~full).select(*keys, F.col("name").alias("better"), F.col("score").alias("better_score"))
+    return worse.join(better, keys).where(F.col("better_score") - F.col("worse_score") > by)
 
 
-def correlations(rates: DataFrame) -> DataFrame:
-    """question, x, y, rho of assertions' rates over the conditions both have; no correction for ties; under 3 give 0."""
-    left = rates.select("question", "condition", F.col("assertion").alias("x"), F.col("rate").alias("rx"))
-    right = rates.select("question", "condition", F.col("assertion").alias("y"), F.col("rate").alias("ry"))
-    both = left.join(right, ["question", "condition"]).where("x < y")
+def sequences(rates: DataFrame) -> DataFrame:
+    """keys, assertion, place (from 0, as first seen in the result), v: an assertion's scores, conditions by name and trials in order."""
+    keys = result_keys(rates)
+    # Names are compared with what follows them in a list, a comma.
+    one = F.struct(F.concat("condition", F.lit(",")).alias("c"), F.col("verdicts").alias("v"))
+    per = rates.groupBy(*keys, "assertion").agg(F.flatten(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["v"])).alias("v"), F.min(F.struct("seen", "ord")).alias("_first"))
+    return per.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("_first", "assertion")) - 1).drop("_first")
+
 
-    def rank(c: str):
-        w = Window.partitionBy("question", "x", "y")
-        return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("question", "x", "y", c)) - 1) / 2
+def _ranks(v):
+    """Ranks from 1 of the scores in an array, the mean where several are equal; there are three scores."""
+    less = lambda x: F.size(F.filter(v, lambda y: y < x))
+    same = lambda x: F.size(F.filter(v, lambda y: y == x))
+    low, mid, high = (F.lit(x) for x in (0.0, 0.5, 1.0))
+    rank = lambda x: less(x) + (same(x) + 1) / 2
+    of = F.struct(rank(low).alias("l"), rank(mid).alias("m"), rank(high).alias("h"))
+    return of, lambda ranks: F.transform(v, lambda x: F.when(x == low, ranks["l"]).when(x == mid, ranks["m"]).otherwise(ranks["h"]))
 
-    ranked = both.withColumns({"a": rank("rx"), "b": rank("ry")})
-    per = ranked.groupBy("question", "x", "y").agg(F.sum(F.pow(F.col("a") - F.col("b"), 2)).alias("d"), F.count(F.lit(1)).alias("n"))
-    return per.select("question", "x", "y", F.when(F.col("n") < 3, 0.0).otherwise(1 - 6 * F.col("d") / (F.col("n") * (F.col("n") * F.col("n") - 1))).alias("rho"))
+
+def correlations(rates: DataFrame) -> DataFrame:
+    """keys, x, y, i, j, rho of two assertions' sequences, cut to the shorter; x is seen first (i, j: places). No correction for ties; under 3 scores give 0."""
+    keys, seq = result_keys(rates), sequences(rates)
+    left = seq.select(*keys, F.col("assertion").alias("x"), F.col("place").alias("i"), F.col("v").alias("a"))
+    right = seq.select(*keys, F.col("assertion").alias("y"), F.col("place").alias("j"), F.col("v").alias("b"))
+    both = left.join(right, keys).where("i < j").withColumn("n", F.least(F.size("a"), F.size("b")))
+    both = both.withColumns({"a": F.slice("a", 1, F.col("n")), "b": F.slice("b", 1, F.col("n"))})
+    (rank_a, as_a), (rank_b, as_b) = _ranks(F.col("a")), _ranks(F.col("b"))
+    both = both.withColumns({"_a": rank_a, "_b": rank_b})
+    squares = F.zip_with(as_a(F.col("_a")), as_b(F.col("_b")), lambda p, q: (p - q) * (p - q))
+    both = both.withColumn("_d", F.aggregate(squares, F.lit(0.0), lambda t, x: t + x))
+    n = F.col("n").cast("double")
+    return both.select(*keys, "x", "y", "i", "j", F.when(n < 3, 0.0).otherwise(1 - 6 * F.col("_d") / (n * (n * n - 1))).alias("rho"))
 
 
 def redundant(found: DataFrame, above: float = 0.9) -> DataFrame:
-    """question, assertion, like: assertions that repeat an earlier one that isn't flagged itself (greedy, in order; a question has few assertions)."""
-    kind = "array<struct<assertion: bigint, like: bigint>>"
-    pairs = found.where(F.abs("rho") > above).groupBy("question").agg(F.array_sort(F.collect_list(F.struct(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")))).alias("p"))
+    """keys, assertion, like, rho: assertions that repeat an earlier one that isn't flagged itself (greedy, in the order seen; a result has few assertions)."""
+    keys, type_ = result_keys(found), dict(found.dtypes)["x"]
+    kind = f"array<struct<assertion: {type_}, like: {type_}, rho: double>>"
+    pairs = found.where(F.abs("rho") > above).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "j", "x", "y", "rho"))).alias("p"))
     flagged = lambda acc, x: F.exists(acc, lambda f: f["assertion"] == x)
-    one = lambda p: F.struct(p["y"].alias("assertion"), p["x"].alias("like"))
+    one = lambda p: F.struct(p["y"].alias("assertion"), p["x"].alias("like"), p["rho"].alias("rho"))
     greedy = F.aggregate("p", F.array().cast(kind), lambda acc, p: F.when(flagged(acc, p["x"]) | flagged(acc, p["y"]), acc).otherwise(F.concat(acc, F.array(one(p)))))
-    return pairs.select("question", F.explode(greedy).alias("f")).select("question", "f.assertion", "f.like")
-
-
-def diagnostics(rates: DataFrame, full: str) -> DataFrame:
-    """question, assertion, kind of all that is wrong with assertions; kinds: non-discriminating, flaky, redundant, negative-signal."""
-    found = {"non-discriminating": non_discriminating(rates), "flaky": flaky(rates), "redundant": redundant(correlations(rates)), "negative-signal": negative(rates, full)}
-    parts = [df.select("question", "assertion", F.lit(k).alias("kind")) for k, df in found.items()]
+    return pairs.select(*keys, F.explode(greedy).alias("f")).select(*keys, "f.assertion", "f.like", "f.rho")
+
+
+def diagnostics(trials: DataFrame) -> DataFrame:
+    """keys, kind, assertion (text), detail: all that is wrong with results' assertions, with what a report says of it; kinds: non-discriminating, flaky, redundant, negative-signal (where the assertion names two conditions)."""
+    rates, keys = assertion_rates(trials), result_keys(trials)
+    text = lambda c: F.col(c).cast("string")
+    mean = F.when(F.col("passed") > 0.95, "PASS").when(F.col("passed") < 0.05, "FAIL").otherwise(F.concat(fixed(F.col("passed") * 100, 0), F.lit("%")))
+    signed = F.concat(F.when(F.col("rho") < 0, "-").otherwise(""), fixed(F.abs("rho"), 2))
+    shown = lambda x: F.when(x == F.floor(x), x.cast("int").cast("string")).otherwise(x.cast("string"))
+    flak = flaky(rates).join(rates.select(*keys, "assertion", "condition", "verdicts"), [*keys, "assertion", "condition"])
+    found = {
+        "non-discriminating": non_discriminating(rates).select(*keys, text("assertion").alias("assertion"), F.concat(mean, F.lit(" across all conditions (max diff "), fixed(F.col("spread") * 100, 1), F.lit("%)")).alias("detail")),
+        "flaky": flak.select(*keys, text("assertion").alias("assertion"), F.concat(F.lit("CV="), fixed(F.col("cv"), 2), F.lit(" in condition "), "condition", F.lit(" (trials: "), F.array_join(F.transform("verdicts", shown), ", "), F.lit(")")).alias("detail")),
+        "redundant": redundant(correlations(rates)).select(*keys, text("assertion").alias("assertion"), F.concat(F.lit("Spearman rho="), signed, F.lit(' with "'), text("like"), F.lit('"')).alias("detail")),
+        "negative-signal": negative(trials).select(*keys, F.concat("worse", F.lit(" vs "), "better").alias("assertion"), F.concat(F.lit('"'), "worse", F.lit('" ('), fixed(F.col("worse_score"), 2), F.lit(') scores lower than "'), "better", F.lit('" ('), fixed(F.col("better_score"), 2), F.lit(")")).alias("detail")),
+    }
+    parts = [df.select(*keys, F.lit(k).alias("kind"), "assertion", "detail") for k, df in found.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.distinct()
+    return out
 
 
 def tool_usage(trials: DataFrame) -> DataFrame:
@@ -188,6 +239,11 @@ def with_questions(results: DataFrame, questions: DataFrame) -> DataFrame:
     return results.join(questions.select("question", "text", "task_type"), "question")
 
 
+def last_scores(trials: DataFrame) -> DataFrame:
+    """condition, question, score, ord: of a question's results on several codebases, the last one's."""
+    return question_scores(trials).groupBy("condition", "question").agg(F.max_by("score", "ord").alias("score"), F.max("ord").alias("ord"))
+
+
 def compare(before: DataFrame, after: DataFrame, by: float = 0.1) -> DataFrame:
     """condition, question, before, after, delta, change of two runs' scores, where both have the question."""
     of = lambda df, name: df.select("condition", "question", F.col("score").alias(name))
@@ -196,9 +252,18 @@ def compare(before: DataFrame, after: DataFrame, by: float = 0.1) -> DataFrame:
 
 
 def condition_deltas(compared: DataFrame) -> DataFrame:
-    """Per condition of compare(): mean before, after and delta over its questions, and how many went down or up."""
+    """Per condition of compare(): mean before and after and their difference, to two decimals, Cliff's delta of after against before, and how many of its questions went down or up."""
     count = lambda x: F.count_if(F.col("change") == x)
-    return compared.groupBy("condition").agg(F.avg("before").alias("before"), F.avg("after").alias("after"), F.avg("delta").alias("delta"), count("regression").alias("regressions"), count("improvement").alias("improvements"), F.count(F.lit(1)).alias("questions"))
+    means = compared.groupBy("condition").agg(F.avg("before").alias("_b"), F.avg("after").alias("_a"), count("regression").alias("regressions"), count("improvement").alias("improvements"), F.count(F.lit(1)).alias("questions"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    sides = compared.select("condition", F.col("after").alias("score"), one.alias("na"), none.alias("nb")).union(compared.select("condition", "before", none, one))
+    both = means.join(_deltas(sides, "condition").withColumnRenamed("delta", "cliffs_delta"), "condition")
+    return both.select("condition", round2(F.col("_b")).alias("before"), round2(F.col("_a")).alias("after"), round2(F.col("_a") - F.col("_b")).alias("delta"), "cliffs_delta", "regressions", "improvements", "questions")
+
+
+def iteration_costs(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: cost_before, cost_after of two runs' trials."""
+    return summary(before).select(F.col("cost").alias("cost_before")).crossJoin(summary(after).select(F.col("cost").alias("cost_after")))
 
 
 def consistency(trials: DataFrame) -> DataFrame:
@@ -209,7 +274,15 @@ def consistency(trials: DataFrame) -> DataFrame:
     return same.join(part, "condition").withColumn("biased", F.col("partial") < 0.05)
 
 
-def budget(trials: DataFrame, found: DataFrame) -> DataFrame:
-    """One row: assertions, those that tell nothing, and their share."""
-    n = trials.select("question", "assertion").distinct().agg(F.count(F.lit(1)).alias("assertions"))
-    return n.crossJoin(found.select("question", "assertion").distinct().agg(F.count(F.lit(1)).alias("wasted"))).withColumn("share", round2(F.try_divide("wasted", "assertions")))
+def budget(trials: DataFrame, found: DataFrame, cost: DataFrame) -> DataFrame:
+    """One row: what of the cost (one row) assertions of diagnostics() took that tell nothing or repeat others, to two decimals, and their share of it in whole percents.
+
+    Assertions are counted by question; where there are none, those found and one more stand for them.
+    """
+    count = lambda k: F.count_if(F.col("kind") == k)
+    n = trials.select("question", "assertion").distinct().agg(F.count(F.lit(1)).alias("_n"))
+    of = n.crossJoin(found.agg(count("non-discriminating").alias("_w"), count("redundant").alias("_r"))).crossJoin(cost.select("cost"))
+    total = F.when(F.col("_n") > 0, F.col("_n")).otherwise(F.col("_w") + F.col("_r") + 1)
+    wasted, again = F.col("_w") / total * F.col("cost"), F.col("_r") / total * F.col("cost")
+    percent = F.when(F.col("cost") > 0, F.floor((wasted + again) / F.col("cost") * 100 + 0.5)).otherwise(0)
+    return of.select(round2(wasted).alias("wasted_on_non_discriminating"), round2(again).alias("recoverable_from_redundant"), percent.cast("long").alias("savings_percent"))

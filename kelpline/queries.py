@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept, table
+from .common import kept, settled, table
 from .functions import columns as C
 from .functions import extract as X
 from .functions import render
@@ -66,17 +66,19 @@ risk as (
   from direct d join reach r on r.root = d.node group by 1, 2)"""
 TRIALS = """
 trials as (
-  select event_type as condition, user_id as question, (props->>'$.k')::bigint % 3 as assertion, event_id as trial,
+  select event_type as condition, case event_type when 'view' then 'Full view' else event_type end as condition_name, case when event_id // 16 % 2 = 0 then 'one' else 'two' end as codebase,
+         user_id as question, (props->>'$.k')::bigint % 3 as assertion, event_id as trial,
          case when value < 30 then 'PASS' when value < 60 then 'PARTIAL' else 'FAIL' end as verdict,
          case when value < 30 then 1.0 when value < 60 then 0.5 else 0.0 end::double as s, value as latency,
          case when (props->>'$.k')::bigint % 4 > 0 then (props->>'$.k')::bigint % 7 end as tools, user_id + 100 as tokens_in, length(props)::bigint as tokens_out, ts
   from events),
-scores as (select condition, question, avg(s) as score, min(trial) as ord from trials group by 1, 2),
+scores as (select condition, question, codebase, avg(s) as score, min(trial) as ord from trials group by 1, 2, 3),
 arms as (select condition, min(ord) as first from scores group by 1),
 pairs as (select x.condition as a, y.condition as b from arms x join arms y on (x.first, x.condition) < (y.first, y.condition)),
 rates as (
-  select question, assertion, condition, avg(s) as rate, count(*) as n, min(trial) as ord, case when avg(s) = 0 then 0 else stddev_pop(s) / avg(s) end as cv
-  from trials group by 1, 2, 3)"""
+  select codebase, question, assertion, condition, avg(s) as rate, avg((verdict = 'PASS')::int) as passed, count(*) as n, list(s order by trial) as verdicts, min(trial) as ord,
+         case when avg(s) = 0 then 0 else stddev_pop(s) / avg(s) end as cv, min(min(trial)) over (partition by codebase, question, condition) as seen
+  from trials group by 1, 2, 3, 4)"""
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -442,28 +444,48 @@ def _rates(spark, sf_dir):
     return E.assertion_rates(_trials(spark, sf_dir))
 
 
-@query(f"""with {TRIALS} select question, assertion, count(*) as conditions, max(rate) - min(rate) as spread from rates group by 1, 2 having count(*) >= 2 and max(rate) - min(rate) < 0.05""")
+_TELLS_NOTHING = "select codebase, question, assertion, count(*) as conditions, max(passed) - min(passed) as spread, avg(passed) as passed from rates group by 1, 2, 3 having count(*) >= 2 and max(passed) - min(passed) < 0.05"
+
+
+@query(f"with {TRIALS} {_TELLS_NOTHING}")
 def diag_non_discriminating(spark, sf_dir):
     return E.non_discriminating(_rates(spark, sf_dir))
 
 
-@query(f"""with {TRIALS} select question, assertion, arg_min(condition, ord) as condition, arg_min(cv, ord) as cv from rates where n >= 3 and cv > 0.3 group by 1, 2""")
+_FLAKY = "select codebase, question, assertion, arg_min(condition, seen) as condition, arg_min(cv, seen) as cv, arg_min(verdicts, seen) as verdicts from rates where n >= 3 and cv > 0.3 group by 1, 2, 3"
+
+
+@query(f"with {TRIALS} select * exclude verdicts from ({_FLAKY})")
 def diag_flaky(spark, sf_dir):
     return E.flaky(_rates(spark, sf_dir))
 
 
-@query(f"""with {TRIALS} select question, assertion, f.rate as full_rate, r.condition as better, r.rate from rates f join rates r using (question, assertion)
-where f.condition = 'view' and r.condition <> 'view' and f.rate < r.rate - 0.05""")
+_NEGATIVE = """per as (select codebase, question, condition_name as name, avg(s) as score from trials group by 1, 2, 3),
+negative as (
+  select codebase, question, w.name as worse, b.name as better, w.score as worse_score, b.score as better_score from per w join per b using (codebase, question)
+  where lower(w.name) like '%full%' and lower(b.name) not like '%full%' and b.score - w.score > 0.05)"""
+
+
+@query(f"with {TRIALS}, {_NEGATIVE} select * from negative")
 def diag_negative(spark, sf_dir):
-    return E.negative(_rates(spark, sf_dir), "view")
+    return E.negative(_trials(spark, sf_dir))
 
 
+#: Verdicts of an assertion in one list; ranks by counting smaller and equal ones of the cut list.
 _RHO = f"""{TRIALS},
-p as (select x.question, x.assertion as x, y.assertion as y, x.condition, x.rate as rx, y.rate as ry from rates x join rates y on x.question = y.question and x.condition = y.condition and x.assertion < y.assertion),
-k as (
-  select *, rank() over (partition by question, x, y order by rx) + (count(*) over (partition by question, x, y, rx) - 1) / 2 as a,
-         rank() over (partition by question, x, y order by ry) + (count(*) over (partition by question, x, y, ry) - 1) / 2 as b from p),
-rho as (select question, x, y, case when count(*) < 3 then 0 else 1 - 6 * sum((a - b) ** 2) / (count(*) * (count(*) * count(*) - 1)) end as rho from k group by 1, 2, 3)"""
+seq as (
+  select codebase, question, assertion, list(s order by condition || ',', trial) as v,
+         row_number() over (partition by codebase, question order by min((seen, ord)), assertion) - 1 as place
+  from (select t.*, r.seen, r.ord from trials t join rates r using (codebase, question, assertion, condition)) group by 1, 2, 3),
+cut as (
+  select x.codebase, x.question, x.assertion as x, y.assertion as y, x.place as i, y.place as j, x.v[1:least(len(x.v), len(y.v))] as a, y.v[1:least(len(x.v), len(y.v))] as b
+  from seq x join seq y on x.codebase = y.codebase and x.question = y.question and x.place < y.place),
+ranked as (
+  select *, list_transform(a, lambda p: len(list_filter(a, lambda q: q < p)) + (len(list_filter(a, lambda q: q = p)) + 1) / 2) as ra,
+         list_transform(b, lambda p: len(list_filter(b, lambda q: q < p)) + (len(list_filter(b, lambda q: q = p)) + 1) / 2) as rb from cut),
+rho as (
+  select codebase, question, x, y, i::int as i, j::int as j,
+         case when len(a) < 3 then 0 else 1 - 6 * list_sum(list_transform(list_zip(ra, rb), lambda p: (p[1] - p[2]) ** 2)) / (len(a)::double * (len(a)::double * len(a) - 1)) end as rho from ranked)"""
 
 
 @query(f"with {_RHO} select * from rho")
@@ -471,15 +493,18 @@ def diag_correlation(spark, sf_dir):
     return E.correlations(_rates(spark, sf_dir))
 
 
-#: Assertions are 0, 1 and 2, so the greedy walk is three steps.
+#: A result has three assertions at most, so the walk over pairs in the order seen is three steps.
 _REDUNDANT = f"""{_RHO},
-hi as (select question, coalesce(bool_or(x = 0 and y = 1), false) as a, coalesce(bool_or(x = 0 and y = 2), false) as b, coalesce(bool_or(x = 1 and y = 2), false) as c from rho where abs(rho) > 0.9 group by 1),
-redundant as (
-  select question, 1::bigint as assertion, 0::bigint as like_ from hi where a
-  union all select question, 2, case when b then 0 else 1 end from hi where b or (c and not a))"""
+hi as (
+  select codebase, question, coalesce(bool_or(i = 0 and j = 1), false) as a, coalesce(bool_or(i = 0 and j = 2), false) as b, coalesce(bool_or(i = 1 and j = 2), false) as c
+  from rho where abs(rho) > 0.9 group by 1, 2),
+walk as (
+  select codebase, question, 0 as i, 1 as j from hi where a
+  union all select codebase, question, case when b then 0 else 1 end, 2 from hi where b or (c and not a)),
+redundant as (select codebase, question, y as assertion, x as like_, rho from rho join walk using (codebase, question, i, j))"""
 
 
-@query(f"with {_REDUNDANT} select question, assertion, like_ as like from redundant")
+@query(f"with {_REDUNDANT} select codebase, question, assertion, like_ as like, rho from redundant")
 def diag_redundant(spark, sf_dir):
     return E.redundant(E.correlations(_rates(spark, sf_dir)))
 
@@ -489,11 +514,14 @@ def tool_usage(spark, sf_dir):
     return E.tool_usage(_trials(spark, sf_dir))
 
 
-@query(f"""with {TRIALS}, w as (select question, assertion from rates group by 1, 2 having count(*) >= 2 and max(rate) - min(rate) < 0.05)
-select (select count(*) from (select distinct question, assertion from trials)) as assertions, count(*) as wasted,
-       floor(count(*)::double / (select count(*) from (select distinct question, assertion from trials)) * 100 + 0.5) / 100 as share from w""")
+@query(f"""with {_REDUNDANT},
+k as (
+  select (select count(*) from ({_TELLS_NOTHING})) as w, (select count(*) from redundant) as r, (select count(*) from (select distinct question, assertion from trials)) as n,
+         (select sum(tokens_in) / 1e6 * 3.0 + sum(tokens_out) / 1e6 * 15.0 from trials) as cost)
+select floor(w / n * cost * 100 + 0.5) / 100 as wasted_on_non_discriminating, floor(r / n * cost * 100 + 0.5) / 100 as recoverable_from_redundant, floor((w / n * cost + r / n * cost) / cost * 100 + 0.5)::bigint as savings_percent from k""")
 def budget(spark, sf_dir):
-    return E.budget(_trials(spark, sf_dir), E.non_discriminating(_rates(spark, sf_dir)))
+    t = settled(_trials(spark, sf_dir))
+    return E.budget(t, E.diagnostics(t), E.summary(t))
 
 
 @query(f"""with {TRIALS},
@@ -508,14 +536,20 @@ def early_stop(spark, sf_dir):
     return E.early_stop(_trials(spark, sf_dir))
 
 
+#: Of a question's results on both codebases the last one counts.
+_HALVES = """h as (
+  select condition, question, arg_max(score, ord) filter (not late) as before, arg_max(score, ord) filter (late) as after
+  from (select condition, question, codebase, ts >= timestamp '2024-01-16' as late, avg(s) as score, min(trial) as ord from trials group by 1, 2, 3, 4) group by 1, 2)"""
+
+
 @query(f"""with {TRIALS},
-h as (select condition, question, avg(s) filter (ts < timestamp '2024-01-16') as before, avg(s) filter (ts >= timestamp '2024-01-16') as after from trials group by 1, 2),
+{_HALVES},
 d as (select *, after - before as delta from h where before is not null and after is not null)
 select *, case when delta < -0.1 then 'regression' when delta > 0.1 then 'improvement' else 'same' end as change from d""")
 def compare_iterations(spark, sf_dir):
     t = _trials(spark, sf_dir)
     cut = F.to_timestamp(F.lit("2024-01-16"))
-    return E.compare(E.question_scores(t.where(F.col("ts") < cut)), E.question_scores(t.where(F.col("ts") >= cut)))
+    return E.compare(E.last_scores(t.where(F.col("ts") < cut)), E.last_scores(t.where(F.col("ts") >= cut)))
 
 
 @query("""select event_id, case when value >= 60 then 'FAIL' when event_id % 4 = 3 then 'FAIL' when value < 30 then 'PASS' else 'PARTIAL' end as verdict from events""")

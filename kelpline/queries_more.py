@@ -18,7 +18,7 @@ from .operators import profile as V
 from .operators import resolve as R
 from .plans import check as P
 from .plans import report as T
-from .queries import _BOXES, _CAT, _CONV, _REDUNDANT, COMPLEX, EDGES, MOD, NODES, REACH, TRIALS, _anchored, _complex, _graph, _pairs, _plans, _rates, _trials, query
+from .queries import _BOXES, _CAT, _CONV, _FLAKY, _HALVES, _NEGATIVE, _REDUNDANT, _TELLS_NOTHING, COMPLEX, EDGES, MOD, NODES, REACH, TRIALS, _anchored, _complex, _graph, _pairs, _plans, _trials, query
 from .sources import experiment_files as J
 from .sources import star
 
@@ -396,13 +396,21 @@ def plan_convention_gaps(spark, sf_dir):
 # --- experiments
 
 
-@query(f"""with {_REDUNDANT}
-select question, assertion, 'non-discriminating' as kind from rates group by 1, 2 having count(*) >= 2 and max(rate) - min(rate) < 0.05
-union select question, assertion, 'flaky' from rates where n >= 3 and cv > 0.3
-union select question, assertion, 'redundant' from redundant
-union select f.question, f.assertion, 'negative-signal' from rates f join rates r using (question, assertion) where f.condition = 'view' and r.condition <> 'view' and f.rate < r.rate - 0.05""")
+def _up(x):
+    """Two decimals, halves up, in SQL."""
+    return f"printf('%.2f', floor({x} * 100 + 0.5) / 100)"
+
+
+@query(f"""with {_REDUNDANT}, {_NEGATIVE}
+select codebase, question, 'non-discriminating' as kind, assertion::varchar as assertion,
+       case when passed > 0.95 then 'PASS' when passed < 0.05 then 'FAIL' else floor(passed * 100 + 0.5)::int || '%' end || printf(' across all conditions (max diff %.1f%%)', spread * 100) as detail from ({_TELLS_NOTHING})
+union all select codebase, question, 'flaky', assertion::varchar,
+       printf('CV=%.2f in condition %s (trials: %s)', cv, condition, array_to_string(list_transform(verdicts, lambda x: case x when 0.5 then '0.5' when 0 then '0' else '1' end), ', ')) from ({_FLAKY})
+union all select codebase, question, 'redundant', assertion::varchar, printf('Spearman rho=%.2f with "%d"', rho, like_) from redundant
+union all select codebase, question, 'negative-signal', worse || ' vs ' || better,
+       '"' || worse || '" (' || {_up("worse_score")} || ') scores lower than "' || better || '" (' || {_up("better_score")} || ')' from negative""")
 def diagnostics_union(spark, sf_dir):
-    return E.diagnostics(settled(_rates(spark, sf_dir)), "view")
+    return E.diagnostics(settled(_trials(spark, sf_dir)))
 
 
 @query(f"with {TRIALS} select count(*) as calls, sum(tokens_in)::bigint as tokens_in, sum(tokens_out)::bigint as tokens_out, sum(tokens_in) / 1e6 * 3.0 + sum(tokens_out) / 1e6 * 15.0 as cost from trials")
@@ -416,12 +424,22 @@ def task_types(spark, sf_dir):
 
 
 @query(f"""with {TRIALS},
-h as (select condition, question, avg(s) filter (ts < timestamp '2024-01-16') as before, avg(s) filter (ts >= timestamp '2024-01-16') as after from trials group by 1, 2)
-select condition, avg(before) as before, avg(after) as after, avg(after - before) as delta, count(*) filter (after - before < -0.1) as regressions, count(*) filter (after - before > 0.1) as improvements, count(*) as questions
-from h where before is not null and after is not null group by 1""")
+{_HALVES},
+both_ as (select * from h where before is not null and after is not null),
+d as (select condition, avg(sign(x.after - y.before)) as cliffs_delta from both_ x join both_ y using (condition) group by 1)
+select condition, floor(avg(before) * 100 + 0.5) / 100 as before, floor(avg(after) * 100 + 0.5) / 100 as after, floor((avg(after) - avg(before)) * 100 + 0.5) / 100 as delta, any_value(cliffs_delta) as cliffs_delta, count(*) filter (after - before < -0.1) as regressions, count(*) filter (after - before > 0.1) as improvements, count(*) as questions
+from both_ join d using (condition) group by 1""")
 def compare_conditions(spark, sf_dir):
     t, cut = _trials(spark, sf_dir), F.to_timestamp(F.lit("2024-01-16"))
-    return E.condition_deltas(E.compare(E.question_scores(t.where(F.col("ts") < cut)), E.question_scores(t.where(F.col("ts") >= cut))))
+    return E.condition_deltas(E.compare(E.last_scores(t.where(F.col("ts") < cut)), E.last_scores(t.where(F.col("ts") >= cut))))
+
+
+@query(f"""with {TRIALS},
+c as (select ts >= timestamp '2024-01-16' as late, sum(tokens_in) / 1e6 * 3.0 + sum(tokens_out) / 1e6 * 15.0 as cost from trials group by 1)
+select max(cost) filter (not late) as cost_before, max(cost) filter (late) as cost_after from c""")
+def compare_costs(spark, sf_dir):
+    t, cut = _trials(spark, sf_dir), F.to_timestamp(F.lit("2024-01-16"))
+    return E.iteration_costs(t.where(F.col("ts") < cut), t.where(F.col("ts") >= cut))
 
 
 def _flat(spark, sf_dir):

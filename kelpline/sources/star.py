@@ -59,8 +59,10 @@ def commits(spark: SparkSession, sf_dir: str, file: str = "l_partkey") -> DataFr
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """condition, question, assertion, trial, verdict, latency, tools, tokens_in, tokens_out, ts: the rows of events."""
+    """condition, condition_name, codebase, question, assertion, trial, verdict, latency, tools, tokens_in, tokens_out, ts: the rows of events."""
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     verdict = F.when(F.col("value") < 30, "PASS").when(F.col("value") < 60, "PARTIAL").otherwise("FAIL")
-    return e.select(F.col("event_type").alias("condition"), F.col("user_id").alias("question"), F.pmod(k, F.lit(3)).alias("assertion"), F.col("event_id").alias("trial"), verdict.alias("verdict"), F.col("value").alias("latency"), F.when(k % 4 > 0, k % 7).alias("tools"), (F.col("user_id") + 100).alias("tokens_in"), F.length("props").cast("long").alias("tokens_out"), F.col("ts"))
+    name = F.when(F.col("event_type") == "view", "Full view").otherwise(F.col("event_type"))
+    codebase = F.when(F.floor(F.col("event_id") / 16) % 2 == 0, "one").otherwise("two")
+    return e.select(F.col("event_type").alias("condition"), name.alias("condition_name"), codebase.alias("codebase"), F.col("user_id").alias("question"), F.pmod(k, F.lit(3)).alias("assertion"), F.col("event_id").alias("trial"), verdict.alias("verdict"), F.col("value").alias("latency"), F.when(k % 4 > 0, k % 7).alias("tools"), (F.col("user_id") + 100).alias("tokens_in"), F.length("props").cast("long").alias("tokens_out"), F.col("ts"))

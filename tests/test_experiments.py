@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,8 +34,13 @@ def test_resume_summary_and_diagnostics(spark):
     t = trials(spark, [("x", 1, 0, v, 0) for v in ("PASS", "FAIL", "PASS")] + [("y", 1, 0, "PASS", 1)] * 3 + [("x", 2, 0, "PASS", 0), ("y", 2, 0, "PASS", 0)])
     s = E.summary(t).first()
     assert (s.calls, s.tokens_in, s.tokens_out) == (8, 80, 16) and s.cost == pytest.approx(80 / 1e6 * 3 + 16 / 1e6 * 15)
-    kinds = {(r.question, r.kind) for r in E.diagnostics(E.assertion_rates(t), "x").collect()}
-    assert kinds == {(1, "flaky"), (1, "negative-signal"), (2, "non-discriminating")}
+    named = t.withColumn("condition_name", F.when(F.col("condition") == "x", "The Full one").otherwise("bare"))
+    found = {(r.question, r.kind): (r.assertion, r.detail) for r in E.diagnostics(named).collect()}
+    assert found == {
+        (1, "flaky"): ("0", "CV=0.71 in condition x (trials: 1, 0, 1)"),
+        (1, "negative-signal"): ("The Full one vs bare", '"The Full one" (0.67) scores lower than "bare" (1.00)'),
+        (2, "non-discriminating"): ("0", "PASS across all conditions (max diff 0.0%)"),
+    }
     keys = "question string, codebase string, condition string"
     wanted = spark.createDataFrame([(q, "c", k) for q in "pq" for k in "xy"], keys)
     done = spark.createDataFrame([("p", "c", "x", True), ("p", "c", "y", False)], keys + ", done boolean")
@@ -65,7 +72,7 @@ def test_stats_and_flags(spark):
     assert r["x"].mean == 0.75 and r["x"].deviation == 0.25 and r["y"].passed == 1.0
     rates = E.assertion_rates(t)
     assert [(x.question, x.condition) for x in E.flaky(rates).collect()] == [(1, "x")]
-    assert [x.better for x in E.negative(rates, "x").collect()] == ["y"]
+    assert [(x.worse, x.better) for x in E.negative(t.replace({"x": "full"}, subset=["condition"])).collect()] == [("full", "y")]
     assert E.non_discriminating(rates).count() == 0
     assert {x.condition: (x.none, x.trials) for x in E.tool_usage(t).collect()} == {"x": (1.0, 4), "y": (0.0, 4)}
     assert {(x.condition, x.question) for x in E.early_stop(t).collect()} == {("y", 1), ("x", 2)}
@@ -73,15 +80,65 @@ def test_stats_and_flags(spark):
     assert E.early_stop(two).first().n == 3
 
 
+def walk(lists):
+    """What repeats what among assertions' lists of scores, and rho, by the definition."""
+
+    def ranks(v):
+        return [sum(y < x for y in v) + (sum(y == x for y in v) + 1) / 2 for x in v]
+
+    out = []
+    for i, a in enumerate(lists):
+        for j in range(i + 1, len(lists)):
+            n = min(len(a), len(lists[j]))
+            p, q = ranks(a[:n]), ranks(lists[j][:n])
+            rho = 0 if n < 3 else 1 - 6 * sum((x - y) ** 2 for x, y in zip(p, q)) / (n * (n * n - 1))
+            if abs(rho) > 0.9 and not {i, j} & {k for k, _, _ in out}:
+                out.append((j, i, pytest.approx(rho)))
+    return out
+
+
 def test_redundant(spark):
-    rows = [(1, a, c, r) for c, v in zip("pqr", (0.1, 0.5, 0.9)) for a, r in ((0, v), (1, v), (2, v), (3, -v))]
-    rates = spark.createDataFrame(rows, "question long, assertion long, condition string, rate double")
-    rho = E.correlations(rates)
-    assert {(r.x, r.y): r.rho for r in rho.collect()}[(0, 1)] == 1.0
-    assert {(r.assertion, r.like) for r in E.redundant(rho).collect()} == {(1, 0), (2, 0), (3, 0)}
+    """Sequences with PARTIAL, of unequal lengths, over conditions by name, on two codebases."""
+    rng, rows = random.Random(6), []
+    values = {"PASS": 1.0, "PARTIAL": 0.5, "FAIL": 0.0}
+    for base in "pq":
+        for question in range(40):
+            first = [rng.choice(list(values)) for _ in range(8)]
+            for condition, cut in (("b", 0), ("a-x", 4), ("a", 6)):  # by name, with the comma after it: "a", "a-x", "b"
+                for t in range(cut, 8 if condition == "a" else cut + (4 if condition == "b" else 2)):
+                    for assertion in (2, 0, 1):
+                        if assertion == 1 and t == 7:
+                            continue
+                        v = first[t] if rng.random() < 0.93 else rng.choice(list(values))
+                        rows.append((condition, question, assertion, len(rows), v, base))
+    t = spark.createDataFrame(rows, "condition string, question long, assertion long, trial long, verdict string, codebase string")
+    got = {}
+    for r in E.redundant(E.correlations(E.assertion_rates(t))).collect():
+        got.setdefault((r.codebase, r.question), []).append((r.assertion, r.like, r.rho))
+    some = 0
+    for base in "pq":
+        for question in range(40):
+            own = [r for r in rows if r[5] == base and r[1] == question]
+            lists = [[values[r[4]] for c in sorted(("a-x", "a", "b"), key=lambda c: c + ",") for r in own if r[0] == c and r[2] == a] for a in (2, 0, 1)]
+            want = [((2, 0, 1)[j], (2, 0, 1)[i], rho) for j, i, rho in walk(lists)]
+            some += bool(want)
+            assert sorted(got.get((base, question), [])) == sorted(want, key=lambda w: w[:2])
+    assert 5 < some < 80
+
+
+def test_budget_and_last_codebase(spark):
+    rows = [("x", 1, 0, 0, "PASS", "p"), ("y", 1, 0, 1, "PASS", "p"), ("x", 1, 0, 2, "FAIL", "q"), ("y", 1, 1, 3, "PARTIAL", "q")]
+    t = spark.createDataFrame(rows, "condition string, question long, assertion long, trial long, verdict string, codebase string")
+    cost = spark.createDataFrame([(3.333,)], "cost double")
+    # One of the two assertions tells nothing on codebase p.
+    assert tuple(E.budget(t, E.diagnostics(t), cost).first()) == (1.67, 0.0, 50)
+    assert {(r.condition, r.score) for r in E.last_scores(t).collect()} == {("x", 0.0), ("y", 0.5)}
 
 
 def test_compare(spark):
+    before, after = [0.5, 0.5, 0.5], [0.3, 0.55, 0.9]
+    d = E.condition_deltas(E.compare(scores(spark, a=before), scores(spark, a=after))).first()
+    assert (d.before, d.after, d.delta, d.regressions, d.improvements) == (0.5, 0.58, 0.08, 1, 1) and d.cliffs_delta == pytest.approx(1 / 3)
     got = {r.question: r.change for r in E.compare(scores(spark, a=[0.5, 0.5, 0.5]), scores(spark, a=[0.3, 0.55, 0.9])).collect()}
     assert got == {0: "regression", 1: "same", 2: "improvement"}
 
@@ -89,5 +146,5 @@ def test_compare(spark):
 def test_empty(spark):
     t = spark.createDataFrame([], TRIALS)
     assert E.condition_stats(t).count() == 0 and E.cliffs_delta(E.question_scores(t)).count() == 0
-    assert E.budget(t, E.non_discriminating(E.assertion_rates(t))).first().assertions == 0
+    assert E.diagnostics(t).count() == 0 and tuple(E.budget(t, E.diagnostics(t), E.summary(t)).first()) == (0.0, 0.0, 0)
     assert t.agg(F.avg(E.score())).first()[0] is None
