@@ -47,13 +47,18 @@ def kept(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """df dealt by ranges of columns order, written once, with _range; what is in one is in one task, and ranges are as many as shuffle partitions."""
+    return settled(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+
+
 def row_numbers(df: DataFrame, group: list[str], order: list[str], name: str = "place") -> DataFrame:
     """df with each row's number in its group, from 1, by columns order.
 
     No task numbers a group alone: rows are dealt by ranges of group and order, and each range
     starts where those before it end. Of them there are as many as shuffle partitions.
     """
-    dealt = settled(df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()))
+    dealt = in_ranges(df, *group, *order)
     sizes = dealt.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.withColumn("_before", before).drop("_n").withColumnsRenamed({g: f"_{i}" for i, g in enumerate(group)})

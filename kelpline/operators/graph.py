@@ -1,7 +1,10 @@
 """Reach over the import graph: change impact, cascade paths, tests that cover a file.
 
 Breadth-first search runs for all roots at once, a level at a time: a join of the frontier with
-the edges, one row per (root, node), less those seen. Each level is kept in the shared folder.
+the edges, less what is seen. Each level is kept in the shared folder. Where only depths are asked
+for, 64 roots go together: a row is a node and a word of 64 roots, its bits tell which of them
+reach the node at this level, and words that meet are merged by or. Where ways are asked for too, a
+row is a root and a node.
 """
 
 from __future__ import annotations
@@ -31,16 +34,49 @@ def forward_links(edges: DataFrame, with_tests: bool = False) -> DataFrame:
     return kept.groupBy(F.col("src").alias("node"), F.col("dst").alias("next")).agg(F.min("ord").alias("ord"))
 
 
+def numbered_roots(roots: DataFrame) -> DataFrame:
+    """root, word, bit: 64 roots (id, distinct) that follow each other by name share a word, as their ways are likely to."""
+    n = roots.select(F.col("id").alias("root")).repartitionByRange("root").sortWithinPartitions("root").withColumn("_n", F.monotonically_increasing_id())
+    return kept(n.select("root", F.shiftright("_n", 6).alias("word"), F.col("_n").bitwiseAND(63).cast("int").alias("bit")))
+
+
+def reach_words(links: DataFrame, numbers: DataFrame) -> DataFrame:
+    """word, node, depth, bits: which roots of a word (numbered_roots()) reach a node first at a depth of 1 or more.
+
+    A level is one join and one grouping: what the frontier finds and what was seen before meet by
+    node and word, so that a node's many ways are merged in the tasks that find them.
+    """
+    links = links.select("node", "next")
+    spark, folder = links.sparkSession, f"{shared_dir(links.sparkSession)}/reach-{uuid.uuid4().hex}"
+    bit = F.expr("shiftleft(1L, bit)")
+    level = kept(numbers.groupBy("word", F.col("root").alias("node")).agg(F.lit(0).alias("depth"), F.bit_or(bit).alias("bits")), f"{folder}/0")
+    schema, paths, none = level.schema, [f"{folder}/0"], F.lit(0).cast("long")
+    while not level.isEmpty():
+        found = level.join(links, "node").select("word", F.col("next").alias("node"), "bits", none.alias("seen"))
+        seen = spark.read.schema(schema).parquet(*paths).select("word", "node", none.alias("bits"), F.col("bits").alias("seen"))
+        both = found.union(seen).groupBy("word", "node").agg(F.bit_or("bits").alias("bits"), F.bit_or("seen").alias("seen"))
+        fresh = both.select("word", "node", F.lit(len(paths)).alias("depth"), F.col("bits").bitwiseAND(F.bitwise_not("seen")).alias("bits")).where("bits <> 0")
+        paths.append(f"{folder}/{len(paths)}")
+        level = kept(fresh, paths[-1])
+    return spark.read.schema(schema).parquet(*paths).where("depth > 0")
+
+
+def each_root(words: DataFrame) -> DataFrame:
+    """A row for each bit that is set in words' bits."""
+    return words.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(63)))).where(F.expr("shiftright(bits, bit) & 1 = 1")).drop("bits")
+
+
 def reach(links: DataFrame, roots: DataFrame, parents: bool = False) -> DataFrame:
     """root, node, depth of all nodes reached from roots (id, distinct); a root isn't reached from itself.
 
     With parents also parent and rank: the first way that a queue would find, by the parent's
     rank and the link's ord. Each level is written once and stays as it is.
     """
+    if not parents:
+        numbers = numbered_roots(roots)
+        return each_root(reach_words(kept(links), numbers)).join(numbers, ["word", "bit"]).select("root", "node", "depth")
     links = kept(links)
-    level = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth"))
-    if parents:
-        level = level.withColumns({"parent": F.lit(None).cast("string"), "rank": F.lit(0).cast("long")})
+    level = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("rank"))
     # Levels are folders of one table: what is seen so far is read at once.
     spark = links.sparkSession
     folder = f"{shared_dir(spark)}/reach-{uuid.uuid4().hex}"
@@ -49,17 +85,11 @@ def reach(links: DataFrame, roots: DataFrame, parents: bool = False) -> DataFram
     while True:
         depth += 1
         found = level.join(links, "node").where("next <> root")
-        if parents:
-            found = found.groupBy("root", "next").agg(F.min(F.struct("rank", "ord", F.col("node").alias("parent"))).alias("way"))
-        else:
-            found = found.select("root", "next").distinct()
+        found = found.groupBy("root", "next").agg(F.min(F.struct("rank", "ord", F.col("node").alias("parent"))).alias("way"))
         seen = spark.read.schema(schema).parquet(*paths)
         found = found.withColumnRenamed("next", "node").join(seen.select("root", "node"), ["root", "node"], "left_anti")
-        if parents:
-            order = Window.partitionBy("root").orderBy("way.rank", "way.ord", "node")
-            found = found.select("root", "node", F.lit(depth).alias("depth"), "way.parent", F.row_number().over(order).cast("long").alias("rank"))
-        else:
-            found = found.select("root", "node", F.lit(depth).alias("depth"))
+        order = Window.partitionBy("root").orderBy("way.rank", "way.ord", "node")
+        found = found.select("root", "node", F.lit(depth).alias("depth"), "way.parent", F.row_number().over(order).cast("long").alias("rank"))
         paths.append(f"{folder}/{depth}")
         level = kept(found, paths[-1])
         if level.isEmpty():
@@ -75,9 +105,10 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, only: DataFrame | None = No
     direct = links.groupBy("node").agg(F.countDistinct("next").alias("direct"))
     if only is not None:
         direct = direct.join(only.select(F.col("id").alias("node")), "node", "left_semi")
-    got = reach(links, direct.select(F.col("node").alias("id")))
+    numbers = numbered_roots(direct.select(F.col("node").alias("id")))
+    got = each_root(reach_words(links, numbers).withColumn("module", module_id(F.col("node"))))
     # Sums by depth and module first, so that a root with everything below it is no large group.
-    part = got.groupBy("root", "depth", module_id(F.col("node")).alias("module")).agg(F.count(F.lit(1)).alias("n"))
+    part = got.groupBy("word", "bit", "depth", "module").agg(F.count(F.lit(1)).alias("n")).join(numbers, ["word", "bit"])
     per = part.groupBy("root").agg(
         F.sum("n").alias("affected"),
         round2(F.round(F.sum(F.col("n") * F.pow(F.lit(WEAKENING), F.col("depth"))), 9)).alias("weighted"),

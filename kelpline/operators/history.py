@@ -5,28 +5,69 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import in_ranges
+
 HEADER = r"^([0-9a-f]{7,40})\|([^|]*)\|(.+)\z"
 
 
+_COMMIT = r"^[0-9a-f]{7,40}\z"
+
+
 def log_rows(log: DataFrame) -> DataFrame:
-    """log (repo, pos, line) of a numstat log as repo, pos, hash, date, msg, added, removed, path; a header's rows follow it."""
+    """log (repo, pos, line) of a numstat log as repo, pos, hash, date, msg, added, removed, path; a header's rows follow it.
+
+    A log is read in ranges: each gives its last header, of which a range takes that of the nearest one before it.
+    """
     head = F.when(F.col("line").rlike(HEADER), F.struct(*[F.regexp_extract("line", HEADER, i).alias(n) for i, n in ((1, "hash"), (2, "date"), (3, "msg"))]))
-    carried = F.last("_h", ignorenulls=True).over(Window.partitionBy("repo").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    rows = log.withColumn("_h", head).withColumn("head", carried).where(F.col("head").isNotNull() & F.col("line").rlike(r"^\d+\t\d+\t"))
+    dealt = in_ranges(log, "repo", "pos").withColumn("_h", head)
+    before = F.last("_last", ignorenulls=True).over(Window.partitionBy("repo").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    # A row for each range of a repository.
+    lasts = dealt.groupBy("repo", "_range").agg(F.max_by("_h", F.when(F.col("_h").isNotNull(), F.col("pos"))).alias("_last"))
+    lasts = lasts.select("repo", "_range", before.alias("_before"))
+    own = F.last("_h", ignorenulls=True).over(Window.partitionBy("repo", "_range").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    rows = dealt.join(lasts, ["repo", "_range"]).withColumn("head", F.coalesce(own, "_before")).where(F.col("head").isNotNull() & F.col("line").rlike(r"^\d+\t\d+\t"))
     cut = F.split("line", "\t", 3)
     return rows.select("repo", "pos", "head.*", F.get(cut, 0).cast("long").alias("added"), F.get(cut, 1).cast("long").alias("removed"), F.get(cut, 2).alias("path"))
 
 
 def log_files(log: DataFrame) -> DataFrame:
-    """log (repo, pos, line) of a name-only log as repo, commit_seq, path, distinct; after a blank line that follows files, lines are none until a header."""
-    w = Window.partitionBy("repo").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    seq = F.sum(F.col("line").rlike(r"^[0-9a-f]{7,40}\z").cast("int")).over(w)
-    rows = log.withColumn("commit_seq", seq).where("commit_seq > 0")
-    own = Window.partitionBy("repo", "commit_seq").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    is_file = (F.trim("line") != "") & ~F.col("line").rlike(r"^[0-9a-f]{7,40}\z")
-    rows = rows.withColumn("_file", is_file).withColumn("_files", F.sum(F.col("_file").cast("int")).over(own))
-    closed = F.max((F.trim("line") == "") & (F.col("_files") > 0)).over(own)
-    return rows.withColumn("_closed", closed).where("_file and not _closed").select("repo", F.col("commit_seq").cast("long").alias("commit_seq"), F.trim("line").alias("path")).distinct()
+    """log (repo, pos, line) of a name-only log as repo, commit_seq, path, distinct; after a blank line that follows files, lines are none until a header.
+
+    A log is read in ranges. Where a commit stands is a state: no file yet, files, or closed. A range
+    is a function of the state at its beginning; ranges' functions are composed in order, and every
+    range is then read from the state that it begins in.
+    """
+    dealt = in_ranges(log, "repo", "pos").withColumn("_head", F.col("line").rlike(_COMMIT))
+    upto = Window.partitionBy("repo", "_range").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    blank = F.trim("line") == ""
+    dealt = dealt.withColumns({"_part": F.sum(F.col("_head").cast("int")).over(upto), "_blank": blank, "_file": ~blank & ~F.col("_head")})
+    parts = dealt.groupBy("repo", "_range", "_part").agg(F.min(F.when(F.col("_file"), F.col("pos"))).alias("file"), F.max(F.when(F.col("_blank"), F.col("pos"))).alias("blank"))
+    one = F.struct("_part", "file", "blank")
+    ranges = parts.groupBy("repo", "_range").agg(F.min(one).alias("first"), F.max(one).alias("last"))
+    after = lambda part: F.when(part["file"].isNull(), 0).when(F.coalesce(part["blank"] > part["file"], F.lit(False)), 2).otherwise(1)
+    first, last = F.col("first"), F.col("last")
+    headless = first["_part"] == 0
+    # From no file yet, from files, and how many headers; closed stays closed until a header.
+    step = F.struct(
+        F.col("_range").alias("range"), last["_part"].alias("heads"), F.when(last["_part"] > 0, after(last)).alias("fixed"),
+        F.when(headless, after(first)).otherwise(0).alias("none"), F.when(headless & first["blank"].isNotNull(), 2).otherwise(1).alias("some"),
+    )
+    begins = "array<struct<range: int, state: int, seq: bigint>>"
+    start = F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("seq"), F.array().cast(begins).alias("out"))
+
+    def composed(acc, x):
+        state = F.coalesce(x["fixed"], F.when(acc["state"] == 0, x["none"]).when(acc["state"] == 1, x["some"]).otherwise(2))
+        here = F.struct(x["range"].alias("range"), acc["state"].alias("state"), acc["seq"].alias("seq"))
+        return F.struct(state.cast("int").alias("state"), (acc["seq"] + x["heads"]).alias("seq"), F.concat(acc["out"], F.array(here)).alias("out"))
+
+    begun = ranges.groupBy("repo").agg(F.array_sort(F.collect_list(step)).alias("steps")).select("repo", F.explode(F.aggregate("steps", start, composed)["out"]).alias("b"))
+    begun = begun.select("repo", F.col("b.range").alias("_range"), F.when(F.col("b.state") == 2, 2).otherwise(F.col("b.state")).alias("_state"), F.col("b.seq").alias("_seq"))
+    rows = dealt.join(begun, ["repo", "_range"])
+    own = Window.partitionBy("repo", "_range", "_part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    carried = F.when(F.col("_part") == 0, F.col("_state")).otherwise(0)
+    rows = rows.withColumns({"_carried": carried, "commit_seq": (F.col("_seq") + F.col("_part")).cast("long"), "_files": F.sum(F.col("_file").cast("int")).over(own)})
+    closed = F.max(F.col("_blank") & ((F.col("_files") > 0) | (F.col("_carried") == 1))).over(own) | (F.col("_carried") == 2)
+    return rows.withColumn("_closed", closed).where("commit_seq > 0 and _file and not _closed").select("repo", "commit_seq", F.trim("line").alias("path")).distinct()
 
 
 def churn(commits: DataFrame, days: int = 30) -> DataFrame:
@@ -44,7 +85,10 @@ def cochange(commits: DataFrame, links: DataFrame | None = None, most_files: int
 
     Commits of 2 to most_files files count, so that one gives a bounded number of pairs; links (src, dst) are the imports.
     """
-    files = commits.groupBy("commit").agg(F.array_sort(F.collect_set("path")).alias("p")).where(F.size("p").between(2, most_files))
+    # Counted before they are listed: a commit may have any number of files.
+    distinct = commits.select("commit", "path").distinct()
+    few = distinct.groupBy("commit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most_files))
+    files = distinct.join(few, "commit", "left_semi").groupBy("commit").agg(F.array_sort(F.collect_list("path")).alias("p"))
     each = F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, most_files), lambda y: F.struct(x.alias("a"), y.alias("b"))))
     pairs = files.select(F.explode(F.flatten(each)).alias("x")).groupBy("x.a", "x.b").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= least)
     totals = files.select(F.explode("p").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))

@@ -26,6 +26,12 @@ def tests_by_file(found: DataFrame) -> DataFrame:
     return per.withColumn("n_tests", (F.size("direct_tests") + F.size("transitive_tests")).cast("long"))
 
 
+def with_no_tests(rows: DataFrame) -> DataFrame:
+    """rows of a left join with tests_by_file(): empty lists for nulls."""
+    none = {"direct_tests": "array<string>", "transitive_tests": "array<struct<test: string, via: string>>"}
+    return rows.withColumns({k: F.coalesce(F.col(k), F.array().cast(t)) for k, t in none.items()}).withColumn("n_tests", F.coalesce("n_tests", F.lit(0).cast("long")))
+
+
 def violations(broken: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, violations: a text for each convention that the file doesn't follow."""
     exports = nodes.select(F.col("id").alias("anchor"), F.array_join(F.coalesce("exports", F.array().cast("array<string>")), ",").alias("e"))
@@ -71,3 +77,21 @@ def as_text(profiles: DataFrame) -> DataFrame:
     tests = F.concat(F.lit("tests: "), F.when(F.col("n_tests") == 0, "(none)").otherwise(F.array_join(named, ", ")))
     rules = F.concat(F.lit("conventions: "), F.when(F.size("violations") == 0, "no violations").otherwise(F.array_join("violations", "; ")))
     return profiles.select("node", F.concat_ws("\n", "node", risk, churn, with_, tests, rules).alias("text"))
+
+
+def blast_radius_text(rows: DataFrame) -> DataFrame:
+    """node, text of blast_radius_of(): the numbers, the modules and the cascade, where there are any."""
+    s = lambda c: F.col(c).cast("string")
+    whole = F.when(F.col("amplification") == F.floor("amplification"), F.floor("amplification").cast("string")).otherwise(s("amplification"))
+    first = F.concat("node", F.lit("  \u00d7"), s("direct"), F.lit("\u2192"), s("affected"), F.lit("  d"), s("max_depth"), F.lit("  amp"), whole, F.lit("  "), s("modules"), F.lit("mod"))
+    modules = F.when(F.size("module_names") > 0, F.concat(F.lit("affected modules: "), F.array_join("module_names", ", ")))
+    step = F.transform("path", lambda x, i: F.concat(F.element_at(F.split(x, "/"), -1), F.lit("(d"), (i + 1).cast("string"), F.lit(")")))
+    return rows.select("node", F.concat_ws("\n", first, modules, F.when(F.size("path") > 0, F.concat(F.lit("cascade: "), F.array_join(step, " \u2192 ")))).alias("text"))
+
+
+def test_map_text(rows: DataFrame) -> DataFrame:
+    """node, text of tests_by_file(): how many tests, the direct ones, and a line for each other one."""
+    first = F.concat("node", F.lit(" \u2014 "), F.col("n_tests").cast("string"), F.lit(" test files connected (structural, not runtime coverage)"))
+    direct = F.when(F.size("direct_tests") > 0, F.concat(F.lit("direct: "), F.array_join("direct_tests", ", ")))
+    others = F.transform("transitive_tests", lambda t: F.concat(F.lit("transitive: "), t["test"], F.lit(" (via "), t["via"], F.lit(")")))
+    return rows.select("node", F.concat_ws("\n", first, direct, others).alias("text"))

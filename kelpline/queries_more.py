@@ -18,6 +18,7 @@ from .operators import profile as V
 from .operators import resolve as R
 from .plans import check as P
 from .plans import report as T
+from .plans import snapshot
 from .queries import _BOXES, _CAT, _CONV, _FLAKY, _HALVES, _NEGATIVE, _REDUNDANT, _TELLS_NOTHING, COMPLEX, EDGES, MOD, NODES, REACH, TRIALS, _anchored, _complex, _graph, _pairs, _plans, _trials, query
 from .sources import experiment_files as J
 from .sources import star
@@ -103,6 +104,22 @@ def blast_radius_one(spark, sf_dir):
     return V.blast_radius_of(_asked(nodes, edges), nodes, edges).select("node", "direct", "affected", "amplification", "max_depth", "modules", F.array_join("path", " > ").alias("path"))
 
 
+@query(f"""with recursive {REACH}, {_ASKED}, {_WAYS.format("e.type <> 'tests' and e.src not in (select id from nodes where type = 'test')")},
+names as (select string_agg(distinct {MOD.format('node')}, ', ' order by {MOD.format('node')}) as m from reach where root = (select id from asked)),
+way as (select coalesce((select seen[2:] from first order by depth desc, key limit 1), []) as p)
+select id as node, affected, id || '  ×' || direct || '→' || affected || '  d' || max_depth || '  amp' || case when amplification = floor(amplification) then floor(amplification)::bigint::varchar else amplification::varchar end || '  ' || modules || 'mod'
+       || coalesce(chr(10) || 'affected modules: ' || m, '') || case when len(p) > 0 then chr(10) || 'cascade: ' || array_to_string(list_transform(p, lambda x, i: string_split(x, '/')[-1] || '(d' || i || ')'), ' → ') else '' end as text
+from asked join risk on node = id, names, way""")
+def snapshot_point(spark, sf_dir):
+    """The whole graph's analysis is written as a snapshot, read back and asked for one file."""
+    nodes, edges = _graph(spark, sf_dir)
+    path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    snapshot.write(spark, path, snapshot.analysed(nodes, edges), "head")
+    tables = snapshot.read(spark, path)
+    got = snapshot.blast_radius(tables, _asked(tables["nodes"], tables["edges"]).first().id)
+    return got.select("node", "affected").join(V.blast_radius_text(got), "node")
+
+
 _ASKED_TESTED = "asked as (select d.id from edges e join nodes d on d.id = e.dst where e.src in (select dst from edges where type = 'tests') order by d.ord desc limit 1)"
 
 

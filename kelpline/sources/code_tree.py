@@ -64,9 +64,11 @@ def _manifest(text: str | None) -> dict:
 
 
 def workspace_globs(package_json: str | None, pnpm: str | None) -> list[str]:
-    """Of package.json's workspaces and pnpm-workspace.yaml's packages, without comments."""
+    """Of package.json's workspaces, or where it has none of pnpm-workspace.yaml's packages, without comments."""
     found = _manifest(package_json).get("workspaces") or []
-    found = found.get("packages", []) if isinstance(found, dict) else list(found)
+    found = found.get("packages") or [] if isinstance(found, dict) else list(found)
+    if found:
+        return found
     inside = False
     for line in (pnpm or "").splitlines():
         line = re.sub(r"(^|\s)#.*", "", line)

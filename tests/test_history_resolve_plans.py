@@ -1,6 +1,9 @@
 import datetime as dt
+import random
+import re
 import subprocess
 
+import pytest
 from pyspark.sql import functions as F
 
 from kelpline.functions import columns as C
@@ -10,6 +13,7 @@ from kelpline.functions import render as Z
 from kelpline.operators import graph as G
 from kelpline.operators import history as H
 from kelpline.operators import modules as M
+from kelpline.operators import profile
 from kelpline.operators import resolve as R
 from kelpline.plans import check as P
 from kelpline.plans import report, snapshot
@@ -230,6 +234,7 @@ def test_workspaces(spark, tmp_path):
     found = code_tree.packages(spark, root)
     assert [tuple(r) for r in found.collect()] == [("@m/a", "libs/a", "src/main.ts")]
     assert [r.dir for r in code_tree.below_offset(found, "libs").collect()] == ["a"] and code_tree.below_offset(found, "apps").count() == 0
+    assert code_tree.workspace_globs('{"workspaces": ["a/*"]}', "packages:\n  - b/*") == ["a/*"] and code_tree.workspace_globs("{}", "packages:\n  - b/*") == ["b/*"]
     (tmp_path / "alone/.git").mkdir(parents=True)
     assert code_tree.workspace_root(str(tmp_path / "alone")) == (str(tmp_path / "alone"), "") and code_tree.head_of(str(tmp_path / "alone")) is None
     files = code_tree.read_files(spark, str(tmp_path / "mono/libs/a"))
@@ -238,3 +243,100 @@ def test_workspaces(spark, tmp_path):
     assert snapshot.find(root + "/libs/a") == root + "/.kelpline" and snapshot.find(str(tmp_path / "alone")) is None
     snapshot.write_text("x", str(tmp_path / "report"))
     assert (tmp_path / "report").read_text() == "x" and not (tmp_path / "report.tmp").exists()
+
+
+def one_log(seed, n):
+    """A name-only log's lines: headers, files, blank lines in odd places."""
+    rng = random.Random(seed)
+    return [rng.choice([f"{rng.randrange(16**8):08x}", "", " ", "src/a.ts", " src/b.ts ", "src/c.ts", f"src/{rng.randrange(9)}.ts"]) for _ in range(n)]
+
+
+def read_log(lines):
+    """commit, file: line by line."""
+    out, seq, some, closed = set(), 0, False, False
+    for line in lines:
+        if re.fullmatch("[0-9a-f]{7,40}", line):
+            seq, some, closed = seq + 1, False, False
+        elif not line.strip():
+            closed = closed or some
+        elif seq:
+            some = True
+            if not closed:
+                out.add((seq, line.strip()))
+        else:
+            some = True
+    return out
+
+
+def test_logs_in_ranges(spark):
+    logs = {"one": one_log(1, 400), "two": one_log(2, 37), "none": ["", "x"], "heads": ["abcdef1"] * 3, "late": ["f"] * 60 + ["", "abcdef1", "g"]}
+    rows = [(r, i, x) for r, lines in logs.items() for i, x in enumerate(lines)]
+    random.Random(3).shuffle(rows)
+    log = spark.createDataFrame(rows, "repo string, pos long, line string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "4", "29"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = {(r.repo, r.commit_seq, r.path) for r in H.log_files(log).collect()}
+            assert got == {(repo, *x) for repo, lines in logs.items() for x in read_log(lines)}
+        numstat = [("r", i, f"{i:07x}|2024-01-01|m{i}" if i % 7 == 3 else f"{i}\t1\tf{i}") for i in range(120)]
+        rows = H.log_rows(spark.createDataFrame(numstat, "repo string, pos long, line string")).collect()
+        assert {(r.pos, r.msg, r.added) for r in rows} == {(i, f"m{(i - 3) // 7 * 7 + 3}", i) for i in range(4, 120) if i % 7 != 3}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_snapshot_versions(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    with pytest.raises(snapshot.SnapshotError, match="no snapshot"):
+        snapshot.read(spark, path)
+    rows = lambda k: spark.range(200).select(F.concat(F.lit("f"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("node"), F.lit(k).alias("affected"))
+    snapshot.write(spark, path, {"risk": rows(1), "other": rows(1)}, "h1")
+    first = snapshot.read(spark, path)
+    # Derived from the version before, which stays whole for who reads it.
+    snapshot.write(spark, path, {"risk": first["risk"].withColumn("affected", F.lit(2)), "other": rows(2)}, "h2")
+    second = snapshot.read(spark, path)
+    for tables, k in ((first, 1), (second, 2)):
+        assert all({r.affected for r in df.collect()} == {k} and df.count() == 200 for df in tables.values())
+    assert snapshot.is_stale(spark, path, "h1") and not snapshot.is_stale(spark, path, "h2")
+    one = second["risk"].where(F.col("node") == "f017")
+    assert one.count() == 1 and "EqualTo(node,f017)" in one._jdf.queryExecution().executedPlan().toString()
+    assert snapshot.prune(spark, path) == 1 and second["risk"].count() == 200
+    (tmp_path / "snap" / snapshot.MANIFEST).write_text('{"version": 1}')
+    (tmp_path / "snap" / f".{snapshot.MANIFEST}.crc").unlink(missing_ok=True)
+    with pytest.raises(snapshot.SnapshotError, match="version 1"):
+        snapshot.read(spark, path)
+    (tmp_path / "snap" / snapshot.MANIFEST).write_text("{")
+    with pytest.raises(snapshot.SnapshotError, match="broken"):
+        snapshot.read(spark, path)
+
+
+def test_point_queries(spark, tmp_path):
+    names = ["a/x/core.ts", "b/y/mid.ts", "c/z/top.ts", "c/z/top.spec.ts", "d/alone.ts"]
+    nodes = spark.createDataFrame([(n, "test" if ".spec." in n else "utility", 5, i) for i, n in enumerate(names)], "id string, type string, lines int, ord long")
+    edges = spark.createDataFrame([(names[1], names[0], "imports", 0), (names[2], names[1], "imports", 1), (names[3], names[2], "tests", 2)], "src string, dst string, type string, ord long")
+    snapshot.write(spark, str(tmp_path / "s"), snapshot.analysed(nodes, edges))
+    tables = snapshot.read(spark, str(tmp_path / "s"))
+    text = profile.blast_radius_text(snapshot.blast_radius(tables, names[0])).first().text
+    assert text == "a/x/core.ts  ×1→2  d2  amp2  2mod\naffected modules: b/y, c/z\ncascade: mid.ts(d1) → top.ts(d2)"
+    assert profile.blast_radius_text(snapshot.blast_radius(tables, names[4])).first().text == "d/alone.ts  ×0→0  d0  amp0  0mod"
+    # What is stored is taken as it is.
+    other = tables | {"risk": tables["risk"].withColumn("affected", F.lit(77))}
+    assert snapshot.blast_radius(other, names[0]).first().affected == 77
+    tests = snapshot.test_map(tables, names[0])
+    assert profile.test_map_text(tests).first().text == "a/x/core.ts — 1 test files connected (structural, not runtime coverage)\ntransitive: c/z/top.spec.ts (via c/z/top.ts)"
+    assert snapshot.test_map(tables, names[4]).first().n_tests == 0 and '"n_tests":1' in profile.as_json(tests).first().json
+
+
+def test_staleness(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True, text=True).stdout.strip()
+    git("init", "-q")
+    for k in range(3):
+        git("commit", "-q", "--allow-empty", "-m", f"m{k}")
+    path, log = str(tmp_path / "s"), git("rev-list", "HEAD").split()
+    said = {}
+    for head in (log[0], log[2], "0" * 40, None):
+        snapshot.write(spark, path, {"x": spark.range(1)}, head)
+        said[head] = snapshot.staleness(spark, path, str(tmp_path))
+    assert said[log[0]] is None and said[None] is None and "before 2 commits" in said[log[2]] and "may be stale" in said["0" * 40]
+    assert snapshot.staleness(spark, path, str(tmp_path / "nowhere")) is None
