@@ -6,9 +6,12 @@ Texts of more than PIECE bytes are cut into pieces that tasks hash in parallel,
 the bytes after it, so that a text's fingerprint is the pieces' sum.
 
 Texts whose fingerprints and lengths are equal are then compared, chunk by chunk, with one of
-them; where texts differ after all, their group is split by SHA-256 and compared again. A group
-of more than 2^-14 of all rows is dealt to several tasks before anything of it is shuffled; each
-compares its share with one text, and these texts are then compared with each other.
+them; where texts differ after all, their group is split by SHA-256 and compared again. Only texts
+that may be in a group are shuffled: tasks look fingerprints up in a bit for each group's hash, of
+which there are 16 for a group and FILTER_BITS at most (beyond that more texts pass, and none is
+missed). Texts over PIECE bytes are compared piece by piece, in several tasks. A group of more than
+2^-14 of all rows is dealt to several tasks before anything of it is shuffled; each compares its
+share with one text, and these texts are then compared with each other.
 
 Defined results: texts are equal when they are after lower-casing A-Z; null counts as empty;
 of equal texts the row with the largest id stays, null ids being smallest; of rows that repeat
@@ -34,6 +37,8 @@ BASES = (1000003, 754974721, 1234567891, 998244353)
 #: Bytes of a piece, and the share of all rows (and number) above which a group is dealt to several tasks; there are 1 / HOT of these groups at most.
 PIECE, HOT, PER_TASK = 1 << 20, 2.0**-14, 2048
 KEY = ("f1", "f2", "n_bytes", "split")
+#: 8 MiB.
+FILTER_BITS = 1 << 26
 
 
 class Fingerprinter:
@@ -83,8 +88,8 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
 
 
-def fingerprints(docs: DataFrame, keep: Callable[[DataFrame, str], DataFrame], moduli: tuple[int, ...] = MODULI, piece: int = PIECE) -> DataFrame:
-    """PRINT of all rows, text_sha256 in lower-case hex."""
+def fingerprints(docs: DataFrame, keep: Callable[[DataFrame, str], DataFrame], moduli: tuple[int, ...] = MODULI, piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
+    """PRINT of all rows, text_sha256 in lower-case hex; and of texts over piece bytes PRINT with at and body (lower-cased) of their pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = Fingerprinter(moduli)
@@ -119,14 +124,42 @@ def fingerprints(docs: DataFrame, keep: Callable[[DataFrame, str], DataFrame], m
     both = lambda x, y: F.shiftleft(x, 31).bitwiseOR(F.col(y))
     whole = whole.withColumns({"f1": both("a", "b"), "f2": both("c", "d")})
     names = [x.split()[0] for x in PRINT.split(", ")]
-    return found.where("at is null").select(*names).union(whole.select(*names))
+    whole = keep(whole.select(*names), "long_prints")
+    pieces = found.where("at is not null").select("row", "at", "body").join(whole, "row")
+    return found.where("at is null").select(*names).union(whole), pieces
 
 
-def differing(docs: DataFrame, hot: dict[tuple, int], by_sha: set[tuple] | None = None, moduli: tuple[int, ...] = MODULI) -> DataFrame:
+def group_bits(groups: DataFrame) -> np.ndarray:
+    """A bit for f1 of each group of two or more, by its last binary digits; a power of two of bits, as words of 64."""
+    several = groups.where("group_size > 1")
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * several.count()).bit_length()))
+    place = F.col("f1").bitwiseAND(bits - 1)
+    words = several.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return out.view(np.uint64)
+
+
+def differing(docs: DataFrame, pieces: DataFrame, hot: dict[tuple, int], grouped: np.ndarray | None, by_sha: set[tuple] | None = None, moduli: tuple[int, ...] = MODULI, piece: int = PIECE) -> DataFrame:
     """The keys (KEY) of groups that hold different texts.
 
-    hot: in how many shares a key is dealt. by_sha: keys (f1, f2, n_bytes) whose groups are split by SHA-256, if known to be some; others aren't looked at then.
+    pieces: as fingerprints() gives them, of texts over piece bytes. hot: in how many shares a key is dealt. grouped: group_bits(). by_sha: keys (f1, f2, n_bytes) whose groups are split by SHA-256, if known to be some; others aren't looked at then.
     """
+    names, schema = [*KEY, "at", "share", "body"], "f1 long, f2 long, n_bytes long, split string, at long, share int, body binary"
+    kinds = [*[pa.int64()] * 3, pa.string(), pa.int64(), pa.int32(), pa.binary()]
+
+    def wanted(key: tuple) -> bool:
+        if by_sha is not None:
+            return key in by_sha
+        place = key[0] & (len(grouped) * 64 - 1)
+        return int(grouped[place >> 6]) >> (place & 63) & 1 == 1
+
+    def row(key: tuple, sha: str, doc_id: int | None, text_hash: int, at: int, body: bytes) -> tuple:
+        key = (*key, sha if by_sha else "")
+        return (*key, at, ((doc_id or 0) * 31 + text_hash) % hot.get(key, 1), body)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 7, kinds)], names=names)
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = Fingerprinter(moduli)
@@ -135,42 +168,48 @@ def differing(docs: DataFrame, hot: dict[tuple, int], by_sha: set[tuple] | None
                 rows = []
                 for doc_id, text_hash, text in zip(*(c.to_pylist() for c in batch.slice(i, 512).columns)):
                     body = (text or b"").translate(LOWER_BYTES)
-                    key = (*prints.text(body), len(body))
-                    if by_sha is not None and key not in by_sha:
-                        continue
-                    key = (*key, hashlib.sha256(body).hexdigest() if by_sha else "")
-                    rows.append((*key, ((doc_id or 0) * 31 + text_hash) % hot.get(key, 1), body))
-                kinds = [pa.int64()] * 3 + [pa.string(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, kinds)], names=[*KEY, "share", "body"])
+                    key = (*prints.text(body), len(body)) if len(body) <= piece else None
+                    if key and wanted(key):
+                        rows.append(row(key, hashlib.sha256(body).hexdigest() if by_sha else "", doc_id, text_hash, 0, body))
+                yield batch_of(rows)
+
+    def long_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 16):
+                of = zip(*(batch.slice(i, 16).column(c).to_pylist() for c in ("f1", "f2", "n_bytes", "text_sha256", "doc_id", "text_hash", "at", "body")))
+                yield batch_of([row((f1, f2, n), *rest) for f1, f2, n, *rest in of if wanted((f1, f2, n))])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each key that differs, without body, and for each share of a hot key one with its text."""
         at, first, told = None, b"", False
         for batch in batches:
             out = []
-            keys, body = list(zip(*(batch.column(i).to_pylist() for i in range(5)))), batch.column(5)
+            keys, body = list(zip(*(batch.column(i).to_pylist() for i in range(6)))), batch.column(6)
             for i, key in enumerate(keys):
                 text = memoryview(body[i].as_buffer()).cast("B")
                 if key != at:
                     at, first, told = key, bytes(text), False
                     if hot.get(key[:4], 1) > 1:
-                        out.append((*key[:4], first))
+                        out.append((*key[:5], first))
                 elif not told and any(text[j : j + CHUNK] != first[j : j + CHUNK] for j in range(0, len(first), CHUNK)):
                     told = True
-                    out.append((*key[:4], None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, [pa.int64()] * 3 + [pa.string(), pa.binary()])], names=[*KEY, "body"])
+                    out.append((*key[:5], None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 6, [*kinds[:5], pa.binary()])], names=[*KEY, "at", "body"])
 
-    dealt = _rows(docs).mapInArrow(bodies, "f1 long, f2 long, n_bytes long, split string, share int, body binary").repartition(*KEY, "share").sortWithinPartitions(*KEY, "share")
-    found = dealt.mapInArrow(compared, "f1 long, f2 long, n_bytes long, split string, body binary")
-    # Of each hot key a text for each share is left: they are equal if they have one value.
-    return found.groupBy(*KEY).agg(F.bool_or(F.col("body").isNull()).alias("differ"), F.min("body").alias("lo"), F.max("body").alias("hi")).where("differ or lo <> hi").select(*KEY)
+    both = _rows(docs).mapInArrow(bodies, schema).union(pieces.mapInArrow(long_bodies, schema))
+    dealt = both.repartition(*KEY, "at", "share").sortWithinPartitions(*KEY, "at", "share")
+    found = dealt.mapInArrow(compared, "f1 long, f2 long, n_bytes long, split string, at long, body binary")
+    # Of each hot key's piece a text for each share is left: they are equal if they have one value.
+    found = found.groupBy(*KEY, "at").agg(F.bool_or(F.col("body").isNull()).alias("differ"), F.min("body").alias("lo"), F.max("body").alias("hi"))
+    return found.where("differ or lo <> hi").select(*KEY).distinct()
 
 
 def exact_duplicates(docs: DataFrame, moduli: tuple[int, ...] = MODULI, piece: int = PIECE, per_task: int = PER_TASK) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, text_hash."""
     docs = pick(docs, "doc_id", "text")
     with scratch(docs.sparkSession) as keep:
-        prints = keep(fingerprints(docs, keep, moduli, piece).withColumn("split", F.lit("")), "prints")
+        prints, pieces = fingerprints(docs, keep, moduli, piece)
+        prints = keep(prints.withColumn("split", F.lit("")), "prints")
         grouped = lambda p, name: keep(p.groupBy(*KEY).agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")), name)
         n = prints.count()
 
@@ -179,13 +218,13 @@ def exact_duplicates(docs: DataFrame, moduli: tuple[int, ...] = MODULI, piece: i
             return {(r.f1, r.f2, r.n_bytes, r.split): -(-r.group_size // most) for r in groups.where(F.col("group_size") > most).collect()}
 
         groups = grouped(prints, "groups")
-        bad = keep(differing(docs, hot(groups), None, moduli), "bad")
+        bad = keep(differing(docs, pieces, hot(groups), group_bits(groups), None, moduli, piece), "bad")
         if not bad.isEmpty():
             plain = bad.drop("split").withColumn("bad", F.lit(True))
             prints = keep(prints.join(plain, ["f1", "f2", "n_bytes"], "left").withColumn("split", F.when(F.col("bad"), F.col("text_sha256")).otherwise("")).drop("bad"), "split_prints")
             groups = grouped(prints, "split_groups")
             # Keys that meet for different texts: of 124 bits there are none, so they are few.
-            if not differing(docs, hot(groups), {tuple(r) for r in plain.drop("bad").collect()}, moduli).isEmpty():
+            if not differing(docs, pieces, hot(groups), None, {tuple(r) for r in plain.drop("bad").collect()}, moduli, piece).isEmpty():
                 raise ValueError("texts differ that have one SHA-256")
         out = prints.join(groups, list(KEY))
         return written(out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256", "text_hash"), "exact")
