@@ -6,12 +6,10 @@ A result is that of a question on a codebase; diagnostics look at each result ap
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import row_numbers
+from ..common import kept, row_numbers
 from ..functions.columns import round2
 from ..functions.render import fixed
 
@@ -73,32 +71,38 @@ def win_rates(scores: DataFrame, tie: float = 0.01) -> DataFrame:
     return rows.groupBy("a", "b").agg(F.count_if(~even & (gap > 0)).alias("wins"), F.count_if(~even & (gap < 0)).alias("losses"), F.count_if(even).alias("ties"), F.count(F.lit(1)).alias("total"))
 
 
-def bootstrap(scores: DataFrame, times: int = 1000, seed: int = 1) -> DataFrame:
-    """a, b, lo, hi: Cliff's delta of resampled values, the 2.5 % and 97.5 % order statistics; the generator is seeded by the pair.
+def drawn(n, *key):
+    """A number from 1 to n, by chance from the key alone: of the first 32 bits of its MD5. Any engine draws the same."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws("|", *[k.cast("string") for k in key]).cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.pmod(bits, n) + 1
 
-    Equal scores are counted first: a pair's group has a row for each distinct mean of verdicts, and drawing n values is drawing their counts.
-    """
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        values = np.unique(rows["score"])
-        n = np.zeros((2, len(values)))
-        for i, name in enumerate(key):
-            own = rows[rows["condition"] == name]
-            n[i, np.searchsorted(values, own["score"])] = own["n"]
-        total = n.sum(axis=1).astype(np.int64)
-        rng = np.random.default_rng([seed, *map(ord, "|".join(key))])
-        out = np.empty(times)
-        for i in range(times):
-            x, y = rng.multinomial(total[0], n[0] / total[0]), rng.multinomial(total[1], n[1] / total[1])
-            upto = np.cumsum(y)
-            out[i] = (x * (upto - y - (total[1] - upto))).sum() / (total[0] * total[1])
-        out.sort()
-        cut = lambda v: np.floor(v * 100 + 0.5) / 100
-        return pd.DataFrame([(*key, cut(out[int(times * 0.025)]), cut(out[int(times * 0.975)]))])
-
-    counted = scores.groupBy("condition", "score").agg(F.count(F.lit(1)).alias("n"))
-    rows = _pairs(scores).join(counted, F.col("condition").isin(F.col("a"), F.col("b")))
-    return rows.groupBy("a", "b").applyInPandas(one, "a string, b string, lo double, hi double")
+def bootstrap(scores: DataFrame, times: int = 1000, alpha: float = 0.05) -> DataFrame:
+    """a, b, lo, hi: Cliff's delta of resampled scores, its order statistics at alpha / 2 and 1 - alpha / 2, to two decimals.
+
+    A draw is a row: its score is the one at a place drawn() from the pair, the resample, the side
+    and the draw, so that no task holds a pair, and rows that are lost are drawn alike again.
+    """
+    order = ["ord", *result_keys(scores)]
+    placed = kept(row_numbers(scores.select("condition", "score", *order), ["condition"], order).select("condition", "place", "score"))
+    sizes = placed.groupBy("condition").agg(F.count(F.lit(1)).alias("n"))
+    pairs = _pairs(scores).join(sizes.select(F.col("condition").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("condition").alias("b"), F.col("n").alias("n_b")), "b")
+    sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("condition"), F.col("n_a").alias("n")), F.struct(F.lit("b").alias("side"), F.col("b").alias("condition"), F.col("n_b").alias("n")))).alias("s")).select("a", "b", "s.*")
+    # Few rows before their draws are made: a fixed number of partitions, or they would be dealt to one.
+    tasks = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sides.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).repartition(tasks, "a", "b", "i")
+    rows = rows.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    rows = rows.withColumn("place", drawn(F.col("n"), F.col("a"), F.col("b"), F.col("i"), F.col("side"), F.col("draw"))).join(placed, ["condition", "place"])
+    one = lambda side: F.count_if(F.col("side") == side)
+    found = _deltas(rows.groupBy("a", "b", "i", "score").agg(one("a").alias("na"), one("b").alias("nb")), "a", "b", "i")
+    ranked = found.withColumn("_k", F.row_number().over(Window.partitionBy("a", "b").orderBy("delta", "i")) - 1)
+    at = lambda share: round2(F.max(F.when(F.col("_k") == int(share * times), F.col("delta"))))
+    return ranked.groupBy("a", "b").agg(at(alpha / 2).alias("lo"), at(1 - alpha / 2).alias("hi"))
+
+
+def sampled(trials: DataFrame, n: int) -> DataFrame:
+    """So many rows of trials by chance: those whose trial and assertion have the smallest MD5."""
+    return trials.orderBy(F.md5(F.concat_ws("|", F.col("trial").cast("string"), F.col("assertion").cast("string")).cast("binary")), "trial", "assertion").limit(n)
 
 
 def assertion_rates(trials: DataFrame) -> DataFrame:

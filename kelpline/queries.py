@@ -435,7 +435,17 @@ def win_rate(spark, sf_dir):
     return E.win_rates(E.question_scores(_trials(spark, sf_dir)))
 
 
-@query()
+@query(f"""with {TRIALS},
+placed as (select condition, score, row_number() over (partition by condition order by ord, codebase, question) as place, count(*) over (partition by condition) as n from scores),
+sizes as (select distinct condition, n from placed),
+sides as (select a, b, 'a' as side, a as condition, n from pairs join sizes on condition = a union all select a, b, 'b', b, n from pairs join sizes on condition = b),
+draws as (select *, unnest(range(1, n + 1)) as draw from (select *, unnest(range(0, 1000)) as i from sides)),
+picks as (select a, b, i, side, condition, ('0x' || substr(md5(a || '|' || b || '|' || i || '|' || side || '|' || draw), 1, 8))::bigint % n + 1 as place from draws),
+counted as (select a, b, i, score, count(*) filter (side = 'a') as na, count(*) filter (side = 'b') as nb from picks join placed using (condition, place) group by all),
+below as (select *, coalesce(sum(nb) over (partition by a, b, i order by score rows between unbounded preceding and 1 preceding), 0) as lower, sum(nb) over (partition by a, b, i) as total from counted),
+deltas as (select a, b, i, sum(na * (lower - (total - lower - nb)))::double / (sum(na) * max(total))::double as delta from below group by 1, 2, 3),
+ranked as (select *, row_number() over (partition by a, b order by delta, i) - 1 as k from deltas)
+select a, b, floor(max(delta) filter (k = 25) * 100 + 0.5) / 100 as lo, floor(max(delta) filter (k = 975) * 100 + 0.5) / 100 as hi from ranked group by 1, 2""")
 def bootstrap_ci(spark, sf_dir):
     return E.bootstrap(E.question_scores(_trials(spark, sf_dir)))
 
@@ -622,7 +632,7 @@ def layout_roads(spark, sf_dir):
     return R.module_links(pairs, R.grid(M.modules(nodes, edges)))
 
 
-@query()
+@query(f"with {TRIALS} select * exclude s from trials order by md5(trial || '|' || assertion), trial, assertion limit 5")
 def judge_sample(spark, sf_dir):
-    """Five trials by chance, seeded: sampling is what it is for."""
-    return _trials(spark, sf_dir).orderBy(F.xxhash64("trial", F.lit(7)), "trial").limit(5)
+    """Five trials by chance: sampling is what it is for."""
+    return E.sampled(_trials(spark, sf_dir), 5)

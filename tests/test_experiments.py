@@ -1,3 +1,5 @@
+import hashlib
+import math
 import random
 
 import pytest
@@ -28,6 +30,22 @@ def test_deltas_and_wins(spark):
     assert (low.delta, low.magnitude) == (-1.0, "large")
     ci = E.bootstrap(s).first()
     assert -1 <= ci.lo <= above / 20 <= ci.hi <= 1
+    assert (ci.lo, ci.hi) == resampled("z", "a", [0.9, 0.25, 0.6, 0.31, 1.0], [0.4, 0.25, 0.75, 0.3], 1000)
+    assert E.sampled(trials(spark, [("x", 1, 0, "PASS", 0)] * 9), 4).count() == 4
+
+
+def resampled(a, b, x, y, times):
+    """The same draws, one by one."""
+
+    def draw(side, values, i, k):
+        return values[int(hashlib.md5(f"{a}|{b}|{i}|{side}|{k + 1}".encode()).hexdigest()[:8], 16) % len(values)]
+
+    deltas = []
+    for i in range(times):
+        p, q = ([draw(side, v, i, k) for k in range(len(v))] for side, v in (("a", x), ("b", y)))
+        deltas.append(sum((u > v) - (u < v) for u in p for v in q) / (len(p) * len(q)))
+    deltas.sort()
+    return tuple(math.floor(deltas[int(share * times)] * 100 + 0.5) / 100 for share in (0.025, 0.975))
 
 
 def test_resume_summary_and_diagnostics(spark):
