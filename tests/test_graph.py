@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from kelpline.operators import graph as G
@@ -84,10 +85,13 @@ def test_tiers_weights_modules(spark):
     assert [r.node for r in M.often_imported(edges, nodes, 2).orderBy("node").collect()] == [n[0], n[1]]
 
 
-def test_complexity_outlier(spark):
-    rows = [(f"f{i}", 50, 1) for i in range(20)] + [("big", 5000, 1)]
+def test_complexity_against_percentiles(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"f{i}", int(rng.lognormal(4, 1.3)), int(rng.integers(0, 12))) for i in range(137)]
     got = {r.id: r.complexity for r in M.complexity(spark.createDataFrame(rows, "id string, lines int, n_imports long")).collect()}
-    assert got["big"] >= 0.59 and got["f0"] > 0.3
+    most = [np.percentile([r[k] for r in rows], 95) for k in (1, 2)]
+    for name, lines, imports in rows:
+        assert abs(got[name] - (0.6 * min(lines / most[0], 1) + 0.4 * min(imports / most[1], 1))) <= 0.005 + 1e-9
 
 
 def test_conventions(spark):

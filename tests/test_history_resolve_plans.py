@@ -47,11 +47,20 @@ def commits(spark, sets):
 
 
 def test_cochange(spark):
-    got = {(r.a, r.b): r for r in H.cochange(commits(spark, ["ab"] * 3 + ["ac"] * 2 + ["b", [str(i) for i in range(25)]]), least=1).collect()}
-    assert got[("a", "b")].together == 3 and got[("a", "b")].confidence == 1.0 and got[("a", "b")].total_a == 5 and len(got) == 2
-    links = spark.createDataFrame([("b", "a")], "src string, dst string")
-    pairs = H.cochange(commits(spark, ["ab"] * 5 + ["ac"] * 4), links)
-    assert [(r.a, r.b, r.linked) for r in H.top_pairs(pairs).collect()] == [("a", "c", False), ("a", "b", True)]
+    """Random commits of 1 to 30 files against counting every pair."""
+    rng = random.Random(12)
+    made = [[f"f{k}" for k in rng.sample(range(40), rng.choice([1, 2, 3, 6, 20, 21, 30]))] for _ in range(150)]
+    few = [set(c) for c in made if 2 <= len(c) <= 20]
+    names = sorted({f for c in few for f in c})
+    count = lambda *files: sum(set(files) <= c for c in few)
+    want = {(x, y): (n, count(x), count(y)) for i, x in enumerate(names) for y in names[i + 1 :] if (n := count(x, y)) >= 4}
+    links = spark.createDataFrame([("f9", "f8"), ("f1", "f7")], "src string, dst string")
+    pairs = H.cochange(commits(spark, made), links, least=4).collect()
+    assert {(r.a, r.b): (r.together, r.total_a, r.total_b) for r in pairs} == want and len(want) > 100
+    assert all(r.linked == ({r.a, r.b} in ({"f9", "f8"}, {"f1", "f7"})) and r.confidence == r.together / min(r.total_a, r.total_b) for r in pairs)
+    # What no import explains comes first.
+    tight = H.cochange(commits(spark, [["p", "q"]] * 7 + [["q", "r"]] * 6), spark.createDataFrame([("q", "p")], "src string, dst string"))
+    assert [(r.a, r.b, r.linked) for r in H.top_pairs(tight).collect()] == [("q", "r", False), ("p", "q", True)]
 
 
 def test_churn_window(spark):
@@ -157,10 +166,10 @@ def test_resolution(spark):
 
 
 def test_suffix(spark):
-    ids = spark.createDataFrame([("src/order.ts",), ("src/a/constants.ts",), ("src/b/constants.ts",)], "id string")
-    asked = spark.createDataFrame([("order.ts",), ("\\src\\order.ts",), ("constants.ts",), ("none.ts",)], "input string")
+    ids = spark.createDataFrame([("kiln/oven.ts",), ("kiln/left/dial.ts",), ("kiln/right/dial.ts",)], "id string")
+    asked = spark.createDataFrame([("oven.ts",), ("\\kiln\\oven.ts",), ("dial.ts",), ("left/dial.ts",), ("ven.ts",)], "input string")
     got = {r.input: (r.id, r.status) for r in R.by_suffix(asked, ids).collect()}
-    assert got == {"order.ts": ("src/order.ts", "suffix"), "\\src\\order.ts": ("src/order.ts", "exact"), "constants.ts": (None, "ambiguous"), "none.ts": (None, "unknown")}
+    assert got == {"oven.ts": ("kiln/oven.ts", "suffix"), "\\kiln\\oven.ts": ("kiln/oven.ts", "exact"), "dial.ts": (None, "ambiguous"), "left/dial.ts": ("kiln/left/dial.ts", "suffix"), "ven.ts": (None, "unknown")}
 
 
 def test_plans(spark):
