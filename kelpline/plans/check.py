@@ -41,11 +41,6 @@ def missing_checkpoints(plans: DataFrame, ahead: int = 2) -> DataFrame:
     return rows.where(changes & ~F.col("_next")).select("plan", F.col("step").cast("long").alias("step"), "heading", F.regexp_extract_all("_all", F.lit(r"`([^`]*/[^`]+)`"), F.lit(1)).alias("files"))
 
 
-def convention_gaps(new_files: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """new_files (path, type) with anchors that their type's conventions call for."""
-    return new_files.join(found.select(F.col("consumer").alias("type"), "anchor", "coverage"), "type")
-
-
 def _new_kind():
     """What a path that isn't there yet will be, as far as its name tells."""
     return F.when(F.col("path").rlike(r"/api/.*route\.(ts|js)\z"), "api-route").when(F.col("path").rlike(r"/page\.(tsx|jsx)\z"), "route")

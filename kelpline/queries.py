@@ -416,7 +416,7 @@ def condition_stats(spark, sf_dir):
 @query(f"""with {TRIALS} select assertion, avg(s) filter (condition = 'click') as click, avg(s) filter (condition = 'error') as error, avg(s) filter (condition = 'purchase') as purchase,
 avg(s) filter (condition = 'signup') as signup, avg(s) filter (condition = 'view') as view from trials group by 1""")
 def task_pivot(spark, sf_dir):
-    return _trials(spark, sf_dir).groupBy("assertion").pivot("condition", ["click", "error", "purchase", "signup", "view"]).agg(F.avg(E.score()))
+    return E.by_task(_trials(spark, sf_dir), ["click", "error", "purchase", "signup", "view"], "assertion")
 
 
 @query(f"""with {TRIALS},

@@ -395,13 +395,14 @@ def plan_findings(spark, sf_dir):
 
 
 @query(f"""with {NODES},
-due as (select distinct string_split(id, '/')[1] as plan, case when ord % 2 = 0 then 'api-route' else 'route' end as consumer from nodes where ord % 7 = 0)
+due as (select distinct string_split(id, '/')[1] || '/' || ord // 10 as plan, case when ord % 2 = 0 then 'api-route' else 'route' end as consumer from nodes)
 select plan, 'shared/x.ts' as path, 'adds ' || consumer || ' but may not import guard (3/4 use it)' as line from due where consumer = 'api-route'""")
 def plan_convention_gaps(spark, sf_dir):
-    """Plans that add routes and pages, under one convention of API routes."""
-    n = star.parts(spark, sf_dir).where("ord % 7 = 0")
+    """Plans that add a route or a page for every part, under one convention of API routes: a plan for each brand's parts of ten in a row."""
+    n = star.parts(spark, sf_dir)
+    plan = F.concat(F.element_at(F.split("id", "/"), 1), F.lit("/"), F.floor(F.col("ord") / 10).cast("string"))
     path = F.concat(F.lit("src/app/"), F.when(F.col("ord") % 2 == 0, F.lit("api/")).otherwise(""), F.lit("n"), F.col("ord").cast("string"), F.when(F.col("ord") % 2 == 0, "/route.ts").otherwise("/page.tsx"))
-    plans = n.groupBy(F.element_at(F.split("id", "/"), 1).alias("plan")).agg(F.array_join(F.collect_list(F.concat(F.lit("- `"), path, F.lit("`"))), "\n").alias("text"))
+    plans = n.groupBy(plan.alias("plan")).agg(F.array_join(F.collect_list(F.concat(F.lit("- `"), path, F.lit("`"))), "\n").alias("text"))
     nodes = spark.createDataFrame([("shared/x.ts", ["guard"])], "id string, exports array<string>")
     found = spark.createDataFrame([("shared/x.ts", "api-route", 3, 4, 0.75)], "anchor string, consumer string, adoption long, total long, coverage double")
     risk = spark.createDataFrame([], "node string, direct long, affected long, max_depth long, amplification double")
