@@ -35,7 +35,7 @@ CHUNK = 4096
 MODULI = (2147483647, 2147483629, 2147483587, 2147483579)
 BASES = (1000003, 754974721, 1234567891, 998244353)
 #: Bytes of a piece, and the share of all rows (and number) above which a group is dealt to several tasks; there are 1 / HOT of these groups at most.
-PIECE, HOT, PER_TASK = 1 << 20, 2.0**-14, 2048
+PIECE, HOT, PER_TASK = 1 << 20, 2.0**-14, 256
 KEY = ("f1", "f2", "n_bytes", "split")
 #: 8 MiB.
 FILTER_BITS = 1 << 26
