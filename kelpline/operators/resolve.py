@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import settled
+from ..common import row_numbers, settled
 from ..functions.columns import folder, joined_path
 from ..functions.render import complexity_colour, type_colour
 
@@ -79,36 +81,68 @@ NODE_RADIUS = (4, 18)
 GOLDEN, MARGIN, TITLE_SHIFT = 1.618, 25, 10
 CELL, LEAST_WIDTH, LEAST_HEIGHT, TITLE_HEIGHT = 30, 120, 80, 20
 TOP, ROW_GAP, COLUMN_GAP, WRAP_AT = 60.0, 20, 15, 1200
+CANVAS = (800, 600)
 
 
 def spiral(nodes: DataFrame, boxes: DataFrame) -> DataFrame:
     """nodes (id, type, module, entry, complexity, ord) with x, y, radius and colour in their module's box (module, x, y, width, height): a spiral, entries first, then by complexity."""
-    w = Window.partitionBy("module")
-    rows = nodes.withColumns({"_i": F.row_number().over(w.orderBy(F.desc("entry"), F.desc("complexity"), "ord")) - 1, "_n": F.count(F.lit(1)).over(w)})
+    keyed = nodes.withColumns({"_e": F.when(F.col("entry"), 0).otherwise(1), "_c": -F.col("complexity")})
+    rows = row_numbers(keyed, ["module"], ["_e", "_c", "ord"], "_i").withColumn("_i", F.col("_i") - 1)
+    rows = rows.join(nodes.groupBy("module").agg(F.count(F.lit(1)).alias("_n")), "module")
     rows = rows.join(boxes.select("module", F.col("x").alias("_x"), F.col("y").alias("_y"), "width", "height"), "module")
     angle = F.col("_i") * (2 * F.pi() / F.col("_n")) * GOLDEN
     r = F.when(F.col("_n") == 1, 0.0).otherwise((F.least("width", "height") / 2 - MARGIN) * F.sqrt(F.col("_i") + 1) / F.sqrt("_n"))
     return rows.select("id", "module", (F.col("_x") + F.col("width") / 2 + r * F.cos(angle)).alias("x"), (F.col("_y") + F.col("height") / 2 + TITLE_SHIFT + r * F.sin(angle)).alias("y"), (NODE_RADIUS[0] + (NODE_RADIUS[1] - NODE_RADIUS[0]) * F.least("complexity", F.lit(1.0))).alias("radius"), type_colour(F.col("type")).alias("colour"), complexity_colour(F.col("complexity")).alias("heat"))
 
 
+def _row_starts(boxes: DataFrame, columns: int, padding: int, sure: int) -> DataFrame:
+    """start: the numbers of the first boxes of rows, of boxes (i, width) that are few.
+
+    Each box's next row start, were it one itself, is found in prefix sums of widths; rows
+    follow by pointer doubling, in as many rounds as the number of rows has bits.
+    """
+    ends = boxes.select("i", "width", F.sum(F.col("width") + COLUMN_GAP).over(Window.orderBy("i")).alias("_end"))
+    from_ = ends.select(F.col("i").alias("start"), (F.col("_end") - F.col("width") - COLUMN_GAP).alias("_begin"), F.explode(F.sequence(F.col("i") + columns, F.col("i") + max(columns, sure))).alias("i"))
+    beyond = from_.join(ends, "i").where(padding + F.col("_end") - COLUMN_GAP - F.col("_begin") > WRAP_AT)
+    jump = settled(beyond.groupBy("start").agg(F.min("i").alias("_next")))
+    starts = boxes.where("i = 1").select(F.col("i").alias("start"))
+    # A row has so many boxes or more, and there are at most so many rows.
+    for _ in range(columns.bit_length()):
+        starts = settled(starts.union(starts.join(jump, "start").select("_next")))
+        jump = settled(jump.join(jump.select(F.col("start").alias("_next"), F.col("_next").alias("_after")), "_next").select("start", F.col("_after").alias("_next")))
+    return starts
+
+
 def grid(modules: DataFrame, padding: int = 40, inner: int = 20) -> DataFrame:
     """modules (module, files, lines) with x, y, width, height: rows of boxes, the longest first.
 
-    The running place is a fold over one sorted array: a project's modules, and not its files.
+    A row ends before the first box that has as many before it in the row as the root of their
+    number, and that would reach beyond WRAP_AT. No box is narrower than LEAST_WIDTH, so from
+    eight a row on (50 boxes) that many boxes always reach beyond it: all rows are equally long,
+    and a row is what a task places. Fewer boxes get their rows by pointer doubling.
     """
     rows = F.ceil(F.sqrt("files"))
     sized = modules.where("files > 0").select("module", (-F.col("lines")).alias("_o"), F.greatest(rows * CELL + inner * 2, F.lit(LEAST_WIDTH)).cast("double").alias("width"), F.greatest(F.ceil(F.col("files") / rows) * CELL + inner * 2 + TITLE_HEIGHT, F.lit(LEAST_HEIGHT)).cast("double").alias("height"))
-    whole = sized.agg(F.array_sort(F.collect_list(F.struct("_o", "module", "width", "height"))).alias("m"))
-    box = "struct<module: string, x: double, y: double, width: double, height: double>"
-    start = F.struct(F.lit(float(padding)).alias("x"), F.lit(TOP).alias("y"), F.lit(0.0).alias("row"), F.lit(0).alias("col"), F.array().cast(f"array<{box}>").alias("out"))
-
-    def place(a, m):
-        wrap = (a["col"] >= F.ceil(F.sqrt(F.size("m")))) & (a["x"] + m["width"] > WRAP_AT)
-        x, y = F.when(wrap, float(padding)).otherwise(a["x"]), F.when(wrap, a["y"] + a["row"] + ROW_GAP).otherwise(a["y"])
-        one = F.struct(m["module"].alias("module"), x.alias("x"), y.alias("y"), m["width"].alias("width"), m["height"].alias("height")).cast(box)
-        return F.struct((x + m["width"] + COLUMN_GAP).alias("x"), y.alias("y"), F.greatest(F.when(wrap, 0.0).otherwise(a["row"]), m["height"]).alias("row"), (F.when(wrap, 0).otherwise(a["col"]) + 1).alias("col"), F.array_append(a["out"], one).alias("out"))
-
-    return whole.select(F.explode(F.aggregate("m", start, place, lambda a: a["out"])).alias("b")).select("b.*")
+    placed = settled(row_numbers(sized, [], ["_o", "module"], "i"))
+    n = placed.count()
+    columns = math.isqrt(n - 1) + 1 if n else 1
+    sure = (WRAP_AT - padding - LEAST_WIDTH) // (LEAST_WIDTH + COLUMN_GAP) + 1
+    if columns >= sure:
+        placed = placed.withColumn("_row", F.col("i") - F.pmod(F.col("i") - 1, F.lit(columns)))
+    else:
+        starts = _row_starts(placed, columns, padding, sure)
+        placed = placed.join(starts.withColumn("i", F.col("start")), "i", "left").withColumn("_row", F.max("start").over(Window.orderBy("i"))).drop("start")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    down = placed.groupBy("_row").agg(F.max("height").alias("_h"))
+    down = down.select("_row", (TOP + F.coalesce(F.sum(F.col("_h") + ROW_GAP).over(before(Window.orderBy("_row"))), F.lit(0.0))).alias("y"))
+    across = padding + F.coalesce(F.sum(F.col("width") + COLUMN_GAP).over(before(Window.partitionBy("_row").orderBy("i"))), F.lit(0.0))
+    return placed.withColumn("x", across).join(down, "_row").select("module", "x", "y", "width", "height")
+
+
+def canvas(boxes: DataFrame, padding: int = 60) -> DataFrame:
+    """One row: width, height of what shows all boxes, CANVAS at least."""
+    side = lambda at, size, least: F.greatest(F.coalesce(F.max(F.col(at) + F.col(size)) + padding, F.lit(0.0)), F.lit(float(least)))
+    return boxes.agg(side("x", "width", CANVAS[0]).alias("width"), side("y", "height", CANVAS[1]).alias("height"))
 
 
 def drawn_links(edges: DataFrame, placed: DataFrame, least: float = 20.0) -> DataFrame:
