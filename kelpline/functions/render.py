@@ -30,6 +30,11 @@ def fixed(x: Column, digits: int) -> Column:
     return F.concat(F.floor(n / scale).cast("long").cast("string"), F.lit("."), F.lpad(F.pmod(n, F.lit(10**digits)).cast("string"), digits, "0"))
 
 
+def plain_number(x: Column) -> Column:
+    """A number as short as it can be: whole ones without a point."""
+    return F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(x.cast("string"))
+
+
 def grouped(n: Column) -> Column:
     """With commas between thousands."""
     return F.format_number(n, 0)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..common import kept, row_numbers
 from ..functions.columns import round2
-from ..functions.render import fixed
+from ..functions.render import fixed, plain_number
 
 
 def score():
@@ -185,21 +185,31 @@ def redundant(found: DataFrame, above: float = 0.9) -> DataFrame:
     return pairs.select(*keys, F.explode(greedy).alias("f")).select(*keys, "f.assertion", "f.like", "f.rho")
 
 
-def diagnostics(trials: DataFrame) -> DataFrame:
-    """keys, kind, assertion (text), detail: all that is wrong with results' assertions, with what a report says of it; kinds: non-discriminating, flaky, redundant, negative-signal (where the assertion names two conditions)."""
+def diagnostics(trials: DataFrame, ordered: bool = False) -> DataFrame:
+    """keys, kind, assertion (text), detail: all that is wrong with results' assertions, with what a report says of it; kinds: non-discriminating, flaky, redundant, negative-signal (where the assertion names two conditions).
+
+    ordered: with first, second, by which a report orders a kind in a result: places of assertions, or how much scores are below 1.
+    """
     rates, keys = assertion_rates(trials), result_keys(trials)
     text = lambda c: F.col(c).cast("string")
     mean = F.when(F.col("passed") > 0.95, "PASS").when(F.col("passed") < 0.05, "FAIL").otherwise(F.concat(fixed(F.col("passed") * 100, 0), F.lit("%")))
     signed = F.concat(F.when(F.col("rho") < 0, "-").otherwise(""), fixed(F.abs("rho"), 2))
-    shown = lambda x: F.when(x == F.floor(x), x.cast("int").cast("string")).otherwise(x.cast("string"))
     flak = flaky(rates).join(rates.select(*keys, "assertion", "condition", "verdicts"), [*keys, "assertion", "condition"])
+    same, twice, worse = non_discriminating(rates), redundant(correlations(rates)), negative(trials)
+    order = []
+    if ordered:
+        order, none = ["first", "second"], F.lit(0.0)
+        places = sequences(rates).select(*keys, "assertion", F.col("place").cast("double").alias("first"))
+        same, flak = (df.join(places, [*keys, "assertion"]).withColumn("second", none) for df in (same, flak))
+        twice = twice.join(places.withColumnRenamed("first", "second"), [*keys, "assertion"]).join(places.withColumnRenamed("assertion", "like"), [*keys, "like"])
+        worse = worse.withColumns({"first": 1 - F.col("better_score"), "second": 1 - F.col("worse_score")})
     found = {
-        "non-discriminating": non_discriminating(rates).select(*keys, text("assertion").alias("assertion"), F.concat(mean, F.lit(" across all conditions (max diff "), fixed(F.col("spread") * 100, 1), F.lit("%)")).alias("detail")),
-        "flaky": flak.select(*keys, text("assertion").alias("assertion"), F.concat(F.lit("CV="), fixed(F.col("cv"), 2), F.lit(" in condition "), "condition", F.lit(" (trials: "), F.array_join(F.transform("verdicts", shown), ", "), F.lit(")")).alias("detail")),
-        "redundant": redundant(correlations(rates)).select(*keys, text("assertion").alias("assertion"), F.concat(F.lit("Spearman rho="), signed, F.lit(' with "'), text("like"), F.lit('"')).alias("detail")),
-        "negative-signal": negative(trials).select(*keys, F.concat("worse", F.lit(" vs "), "better").alias("assertion"), F.concat(F.lit('"'), "worse", F.lit('" ('), fixed(F.col("worse_score"), 2), F.lit(') scores lower than "'), "better", F.lit('" ('), fixed(F.col("better_score"), 2), F.lit(")")).alias("detail")),
+        "non-discriminating": same.select(*keys, *order, text("assertion").alias("assertion"), F.concat(mean, F.lit(" across all conditions (max diff "), fixed(F.col("spread") * 100, 1), F.lit("%)")).alias("detail")),
+        "flaky": flak.select(*keys, *order, text("assertion").alias("assertion"), F.concat(F.lit("CV="), fixed(F.col("cv"), 2), F.lit(" in condition "), "condition", F.lit(" (trials: "), F.array_join(F.transform("verdicts", plain_number), ", "), F.lit(")")).alias("detail")),
+        "redundant": twice.select(*keys, *order, text("assertion").alias("assertion"), F.concat(F.lit("Spearman rho="), signed, F.lit(' with "'), text("like"), F.lit('"')).alias("detail")),
+        "negative-signal": worse.select(*keys, *order, F.concat("worse", F.lit(" vs "), "better").alias("assertion"), F.concat(F.lit('"'), "worse", F.lit('" ('), fixed(F.col("worse_score"), 2), F.lit(') scores lower than "'), "better", F.lit('" ('), fixed(F.col("better_score"), 2), F.lit(")")).alias("detail")),
     }
-    parts = [df.select(*keys, F.lit(k).alias("kind"), "assertion", "detail") for k, df in found.items()]
+    parts = [df.select(*keys, F.lit(k).alias("kind"), "assertion", "detail", *order) for k, df in found.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -207,7 +217,9 @@ def diagnostics(trials: DataFrame) -> DataFrame:
 
 
 def tool_usage(trials: DataFrame) -> DataFrame:
-    return trials.where("tools is not null").groupBy("condition").agg(F.avg("tools").alias("mean_tools"), F.avg((F.col("tools") == 0).cast("double")).alias("none"), F.count(F.lit(1)).alias("trials"))
+    """Per condition: tools a trial uses in the mean, the share of trials without one, and their number."""
+    each = trials.where("tools is not null").groupBy("condition", *result_keys(trials), "trial").agg(F.max("tools").alias("tools"))
+    return each.groupBy("condition").agg(F.avg("tools").alias("mean_tools"), F.avg((F.col("tools") == 0).cast("double")).alias("none"), F.count(F.lit(1)).alias("trials"))
 
 
 def early_stop(trials: DataFrame, least: int = 3) -> DataFrame:

@@ -41,7 +41,7 @@ DOMAIN_ORDER = ("payment", "auth", "data")
 
 def lines(rows: DataFrame, line: Column, k1=None, k2=None, k3=None, sub: int = 0) -> DataFrame:
     """A line for each row; null lines are left out."""
-    key = lambda k: (F.lit(0.0) if k is None else k.cast("double"))
+    key = lambda k: (k if isinstance(k, Column) else F.lit(k or 0.0)).cast("double")
     third = F.lit("") if k3 is None else k3.cast("string")
     return rows.select(key(k1).alias("k1"), key(k2).alias("k2"), third.alias("k3"), F.lit(sub).alias("sub"), line.alias("line")).where("line is not null")
 
