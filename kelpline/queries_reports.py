@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from . import queries_more  # noqa: F401  its SQL is used here
-from .common import row_numbers
+from .common import row_numbers, shared_dir, table
 from .plans import experiment_report as R
 from .plans.report import KEYS
-from .queries import _HALVES, _NEGATIVE, _REDUNDANT, _TELLS_NOTHING, SQL, TRIALS, _trials, query
+from .queries import _HALVES, _NEGATIVE, _REDUNDANT, SQL, TRIALS, _trials, query
+from .sources import star
+from .streaming import results
 
 
 def _placed(report):
@@ -189,3 +193,22 @@ def judge_report(spark, sf_dir):
     t = _trials(spark, sf_dir)
     first = t.groupBy("question", "assertion").agg(F.min("trial").alias("ord"))
     return _placed(R.judge_report(t.select("question", "assertion", F.col("trial").alias("repetition"), "verdict").join(first, ["question", "assertion"])))
+
+
+@query(f"""with {TRIALS},
+per as (select question, codebase, condition, count(*) as n, count(distinct verdict) as kinds from trials group by 1, 2, 3),
+wanted as (select question, codebase, condition from (select distinct question from trials) q, (select distinct codebase from trials) c, (select distinct condition from trials) k)
+select question, codebase, condition, coalesce(n, 0) + 1 as first from wanted left join per using (question, codebase, condition) where coalesce(n, 0) < 8 and not (coalesce(n, 0) >= 3 and kinds = 1)""")
+def resume_after_replay(spark, sf_dir):
+    """What is left of eight trials each, after a stream of results whose batches were all run twice; some are unanimous before that."""
+    folder = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events")
+    stream = star.trials_of(spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]"))  # a glob, as streams take no single file
+    results.record(stream, f"{folder}/a", f"{folder}/offsets-a")
+    results.record(stream, f"{folder}/a", f"{folder}/offsets-b")
+    got = results.recorded(spark, f"{folder}/a", stream.schema)
+    done = results.finished(got, 8)
+    # Whatever was asked of one is asked of all; dimensions are lists of a configuration.
+    each = got.agg(*[F.collect_set(c).alias(c) for c in ("codebase", "condition")])
+    wanted = got.select("question").distinct().crossJoin(F.broadcast(each)).select("question", F.explode("codebase").alias("codebase"), "condition").select("question", "codebase", F.explode("condition").alias("condition"))
+    return results.left_over(wanted, done, 8)

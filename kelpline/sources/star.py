@@ -60,7 +60,11 @@ def commits(spark: SparkSession, sf_dir: str, file: str = "l_partkey") -> DataFr
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """condition, condition_name, codebase, question, assertion, trial, verdict, latency, tools, tokens_in, tokens_out, ts: the rows of events."""
-    e = table(spark, sf_dir, "events")
+    return trials_of(table(spark, sf_dir, "events"))
+
+
+def trials_of(e: DataFrame) -> DataFrame:
+    """trials() of rows of events, a table or a stream."""
     k = F.get_json_object("props", "$.k").cast("long")
     verdict = F.when(F.col("value") < 30, "PASS").when(F.col("value") < 60, "PARTIAL").otherwise("FAIL")
     name = F.when(F.col("event_type") == "view", "Full view").otherwise(F.col("event_type"))
