@@ -20,9 +20,12 @@ def partners(pairs: DataFrame) -> DataFrame:
 
 
 def tests_by_file(found: DataFrame) -> DataFrame:
-    """graph.test_map() as a row for each file: node, direct_tests, transitive_tests (structs test, via), n_tests."""
+    """graph.test_map() as a row for each file: node, direct_tests, transitive_tests (structs test, via), n_tests; direct ones by code units, the others in Unicode's order of words."""
     direct = F.col("kind") == "direct"
-    per = found.groupBy(F.col("root").alias("node")).agg(F.array_sort(F.collect_list(F.when(direct, F.col("test")))).alias("direct_tests"), F.array_sort(F.collect_list(F.when(~direct, F.struct("test", "via")))).alias("transitive_tests"))
+    # As a dictionary has them: collated keys, and then the names themselves.
+    keyed = F.struct(F.collate("test", "UNICODE").alias("k"), "test", "via")
+    per = found.groupBy(F.col("root").alias("node")).agg(F.array_sort(F.collect_list(F.when(direct, F.col("test")))).alias("direct_tests"), F.array_sort(F.collect_list(F.when(~direct, keyed))).alias("_t"))
+    per = per.withColumn("transitive_tests", F.transform("_t", lambda t: F.struct(t["test"].alias("test"), t["via"].alias("via")))).drop("_t")
     return per.withColumn("n_tests", (F.size("direct_tests") + F.size("transitive_tests")).cast("long"))
 
 

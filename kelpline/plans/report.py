@@ -10,7 +10,7 @@ as a section needs them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import flow_module_id, last_two, module_id, node_domain, short_path
@@ -332,8 +332,10 @@ def plain_text(name: str, framework: str, nodes: DataFrame, modules: DataFrame,
     parts = nodes.where("type = 'component'")
     name_of = F.regexp_extract("id", r"([^/]*)\z", 1)
     if bare:  # by name, as a dictionary has it
-        best = parts.withColumn("_name", name_of).withColumn("_key", F.collate("_name", "UNICODE")).orderBy("_key", "ord").limit(20)
-        shown = [lines(best, F.concat(F.lit("- "), F.col("_name"), F.lit(" ("), s("lines"), F.lit(" lines)")), k3=F.concat(F.lower("_name"), F.lit("\t"), F.col("_name")))]
+        key = F.collate("_name", "UNICODE")
+        best = parts.withColumn("_name", name_of).orderBy(key, "ord").limit(20)
+        best = best.withColumn("_place", F.row_number().over(Window.orderBy(F.collate("_name", "UNICODE"), "ord")))  # of twenty rows
+        shown = [lines(best, F.concat(F.lit("- "), F.col("_name"), F.lit(" ("), s("lines"), F.lit(" lines)")), F.col("_place"))]
     else:
         best = parts.orderBy(F.desc("complexity"), "ord").limit(20)
         shown = [lines(best, F.concat(F.lit("- "), name_of, F.lit(" ("), s("lines"), F.lit(" lines, complexity: "), fixed(F.col("complexity"), 2), F.lit(")")), -F.col("complexity"), F.col("ord"))]

@@ -551,3 +551,13 @@ def prompts(spark, sf_dir):
     encoding = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("props"))
     before = F.when(F.col("event_id") % 2 == 0, "Be brief.").otherwise("")
     return e.select("event_id", T.prompt(encoding, F.concat(F.lit("Answer "), "event_type"), before).alias("prompt"))
+
+
+@query(f"""with recursive {EDGES}, {_TESTS}
+select root as node, coalesce(string_agg(test, ', ' order by test) filter (depth = 1), '') as direct_tests, coalesce(string_agg(test, ', ' order by test) filter (depth > 1), '') as transitive_tests, count(*) as n_tests from tests group by 1""")
+def test_lists(spark, sf_dir):
+    """Files' tests in one line each. The tables' names have small letters alone, where the order of words is that of code units, as DuckDB has it."""
+    nodes, edges = _graph(spark, sf_dir)
+    rows = V.tests_by_file(G.test_map(edges, nodes, edges.select(F.col("dst").alias("id")).distinct()))
+    named = F.transform("transitive_tests", lambda t: t["test"])
+    return rows.select("node", F.array_join("direct_tests", ", ").alias("direct_tests"), F.array_join(named, ", ").alias("transitive_tests"), "n_tests")
