@@ -66,6 +66,12 @@ def section(number: int, title: str | None, parts: list[DataFrame], intro: str |
     return out.select(F.lit(number).alias("section"), "k1", "k2", "k3", "sub", "line")
 
 
+def after_blank(whole: DataFrame) -> DataFrame:
+    """A titled section with a blank line before its title."""
+    blank = whole.where("k1 = double('-infinity') and sub = 0").select("section", "k1", "k2", "k3", F.lit(-1).alias("sub"), F.lit("").alias("line"))
+    return whole.unionByName(blank)
+
+
 def combined(sections: list[DataFrame]) -> DataFrame:
     out = sections[0]
     for s in sections[1:]:
@@ -314,10 +320,7 @@ def plain_text(name: str, framework: str, nodes: DataFrame, modules: DataFrame,
     out.append(section(1, "## Modules", [lines(modules, line, -F.col("lines"), k3=F.col("module"))], always=True, end=False))
 
     def titled(number: int, title: str, parts: list[DataFrame], counted: DataFrame | None = None, always: bool = False) -> None:
-        """A blank line comes before each of these."""
-        whole = section(number, title, parts, counted=counted, always=always, end=False)
-        blank = whole.where("k1 = double('-infinity')").select("section", "k1", "k2", "k3", F.lit(-1).alias("sub"), F.lit("").alias("line"))
-        out.append(whole.unionByName(blank))
+        out.append(after_blank(section(number, title, parts, counted=counted, always=always, end=False)))
 
     if risk is not None and not bare:
         listed = risk.where("affected > 1").join(nodes.select(F.col("id").alias("node"), "ord"), "node")

@@ -9,7 +9,10 @@ from .functions.render import COMPLEXITY_COLOURS
 from .operators import drawing as D
 from .operators import modules as M
 from .operators import resolve as R
-from .queries import _BOXES, _FLOW, _SPIRAL, MOD, _complex, _graph, _placed, query
+from .plans import drawing as W
+from .queries import _BOXES, _CAT, _FLOW, _SPIRAL, MOD, _complex, _graph, _placed, query
+from .queries_reports import _NUMBERED, _report, _said, _texts, _up
+from .queries_reports import _placed as _numbered
 
 _HEX = "('0x' || substr({0}, {1}, 2))::int"
 _BLEND = " || ',' || ".join(f"floor({_HEX.format('p', i)} + ({_HEX.format('q', i)} - {_HEX.format('p', i)}) * (spot - step) + 0.5)::bigint" for i in (2, 4, 6))
@@ -53,3 +56,57 @@ def infrastructure_paths(spark, sf_dir):
     rows = D.road_paths(D.roads(D.flow_links(edges, placed, D.LEAST_LENGTH - 5e-7), boxes))
     six = lambda c: F.round(c, 6).alias(c)
     return rows.select("a", "b", "n", "flow", "x1", "y1", "x2", "y2", six("bx"), six("by"), "thickness", six("opacity"), F.regexp_extract("label", r">\d+</text>", 0).alias("label"))
+
+
+def _at(x, y):
+    return f"'@(' || floor({x} + 0.5)::bigint || ',' || floor({y} + 0.5)::bigint || ')'"
+
+
+_LAST = "split_part({0}, '/', -1)"
+_SIZE = f"' ' || lines || 'L complexity:' || {_up('complexity')}"
+_SPATIAL = [
+    _texts(0, "# star — Spatial Encoding", k1="0"),
+    _said("total", 0, "'# Canvas: ' || w::bigint || '×' || h::bigint || ' | ' || n || ' files | ' || format('{:,}', l) || ' lines | ' || m || ' modules'", "0", sub="1"),
+    _said("total", 0, "'# Positions encode spatial layout — nearby coordinates = related code'", "0", sub="2"),
+    _said("total", 0, "''", "0", sub="3"),
+    _texts(1, "## Modules"),
+    _said("mods", 1, f"'- ' || {_LAST.format('module')} || ' (' || module || ') ' || {_at('x', 'y')} || ' ' || width::bigint || '×' || height::bigint || ': ' || files || ' files, ' || format('{{:,}}', lines) || ' lines [complexity: ' || {_up('complexity')} || ']' || case when entries > 0 then ' [' || entries || ' entry points]' else '' end", "-lines", k3="module"),
+]
+for _n, _title, _type, _line in (
+    (2, "API Routes", "api-route", f"array_to_string(methods, ', ') || ' ' || route || ' ' || {_at('x', 'y')} || {_SIZE} || case when n_imports > 8 then ' — ' || n_imports || ' imports' else '' end"),
+    (3, "Pages", "route", f"route || case when client then ' [client]' else '' end || ' ' || {_at('x', 'y')} || {_SIZE}"),
+    (4, "Components", "component", f"{_LAST.format('id')} || ' ' || {_at('x', 'y')} || {_SIZE}"),
+):
+    _SPATIAL += [
+        _said(f"(select count(*) as n from f where type = '{_type}')", _n, "''", sub="-1"),
+        _said(f"(select count(*) as n from f where type = '{_type}')", _n, f"'## {_title} (' || n || ')'"),
+        _said(f"(select * from f where type = '{_type}' order by complexity desc, ord{' limit 20' if _n == 4 else ''})", _n, "'- ' || " + _line, "-complexity", "ord"),
+    ]
+_SPATIAL += [
+    _said("(select count(*) - 20 as n from f where type = 'component') where n > 0", 4, "'  ... and ' || n || ' more'", "1e9"),
+    _said("(select 1)", 5, "''", sub="-1"), _texts(5, "## Flows (inter-module edges)"),
+    _said("flow join boxes p on p.module = a join boxes q on q.module = b", 5, f"'- ' || {_LAST.format('a')} || ' ' || {_at('p.x', 'p.y')} || ' ' || case when n >= 10 then '═══' when n >= 5 then '───' else '···' end || '> ' || {_LAST.format('b')} || ' ' || {_at('q.x', 'q.y')} || ': ' || n || ' edges [' || kinds || ']'", "-n", "first"),
+    _said("(select 1)", 6, "''", sub="-1"), _texts(6, "## Complexity Hotspots"),
+    _said("(select * from f where type not in ('test', 'config') order by complexity desc, ord limit 10)", 6, f"'- ' || {_at('x', 'y')} || ' ' || id || ' — ' || lines || 'L, ' || n_imports || ' imports'", "-complexity", "ord"),
+    _said("(select 1)", 7, "''", sub="-1"), _texts(7, "## Most Depended-On"),
+    _said("(select dst, count(*) as n, min(k * 10000000000 + t) as first from edges group by 1 order by n desc, first limit 10) d join f on id = dst", 7, f"'- ' || id || ' ' || {_at('x', 'y')} || ' — imported by ' || n", "-n", "first"),
+    _said("(select 1)", 8, "''", sub="-1"), _texts(8, "## Test Coverage"),
+    _said("cov", 8, f"e || ' test files | ' || t || '/' || n || ' testable files with direct test edges (' || {_up('t * 100.0 / n', 1)} || '%)'", "0"),
+]
+
+
+@query(f"""with recursive {_SPIRAL},
+f as (select cx.*, s.x, s.y from cx join spiral s on s.id = cx.id),
+mods as (
+  select b.*, files, lines, complexity, entries from boxes b join sized using (module) join (
+    select {MOD.format("cx.id")} as module, avg(complexity) as complexity, count(entry.dst) as entries from cx left join entry on entry.dst = cx.id group by 1) using (module)),
+total as (select (select greatest(max(x + width) + 60, 800) from boxes) as w, (select greatest(max(y + height) + 60, 600) from boxes) as h, count(*) as n, sum(lines)::bigint as l, (select count(*) from boxes) as m from nodes),
+kinds as (select {MOD.format("src")} as a, {MOD.format("dst")} as b, {_CAT.format("src || ' ' || dst")} as c, count(*) as n, min(k * 10000000000 + t) as first from edges where {MOD.format("src")} <> {MOD.format("dst")} group by 1, 2, 3),
+flow as (select a, b, sum(n)::bigint as n, min(first) as first, string_agg(c || ':' || n, ' ' order by n desc, first) as kinds from kinds group by 1, 2),
+cov as (select (select count(*) from edges where type = 'tests') as e, (select count(distinct dst) from edges where type = 'tests') as t, count(*) as n from nodes where type not in ('test', 'config'))
+{_NUMBERED.format(_report(_SPATIAL))}""")
+def spatial_text(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    rows, found = kept(_complex(nodes, edges)), kept(M.modules(nodes, edges))
+    boxes = kept(R.grid(found))
+    return _numbered(W.spatial_text("star", rows, edges, found, M.mean_complexity(rows), boxes, kept(_placed(spark, sf_dir)[0]), M.coverage(nodes, edges)))
