@@ -22,6 +22,7 @@ GROUND, OUTLINE, FADED, LINK = "#F8F9FA", "#DEE2E6", "#6C757D", "#264653"
 FLOW_WORDS = {"auth": "Auth flow", "payment": "Payment flow", "data": "Data flow", "rendering": "Rendering flow"}
 TYPE_WORDS = {"api-route": "API Route", "route": "Page/Route", "component": "Component", "schema": "Schema", "utility": "Utility", "test": "Test"}
 STYLES = {
+    "base": ".module-label { font-size: 11px; font-weight: bold; fill: #333; } .node-label { font-size: 7px; fill: #555; } .layer-title { font-size: 14px; font-weight: bold; fill: #111; } .layer-subtitle { font-size: 10px; fill: #666; } .legend-text { font-size: 9px; fill: #444; }",
     "terrain": ".layer-title { font-size: 14px; font-weight: bold; fill: #111; } .layer-subtitle { font-size: 10px; fill: #666; } .module-label { font-size: 11px; font-weight: bold; fill: #333; opacity: 0.8; }",
     "infrastructure": ".layer-title { font-size: 14px; font-weight: bold; fill: #111; } .layer-subtitle { font-size: 10px; fill: #666; } .module-label { font-size: 10px; fill: #999; font-weight: bold; } .api-label { font-size: 8px; fill: #E63946; font-weight: bold; }",
     "labels": ".layer-title { font-size: 14px; font-weight: bold; fill: #111; } .layer-subtitle { font-size: 10px; fill: #666; } .module-header { font-size: 11px; font-weight: bold; fill: #111; } .module-stats { font-size: 8px; fill: #888; } .file-label { font-size: 7px; fill: #333; } .export-label { font-size: 6px; fill: #666; } .type-indicator { font-size: 6px; fill: #999; }",
@@ -89,7 +90,7 @@ def spatial_text(name: str, nodes: DataFrame, edges: DataFrame, modules: DataFra
     return combined(out)
 
 
-def _drawing(name: str, layer: str, title: str, subtitle: Column, boxes: DataFrame, rows: DataFrame, bodies: list[list[DataFrame]], legend: list[str], height: int, defs: str = "") -> DataFrame:
+def _drawing(name: str, layer: str, title: Column | str, subtitle: Column, boxes: DataFrame, rows: DataFrame, bodies: list[list[DataFrame]], legend: list[str], height: int, defs: str = "") -> DataFrame:
     """An SVG document: bodies are drawn one after the other, each sorted by its keys; the legend is at the upper right. rows: one row with what subtitle needs."""
     page = rows.crossJoin(R.canvas(boxes).withColumnsRenamed({"width": "_w", "height": "_h"}))  # a row each
     w, h = plain_number(F.col("_w")), plain_number(F.col("_h"))
@@ -193,3 +194,36 @@ def labels_drawing(name: str, nodes: DataFrame, edges: DataFrame, modules: DataF
     sizes = totals(nodes).crossJoin(modules.agg(F.count(F.lit(1)).alias("_m")))  # a row each
     subtitle = _text(_s("files"), " files · ", grouped(F.col("lines")), " lines · ", F.col("_m").cast("string"), " modules")
     return _drawing(name, "labels", "L3: Labels", subtitle, boxes, sizes, [heads, [lines(files, x, F.col("ord"), sub=i) for i, x in enumerate((dot, main, shown, size))]], legend, 130)
+
+
+def base_drawing(name: str, framework: str, nodes: DataFrame, edges: DataFrame, modules: DataFrame, boxes: DataFrame, placed: DataFrame) -> DataFrame:
+    """Links of 20 or longer (edges with weight), then boxes, then a shape for each file by its type, named where it is large."""
+    of = lambda c, n: placed.select(F.col("id").alias(c), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+    links = edges.join(of("src", 1), "src").join(of("dst", 2), "dst").where(F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2)) >= 20)
+    p = lambda c: plain_number(F.col(c) if isinstance(c, str) else c)
+    test = F.col("type") == "tests"
+    link = _text('<line x1="', p("x1"), '" y1="', p("y1"), '" x2="', p("x2"), '" y2="', p("y2"), '" stroke="', F.when(test, FADED).otherwise(LINK), '" stroke-width="', p(F.when(test, 0.5).otherwise(F.greatest(F.lit(0.5), F.col("weight") * 2))), '" stroke-dasharray="', F.when(test, "3,3").otherwise("none"), '"/>')
+    strokes = [lines(nodes.sparkSession.range(1), F.lit('<g opacity="0.3">'), F.lit(float("-inf"))), lines(links, link, F.col("ord")), lines(nodes.sparkSession.range(1), F.lit("</g>"), F.lit(float("inf")))]
+    frames = [lines(boxes, _box(TYPE_COLOURS["module"], OUTLINE, 'stroke-width="1" opacity="0.7"'), F.col("y"), F.col("x"), F.col("module")), lines(boxes, _module_text(16, "module-label", _module_name()), F.col("y"), F.col("x"), F.col("module"), 1)]
+    files = nodes.join(placed.select("id", "x", "y", "radius"), "id")
+    x, y, r = F.col("x"), F.col("y"), F.col("radius")
+    corners = lambda *c: F.concat_ws(" ", *[F.concat(p(a), F.lit(","), p(b)) for a, b in c])
+    half = r * 0.866
+    style = lambda opacity: _text('fill="', type_colour(F.col("type")), f'" stroke="#fff" stroke-width="1" opacity="{opacity}"/>')
+    shape = (
+        F.when(F.col("type") == "api-route", _text('<polygon points="', corners((x, y - r), (x + r, y), (x, y + r), (x - r, y)), '" ', style(0.85)))
+        .when(F.col("type") == "route", _text('<rect x="', p(x - r), '" y="', p(y - r * 0.7), '" width="', p(r * 2), '" height="', p(r * 1.4), '" rx="3" ', style(0.85)))
+        .when(F.col("type") == "schema", _text('<polygon points="', corners((x - r, y), (x - r / 2, y - half), (x + r / 2, y - half), (x + r, y), (x + r / 2, y + half), (x - r / 2, y + half)), '" ', style(0.85)))
+        .when(F.col("type") == "test", _text('<polygon points="', corners((x, y - r), (x + r, y + r * 0.7), (x - r, y + r * 0.7)), '" ', style(0.6)))
+        .otherwise(_text('<circle cx="', p(x), '" cy="', p(y), '" r="', p(r), '" ', style(0.85)))
+    )
+    short = F.substring(F.regexp_replace(F.regexp_extract("id", NAME, 1), r"\.(ts|tsx|js|jsx)\z", ""), 1, 12)
+    label = F.when(r > 8, _text('<text x="', p(x), '" y="', p(y + r + 10), '" text-anchor="middle" class="node-label">', xml_escaped(short), "</text>"))
+    legend = []
+    for i, (kind, word) in enumerate((k, TYPE_WORDS[k]) for k in ("route", "api-route", "component", "schema", "utility", "test")):
+        at, fill = 14 + 18 * i, f'fill="{TYPE_COLOURS[kind]}"/>'
+        shapes = {"route": f'<rect x="6" y="{at - 5}" width="12" height="10" rx="2" {fill}', "api-route": f'<polygon points="12,{at - 5} 17,{at} 12,{at + 5} 7,{at}" {fill}', "test": f'<polygon points="12,{at - 5} 17,{at + 4} 7,{at + 4}" {fill}'}
+        legend.append(shapes.get(kind, f'<circle cx="12" cy="{at}" r="5" {fill}') + f'<text x="24" y="{at + 4}" class="legend-text">{word}</text>')
+    sizes = totals(nodes).crossJoin(modules.agg(F.count(F.lit(1)).alias("_m")))  # a row each
+    subtitle = _text(_s("files"), " files · ", grouped(F.col("lines")), " lines · ", F.col("_m").cast("string"), " modules")
+    return _drawing(framework, "base", xml_escaped(F.lit(name)), subtitle, boxes, sizes, [strokes, frames, [lines(files, shape, F.col("ord")), lines(files, label, F.col("ord"), sub=1)]], legend, 118)
