@@ -46,12 +46,9 @@ def conditions(trials: DataFrame) -> DataFrame:
     return trials.groupBy("condition").agg(F.min_by(name, "trial").alias("name"), F.min("trial").alias("ord"))
 
 
-def _diagnostic_lines(trials: DataFrame) -> list[DataFrame]:
-    """Kinds as they are first met, results by result; in a kind by result, then as assertions are first seen (negative signals: the better score first)."""
-    keys = E.result_keys(trials)
-    results = trials.groupBy(*keys).agg(F.min("trial").alias("_ord"))
+def _diagnostic_lines(found: DataFrame) -> list[DataFrame]:
+    """Kinds as they are first met, result by result; in a kind by result, then as assertions are first seen (negative signals: the better score first)."""
     rank = lambda of: F.coalesce(*[F.when(F.col("kind") == k, of(i, k)) for i, k in enumerate(KINDS)])
-    found = kept(E.diagnostics(trials, ordered=True).join(results, keys))
     met = found.groupBy("kind").agg(F.min(F.struct("_ord", rank(lambda i, k: F.lit(PHASES[k])).alias("p"), "first", rank(lambda i, k: F.lit(i)).alias("i"))).alias("_met"))
     kinds = kept(met.select("kind", F.row_number().over(Window.orderBy("_met")).cast("double").alias("_kind")))  # a row for each of four kinds
     rows = found.join(kinds, "kind").withColumn("_at", F.concat_ws(" ", F.format_string("%020.9f", "first"), F.format_string("%020.9f", "second"), "assertion"))
@@ -86,9 +83,11 @@ def stats_report(trials: DataFrame, times: int = 1000) -> DataFrame:
     shares = F.concat(F.lit("    "), padded(F.col("name"), 20), F.lit(" PASS "), _percent(F.col("passed")), F.lit(" | PARTIAL "), _percent(F.col("partial")), F.lit(" | FAIL "), _percent(F.col("failed")))
     third = section(3, None, [lines(stats, shares, -F.col("mean"), F.col("ord"))], always=True)
 
-    fourth = section(4, None, [_fixed_lines(trials, DIAGNOSTICS, ""), *_diagnostic_lines(trials)], end=False)
+    keys = E.result_keys(trials)
+    found = kept(E.diagnostics(trials, ordered=True).join(trials.groupBy(*keys).agg(F.min("trial").alias("_ord")), keys))
+    fourth = section(4, None, [_fixed_lines(trials, DIAGNOSTICS, ""), *_diagnostic_lines(found)], end=False)
 
-    cost = E.budget(trials, E.diagnostics(trials), E.summary(trials))
+    cost = E.budget(trials, found, E.summary(trials))
     money = lambda text, c: F.concat(F.lit(text), two(c))
     texts = [F.lit("  BUDGET SUMMARY:"), money("    Wasted on non-discriminating: ~$", "wasted_on_non_discriminating"), money("    Recoverable from redundant:   ~$", "recoverable_from_redundant"), F.concat(F.lit("    Total savings available:       ~"), count("savings_percent"), F.lit("%"))]
     fifth = section(5, None, [lines(cost, x, sub=i) for i, x in enumerate(texts)])
