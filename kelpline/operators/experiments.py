@@ -6,10 +6,13 @@ A result is that of a question on a codebase; diagnostics look at each result ap
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import kept, row_numbers
+from ..functions import draws
 from ..functions.columns import round2
 from ..functions.render import fixed, plain_number
 
@@ -71,30 +74,55 @@ def win_rates(scores: DataFrame, tie: float = 0.01) -> DataFrame:
     return rows.groupBy("a", "b").agg(F.count_if(~even & (gap > 0)).alias("wins"), F.count_if(~even & (gap < 0)).alias("losses"), F.count_if(even).alias("ties"), F.count(F.lit(1)).alias("total"))
 
 
-def drawn(n, *key):
-    """A number from 1 to n, by chance from the key alone: of the first 32 bits of its MD5. Any engine draws the same."""
-    bits = F.conv(F.substring(F.md5(F.concat_ws("|", *[k.cast("string") for k in key]).cast("binary")), 1, 8), 16, 10).cast("long")
-    return F.pmod(bits, n) + 1
-
-
-def bootstrap(scores: DataFrame, times: int = 1000, alpha: float = 0.05) -> DataFrame:
+#: Resamples that one task draws at a time, places of a piece, pieces of a block (all that a task holds of a condition).
+RESAMPLES, PIECE, BLOCK = 100, 1 << 16, 64
+
+
+def _picked(key: tuple[pa.Scalar, ...], pieces: pa.Table, most: int) -> pa.Table:
+    """How often each score of a block of so many places at most is drawn, for each of a cell's resamples."""
+    a, b, side, first, last, n, block = (k.as_py() for k in key)
+    pieces = pieces.sort_by("piece").column("scores").combine_chunks()
+    values, codes = np.unique(pieces.flatten().to_numpy(), return_inverse=True)
+    begin, out = block * most, []
+    for tile in draws.tiles(n):
+        made = draws.Draws(*tile)
+        for i in range(first, last):
+            place = made.heads(f"{a}|{b}|{i}|{side}|".encode()) % np.int64(n) - begin
+            if n > len(codes):
+                place = place[(place >= 0) & (place < len(codes))]
+            times = np.bincount(codes[place], minlength=len(values))
+            some = np.flatnonzero(times)
+            out.append((np.full(len(some), i), values[some], times[some]))
+    i, score, times = (np.concatenate([o[k] for o in out]) for k in range(3))  # n is 1 at least
+    own, none = pa.array(times, pa.int64()), pa.array(np.zeros(len(times), np.int64))
+    text = lambda x: pa.array([x], pa.string()).take(pa.array(np.zeros(len(times), np.int64)))
+    na, nb = (own, none) if side == "a" else (none, own)
+    return pa.table([text(a), text(b), pa.array(i, pa.int32()), pa.array(score), na, nb], names=["a", "b", "i", "score", "na", "nb"])
+
+
+def bootstrap(scores: DataFrame, times: int = 1000, alpha: float = 0.05, piece: int = PIECE, block: int = BLOCK) -> DataFrame:
     """a, b, lo, hi: Cliff's delta of resampled scores, its order statistics at alpha / 2 and 1 - alpha / 2, to two decimals.
 
-    A draw is a row: its score is the one at a place drawn() from the pair, the resample, the side
-    and the draw, so that no task holds a pair, and rows that are lost are drawn alike again.
+    A draw is a number from 1 to n by the first 32 bits of the MD5 of a|b|resample|side|draw, so any
+    engine draws the same, and what is lost is drawn alike again. A cell of RESAMPLES resamples of a
+    side makes its draws and looks their scores up in a block of the condition's scores, block *
+    piece places at most; where a condition has several blocks, each is a cell that makes the draws
+    again. Only counts of scores are shuffled, and no draws.
     """
     order = ["ord", *result_keys(scores)]
     placed = kept(row_numbers(scores.select("condition", "score", *order), ["condition"], order).select("condition", "place", "score"))
     sizes = placed.groupBy("condition").agg(F.count(F.lit(1)).alias("n"))
-    pairs = _pairs(scores).join(sizes.select(F.col("condition").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("condition").alias("b"), F.col("n").alias("n_b")), "b")
-    sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("condition"), F.col("n_a").alias("n")), F.struct(F.lit("b").alias("side"), F.col("b").alias("condition"), F.col("n_b").alias("n")))).alias("s")).select("a", "b", "s.*")
-    # Few rows before their draws are made: a fixed number of partitions, or they would be dealt to one.
+    one = F.array_sort(F.collect_list(F.struct("place", F.col("score").cast("double").alias("score"))))
+    number = F.floor((F.col("place") - 1) / piece).cast("int").alias("piece")
+    pieces = placed.groupBy("condition", number).agg(F.transform(one, lambda x: x["score"]).alias("scores")).withColumn("block", F.floor(F.col("piece") / block).cast("int"))
+    of = lambda side: F.struct(F.lit(side).alias("side"), F.col(side).alias("condition"))
+    sides = _pairs(scores).select("a", "b", F.explode(F.array(of("a"), of("b"))).alias("s")).select("a", "b", "s.*").join(sizes, "condition")
+    cells = sides.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(times - 1), F.lit(RESAMPLES)))).withColumn("last", F.least(F.col("first") + RESAMPLES, F.lit(times)))
+    # Few rows that take long: each cell is dealt by its number, and adaptive execution doesn't merge tasks by their small size.
     tasks = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = sides.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).repartition(tasks, "a", "b", "i")
-    rows = rows.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    rows = rows.withColumn("place", drawn(F.col("n"), F.col("a"), F.col("b"), F.col("i"), F.col("side"), F.col("draw"))).join(placed, ["condition", "place"])
-    one = lambda side: F.count_if(F.col("side") == side)
-    found = _deltas(rows.groupBy("a", "b", "i", "score").agg(one("a").alias("na"), one("b").alias("nb")), "a", "b", "i")
+    rows = cells.join(kept(pieces), "condition").repartition(tasks, "a", "b", "side", "first", "last", "n", "block")
+    counted = rows.groupBy("a", "b", "side", "first", "last", "n", "block").applyInArrow(lambda key, table: _picked(key, table, piece * block), "a string, b string, i int, score double, na long, nb long")
+    found = _deltas(counted, "a", "b", "i")
     ranked = found.withColumn("_k", F.row_number().over(Window.partitionBy("a", "b").orderBy("delta", "i")) - 1)
     at = lambda share: round2(F.max(F.when(F.col("_k") == int(share * times), F.col("delta"))))
     return ranked.groupBy("a", "b").agg(at(alpha / 2).alias("lo"), at(1 - alpha / 2).alias("hi"))

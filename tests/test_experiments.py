@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from kelpline.functions import draws
 from kelpline.operators import experiments as E
 from kelpline.sources import experiment_files as J
 
@@ -34,6 +35,18 @@ def test_deltas_and_wins(spark):
     assert E.sampled(trials(spark, [("x", 1, 0, "PASS", 0)] * 9), 4).count() == 4
 
 
+def test_bootstrap_draws(spark):
+    # Twelve scores have numbers of one and two digits; blocks of four places, by pieces of two; 150 resamples are two cells.
+    x, y = [k % 5 / 4 for k in range(12)], [k % 3 / 2 for k in range(7)]
+    ci = E.bootstrap(scores(spark, z=x, a=y), 150, piece=2, block=2).first()
+    assert (ci.lo, ci.hi) == resampled("z", "a", x, y, 150)
+    for text in (b"a|b|1|a|", b"y" * 53, b"q" * 130):
+        for first, stop in draws.tiles(12_000):
+            heads = draws.Draws(first, stop).heads(text)
+            for n in (first, (first + stop) // 2, stop - 1):
+                assert heads[n - first] == int(hashlib.md5(text + b"%d" % n).hexdigest()[:8], 16)
+
+
 def resampled(a, b, x, y, times):
     """The same draws, one by one."""
 
