@@ -4,7 +4,7 @@ Breadth-first search runs for all roots at once, a level at a time: a join of th
 the edges, less what is seen. Each level is kept in the shared folder. Where only depths are asked
 for, 64 roots go together: a row is a node and a word of 64 roots, its bits tell which of them
 reach the node at this level, and words that meet are merged by or. Where ways are asked for too, a
-row is a root and a node.
+row is a root and a node, by their numbers.
 """
 
 from __future__ import annotations
@@ -66,6 +66,49 @@ def each_root(words: DataFrame) -> DataFrame:
     return words.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(63)))).where(F.expr("shiftright(bits, bit) & 1 = 1")).drop("bits")
 
 
+def _ways(links: DataFrame, roots: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Levels of reach() with parents, the roots' own first, and names (id, n): nodes go by numbers that rise as their ids do.
+
+    What a level finds and what was seen before meet by root, where they are also ranked: a level
+    is a join by node and one exchange by root, of numbers alone.
+    """
+    ids = links.select(F.col("node").alias("id")).union(links.select("next")).union(roots.select("id")).distinct()
+    names = kept(ids.repartitionByRange("id").sortWithinPartitions("id").withColumn("n", F.monotonically_increasing_id()))
+    of = lambda c: names.select(F.col("id").alias(c), F.col("n").alias(f"_{c}"))
+    links = kept(links.join(of("node"), "node").join(of("next"), "next").select(F.col("_node").alias("node"), F.col("_next").alias("next"), "ord"))
+    # Levels are folders of one table: what is seen so far is read at once.
+    spark = links.sparkSession
+    folder = f"{shared_dir(spark)}/reach-{uuid.uuid4().hex}"
+    none = F.lit(None).cast("long")
+    level = roots.join(names, "id").select(F.col("n").alias("root"), F.col("n").alias("node"), F.lit(0).alias("depth"), none.alias("parent"), F.lit(0).cast("long").alias("rank"))
+    levels, paths = [kept(level, f"{folder}/0")], [f"{folder}/0"]
+    schema = levels[0].schema
+    way = F.struct("rank", "ord", F.col("node").alias("parent"))
+    while not levels[-1].isEmpty():
+        found = levels[-1].join(links, "node").select("root", F.col("next").alias("node"), way.alias("way"))
+        seen = spark.read.schema(schema).parquet(*paths).select("root", "node", F.lit(None).cast(found.schema["way"].dataType).alias("way"))
+        both = found.union(seen).repartition("root").groupBy("root", "node").agg(F.min("way").alias("way"), F.count_if(F.col("way").isNull()).alias("_seen")).where("_seen = 0")
+        order = Window.partitionBy("root").orderBy("way.rank", "way.ord", "node")
+        fresh = both.select("root", "node", F.lit(len(paths)).alias("depth"), "way.parent", F.row_number().over(order).cast("long").alias("rank"))
+        paths.append(f"{folder}/{len(paths)}")
+        levels.append(kept(fresh, paths[-1]))
+    return levels, names
+
+
+def _together(levels: list[DataFrame]) -> DataFrame:
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.union(more)
+    return out
+
+
+def _named(rows: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
+    """rows with ids for the numbers in columns; the number of no node is null."""
+    for c in columns:
+        rows = rows.join(names.select(F.col("n").alias(c), F.col("id").alias(f"_{c}")), c, "left").drop(c).withColumnRenamed(f"_{c}", c)
+    return rows
+
+
 def reach(links: DataFrame, roots: DataFrame, parents: bool = False) -> DataFrame:
     """root, node, depth of all nodes reached from roots (id, distinct); a root isn't reached from itself.
 
@@ -75,25 +118,8 @@ def reach(links: DataFrame, roots: DataFrame, parents: bool = False) -> DataFram
     if not parents:
         numbers = numbered_roots(roots)
         return each_root(reach_words(kept(links), numbers)).join(numbers, ["word", "bit"]).select("root", "node", "depth")
-    links = kept(links)
-    level = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("rank"))
-    # Levels are folders of one table: what is seen so far is read at once.
-    spark = links.sparkSession
-    folder = f"{shared_dir(spark)}/reach-{uuid.uuid4().hex}"
-    level, depth = kept(level, f"{folder}/0"), 0
-    schema, paths = level.schema, [f"{folder}/0"]
-    while True:
-        depth += 1
-        found = level.join(links, "node").where("next <> root")
-        found = found.groupBy("root", "next").agg(F.min(F.struct("rank", "ord", F.col("node").alias("parent"))).alias("way"))
-        seen = spark.read.schema(schema).parquet(*paths)
-        found = found.withColumnRenamed("next", "node").join(seen.select("root", "node"), ["root", "node"], "left_anti")
-        order = Window.partitionBy("root").orderBy("way.rank", "way.ord", "node")
-        found = found.select("root", "node", F.lit(depth).alias("depth"), "way.parent", F.row_number().over(order).cast("long").alias("rank"))
-        paths.append(f"{folder}/{depth}")
-        level = kept(found, paths[-1])
-        if level.isEmpty():
-            return spark.read.schema(schema).parquet(*paths).where("depth > 0")
+    levels, names = _ways(links, roots)
+    return _named(_together(levels).where("depth > 0"), names, "root", "node", "parent").select("root", "node", "depth", "parent", "rank")
 
 
 def blast_radius(nodes: DataFrame, edges: DataFrame, only: DataFrame | None = None) -> DataFrame:
@@ -124,25 +150,29 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, only: DataFrame | None = No
 def cascade_paths(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Per root: max_depth and path, the way to the first node found at the greatest depth.
 
-    The way is walked back from that node, a level at a time, for all roots at once.
+    The way is walked back from that node for all roots at once, so that each level is read once.
     """
-    got = reach(reverse_links(edges, nodes.where("type = 'test'")), roots, parents=True)
-    best = got.groupBy("root").agg(F.max(F.struct("depth", (-F.col("rank")).alias("r"), "node")).alias("b"))
-    ways = kept(best.select("root", F.col("b.depth").cast("long").alias("max_depth"), F.array("b.node").alias("path"), F.col("b.node").alias("at")))
-    deepest = ways.agg(F.max("max_depth")).first()[0] or 0
-    back = got.select("root", F.col("node").alias("at"), "parent").where("parent <> root")
-    for i in range(deepest - 1):
-        step = (ways if i % 5 else kept(ways)).join(back, ["root", "at"], "left")
-        ways = step.select("root", "max_depth", F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat(F.array("parent"), "path")).alias("path"), "parent").withColumnRenamed("parent", "at")
-    return ways.select("root", "max_depth", "path")
+    levels, names = _ways(reverse_links(edges, nodes.where("type = 'test'")), roots)
+    best = _together(levels).where("depth > 0").groupBy("root").agg(F.max(F.struct("depth", (-F.col("rank")).alias("r"), "node")).alias("b"))
+    at = kept(best.select("root", F.col("b.depth").alias("max_depth"), F.col("b.depth").alias("depth"), F.col("b.node").alias("node")))
+    steps = [at]
+    for level in reversed(levels[2:]):
+        # Ways that begin at this level or above it go one up.
+        back = level.select("root", "node", (F.col("depth") - 1).alias("_depth"), "parent")
+        at = kept(at.join(back, ["root", "node"], "left").select("root", "max_depth", F.coalesce("_depth", "depth").alias("depth"), F.coalesce("parent", "node").alias("node")))
+        steps.append(at.where(F.col("depth") < F.col("max_depth")))
+    told = _named(_together(steps).distinct(), names, "node").groupBy("root", "max_depth").agg(F.array_sort(F.collect_list(F.struct("depth", "node"))).alias("p"))
+    return _named(told, names, "root").select("root", F.col("max_depth").cast("long").alias("max_depth"), F.transform("p", lambda x: x["node"]).alias("path"))
 
 
 def test_map(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """root, test, kind (direct or transitive), via (the node between, for transitive ones)."""
-    got = reach(reverse_links(edges, with_tests=True), roots, parents=True)
-    tests = nodes.where("type = 'test'").select(F.col("id").alias("node"))
+    levels, names = _ways(reverse_links(edges, with_tests=True), roots)
+    tests = names.join(nodes.where("type = 'test'").select("id"), "id", "left_semi").select(F.col("n").alias("node"))
     direct = F.col("depth") == 1
-    return got.join(tests, "node", "left_semi").select("root", F.col("node").alias("test"), F.when(direct, "direct").otherwise("transitive").alias("kind"), F.when(~direct, F.col("parent")).alias("via"))
+    got = _together(levels).where("depth > 0").join(tests, "node", "left_semi")
+    got = got.select("root", F.col("node").alias("test"), F.when(direct, "direct").otherwise("transitive").alias("kind"), F.when(~direct, F.col("parent")).alias("via"))
+    return _named(got, names, "root", "test", "via").select("root", "test", "kind", "via")
 
 
 def risk_tiers(risk: DataFrame, nodes: DataFrame, first: int = 5, second: int = 3) -> DataFrame:
