@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import in_ranges
+from ..common import in_ranges, kept, spread, tasks_for
 
 HEADER = r"^([0-9a-f]{7,40})\|([^|]*)\|(.+)\z"
 
 
+#: Pairs of files that one task counts, about.
+PAIRS_OF_TASK = 1_000_000
+
 _COMMIT = r"^[0-9a-f]{7,40}\z"
 
 
@@ -19,7 +22,8 @@ def log_rows(log: DataFrame) -> DataFrame:
     A log is read in ranges: each gives its last header, of which a range takes that of the nearest one before it.
     """
     head = F.when(F.col("line").rlike(HEADER), F.struct(*[F.regexp_extract("line", HEADER, i).alias(n) for i, n in ((1, "hash"), (2, "date"), (3, "msg"))]))
-    dealt = in_ranges(log, "repo", "pos").withColumn("_h", head)
+    dealt = in_ranges(log, "repo", "pos")
+    dealt = spread(dealt, dealt.rdd.getNumPartitions(), "repo", "_range").withColumn("_h", head)
     before = F.last("_last", ignorenulls=True).over(Window.partitionBy("repo").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     # A row for each range of a repository.
     lasts = dealt.groupBy("repo", "_range").agg(F.max_by("_h", F.when(F.col("_h").isNotNull(), F.col("pos"))).alias("_last"))
@@ -37,7 +41,9 @@ def log_files(log: DataFrame) -> DataFrame:
     is a function of the state at its beginning; ranges' functions are composed in order, and every
     range is then read from the state that it begins in.
     """
-    dealt = in_ranges(log, "repo", "pos").withColumn("_head", F.col("line").rlike(_COMMIT))
+    dealt = in_ranges(log, "repo", "pos")
+    tasks = dealt.rdd.getNumPartitions()
+    dealt = spread(dealt, tasks, "repo", "_range").withColumn("_head", F.col("line").rlike(_COMMIT))
     upto = Window.partitionBy("repo", "_range").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     blank = F.trim("line") == ""
     dealt = dealt.withColumns({"_part": F.sum(F.col("_head").cast("int")).over(upto), "_blank": blank, "_file": ~blank & ~F.col("_head")})
@@ -67,7 +73,8 @@ def log_files(log: DataFrame) -> DataFrame:
     carried = F.when(F.col("_part") == 0, F.col("_state")).otherwise(0)
     rows = rows.withColumns({"_carried": carried, "commit_seq": (F.col("_seq") + F.col("_part")).cast("long"), "_files": F.sum(F.col("_file").cast("int")).over(own)})
     closed = F.max(F.col("_blank") & ((F.col("_files") > 0) | (F.col("_carried") == 1))).over(own) | (F.col("_carried") == 2)
-    return rows.withColumn("_closed", closed).where("commit_seq > 0 and _file and not _closed").select("repo", "commit_seq", F.trim("line").alias("path")).distinct()
+    found = rows.withColumn("_closed", closed).where("commit_seq > 0 and _file and not _closed").select("repo", "commit_seq", F.trim("line").alias("path"))
+    return spread(found, tasks, "repo", "commit_seq").distinct()
 
 
 def churn(commits: DataFrame, days: int = 30) -> DataFrame:
@@ -86,17 +93,27 @@ def cochange(commits: DataFrame, links: DataFrame | None = None, most_files: int
     Commits of 2 to most_files files count, so that one gives a bounded number of pairs; links (src, dst) are the imports.
     """
     # Counted before they are listed: a commit may have any number of files.
-    distinct = commits.select("commit", "path").distinct()
+    spark, listed = commits.sparkSession, kept(commits.select("commit", "path"))
+    distinct = spread(listed, tasks_for(spark, listed.count()), "commit").distinct()
     few = distinct.groupBy("commit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most_files))
     files = distinct.join(few, "commit", "left_semi").groupBy("commit").agg(F.array_sort(F.collect_list("path")).alias("p"))
+    files = kept(files)
+    n = files.agg(F.coalesce(F.sum(F.size("p") * (F.size("p") - 1) / 2), F.lit(0.0)).cast("long")).first()[0]
     each = F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, most_files), lambda y: F.struct(x.alias("a"), y.alias("b"))))
-    pairs = files.select(F.explode(F.flatten(each)).alias("x")).groupBy("x.a", "x.b").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= least)
+    # Where they are many, few repeat within a task: they are dealt before they are counted, to tasks whose number grows with theirs.
+    dealt = files.select(F.explode(F.flatten(each)).alias("x")).select("x.a", "x.b")
+    dealt = spread(dealt, tasks_for(spark, n, PAIRS_OF_TASK), "a", "b")
+    pairs = kept(dealt.groupBy("a", "b").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= least))
     totals = files.select(F.explode("p").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    out = pairs.join(totals.select(F.col("path").alias("a"), F.col("n").alias("total_a")), "a").join(totals.select(F.col("path").alias("b"), F.col("n").alias("total_b")), "b")
+    tasks = tasks_for(spark, pairs.count())
+    out = spread(pairs, tasks, "a").join(totals.select(F.col("path").alias("a"), F.col("n").alias("total_a")), "a")
+    out = spread(out, tasks, "b").join(totals.select(F.col("path").alias("b"), F.col("n").alias("total_b")), "b")
     out = out.withColumn("confidence", F.col("together") / F.least("total_a", "total_b"))
     if links is None:
         return out.withColumn("linked", F.lit(False))
-    known = links.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().withColumn("linked", F.lit(True))
+    known = links.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    tasks = tasks_for(spark, known.count())
+    known = spread(known, tasks, "a", "b").distinct().withColumn("linked", F.lit(True))
     return out.join(known, ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
 
 

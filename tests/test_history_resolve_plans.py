@@ -349,3 +349,14 @@ def test_staleness(spark, tmp_path):
         said[head] = snapshot.staleness(spark, path, str(tmp_path))
     assert said[log[0]] is None and said[None] is None and "before 2 commits" in said[log[2]] and "may be stale" in said["0" * 40]
     assert snapshot.staleness(spark, path, str(tmp_path / "nowhere")) is None
+
+
+def test_more_rows_have_more_tasks(spark):
+    """Rows of a task stay about as many, however many there are: 4 shuffle partitions here."""
+    from kelpline.common import in_ranges, spread, tasks_for
+
+    assert (tasks_for(spark, 10, 100), tasks_for(spark, 950, 100)) == (4, 10)
+    rows = spark.range(950).select(F.col("id").alias("pos"))
+    dealt = in_ranges(rows, "pos", each=100)
+    assert dealt.rdd.getNumPartitions() == 10 and dealt.groupBy("_range").count().agg(F.max("count")).first()[0] < 300
+    assert spread(rows, 10, "pos").distinct().rdd.getNumPartitions() == 10 and dealt.count() == 950
