@@ -9,7 +9,7 @@ is counted. All counts, and the company that subwords keep, are of the whole tra
 
 Windows overlap: each has CONTEXT subwords that give context alone and STRIDE that are scored,
 so every subword is scored once, in batches. Embeddings are the main directions of the company that
-subwords keep; attention and what follows it train on all windows of all training texts, where PLACES of the STRIDE places of each, chosen by chance, are predicted (STRIDE: all are).
+subwords keep; attention and what follows it train on all windows of all training texts, where all places of each are predicted (`places`: so many of them, chosen by chance).
 Training texts are dealt to shards of about SHARD subwords by a hash of id and text, so that the
 weights don't depend on how rows lie in partitions; in each of ROUNDS rounds a shard trains on
 its share of that round's texts, one after another, and what the shards get is averaged.
@@ -58,8 +58,8 @@ BUCKETS = PAD + 1
 SHARE = 2.0**-20
 #: Pairs of subwords that go to every task as a table; more of them are joined.
 PAIRS = 1 << 20
-#: Passes with an average after each, subwords of a shard, predicted places of a training window, windows in a step.
-ROUNDS, SHARD, PLACES, BATCH, RATE = 3, 2_000_000, 2, 64, 0.005
+#: Passes with an average after each, subwords of a shard, predicted places of a training window, predicted places in a step.
+ROUNDS, SHARD, PLACES, BATCH, RATE = 3, 2_000_000, STRIDE, 512, 0.005
 #: Parts of a sum that one task takes in.
 FAN = 16
 #: Added to subword counts within a class; weight of a class's counts beside those after the subword before; of class shares.

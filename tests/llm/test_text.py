@@ -334,3 +334,15 @@ def test_lm_and_bpe_of_odd_rows(spark):
     assert not next(r for r in got if r.doc_id is None).held_out and {r.n_tokens for r in got if r.doc_id == 4} == {1}
     ids = bpe.digests(docs, path).collect()
     assert len(ids) == 7 and {r.n_tokens for r in ids if r.doc_id == 4} == {0} and len({r.ids_sha256 for r in ids if r.doc_id in (None, 3)}) == 1
+
+
+def test_training_predicts_every_place():
+    from types import SimpleNamespace
+
+    end = 9
+    counts = SimpleNamespace(bucket=np.zeros(end + 1, np.int64), prior=np.zeros((L.BUCKETS, L.CLASSES), np.float32), cls=np.zeros(end + 1, np.int64))
+    work = L.Training(L.start_weights(np.zeros((L.BUCKETS, L.DIM), np.float32)), counts, end, 1)
+    for n in (5, 40, 700):
+        work.add(np.append(np.arange(n) % end, end))
+    work.go()
+    assert work.seen == 5 + 40 + 700 + 3  # each subword and end once
