@@ -189,7 +189,12 @@ def _ranks(v):
 
 def correlations(rates: DataFrame) -> DataFrame:
     """keys, x, y, i, j, rho of two assertions' sequences, cut to the shorter; x is seen first (i, j: places). No correction for ties; under 3 scores give 0."""
-    keys, seq = result_keys(rates), sequences(rates)
+    return sequence_correlations(sequences(rates))
+
+
+def sequence_correlations(seq: DataFrame) -> DataFrame:
+    """As correlations(), of sequences()."""
+    keys = result_keys(seq)
     left = seq.select(*keys, F.col("assertion").alias("x"), F.col("place").alias("i"), F.col("v").alias("a"))
     right = seq.select(*keys, F.col("assertion").alias("y"), F.col("place").alias("j"), F.col("v").alias("b"))
     both = left.join(right, keys).where("i < j").withColumn("n", F.least(F.size("a"), F.size("b")))
@@ -218,16 +223,18 @@ def diagnostics(trials: DataFrame, ordered: bool = False) -> DataFrame:
 
     ordered: with first, second, by which a report orders a kind in a result: places of assertions, or how much scores are below 1.
     """
-    rates, keys = assertion_rates(trials), result_keys(trials)
+    # Both are read several times, and are found once.
+    rates, keys = kept(assertion_rates(trials)), result_keys(trials)
+    seq = kept(sequences(rates))
     text = lambda c: F.col(c).cast("string")
     mean = F.when(F.col("passed") > 0.95, "PASS").when(F.col("passed") < 0.05, "FAIL").otherwise(F.concat(fixed(F.col("passed") * 100, 0), F.lit("%")))
     signed = F.concat(F.when(F.col("rho") < 0, "-").otherwise(""), fixed(F.abs("rho"), 2))
     flak = flaky(rates).join(rates.select(*keys, "assertion", "condition", "verdicts"), [*keys, "assertion", "condition"])
-    same, twice, worse = non_discriminating(rates), redundant(correlations(rates)), negative(trials)
+    same, twice, worse = non_discriminating(rates), redundant(sequence_correlations(seq)), negative(trials)
     order = []
     if ordered:
         order, none = ["first", "second"], F.lit(0.0)
-        places = sequences(rates).select(*keys, "assertion", F.col("place").cast("double").alias("first"))
+        places = seq.select(*keys, "assertion", F.col("place").cast("double").alias("first"))
         same, flak = (df.join(places, [*keys, "assertion"]).withColumn("second", none) for df in (same, flak))
         twice = twice.join(places.withColumnRenamed("first", "second"), [*keys, "assertion"]).join(places.withColumnRenamed("assertion", "like"), [*keys, "like"])
         worse = worse.withColumns({"first": 1 - F.col("better_score"), "second": 1 - F.col("worse_score")})

@@ -179,3 +179,10 @@ def test_empty(spark):
     assert E.condition_stats(t).count() == 0 and E.cliffs_delta(E.question_scores(t)).count() == 0
     assert E.diagnostics(t).count() == 0 and tuple(E.budget(t, E.diagnostics(t), E.summary(t)).first()) == (0.0, 0.0, 0)
     assert t.agg(F.avg(E.score())).first()[0] is None
+
+
+def test_diagnostics_find_rates_once(spark):
+    # Rates and sequences are read several times: what is returned has no grouping of trials into them.
+    t = trials(spark, [(c, q, a, v, 0) for c in ("x", "y") for q in (1, 2) for a in (0, 1) for v in ("PASS", "FAIL", "PASS")])
+    plan = E.diagnostics(t, ordered=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "stddev_pop" not in plan
