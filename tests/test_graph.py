@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from kelpline.operators import graph as G
 from kelpline.operators import modules as M
 from kelpline.operators import profile as V
+from kelpline.plans import report
+from kelpline.sources import star
 
 NODES = "id string, type string, lines int, ord long"
 
@@ -123,3 +125,17 @@ def test_snapshot_point_of_a_file_that_tests_alone_import(spark, tmp_path):
     assert got == sql == []
     got, sql = answers(str(tmp_path / "b"), [(1, 0), (1, 2)])
     assert got == sql and len(got) == 1
+
+
+def test_joins_of_growing_tables_send_nothing_through_the_driver(spark):
+    joined = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    folder = "/root/testdata/sf0.001"
+    nodes = star.parts(spark, folder)
+    assert "BroadcastHashJoin" not in joined(star.edges(spark, folder, nodes)) + joined(star.own_commits(spark, folder, nodes))
+    # Seven files don't follow a convention: five are told, by name, and the number of the others.
+    found = spark.createDataFrame([("s/x.ts", "route", 16, 23, 16 / 23)], "anchor string, consumer string, adoption long, total long, coverage double").withColumn("coverage", F.lit(0.7))
+    broken = spark.createDataFrame([("s/x.ts", "route", f"p/{c}.ts") for c in "gfedcba"], "anchor string, consumer string, id string")
+    names = spark.createDataFrame([("s/x.ts", ["guard"])], "id string, exports array<string>")
+    got = report.convention_lines(found, broken, names)
+    assert got.first().exceptions == "  exceptions: a, b, c, d, e, +2 more"
+    assert "WindowGroupLimit" in joined(got)
