@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import kept, shared_dir
+from ..common import grows, kept, shared_dir
 from ..functions.columns import module_id, round2
 
 WEAKENING = 0.7
@@ -24,7 +24,7 @@ def reverse_links(edges: DataFrame, tests: DataFrame | None = None, with_tests:
     """node, next, ord: who imports a node; without test edges, and without sources among tests (id)."""
     kept = edges if with_tests else edges.where("type <> 'tests'")
     if tests is not None:
-        kept = kept.join(tests.select(F.col("id").alias("src")), "src", "left_anti")
+        kept = kept.join(grows(tests.select(F.col("id").alias("src"))), "src", "left_anti")
     return kept.groupBy(F.col("dst").alias("node"), F.col("src").alias("next")).agg(F.min("ord").alias("ord"))
 
 
@@ -52,7 +52,7 @@ def reach_words(links: DataFrame, numbers: DataFrame) -> DataFrame:
     level = kept(numbers.groupBy("word", F.col("root").alias("node")).agg(F.lit(0).alias("depth"), F.bit_or(bit).alias("bits")), f"{folder}/0")
     schema, paths, none = level.schema, [f"{folder}/0"], F.lit(0).cast("long")
     while not level.isEmpty():
-        found = level.join(links, "node").select("word", F.col("next").alias("node"), "bits", none.alias("seen"))
+        found = level.join(grows(links), "node").select("word", F.col("next").alias("node"), "bits", none.alias("seen"))
         seen = spark.read.schema(schema).parquet(*paths).select("word", "node", none.alias("bits"), F.col("bits").alias("seen"))
         both = found.union(seen).groupBy("word", "node").agg(F.bit_or("bits").alias("bits"), F.bit_or("seen").alias("seen"))
         fresh = both.select("word", "node", F.lit(len(paths)).alias("depth"), F.col("bits").bitwiseAND(F.bitwise_not("seen")).alias("bits")).where("bits <> 0")
@@ -134,7 +134,7 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, only: DataFrame | None = No
     numbers = numbered_roots(direct.select(F.col("node").alias("id")))
     got = each_root(reach_words(links, numbers).withColumn("module", module_id(F.col("node"))))
     # Sums by depth and module first, so that a root with everything below it is no large group.
-    part = got.groupBy("word", "bit", "depth", "module").agg(F.count(F.lit(1)).alias("n")).join(numbers, ["word", "bit"])
+    part = got.groupBy("word", "bit", "depth", "module").agg(F.count(F.lit(1)).alias("n")).join(grows(numbers), ["word", "bit"])
     per = part.groupBy("root").agg(
         F.sum("n").alias("affected"),
         round2(F.round(F.sum(F.col("n") * F.pow(F.lit(WEAKENING), F.col("depth"))), 9)).alias("weighted"),
@@ -142,7 +142,7 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, only: DataFrame | None = No
         F.array_sort(F.collect_set("module")).alias("module_names"),
         F.max("depth").cast("long").alias("max_depth"),
     )
-    out = direct.join(per.withColumnRenamed("root", "node"), "node", "left").na.fill(0, ["affected", "weighted", "modules", "max_depth"])
+    out = direct.join(grows(per.withColumnRenamed("root", "node")), "node", "left").na.fill(0, ["affected", "weighted", "modules", "max_depth"])
     empty = F.array().cast("array<string>")
     return out.withColumn("module_names", F.coalesce("module_names", empty)).withColumn("amplification", round2(F.col("affected") / F.col("direct")))
 
