@@ -450,6 +450,49 @@ def gradient(w: dict[str, np.ndarray], prior: np.ndarray, buckets: np.ndarray, a
     return g, loss
 
 
+def window_gradient(w: dict[str, np.ndarray], prior: np.ndarray, buckets: np.ndarray, cls: np.ndarray, real: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+    """As gradient(), of all places of windows that hold a subword (real): what a window's places share is found once."""
+    scale, n = np.float32(DIM**-0.5), np.float32(real.sum())
+    x = w["E"][buckets]
+    own, side = buckets[:, CONTEXT:].ravel(), x.transpose(0, 2, 1)
+    xq = x[:, CONTEXT:].reshape(-1, DIM)
+    split, flat = (lambda y: y.reshape(len(x), STRIDE, -1)), (lambda y: y.reshape(-1, DIM))
+    q = xq @ w["Q"] * scale
+    p = split(q @ w["K"].T) @ side
+    p += w["far"][np.maximum(_DISTANCE, 0)] + _CAUSAL
+    p += np.where(buckets == PAD, np.float32(-1e4), np.float32(0))[:, None, :]
+    p -= p.max(axis=-1, keepdims=True)
+    np.exp(p, out=p)
+    p /= p.sum(axis=-1, keepdims=True)
+    px = flat(p @ x)
+    a = px @ w["V"]
+    h = xq + a @ w["O"]
+    y = h @ w["U"]
+    y += prior[own]
+    y += w["c"]
+    y -= y.max(axis=-1, keepdims=True)
+    np.exp(y, out=y)
+    y /= y.sum(axis=-1, keepdims=True)
+    at = np.flatnonzero(real.ravel())
+    picked = cls.ravel()[at]
+    loss = float(-np.log(np.maximum(y[at, picked], 1e-30)).mean())
+    y[at, picked] -= 1
+    y *= real.reshape(-1, 1) / n
+    g = {"U": h.T @ y, "c": y.sum(axis=0)}
+    dh = y @ w["U"].T
+    g["O"] = a.T @ dh
+    da = dh @ w["O"].T
+    g["V"] = px.T @ da
+    ds = split(da @ w["V"].T) @ side
+    ds -= (ds * p).sum(axis=-1, keepdims=True)
+    ds *= p
+    g["far"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), ds.sum(axis=0).ravel(), minlength=SPAN).astype(np.float32)
+    dqk = flat(ds @ x)
+    g["K"], dq = dqk.T @ q, dqk @ w["K"] * scale
+    g["Q"] = xq.T @ dq
+    return g, loss
+
+
 class Training:
     """Adam over the windows of one shard's texts, in the order they come."""
 
@@ -474,27 +517,33 @@ class Training:
             return
         buckets, _, target, real = windows_of(self.held, self.counts.bucket, self.end)
         self.held, self.size = [], 0
-        row, n = np.arange(len(buckets)), real.sum(axis=1)
-        if self.places < STRIDE:
-            row = np.repeat(row, self.places)
-            place = (self.random.random(len(row)) * n[row]).astype(np.int64)
-        else:
-            row, place = np.nonzero(real)
+        prior, cls = self.counts.prior, self.counts.cls
+        if self.places >= STRIDE:
+            order, cls = self.random.permutation(len(buckets)), cls[np.maximum(target, 0)]
+            for i in range(0, len(order), BATCH // STRIDE):
+                at = order[i : i + BATCH // STRIDE]
+                self.move(window_gradient(self.w, prior, buckets[at], cls[at], real[at])[0], int(real[at].sum()))
+            return
+        row = np.repeat(np.arange(len(buckets)), self.places)
+        place = (self.random.random(len(row)) * real.sum(axis=1)[row]).astype(np.int64)
         order = self.random.permutation(len(row))
         for i in range(0, len(order), BATCH):
             at = order[i : i + BATCH]
             r, j = row[at], place[at]
-            g, _ = gradient(self.w, self.counts.prior, buckets[r], j, self.counts.cls[target[r, j]])
-            grad = np.concatenate([g[k].ravel() for k in LEARNED])
-            self.step += 1
-            self.seen += len(at)
-            m, v, step = self.m, self.v, self.step
-            m *= 0.9
-            m += 0.1 * grad
-            v *= 0.99
-            grad *= grad
-            v += 0.01 * grad
-            self.own -= (RATE / np.sqrt(1 + step / 50) / (1 - 0.9**step)) * m / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            self.move(gradient(self.w, prior, buckets[r], j, cls[target[r, j]])[0], len(at))
+
+    def move(self, g: dict[str, np.ndarray], places: int) -> None:
+        """A step by the gradient of so many places."""
+        grad = np.concatenate([g[k].ravel() for k in LEARNED])
+        self.step += 1
+        self.seen += places
+        m, v, step = self.m, self.v, self.step
+        m *= 0.9
+        m += 0.1 * grad
+        v *= 0.99
+        grad *= grad
+        v += 0.01 * grad
+        self.own -= (RATE / np.sqrt(1 + step / 50) / (1 - 0.9**step)) * m / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
 
 def summed(parts: DataFrame, keep: Callable[[DataFrame, str], DataFrame], name: str) -> np.ndarray | None:

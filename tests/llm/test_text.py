@@ -346,3 +346,15 @@ def test_training_predicts_every_place():
         work.add(np.append(np.arange(n) % end, end))
     work.go()
     assert work.seen == 5 + 40 + 700 + 3  # each subword and end once
+
+
+def test_lm_windows_gradient():
+    """What all places of windows give together is what they give one by one."""
+    ids, c, flat = small_model()
+    buckets, _, target, real = L.windows_of([ids[:50], ids[50:57], np.zeros(0, int), ids[:3]], c.bucket, 60)
+    row, place = np.nonzero(real)
+    one, loss = L.gradient(L.named(flat), c.prior, buckets[row], place, c.cls[target[row, place]])
+    all_, same = L.window_gradient(L.named(flat), c.prior, buckets, c.cls[np.maximum(target, 0)], real)
+    assert same == pytest.approx(loss, rel=1e-5)
+    for k in L.LEARNED:
+        assert all_[k] == pytest.approx(one[k], rel=1e-3, abs=1e-6), k
