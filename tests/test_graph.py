@@ -139,3 +139,17 @@ def test_joins_of_growing_tables_send_nothing_through_the_driver(spark):
     got = report.convention_lines(found, broken, names)
     assert got.first().exceptions == "  exceptions: a, b, c, d, e, +2 more"
     assert "WindowGroupLimit" in joined(got)
+
+
+def test_lines_are_dealt_by_order_once(spark):
+    plan = star.keys(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # by order, then by file
+
+
+def test_the_text_with_coordinates_derives_its_graph_once(spark, monkeypatch):
+    from kelpline import queries_drawing  # noqa: F401  registers it
+    from kelpline.queries import QUERIES
+
+    made, edges = [], star.edges
+    monkeypatch.setattr(star, "edges", lambda *x: made.append(1) or edges(*x))
+    assert QUERIES["spatial_text"](spark, "/root/testdata/sf0.001").count() > 0 and made == [1]
