@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import in_ranges, kept, spread, tasks_for
+from ..common import grows, in_ranges, kept, spread, tasks_for
 
 HEADER = r"^([0-9a-f]{7,40})\|([^|]*)\|(.+)\z"
 
@@ -92,22 +92,25 @@ def cochange(commits: DataFrame, links: DataFrame | None = None, most_files: int
 
     Commits of 2 to most_files files count, so that one gives a bounded number of pairs; links (src, dst) are the imports.
     """
+    spark, listed = commits.sparkSession, kept(commits.select("commit", "path").where("commit is not null"))
+    # Files go by numbers that rise as their paths do, as there are many more pairs than files.
+    names = listed.select("path").where("path is not null").distinct().repartitionByRange("path").sortWithinPartitions("path")
+    names = kept(names.withColumn("n", F.monotonically_increasing_id()))
+    numbered = listed.join(grows(names), "path", "left").select("commit", "n").repartition(tasks_for(spark, listed.count()), "commit").distinct()
     # Counted before they are listed: a commit may have any number of files.
-    spark, listed = commits.sparkSession, kept(commits.select("commit", "path"))
-    distinct = spread(listed, tasks_for(spark, listed.count()), "commit").distinct()
-    few = distinct.groupBy("commit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most_files))
-    files = distinct.join(few, "commit", "left_semi").groupBy("commit").agg(F.array_sort(F.collect_list("path")).alias("p"))
-    files = kept(files)
+    few = numbered.withColumn("_files", F.count(F.lit(1)).over(Window.partitionBy("commit"))).where(F.col("_files").between(2, most_files))
+    files = kept(few.groupBy("commit").agg(F.array_sort(F.collect_list("n")).alias("p")))
     n = files.agg(F.coalesce(F.sum(F.size("p") * (F.size("p") - 1) / 2), F.lit(0.0)).cast("long")).first()[0]
     each = F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, most_files), lambda y: F.struct(x.alias("a"), y.alias("b"))))
     # Where they are many, few repeat within a task: they are dealt before they are counted, to tasks whose number grows with theirs.
     dealt = files.select(F.explode(F.flatten(each)).alias("x")).select("x.a", "x.b")
     dealt = spread(dealt, tasks_for(spark, n, PAIRS_OF_TASK), "a", "b")
     pairs = kept(dealt.groupBy("a", "b").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= least))
-    totals = files.select(F.explode("p").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    tasks = tasks_for(spark, pairs.count())
-    out = spread(pairs, tasks, "a").join(totals.select(F.col("path").alias("a"), F.col("n").alias("total_a")), "a")
-    out = spread(out, tasks, "b").join(totals.select(F.col("path").alias("b"), F.col("n").alias("total_b")), "b")
+    totals = files.select(F.explode("p").alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("total")).join(grows(names), "n")
+    of = lambda c: totals.select(F.col("n").alias(f"_{c}"), F.col("path").alias(c), F.col("total").alias(f"total_{c}"))
+    pairs, tasks = pairs.withColumnsRenamed({"a": "_a", "b": "_b"}), tasks_for(spark, pairs.count())
+    out = spread(pairs, tasks, "_a").join(of("a"), "_a")
+    out = spread(out, tasks, "_b").join(of("b"), "_b").select("a", "b", "together", "total_a", "total_b")
     out = out.withColumn("confidence", F.col("together") / F.least("total_a", "total_b"))
     if links is None:
         return out.withColumn("linked", F.lit(False))

@@ -360,3 +360,11 @@ def test_more_rows_have_more_tasks(spark):
     dealt = in_ranges(rows, "pos", each=100)
     assert dealt.rdd.getNumPartitions() == 10 and dealt.groupBy("_range").count().agg(F.max("count")).first()[0] < 300
     assert spread(rows, 10, "pos").distinct().rdd.getNumPartitions() == 10 and dealt.count() == 950
+
+
+def test_pairs_of_files_are_counted_by_number(spark, monkeypatch):
+    written, kept = [], H.kept
+    monkeypatch.setattr(H, "kept", lambda df: written.append(df.schema) or kept(df))
+    pairs = H.cochange(commits(spark, [["q", "p", "p"], ["p", "q"], ["p", "q", "r"]])).collect()
+    assert [(r.a, r.b, r.together, r.total_a, r.total_b) for r in pairs] == [("p", "q", 3, 3, 3)]
+    assert [s["a"].dataType.simpleString() for s in written if "a" in s.names] == ["bigint"]
