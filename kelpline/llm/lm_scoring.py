@@ -59,7 +59,7 @@ SHARE = 2.0**-20
 #: Pairs of subwords that go to every task as a table; more of them are joined.
 PAIRS = 1 << 20
 #: Passes with an average after each, subwords of a shard, predicted places of a training window, predicted places in a step.
-ROUNDS, SHARD, PLACES, BATCH, RATE = 3, 2_000_000, STRIDE, 512, 0.005
+ROUNDS, SHARD, PLACES, BATCH, RATE = 3, 2_000_000, STRIDE, 2048, 0.015
 #: Parts of a sum that one task takes in.
 FAN = 16
 #: Added to subword counts within a class; weight of a class's counts beside those after the subword before; of class shares.
@@ -309,6 +309,7 @@ SHAPES = {"E": (BUCKETS, DIM), "Q": (DIM, DIM), "K": (DIM, DIM), "V": (DIM, DIM)
 LEARNED = [k for k in SHAPES if k != "E"]
 N_WEIGHTS = sum(int(np.prod(s)) for s in SHAPES.values())
 _DISTANCE = (CONTEXT + np.arange(STRIDE))[:, None] - np.arange(SPAN)[None, :]
+_FAR = np.maximum(_DISTANCE, 0)
 _CAUSAL = np.where(_DISTANCE < 0, np.float32(-1e4), np.float32(0))
 
 
@@ -374,8 +375,9 @@ class Scorer:
         """log P(class of the target) for each place of windows; masked attention in batches."""
         out = np.zeros(target.shape)
         cls = self.counts.cls
-        for i in range(0, len(buckets), 256):
-            b = buckets[i : i + 256]
+        ones = np.ones(self.out.shape[1], np.float32)
+        for i in range(0, len(buckets), 64):
+            b = buckets[i : i + 64]
             own = b[:, CONTEXT:]
             s = self.q[own] @ self.k[b].transpose(0, 2, 1)
             s += self.bias
@@ -385,12 +387,12 @@ class Scorer:
             a = s @ self.v[b]
             a = a[..., :DIM] / np.maximum(a[..., DIM:], 1e-30)
             x = a.reshape(-1, DIM) @ self.out
-            x += self.base[own.ravel()]
+            x += self.base.take(own.ravel(), axis=0)
             if not self.small:
                 np.minimum(x, 60, out=x)
-            picked = x[np.arange(len(x)), cls[np.maximum(target[i : i + 256].ravel(), 0)]].astype(float)
+            picked = x[np.arange(len(x)), cls[np.maximum(target[i : i + 64].ravel(), 0)]].astype(float)
             np.exp(x, out=x)
-            out[i : i + 256] = (picked - np.log(x.sum(axis=1))).reshape(own.shape)
+            out[i : i + 64] = (picked - np.log(x @ ones)).reshape(own.shape)
         return out
 
     def scores(self, seqs: list[np.ndarray], end: int) -> np.ndarray:
@@ -450,43 +452,55 @@ def gradient(w: dict[str, np.ndarray], prior: np.ndarray, buckets: np.ndarray, a
     return g, loss
 
 
+def softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of rows (in place) and what they are to be divided by. Rows are lowered by their highest number only where some leave the range."""
+    ones = np.ones(x.shape[1], np.float32)
+    if x.max() < 60:
+        y = np.exp(x)
+        total = y @ ones
+        if total.min() > 1e-20:
+            return y, total
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    return x, x @ ones
+
+
 def window_gradient(w: dict[str, np.ndarray], prior: np.ndarray, buckets: np.ndarray, cls: np.ndarray, real: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
     """As gradient(), of all places of windows that hold a subword (real): what a window's places share is found once."""
     scale, n = np.float32(DIM**-0.5), np.float32(real.sum())
     x = w["E"][buckets]
-    own, side = buckets[:, CONTEXT:].ravel(), x.transpose(0, 2, 1)
+    own, side = buckets[:, CONTEXT:].ravel(), np.ascontiguousarray(x.transpose(0, 2, 1))
     xq = x[:, CONTEXT:].reshape(-1, DIM)
     split, flat = (lambda y: y.reshape(len(x), STRIDE, -1)), (lambda y: y.reshape(-1, DIM))
     q = xq @ w["Q"] * scale
     p = split(q @ w["K"].T) @ side
-    p += w["far"][np.maximum(_DISTANCE, 0)] + _CAUSAL
+    p += w["far"][_FAR] + _CAUSAL
     p += np.where(buckets == PAD, np.float32(-1e4), np.float32(0))[:, None, :]
-    p -= p.max(axis=-1, keepdims=True)
-    np.exp(p, out=p)
-    p /= p.sum(axis=-1, keepdims=True)
+    p, total = softmax(p.reshape(-1, SPAN))
+    p /= total[:, None]
+    p = split(p)
     px = flat(p @ x)
     a = px @ w["V"]
     h = xq + a @ w["O"]
     y = h @ w["U"]
-    y += prior[own]
+    y += prior.take(own, axis=0)
     y += w["c"]
-    y -= y.max(axis=-1, keepdims=True)
-    np.exp(y, out=y)
-    y /= y.sum(axis=-1, keepdims=True)
+    y, total = softmax(y)
     at = np.flatnonzero(real.ravel())
     picked = cls.ravel()[at]
-    loss = float(-np.log(np.maximum(y[at, picked], 1e-30)).mean())
-    y[at, picked] -= 1
-    y *= real.reshape(-1, 1) / n
+    loss = float(-np.log(np.maximum(y[at, picked] / total[at], 1e-30)).mean())
+    y *= (real.ravel() / n / total)[:, None]
+    y[at, picked] -= 1 / n
     g = {"U": h.T @ y, "c": y.sum(axis=0)}
     dh = y @ w["U"].T
     g["O"] = a.T @ dh
     da = dh @ w["O"].T
     g["V"] = px.T @ da
-    ds = split(da @ w["V"].T) @ side
-    ds -= (ds * p).sum(axis=-1, keepdims=True)
+    dpx = da @ w["V"].T
+    ds = split(dpx) @ side
+    ds -= split(np.einsum("ij,ij->i", dpx, px))
     ds *= p
-    g["far"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), ds.sum(axis=0).ravel(), minlength=SPAN).astype(np.float32)
+    g["far"] = np.bincount(_FAR.ravel(), ds.sum(axis=0).ravel(), minlength=SPAN).astype(np.float32)
     dqk = flat(ds @ x)
     g["K"], dq = dqk.T @ q, dqk @ w["K"] * scale
     g["Q"] = xq.T @ dq
@@ -653,11 +667,11 @@ class _Codes(dict):
         return -1
 
 
-def encoded(docs: DataFrame, known) -> DataFrame:
-    """Per row of docs: doc_id, held_out, hash, code (of each word: its place in known, then in the text's own rare words), rare (these words)."""
+def encoded(docs: DataFrame, known, path: str) -> DataFrame:
+    """Per row of docs: doc_id, held_out, hash, code (of each word: its place in known, then in the text's own rare words), rare (these words), rare_ids (their subwords), rare_size (how many each has)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = _Codes(known.value)
+        at, sub = _Codes(known.value), subwords(path)
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
@@ -670,45 +684,51 @@ def encoded(docs: DataFrame, known) -> DataFrame:
                         code[j] = rare.setdefault(words[j], len(at) + len(rare))
                     codes.append(code)
                     rares.append(list(rare))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(codes, pa.list_(pa.int32())), pa.array(rares, pa.list_(pa.binary()))], names=["doc_id", "held_out", "hash", "code", "rare"])
+                ids, size = sub.parts([w for rare in rares for w in rare])
+                words_at = np.cumsum([0, *map(len, rares)])
+                ids_at = np.append(0, np.cumsum(size))[words_at]
+                lists = lambda at, x: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.int32()))
+                cols = [pa.array(codes, pa.list_(pa.int32())), pa.array(rares, pa.list_(pa.binary())), lists(ids_at, ids), lists(words_at, size)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *cols], names=["doc_id", "held_out", "hash", "code", "rare", "rare_ids", "rare_size"])
 
     rows = docs.select("doc_id", held_out().alias("held_out"), F.xxhash64("doc_id", "text").alias("hash"), F.col("text").cast("binary"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, hash long, code array<int>, rare array<binary>")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, hash long, code array<int>, rare array<binary>, rare_ids array<int>, rare_size array<int>")
 
 
-def sequences(code: pa.ListArray, rare: pa.ListArray, known: tuple[np.ndarray, np.ndarray], sub: Subwords) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def sequences(code: pa.ListArray, rare_ids: pa.ListArray, rare_size: pa.ListArray, known: tuple[np.ndarray, np.ndarray], end: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The ids of documents from encoded() columns, with the end; their words' codes (rare words on from known's, in order of rare) and numbers of words."""
     flat = code.flatten().to_numpy().astype(np.int64)
-    n, n_rare = (pc.list_value_length(x).to_numpy().astype(np.int64) for x in (code, rare))
+    n, n_rare = (pc.list_value_length(x).to_numpy().astype(np.int64) for x in (code, rare_size))
     flat += np.where(flat >= len(known[1]), np.repeat(np.cumsum(n_rare) - n_rare, n), 0)
-    new = sub.parts(rare.flatten().to_pylist())
-    ids, size = np.concatenate([known[0], new[0]]), np.concatenate([known[1], new[1]])
+    ids, size = (np.concatenate([x, y.flatten().to_numpy()]) for x, y in zip(known, (rare_ids, rare_size)))
     start, own = np.cumsum(size) - size, size[flat]
     to = np.cumsum(own)
     out = ids[np.repeat(start[flat] - to + own, own) + np.arange(own.sum())]
     cuts = np.append(0, to)[np.cumsum(n)]
-    return [np.append(x, sub.end) for x in np.split(out, cuts[:-1])], flat, n
+    return [np.append(x, end) for x in np.split(out, cuts[:-1])], flat, n
 
 
-def train(tokens: DataFrame, pairs: DataFrame, counts: Counts, known_ids, path: str, keep: Callable[[DataFrame, str], DataFrame], rounds: int = ROUNDS, places: int = PLACES) -> np.ndarray:
+def train(tokens: DataFrame, pairs: DataFrame, counts: Counts, known_ids, keep: Callable[[DataFrame, str], DataFrame], rounds: int = ROUNDS, places: int = PLACES) -> np.ndarray:
     """The weights from encoded() rows; counts get their classes and shares."""
     spark = tokens.sparkSession
     texts = tokens.where("not held_out")
     bucket = spark.sparkContext.broadcast(counts.bucket)
 
-    def seqs(batches: Iterator[pa.RecordBatch], sub: Subwords) -> Iterator[list[np.ndarray]]:
-        """Columns code and rare are the last two."""
+    end = len(counts.begins) - 1
+
+    def seqs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        """Columns code, rare_ids and rare_size are the last three."""
         of = known_ids.value
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                yield sequences(part.column(batch.num_columns - 2), part.column(batch.num_columns - 1), of, sub)[0]
+                yield sequences(*part.columns[-3:], of, end)[0]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = company(seqs(batches, subwords(path)), bucket.value)
+        sums = company(seqs(batches), bucket.value)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([sums.ravel()], pa.list_(pa.float64()))], names=["part", "x"])
 
-    sums = summed(texts.select("code", "rare").mapInArrow(meet, "part long, x array<double>"), keep, "company")
+    sums = summed(texts.select("code", "rare_ids", "rare_size").mapInArrow(meet, "part long, x array<double>"), keep, "company")
     sums = np.zeros((BUCKETS, SKETCH)) if sums is None else sums.reshape(BUCKETS, SKETCH)
     vectors = vectors_of(sums, np.bincount(counts.bucket, counts.count, minlength=BUCKETS))
     counts.classify(vectors)
@@ -721,7 +741,7 @@ def train(tokens: DataFrame, pairs: DataFrame, counts: Counts, known_ids, path:
         now = spark.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], now=now, turn=turn) -> Iterator[pa.RecordBatch]:
-            sub, work, at = subwords(path), None, None
+            work, at = None, None
             row = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.append(work.flat.astype(float) * work.seen, work.seen)], pa.list_(pa.float64()))], names=["part", "x"])
             for batch in batches:
                 own = batch.column(0).to_numpy()
@@ -733,16 +753,16 @@ def train(tokens: DataFrame, pairs: DataFrame, counts: Counts, known_ids, path:
                         if work:
                             work.go()
                             yield row()
-                        at, work = int(own[s]), Training(now.value, shared.value, sub.end, int(own[s]) * 31 + turn, places)
-                    for some in seqs(iter([batch.slice(s, e - s)]), sub):
+                        at, work = int(own[s]), Training(now.value, shared.value, end, int(own[s]) * 31 + turn, places)
+                    for some in seqs(iter([batch.slice(s, e - s)])):
                         for ids in some:
                             work.add(ids)
             if work:
                 work.go()
                 yield row()
 
-        mine = texts.where(F.pmod(F.shiftright("hash", 40), F.lit(rounds)) == turn).select(shard, "hash", "code", "rare")
-        dealt = mine.repartitionById(shards, "shard").sortWithinPartitions("shard", "hash").select("shard", "code", "rare")
+        mine = texts.where(F.pmod(F.shiftright("hash", 40), F.lit(rounds)) == turn).select(shard, "hash", "code", "rare_ids", "rare_size")
+        dealt = mine.repartitionById(shards, "shard").sortWithinPartitions("shard", "hash").select("shard", "code", "rare_ids", "rare_size")
         total = summed(dealt.mapInArrow(run, "part long, x array<double>"), keep, f"weights_{turn}")
         if total is not None and total[-1]:
             weights = (total[:-1] / total[-1]).astype(np.float32)
@@ -768,34 +788,33 @@ def lm_scores(docs: DataFrame, path: str, most_pairs: int = PAIRS, places: int =
         known = spark.sparkContext.broadcast({w: i for i, w in enumerate(often)})
         # Cut to subwords once, and not by every task.
         known_ids = spark.sparkContext.broadcast(subwords(path).parts(often))
-        tokens = keep(encoded(docs, known), "tokens")
+        tokens = keep(encoded(docs, known, path), "tokens")
         counts, pairs = gathered(words, n_train, path, keep)
-        weights = train(tokens, pairs, counts, known_ids, path, keep, places=places)
+        weights = train(tokens, pairs, counts, known_ids, keep, places=places)
         words = keep(words_inside(words, pairs, counts, path, keep, most_pairs), "words_inside")
         often = words.where(F.col("n") >= least).orderBy("word").toArrow()
         n_train_of, inside_of = often.column("c").to_numpy(), often.column("inside").to_numpy()
         shared = spark.sparkContext.broadcast((n_train_of, inside_of, counts, weights))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sub = subwords(path)
             n_train_of, inside_of, counts, weights = shared.value
-            model = Scorer(weights, counts)
+            model, end = Scorer(weights, counts), len(counts.begins) - 1
             of = known_ids.value
             logs, seen = np.log10(n_train_of + 0.1) - below, n_train_of > 0
             for batch in batches:
                 for i in range(0, batch.num_rows, 64):
                     part = batch.slice(i, 64)
-                    seqs, code, n = sequences(part.column(2), part.column(3), of, sub)
+                    seqs, code, n = sequences(part.column(2), part.column(4), part.column(5), of, end)
                     doc = np.repeat(np.arange(len(n)), n)
                     frequent = code < len(logs)
                     of_doc = lambda x: np.bincount(doc[frequent], x[code[frequent]], minlength=len(n))
-                    score = (model.scores(seqs, sub.end) + of_doc(inside_of)) / _LN10
+                    score = (model.scores(seqs, end) + of_doc(inside_of)) / _LN10
                     n_rare = np.bincount(code[~frequent] - len(logs), minlength=len(part.column(3).flatten()))
                     n_rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(pc.list_value_length(part.column(3)).to_numpy())), pa.int32()), pa.array(n_rare, pa.int64()))
                     cols = [pa.array(n + 1), pa.array(int(n_train > 0) + of_doc(seen).astype(np.int64)), pa.array(end_log + of_doc(logs)), pa.array(score), part.column(3), n_rare]
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "n_rare"])
 
-        scored = tokens.select("doc_id", "held_out", "code", "rare").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>, n_rare array<long>")
+        scored = tokens.select("doc_id", "held_out", "code", "rare", "rare_ids", "rare_size").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>, n_rare array<long>")
         scored = keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
         # Rare words meet here: a word's rows are under SHARE of all, so none is a hot group.
         rare = scored.select("row", F.explode(F.arrays_zip("rare", "n_rare")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.n_rare").alias("times"))

@@ -358,3 +358,29 @@ def test_lm_windows_gradient():
     assert same == pytest.approx(loss, rel=1e-5)
     for k in L.LEARNED:
         assert all_[k] == pytest.approx(one[k], rel=1e-3, abs=1e-6), k
+
+
+def test_lm_softmax_leaves_no_row_out_of_range():
+    rng = np.random.default_rng(5)
+    for low, high in ((-3, 3), (-300, -200), (200, 300), (-300, 300)):
+        x = rng.uniform(low, high, (40, 9)).astype(np.float32)
+        want = np.exp(x.astype(float) - x.max(axis=1, keepdims=True))
+        y, total = L.softmax(x.copy())
+        assert y / total[:, None] == pytest.approx(want / want.sum(axis=1, keepdims=True), rel=1e-4, abs=1e-7)
+
+
+def test_lm_cuts_rare_words_once(spark):
+    """Subwords of a text's rare words come with its codes, and give the ids of the whole text."""
+    path = public_tokenizers.path(L.RANKS)
+    sub = L.subwords(path)
+    texts = ["the cat qzxv the qzxv zzyyx", "", None, "é\x85x naïve cat the", "the the"]
+    known = [b"cat", b"the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    places = spark.sparkContext.broadcast({w: i for i, w in enumerate(known)})
+    rows = L.encoded(docs, places, path).toArrow().sort_by("doc_id").combine_chunks()
+    columns = [rows.column(c).combine_chunks() for c in ("code", "rare_ids", "rare_size")]
+    got, _, n = L.sequences(*columns, sub.parts(known), sub.end)
+    assert n.tolist() == [6, 0, 0, 4, 2]
+    for text, ids in zip(texts, got):
+        words = L.words_of(text and text.encode())
+        assert ids.tolist() == [*[int(i) for w in words for i in sub.ids([w])], sub.end]
