@@ -384,3 +384,26 @@ def test_lm_cuts_rare_words_once(spark):
     for text, ids in zip(texts, got):
         words = L.words_of(text and text.encode())
         assert ids.tolist() == [*[int(i) for w in words for i in sub.ids([w])], sub.end]
+
+
+def test_bpe_trees_together_equal_each_alone():
+    ranks = bpe.load_ranks(public_tokenizers.path(bpe.RANKS))
+    trees, rng = bpe.Trees(ranks), random.Random(4)
+    made = [b"".join(rng.choice([b"th", b"er", b"ing", b"tion", b"e", b" ", b"\xc3\xa9", bytes([rng.randrange(256)])]) for _ in range(rng.randrange(2, 30)))[:64] for _ in range(800)]
+    made = [p for p in made if len(p) > 1] + [b"a" * n for n in range(2, 65)]
+    assert trees.fits and trees.merge(made) == [bpe.merge(p, ranks) for p in made]
+
+
+def test_bpe_forgets_and_is_right(monkeypatch):
+    """Texts in groups, with little remembered, equal tiktoken's; white space of all kinds."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    monkeypatch.setattr(bpe, "GROUP", 300)
+    monkeypatch.setattr(bpe, "FEW", 3)
+    path, rng = public_tokenizers.path(bpe.RANKS), random.Random(6)
+    mine = bpe.Encoder(path)
+    theirs = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=mine.ranks, special_tokens={})
+    parts = ["a", "b", " ", "  ", "\n", " \n", "\x1c", "\x85", "\xa0", "　", "'s", "é", "漢", "🙂", "12", "!!", "word", "the", "x" * 70, "​", ""]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(1500)]
+    for text, (ids, decoded) in zip(texts, mine.both(texts), strict=True):
+        assert ids.decode() == " ".join(map(str, theirs.encode_ordinary(text))) and decoded == text.encode()
+    assert len(mine.known[0]) + len(mine.old[0]) < 400
