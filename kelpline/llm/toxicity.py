@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from os.path import commonprefix
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ SIGNS = set("._-*~'")
 #: Log10 probabilities of the channel: a letter written as a sign, a sign put between letters, a letter repeated.
 SWAPPED, PARTED, REPEATED = -0.7, -0.7, -0.2
 PREFIXES = range(3, 8)
+#: Of so many characters at most, so that any prefix holds it.
+STEM = min(PREFIXES)
 #: Tokens whose features are remembered: so many, of so many characters at most.
 REMEMBERED, LONG = 300_000, 64
 Z = 2.5
@@ -95,7 +98,31 @@ def disguised(token: str) -> bool:
 
 class Decoder:
     def __init__(self, model: np.ndarray) -> None:
-        self.model = model
+        #: As Python looks up one number at a time.
+        self.model = array("d", model.astype(float).tobytes())
+        self.known: dict[str, list[str]] = {}
+        self.old: dict[str, list[str]] = {}
+
+    def letters(self, raw: str) -> str:
+        """span() of a stretch of letters alone: each has one reading, so only repeats leave a choice."""
+        model, kk = self.model, K**3
+        states: dict[tuple[int, str], tuple[float, str]] = {(0, ""): (0.0, "")}
+        for char in raw:
+            code = ord(char)
+            own = code - 96 if 97 <= code <= 122 else 27 if code > 127 else 0
+            after: dict[tuple[int, str], tuple[float, str]] = {}
+            for (context, last), (score, text) in states.items():
+                context = context * K + own
+                key, new = (context % kk, char), score + model[context]
+                if key not in after or new > after[key][0]:
+                    after[key] = (new, text + char)
+                if char == last:
+                    key, new = (context // K, last), score + REPEATED
+                    if key not in after or new > after[key][0]:
+                        after[key] = (new, text)
+            states = after
+        ends = ((score + (model[context * K] if context % K else 0.0), text) for (context, _), (score, text) in states.items())
+        return max(ends)[1]
 
     def span(self, raw: str) -> str:
         """The likeliest reading of a stretch in lower case, of any length. A state is the last three classes and the last character."""
@@ -115,7 +142,7 @@ class Decoder:
                     if not cls and not context % K:  # a run of other characters is one boundary
                         new = score
                     else:
-                        new = score + cost + float(model[context * K + cls])
+                        new = score + cost + model[context * K + cls]
                     key = ((context * K + cls) % kk, out)
                     if key not in after or new > after[key][0]:
                         after[key] = (new, text + out)
@@ -128,7 +155,7 @@ class Decoder:
                     if key not in after or score + PARTED > after[key][0]:
                         after[key] = (score + PARTED, text)
             states = after
-        ends = ((score + (float(model[context * K]) if context % K else 0.0), text) for (context, _), (score, text) in states.items())
+        ends = ((score + (model[context * K] if context % K else 0.0), text) for (context, _), (score, text) in states.items())
         return "".join([*done, max(ends)[1]])
 
     def word(self, token: str) -> str:
@@ -139,11 +166,23 @@ class Decoder:
     def readings(self, token: str) -> list[str]:
         """The words of word(), where signs may join several, and what they are if the signs at its end are letters."""
         whole = token.strip(_EDGES)
+        if whole.isalpha() and len(whole) < SETTLED:
+            return [self.letters(whole) if len(whole) > 2 and _TWICE.search(whole) else whole]
         out = [self.word(token)]
         if len(whole) > 2 and whole[-1] in _FINAL and any("a" <= c <= "z" for c in whole):
             out.append(self.span(whole).rstrip(_FINAL))
         return list(dict.fromkeys(x for r in out for x in _JOINS.split(r) if x))
 
+    def remembered(self, token: str) -> list[str]:
+        """As readings(); those of late and of before are kept."""
+        if (out := self.known.get(token)) is None:
+            if len(token) > LONG:
+                return self.readings(token)
+            if len(self.known) >= REMEMBERED:
+                self.known, self.old = {}, self.known
+            out = self.known[token] = self.old.get(token) or self.readings(token)
+        return out
+
     def restore(self, text: str) -> str:
         lower = _SPACED.sub(lambda m: self.span(" ".join(m[0].split())), text.lower())
         return re.sub(r"\S+", lambda m: self.word(m[0]), lower)
@@ -153,6 +192,11 @@ def word_features(word: str) -> list[str]:
     return [f"={word}", *[f"{word[:k]}*" for k in PREFIXES if len(word) >= k]]
 
 
+def stems_of(features: Iterable[str]) -> set[str]:
+    """How words with one of the features begin; no other word has any of them."""
+    return {f[1 : 1 + STEM] if f[:1] == "=" else f[:STEM] for f in features} | {f[:STEM] for f in features}
+
+
 def tokens_of(decoder: Decoder, text: str | None) -> set[str]:
     return set(_SPACED.sub(lambda m: decoder.span(" ".join(m[0].split())), (text or "").lower()).split())
 
@@ -187,15 +231,29 @@ def _learned(docs: DataFrame, labels: DataFrame, grams: np.ndarray, limit: int,
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     # About limit rows at most, so they are broadcast.
     rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-    rows = keep(rows.select("text", "toxic"), "labelled")
     model = spark.sparkContext.broadcast(grams)
 
+    def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(model.value)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                words = [list({x for t in tokens_of(decoder, text) for x in decoder.remembered(t)}) for text in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), part.column(1).cast(pa.int32())], names=["words", "toxic"])
+
+    rows = keep(rows.select("text", "toxic").mapInArrow(restored, "words array<string>, toxic int"), "labelled")
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, toxic, clean = Decoder(model.value), Counter(), Counter()
+        toxic, clean = Counter(), Counter()
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = {x for t in tokens_of(decoder, text) for x in decoder.readings(t)}
-                (toxic if label else clean).update({"", *(f for x in words for f in word_features(x))})
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                for words, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    count = (toxic if label else clean).update
+                    count([""])
+                    count(["=" + x for x in words])
+                    for k in PREFIXES:
+                        count({x[:k] + "*" for x in words if len(x) >= k})
         both = list({**toxic, **clean})
         yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([toxic[x] for x in both], pa.int64()), pa.array([toxic[x] + clean[x] for x in both], pa.int64())], names=["feature", "toxic", "n"])
 
@@ -210,10 +268,13 @@ def _learned(docs: DataFrame, labels: DataFrame, grams: np.ndarray, limit: int,
     index = spark.sparkContext.broadcast(telling)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, at = Decoder(model.value), index.value
+        at = index.value
+        stems = stems_of(at)
         for batch in batches:
-            sets = [sorted({at[f] for t in tokens_of(decoder, text) for x in decoder.readings(t) for f in word_features(x) if f in at}) for text in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int32())), batch.column(1).cast(pa.int32())], names=["found", "toxic"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                sets = [sorted({at[f] for x in words if x[:STEM] in stems for f in word_features(x) if f in at}) for words in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int32())), part.column(1)], names=["found", "toxic"])
 
     weights, base = regression([(r[0], r[1]) for r in rows.mapInArrow(found, "found array<int>, toxic int").collect()], len(telling))
     return {f: float(weights[i]) for f, i in telling.items()}, base
@@ -229,10 +290,10 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, weights = model.value
-        decoder, known = Decoder(grams), {}
+        decoder, known, old, stems = Decoder(grams), {}, {}, stems_of(weights)
 
         def telling(token: str) -> tuple[str, ...]:
-            return tuple(f for x in decoder.readings(token) for f in word_features(x) if f in weights)
+            return tuple(f for x in decoder.readings(token) if x[:STEM] in stems for f in word_features(x) if f in weights)
 
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
@@ -240,15 +301,15 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 for text in part.column(1).to_pylist():
                     tokens = tokens_of(decoder, text)
                     if len(known) > REMEMBERED:
-                        known.clear()
+                        known, old = {}, known
                     found = set()
                     for t in tokens:
-                        if len(t) > LONG:
-                            found.update(telling(t))
-                            continue
-                        if t not in known:
-                            known[t] = telling(t)
-                        found.update(known[t])
+                        if (own := known.get(t)) is None:
+                            own = old[t] if t in old else telling(t)
+                            if len(t) <= LONG:
+                                known[t] = own
+                        if own:
+                            found.update(own)
                     x = base + sum(weights[f] for f in sorted(found))
                     out.append(1 / (1 + math.exp(-max(-500, min(500, x)))))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])

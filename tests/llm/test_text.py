@@ -407,3 +407,16 @@ def test_bpe_forgets_and_is_right(monkeypatch):
     for text, (ids, decoded) in zip(texts, mine.both(texts), strict=True):
         assert ids.decode() == " ".join(map(str, theirs.encode_ordinary(text))) and decoded == text.encode()
     assert len(mine.known[0]) + len(mine.old[0]) < 400
+
+
+def test_toxicity_letters_and_stems():
+    """Stretches of letters read as span() reads them; words outside the stems have no telling feature; words are read once while remembered."""
+    rng = random.Random(8)
+    decoder = toxicity.Decoder(toxicity.language_model(np.random.default_rng(8).integers(0, 9, (toxicity.K,) * 4).astype(float)))
+    words = ["".join(rng.choice("abbllloé漢ßx") for _ in range(rng.randrange(1, 30))) for _ in range(2000)]
+    assert [decoder.letters(w) for w in words] == [decoder.span(w) for w in words]
+    assert [decoder.remembered(w + ",") for w in words] == [decoder.remembered(w + ",") for w in words] == [[decoder.word(w)] for w in words]
+    features = {f for w in words[:20] for f in toxicity.word_features(w)}
+    stems = toxicity.stems_of(features)
+    assert all(w[: toxicity.STEM] in stems for w in words if features.intersection(toxicity.word_features(w)))
+    assert any(w[: toxicity.STEM] not in stems for w in words)
